@@ -11,6 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import round_doubles
+from ..operators import changepoint as CP
 from ..operators import describe as DS
 from ..operators import prepare as PR
 from ..sources import panel as SRC
@@ -81,7 +82,27 @@ def _quantile_ts(spark, sf_dir, cfg):
     return DS.desc_quantile_timeseries(p, DS.last_pre_bucket(p, cfg["start"]))
 
 
+def _month_complete(spark, sf_dir, cfg):
+    return CP.group_total_month_complete(raw_panel(spark, sf_dir, cfg))
+
+
+def _changepoint(spark, sf_dir, cfg):
+    return CP.detect_changepoint(raw_panel(spark, sf_dir, cfg), num_cpts=1)
+
+
+def _changepoint_3(spark, sf_dir, cfg):
+    return CP.detect_changepoint(raw_panel(spark, sf_dir, cfg), num_cpts=3, include_model=True)
+
+
+def _changepoint_nested(spark, sf_dir, cfg):
+    return CP.explode_data(CP.detect_changepoint(raw_panel(spark, sf_dir, cfg), include_data=True))
+
+
 BUILDERS = {
+    "q_month_complete": _month_complete,
+    "q_changepoint": _changepoint,
+    "q_changepoint_3": _changepoint_3,
+    "q_changepoint_nested": _changepoint_nested,
     "q_bucket_sum": _bucket_sum,
     "q_default_periods": _default_periods,
     "q_active_flag": _active_flag,
@@ -101,7 +122,7 @@ def _rounded(fn, cfg, spark, sf_dir):
 
 def queries() -> dict:
     out = {}
-    for name, (kind, cfg) in P.SQL_QUERIES.items():
+    for name, (kind, cfg) in {**P.SQL_QUERIES, **P.SPARK_ONLY}.items():
         out[name] = partial(_rounded, BUILDERS[kind], cfg)
     return out
 

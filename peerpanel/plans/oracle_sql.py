@@ -204,6 +204,58 @@ def q_quantile_ts(cfg, n=3):
                          "GROUP BY group_id, date, quantile"), "mean_percentile")
 
 
+def completed_ctes(cfg):
+    return [("raw", RAW[cfg["panel"]]),
+            ("agg", "SELECT group_id, date, sum(count) AS count FROM raw GROUP BY group_id, date"),
+            ("rng", "SELECT group_id, min(date) AS d0, max(date) AS d1 FROM agg GROUP BY group_id"),
+            ("ks", "SELECT group_id, d0, d1, unnest(range(0, datediff('month', d0, d1) + 2)) AS k "
+                   "FROM rng"),
+            ("steps", "SELECT group_id, date FROM (SELECT group_id, d1, CAST(date_trunc('month', d0) "
+                      "+ to_months(CAST(k AS INTEGER)) + to_days(CAST(day(d0) AS INTEGER) - 1) AS DATE) "
+                      "AS date FROM ks) WHERE date <= d1"),
+            ("completed", "SELECT group_id, date, coalesce(agg.count, 0.0) AS count FROM agg "
+                          "FULL JOIN steps USING (group_id, date)")]
+
+
+def q_month_complete(cfg):
+    return R(with_(completed_ctes(cfg), "SELECT group_id, date, count FROM completed"), "count")
+
+
+def changepoint_ctes(cfg):
+    return completed_ctes(cfg) + [
+        ("x", "SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY date) AS i, "
+              "count(*) OVER (PARTITION BY group_id) AS n, "
+              "count - avg(count) OVER (PARTITION BY group_id) AS xc FROM completed"),
+        ("g", "SELECT *, sum(xc) OVER w AS s1, sum(xc * xc) OVER w AS s2, "
+              "sum(xc) OVER (PARTITION BY group_id) AS t1, "
+              "sum(xc * xc) OVER (PARTITION BY group_id) AS t2, sum(count) OVER w AS cum, "
+              "sum(count) OVER (PARTITION BY group_id) AS tot FROM x "
+              "WINDOW w AS (PARTITION BY group_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING "
+              "AND CURRENT ROW)"),
+        ("gg", "SELECT *, (t2 - t1 * t1 / n) - (s2 - s1 * s1 / i) - ((t2 - s2) - (t1 - s1) * "
+               "(t1 - s1) / (n - i)) + ln(n) - ln(i) - ln(n - i) AS gain FROM g WHERE i < n"),
+        ("best", "SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY gain DESC, i) AS rk "
+                 "FROM gg"),
+        ("cp", "SELECT group_id, date AS change_date, cum / i AS before_mean, "
+               "(tot - cum) / (n - i) AS after_mean FROM best WHERE rk = 1 AND gain >= 3 * ln(n)"),
+        ("cp2", "SELECT *, after_mean - before_mean AS mean_change, CASE WHEN before_mean <> 0 "
+                "THEN (after_mean - before_mean) / before_mean END AS pct_change FROM cp"),
+    ]
+
+
+CP_DOUBLES = ("before_mean", "after_mean", "mean_change", "pct_change")
+
+
+def q_changepoint(cfg):
+    return R(with_(changepoint_ctes(cfg), "SELECT * FROM cp2"), *CP_DOUBLES)
+
+
+def q_changepoint_nested(cfg):
+    return R(with_(changepoint_ctes(cfg), "SELECT cp2.*, completed.date, completed.count "
+                                          "FROM cp2 JOIN completed USING (group_id)"),
+             *CP_DOUBLES, "count")
+
+
 def build() -> dict[str, str]:
     out = {}
     for name, (kind, cfg) in P.SQL_QUERIES.items():

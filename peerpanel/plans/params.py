@@ -38,4 +38,16 @@ SQL_QUERIES = {
     "desc_quantile_timeseries": ("q_quantile_ts", PANEL_C),
     "desc_quantile_timeseries_supplier": ("q_quantile_ts", PANEL_A),
     "desc_quantile_timeseries_week": ("q_quantile_ts", PANEL_D),
+    "group_total_month_complete": ("q_month_complete", PANEL_A),
+    "group_total_month_complete_day": ("q_month_complete", PANEL_B),
+    "detect_changepoint": ("q_changepoint", PANEL_A),
+    "detect_changepoint_orders": ("q_changepoint", PANEL_C),
+    "detect_changepoint_by_segment": ("q_changepoint", PANEL_C_SEGMENT),
+    "detect_changepoint_nested": ("q_changepoint_nested", PANEL_A),
+}
+
+# registered without a SQL oracle (rows-only check); checked against
+# brute force in tests instead
+SPARK_ONLY = {
+    "detect_changepoint_3": ("q_changepoint_3", PANEL_A),
 }
