@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.columns import round_doubles
 from ..operators import changepoint as CP
 from ..operators import describe as DS
+from ..operators import impact as IM
+from ..operators import report as RP
 from ..operators import prepare as PR
 from ..sources import panel as SRC
 from . import params as P
@@ -98,7 +100,47 @@ def _changepoint_nested(spark, sf_dir, cfg):
     return CP.explode_data(CP.detect_changepoint(raw_panel(spark, sf_dir, cfg), include_data=True))
 
 
+def ratio(spark, sf_dir, cfg):
+    p = prepared(spark, sf_dir, cfg)
+    return IM.ratio_models(p, cfg["start"], alpha=0.05)
+
+
+def _ratio_effects(spark, sf_dir, cfg):
+    return ratio(spark, sf_dir, cfg).effects
+
+
+def _ratio_series(spark, sf_dir, cfg):
+    return ratio(spark, sf_dir, cfg).series
+
+
+def _model_summary(spark, sf_dir, cfg):
+    return RP.model_summary(ratio(spark, sf_dir, cfg))
+
+
+def _deviance_counts(spark, sf_dir, cfg):
+    return RP.deviance_counts(RP.model_summary(ratio(spark, sf_dir, cfg)))
+
+
+def _summary_timeseries(spark, sf_dir, cfg):
+    return RP.model_summary_timeseries(ratio(spark, sf_dir, cfg))
+
+
+def _group_timeseries(spark, sf_dir, cfg):
+    return RP.model_group_timeseries(ratio(spark, sf_dir, cfg))
+
+
+def _deviance_mean_sd(spark, sf_dir, cfg):
+    return RP.deviance_mean_sd(ratio(spark, sf_dir, cfg))
+
+
 BUILDERS = {
+    "q_ratio_effects": _ratio_effects,
+    "q_ratio_series": _ratio_series,
+    "q_model_summary": _model_summary,
+    "q_deviance_counts": _deviance_counts,
+    "q_summary_timeseries": _summary_timeseries,
+    "q_group_timeseries": _group_timeseries,
+    "q_deviance_mean_sd": _deviance_mean_sd,
     "q_month_complete": _month_complete,
     "q_changepoint": _changepoint,
     "q_changepoint_3": _changepoint_3,

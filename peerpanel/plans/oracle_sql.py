@@ -256,6 +256,115 @@ def q_changepoint_nested(cfg):
              *CP_DOUBLES, "count")
 
 
+# --------------------------------------------------------- ratio model
+
+ALPHA = 0.05
+EFFECTS = ("AbsEffect_Average", "RelEffect_Average", "AbsEffect_Cumulative",
+           "RelEffect_Cumulative", "p_Cumulative", "p_Average")
+SERIES = ("response", "cum_response", "point_pred", "point_pred_lower", "point_pred_upper",
+          "cum_pred", "cum_pred_lower", "cum_pred_upper", "point_effect", "point_effect_lower",
+          "point_effect_upper", "cum_effect", "cum_effect_lower", "cum_effect_upper")
+
+
+def z_sql(alpha=ALPHA):
+    from statistics import NormalDist
+    return f"CAST('{NormalDist().inv_cdf(1.0 - alpha / 2.0)!r}' AS DOUBLE)"
+
+
+def norm_cdf_sql(x: str) -> str:
+    """Same erf approximation as the Spark side (A&S 7.1.26)."""
+    ax = f"(abs({x}) / sqrt(2.0))"
+    t = f"(1.0 / (1.0 + 0.3275911 * {ax}))"
+    poly = (f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * "
+            f"(-1.453152027 + {t} * 1.061405429)))))")
+    erf_abs = f"(1.0 - {poly} * exp(-{ax} * {ax}))"
+    return f"(0.5 * (1.0 + CASE WHEN {x} < 0 THEN -{erf_abs} ELSE {erf_abs} END))"
+
+
+def ratio_ctes(cfg):
+    z = z_sql()
+    return prepared_ctes(cfg) + [
+        ("mr", f"SELECT group_id, ts_id, date, count, date <= {d(cfg['start'])} AS is_pre "
+               "FROM p WHERE active"),
+        ("tot", "SELECT group_id, date, sum(count) AS tot, count(*) AS n FROM mr GROUP BY ALL"),
+        ("x1", "SELECT mr.*, (tot - count) / nullif(CAST(n - 1 AS DOUBLE), 0) AS peer "
+               "FROM mr JOIN tot USING (group_id, date)"),
+        ("x2", "SELECT *, sum(CASE WHEN is_pre THEN count END) OVER s / "
+               "nullif(sum(CASE WHEN is_pre THEN peer END) OVER s, 0) AS ratio FROM x1 "
+               "WINDOW s AS (PARTITION BY group_id, ts_id)"),
+        ("x3", "SELECT *, ratio * peer AS point_pred, count AS response FROM x2"),
+        ("x4", "SELECT *, stddev_samp(CASE WHEN is_pre THEN response - point_pred END) OVER "
+               "(PARTITION BY group_id, ts_id) AS sigma FROM x3"),
+        ("x5", f"SELECT *, point_pred - {z} * sigma AS point_pred_lower, "
+               f"point_pred + {z} * sigma AS point_pred_upper, sum(response) OVER w AS cum_response, "
+               "sum(CASE WHEN NOT is_pre THEN 1 ELSE 0 END) OVER w AS m, "
+               "sum(CASE WHEN NOT is_pre THEN point_pred ELSE response END) OVER w AS cum_pred "
+               "FROM x4 WINDOW w AS (PARTITION BY group_id, ts_id ORDER BY date ROWS BETWEEN "
+               "UNBOUNDED PRECEDING AND CURRENT ROW)"),
+        ("x6", f"SELECT *, cum_pred - {z} * sigma * sqrt(CAST(m AS DOUBLE)) AS cum_pred_lower, "
+               f"cum_pred + {z} * sigma * sqrt(CAST(m AS DOUBLE)) AS cum_pred_upper FROM x5"),
+        ("ms", "SELECT group_id, ts_id, date, response, cum_response, point_pred, point_pred_lower, "
+               "point_pred_upper, cum_pred, cum_pred_lower, cum_pred_upper, "
+               "response - point_pred AS point_effect, response - point_pred_upper AS "
+               "point_effect_lower, response - point_pred_lower AS point_effect_upper, "
+               "cum_response - cum_pred AS cum_effect, cum_response - cum_pred_upper AS "
+               "cum_effect_lower, cum_response - cum_pred_lower AS cum_effect_upper, is_pre FROM x6"),
+        ("e1", "SELECT group_id, ts_id, avg(response - point_pred) AS AbsEffect_Average, "
+               "avg(point_pred) AS pa, sum(response - point_pred) AS AbsEffect_Cumulative, "
+               "sum(point_pred) AS ps, any_value(sigma) AS sigma, count(*) AS m FROM x6 "
+               "WHERE NOT is_pre GROUP BY group_id, ts_id"),
+        ("e2", "SELECT *, AbsEffect_Cumulative / nullif(sigma * sqrt(CAST(m AS DOUBLE)), 0) AS zc "
+               "FROM e1"),
+        ("me", "SELECT group_id, ts_id, AbsEffect_Average, AbsEffect_Average / nullif(pa, 0) AS "
+               "RelEffect_Average, AbsEffect_Cumulative, AbsEffect_Cumulative / nullif(ps, 0) AS "
+               f"RelEffect_Cumulative, CASE WHEN sigma > 0 THEN 1.0 - {norm_cdf_sql('abs(zc)')} END "
+               f"AS p_Cumulative, CASE WHEN sigma > 0 THEN 1.0 - {norm_cdf_sql('abs(zc)')} END "
+               "AS p_Average FROM e2"),
+        ("msum", f"SELECT *, CASE WHEN AbsEffect_Cumulative > 0 AND p_Cumulative < {ALPHA} THEN "
+                 f"'over' WHEN AbsEffect_Cumulative < 0 AND p_Cumulative < {ALPHA} THEN 'under' "
+                 "ELSE 'average' END AS deviance FROM me"),
+        ("pe", f"SELECT group_id, max(date) AS pre_end FROM p WHERE active AND "
+               f"date <= {d(cfg['start'])} GROUP BY group_id"),
+    ]
+
+
+def q_ratio_effects(cfg):
+    return R(with_(ratio_ctes(cfg), "SELECT * FROM me"), *EFFECTS)
+
+
+def q_ratio_series(cfg):
+    return R(with_(ratio_ctes(cfg), "SELECT * EXCLUDE (is_pre) FROM ms"), *SERIES)
+
+
+def q_model_summary(cfg):
+    return R(with_(ratio_ctes(cfg), "SELECT * FROM msum"), *EFFECTS)
+
+
+def q_deviance_counts(cfg):
+    return with_(ratio_ctes(cfg), "SELECT group_id, deviance, count(*) AS timeseries FROM msum "
+                                  "GROUP BY ALL")
+
+
+def q_summary_timeseries(cfg):
+    return with_(ratio_ctes(cfg), (
+        "SELECT date, group_id, CASE WHEN point_effect_lower > 0 THEN 'over' WHEN "
+        "point_effect_upper < 0 THEN 'under' ELSE 'average' END AS point_perf, count(*) AS "
+        "timeseries FROM ms JOIN pe USING (group_id) WHERE date >= pre_end GROUP BY ALL"))
+
+
+def q_group_timeseries(cfg):
+    return R(with_(ratio_ctes(cfg), (
+        "SELECT msum.group_id, msum.ts_id, msum.p_Cumulative, ms.* EXCLUDE (group_id, ts_id, "
+        "is_pre) FROM msum JOIN ms USING (group_id, ts_id)")), "p_Cumulative", *SERIES)
+
+
+def q_deviance_mean_sd(cfg):
+    return R(with_(ratio_ctes(cfg), (
+        "SELECT ms.group_id, date, deviance, avg(response) AS count_mean, stddev_samp(response) "
+        "AS count_sd FROM ms LEFT JOIN msum USING (group_id, ts_id) GROUP BY ALL")),
+        "count_mean", "count_sd")
+
+
 def build() -> dict[str, str]:
     out = {}
     for name, (kind, cfg) in P.SQL_QUERIES.items():

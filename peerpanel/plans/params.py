@@ -44,6 +44,16 @@ SQL_QUERIES = {
     "detect_changepoint_orders": ("q_changepoint", PANEL_C),
     "detect_changepoint_by_segment": ("q_changepoint", PANEL_C_SEGMENT),
     "detect_changepoint_nested": ("q_changepoint_nested", PANEL_A),
+    "counterfactual_effects": ("q_ratio_effects", PANEL_A),
+    "counterfactual_series": ("q_ratio_series", PANEL_A),
+    "model_summary": ("q_model_summary", PANEL_A),
+    "model_summary_orders": ("q_model_summary", PANEL_C),
+    "model_summary_by_segment": ("q_model_summary", PANEL_C_SEGMENT),
+    "deviance_counts": ("q_deviance_counts", PANEL_A),
+    "model_summary_timeseries": ("q_summary_timeseries", PANEL_A),
+    "model_summary_timeseries_week": ("q_summary_timeseries", PANEL_D),
+    "model_group_timeseries": ("q_group_timeseries", PANEL_A),
+    "deviance_mean_sd": ("q_deviance_mean_sd", PANEL_A),
 }
 
 # registered without a SQL oracle (rows-only check); checked against
