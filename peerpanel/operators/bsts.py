@@ -1,0 +1,365 @@
+"""Bayesian structural time-series counterfactual per series.
+
+Model (pre period, T0 buckets), after Brodersen et al. (2015) and Scott &
+Varian (2014):
+
+    y_t = mu_t + s_t + x_t' beta + e_t,          e_t ~ N(0, sigma^2)
+    mu_{t+1} = mu_t + eta_t,                     eta_t ~ N(0, sigma_level^2)
+    s_{t+1} = -(s_t + ... + s_{t-S+2}) + w_t,    w_t ~ N(0, sigma_season^2)
+
+with a spike-and-slab prior on ``beta``. The state path is written as a
+linear map of its innovations (level: cumulative sums; seasonal: impulse
+responses of the dummy recursion), so the state draw given everything
+else is one Gaussian draw with a Cholesky factor, no per-step filter.
+
+Gibbs sweep: state | beta, variances -> inclusion flags and beta | state
+(beta integrated out for each flip) -> observation variance -> level and
+seasonal variances. Post-period predictions simulate the level and
+seasonal recursions forward from each draw.
+
+Default priors (fixed values mirroring the reference's model package):
+1000 draws; level sd guess 0.01 sd(y) with weight 32; seasonal sd guess
+0.01 sd(y) with weight 0.01; both capped at sd(y); expected model size
+3; expected R^2 0.8 with 50 prior degrees of freedom; prior information
+weight 0.01 and diagonal shrinkage 0.5 for the slab; initial level
+N(y_1, sd(y)^2), initial seasonal N(0, sd(y)^2).
+
+Spark side: ``peer_design`` (pair-free) -> ``groupBy(group_id, ts_id)
+.applyInPandas`` (one target per call: its T rows x (k + 2) covariates,
+bounded by the calendar and ``max_peers``) -> one long output that is
+materialised once and split into the three model tables.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.calendar import SEASONS
+from ..session import compute_partitions, reuse
+from .impact import EFFECT_COLUMNS, SERIES_COLUMNS, Models, pre_end_table
+from .peers import OTHERS, TARGET, peer_design
+from .prepare import D, G, TS
+
+PRIOR = dict(level_sd=0.01, level_n=32.0, season_sd=0.01, season_n=0.01,
+             model_size=3.0, r2=0.8, df=50.0, info_weight=0.01, diag_shrink=0.5)
+
+
+_DESIGNS: dict = {}
+
+
+def state_design(T: int, S: int):
+    """Matrix H (T x q) mapping [mu_1, eta_1..eta_{T-1}, s_init (S-1),
+    w_S..w_T] to the state mu_t + s_t, and the kind of every column
+    (cached per worker process)."""
+    if (T, S) not in _DESIGNS:
+        _DESIGNS[(T, S)] = _build_design(T, S)
+    return _DESIGNS[(T, S)]
+
+
+def _build_design(T: int, S: int):
+    cols, kinds = [], []
+    lev0 = np.ones(T)
+    cols.append(lev0[:, None])
+    kinds.append(np.array([0]))
+    if T > 1:
+        L = np.tril(np.ones((T, T - 1)), -1)
+        cols.append(L)
+        kinds.append(np.full(T - 1, 1))
+    if S > 1:
+        m = S - 1
+        n_w = max(T - m, 0)
+        A = np.zeros((T, m + n_w))
+        for c in range(m + n_w):
+            e = np.zeros(m + n_w)
+            e[c] = 1.0
+            s = np.zeros(T)
+            for t in range(T):
+                if t < m:
+                    s[t] = e[t]
+                else:
+                    s[t] = -s[t - m:t].sum() + e[m + (t - m)]
+            A[:, c] = s
+        cols.append(A)
+        kinds.append(np.concatenate([np.full(m, 2), np.full(n_w, 3)]))
+    H = np.hstack(cols)
+    return H, np.concatenate(kinds)
+
+
+def _inv_gamma(rng, shape, rate):
+    return rate / rng.gamma(shape)
+
+
+def _log_marg(idx, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p):
+    """log p(gamma | y*, sigma^2) up to a constant, beta integrated out.
+    Returns it with the Cholesky factor of the posterior precision and the
+    posterior mean of the included coefficients."""
+    k = len(idx)
+    lp = k * logpi + (p - k) * log1mpi
+    if k == 0:
+        return lp - 0.5 * yty / sigma2, None, None
+    Om = omega[idx][:, idx]
+    Pm = Om + XtX[idx][:, idx]
+    try:
+        L = np.linalg.cholesky(np.stack((Om, Pm)))
+    except np.linalg.LinAlgError:
+        return -np.inf, None, None
+    xy = Xty[idx]
+    b = np.linalg.solve(Pm, xy)
+    ld = np.log(np.diagonal(L, axis1=1, axis2=2)).sum(axis=1)
+    return lp + ld[0] - ld[1] - 0.5 * (yty - xy @ b) / sigma2, L[1], b
+
+
+def limit_blas_threads():
+    """Small matrices: one BLAS thread per Python worker (Spark already
+    runs one worker per core). Best effort through the loaded OpenBLAS."""
+    try:
+        import ctypes
+        with open("/proc/self/maps") as f:
+            libs = {ln.split()[-1] for ln in f
+                    if "openblas" in ln.lower() and ln.split()[-1].startswith("/")}
+        for path in libs:
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_",
+                         "openblas_set_num_threads"):
+                fn = getattr(lib, name, None)
+                if fn is not None:
+                    fn(1)
+                    break
+    except Exception:  # noqa: BLE001 - purely a speed setting
+        pass
+
+
+def sample_bsts(y_pre, X_pre, X_post, S, niter, rng, prior=PRIOR):
+    """Posterior draws. Returns dict with ``fit`` (niter x T0 state +
+    regression), ``pred`` (niter x T1 forecasts without noise), ``sigma``
+    (niter), ``beta`` (niter x p)."""
+    T0 = len(y_pre)
+    p = X_pre.shape[1]
+    T1 = X_post.shape[0]
+    sdy = float(np.std(y_pre, ddof=1))
+    H, kinds = state_design(T0, S)
+    HtH = H.T @ H
+    q = H.shape[1]
+    m0 = np.zeros(q)
+    m0[0] = y_pre[0]
+    var_y = sdy * sdy
+    sl2 = (prior["level_sd"] * sdy) ** 2
+    ss2 = (prior["season_sd"] * sdy) ** 2
+    s2_guess = (1.0 - prior["r2"]) * var_y
+    sigma2 = s2_guess
+    # slab precision (in units of 1/sigma^2)
+    if p:
+        XtX = X_pre.T @ X_pre
+        d = np.diag(XtX) / T0
+        d = np.where(d > 0, d, 1.0)
+        omega = prior["info_weight"] * (prior["diag_shrink"] * np.diag(d)
+                                        + (1 - prior["diag_shrink"]) * XtX / T0)
+        omega = omega + 1e-9 * np.eye(p) * d.max()
+        pi = min(prior["model_size"] / p, 1.0)
+        pi = min(max(pi, 1e-6), 1 - 1e-6)
+        logpi, log1mpi = np.log(pi), np.log(1 - pi)
+    gamma = np.zeros(p, dtype=bool)
+    beta = np.zeros(p)
+    fit = np.empty((niter, T0))
+    pred = np.empty((niter, T1))
+    sig = np.empty(niter)
+    betas = np.zeros((niter, p))
+    for it in range(niter):
+        # state | beta, variances
+        r = y_pre - (X_pre @ beta if p else 0.0)
+        dvar = np.where(kinds == 0, var_y, np.where(kinds == 1, sl2,
+                        np.where(kinds == 2, var_y, ss2)))
+        P = HtH / sigma2 + np.diag(1.0 / dvar)
+        Lc = np.linalg.cholesky(P)
+        rhs = H.T @ r / sigma2 + m0 / dvar
+        mean = np.linalg.solve(Lc.T, np.linalg.solve(Lc, rhs))
+        z = mean + np.linalg.solve(Lc.T, rng.standard_normal(q))
+        state = H @ z
+        # inclusion flags and beta | state
+        if p:
+            ys = y_pre - state
+            Xty = X_pre.T @ ys
+            yty = float(ys @ ys)
+            cur = np.flatnonzero(gamma)
+            lcur, Lp, b = _log_marg(cur, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p)
+            for j in rng.permutation(p):
+                gamma[j] = not gamma[j]
+                idx = np.flatnonzero(gamma)
+                lnew, Lp2, b2 = _log_marg(idx, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p)
+                if np.log(rng.random()) < lnew - lcur:
+                    lcur, Lp, b = lnew, Lp2, b2
+                else:
+                    gamma[j] = not gamma[j]
+            beta = np.zeros(p)
+            idx = np.flatnonzero(gamma)
+            if len(idx):
+                _, Lp, b = _log_marg(idx, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p)
+                beta[idx] = b + np.sqrt(sigma2) * np.linalg.solve(Lp.T, rng.standard_normal(len(idx)))
+            reg = X_pre @ beta
+            pen = float(beta[idx] @ omega[np.ix_(idx, idx)] @ beta[idx]) if len(idx) else 0.0
+            k_in = len(idx)
+        else:
+            reg, pen, k_in = 0.0, 0.0, 0
+        # observation variance
+        res = y_pre - state - reg
+        sigma2 = _inv_gamma(rng, (prior["df"] + T0 + k_in) / 2.0,
+                            (prior["df"] * s2_guess + float(res @ res) + pen) / 2.0)
+        sigma2 = max(sigma2, 1e-12 * max(var_y, 1e-12))
+        # state variances (capped at var(y))
+        eta = z[kinds == 1]
+        sl2 = min(_inv_gamma(rng, (prior["level_n"] + len(eta)) / 2.0,
+                             (prior["level_n"] * (prior["level_sd"] * sdy) ** 2 + float(eta @ eta)) / 2.0),
+                  var_y)
+        if S > 1:
+            w = z[kinds == 3]
+            ss2 = min(_inv_gamma(rng, (prior["season_n"] + len(w)) / 2.0,
+                                 (prior["season_n"] * (prior["season_sd"] * sdy) ** 2
+                                  + float(w @ w)) / 2.0), var_y)
+        fit[it] = state + reg
+        sig[it] = np.sqrt(sigma2)
+        betas[it] = beta
+        # forecast the state forward
+        if T1:
+            level = z[0] + z[kinds == 1].sum()
+            lv = level + np.cumsum(rng.standard_normal(T1) * np.sqrt(sl2))
+            if S > 1:
+                m = S - 1
+                hist = list((H[:, kinds >= 2] @ z[kinds >= 2])[-m:]) if T0 >= m else \
+                    list(np.concatenate([rng.standard_normal(m - T0) * sdy,
+                                         (H[:, kinds >= 2] @ z[kinds >= 2])]))
+                sv = np.empty(T1)
+                sd_w = np.sqrt(ss2)
+                for t in range(T1):
+                    v = -sum(hist[-m:]) + rng.standard_normal() * sd_w
+                    sv[t] = v
+                    hist.append(v)
+            else:
+                sv = 0.0
+            pred[it] = lv + sv + (X_post @ beta if p else 0.0)
+    return {"fit": fit, "pred": pred, "sigma": sig, "beta": betas}
+
+
+def summarise_draws(y_pre, y_post, draws, alpha, burn_fraction, rng):
+    """Point predictions, intervals, cumulative columns and the effects."""
+    niter = draws["sigma"].shape[0]
+    keep = slice(int(np.floor(niter * burn_fraction)), niter)
+    fit, pred, sig = draws["fit"][keep], draws["pred"][keep], draws["sigma"][keep]
+    n = sig.shape[0]
+    T0, T1 = len(y_pre), len(y_post)
+    mean_path = np.concatenate([fit.mean(0), pred.mean(0)])
+    paths = np.hstack([fit, pred]) + rng.standard_normal((n, T0 + T1)) * sig[:, None]
+    lo_q, hi_q = alpha / 2.0, 1.0 - alpha / 2.0
+    y = np.concatenate([y_pre, y_post])
+    cum_y = np.cumsum(y)
+    pp_lo, pp_hi = np.quantile(paths, [lo_q, hi_q], axis=0)
+    # cumulative prediction: observed in the pre period, then predicted
+    cum_paths = np.hstack([np.tile(np.cumsum(y_pre), (n, 1)),
+                           np.sum(y_pre) + np.cumsum(paths[:, T0:], axis=1)])
+    cum_pred = np.concatenate([np.cumsum(y_pre), np.sum(y_pre) + np.cumsum(mean_path[T0:])])
+    cp_lo, cp_hi = np.quantile(cum_paths, [lo_q, hi_q], axis=0)
+    out = pd.DataFrame({
+        "response": y, "cum_response": cum_y,
+        "point_pred": mean_path, "point_pred_lower": pp_lo, "point_pred_upper": pp_hi,
+        "cum_pred": cum_pred, "cum_pred_lower": cp_lo, "cum_pred_upper": cp_hi,
+    })
+    out["point_effect"] = y - mean_path
+    out["point_effect_lower"] = y - pp_hi
+    out["point_effect_upper"] = y - pp_lo
+    out["cum_effect"] = cum_y - cum_pred
+    out["cum_effect_lower"] = cum_y - cp_hi
+    out["cum_effect_upper"] = cum_y - cp_lo
+    eff = {c: None for c in EFFECT_COLUMNS}
+    if T1:
+        obs = float(np.sum(y_post))
+        sims = paths[:, T0:].sum(axis=1)
+        pred_sum = float(mean_path[T0:].sum())
+        pv = min(1 + int((sims >= obs).sum()), 1 + int((sims <= obs).sum())) / (n + 1.0)
+        eff = {"AbsEffect_Average": (obs - pred_sum) / T1,
+               "RelEffect_Average": (obs - pred_sum) / pred_sum if pred_sum != 0 else None,
+               "AbsEffect_Cumulative": obs - pred_sum,
+               "RelEffect_Cumulative": (obs - pred_sum) / pred_sum if pred_sum != 0 else None,
+               "p_Cumulative": pv, "p_Average": pv}
+    return out, eff
+
+
+OUT_SCHEMA = ("kind string, group_id string, ts_id string, date date, "
+              + ", ".join(f"{c} double" for c in SERIES_COLUMNS) + ", "
+              + ", ".join(f"{c} double" for c in EFFECT_COLUMNS)
+              + ", draw int, peer_ts_id string, coef double")
+
+
+def _fit_group(pdf: pd.DataFrame, S: int, niter: int, alpha: float, seed: int,
+               burn_fraction: float) -> pd.DataFrame:
+    limit_blas_threads()
+    g, ts = pdf[G].iloc[0], pdf[TS].iloc[0]
+    wide = pdf.pivot_table(index=D, columns="peer_ts_id", values="value", aggfunc="sum")
+    wide = wide.sort_index()
+    pre = pdf.drop_duplicates(D).set_index(D)["is_pre"].reindex(wide.index).to_numpy(bool)
+    y = wide[TARGET].to_numpy(float)
+    order = (pdf[pdf.peer_ts_id != TARGET].drop_duplicates("peer_ts_id")
+             .sort_values("peer_pos")["peer_ts_id"].tolist())
+    X = wide[order].fillna(0.0).to_numpy(float) if order else np.zeros((len(y), 0))
+    # drop covariates constant over the pre period (no information)
+    if X.shape[1]:
+        keep = X[pre].std(axis=0) > 0
+        X, order = X[:, keep], [o for o, k in zip(order, keep) if k]
+    dates = wide.index.to_numpy()
+    rng = np.random.default_rng([seed, zlib.crc32(f"{g}\x00{ts}".encode())])
+    y_pre, y_post = y[pre], y[~pre]
+    rows = []
+    ok = len(y_pre) >= 3 and np.isfinite(y_pre).all() and np.std(y_pre) > 0
+    if ok:
+        draws = sample_bsts(y_pre, X[pre], X[~pre], S, niter, rng)
+        series, eff = summarise_draws(y_pre, y_post, draws, alpha, burn_fraction, rng)
+    else:
+        series = pd.DataFrame({"response": y, "cum_response": np.cumsum(y)})
+        eff = {c: None for c in EFFECT_COLUMNS}
+    series.insert(0, D, np.concatenate([dates[pre], dates[~pre]]))
+    series["kind"] = "series"
+    rows.append(series)
+    rows.append(pd.DataFrame([{**eff, "kind": "effects"}]))
+    if ok and X.shape[1]:
+        b = draws["beta"]
+        it, j = np.nonzero(b)
+        rows.append(pd.DataFrame({"kind": "coef", "draw": it + 1,
+                                  "peer_ts_id": np.asarray(order, dtype=object)[j],
+                                  "coef": b[it, j]}))
+    out = pd.concat(rows, ignore_index=True)
+    out[G], out[TS] = g, ts
+    for c in OUT_SCHEMA.split(", "):
+        name = c.split(" ")[0]
+        if name not in out.columns:
+            out[name] = None
+    return out[[c.split(" ")[0] for c in OUT_SCHEMA.split(", ")]]
+
+
+def bsts_models(p: DataFrame, start_date, period: str = "month", alpha: float = 0.05,
+                niter: int = 1000, max_peers: int = 50, seed: int = 1,
+                burn_fraction: float = 0.1) -> Models:
+    """Fit the Bayesian model for every active series (see module doc).
+
+    Seeds derive from (seed, group, series), so results do not depend on
+    partitioning or task retries.
+    """
+    if period not in SEASONS:
+        raise ValueError(f"no seasonal cycle defined for period {period!r}")
+    S = SEASONS[period]
+    design = peer_design(p, start_date, max_peers)
+
+    def fn(pdf):
+        return _fit_group(pdf, S, niter, alpha, seed, burn_fraction)
+
+    n = compute_partitions(p.sparkSession)
+    out = reuse(design.repartition(n, G, TS).groupBy(G, TS).applyInPandas(fn, OUT_SCHEMA))
+    series = out.where(F.col("kind") == "series").select(G, TS, D, *SERIES_COLUMNS)
+    effects = out.where(F.col("kind") == "effects").select(G, TS, *EFFECT_COLUMNS)
+    coefs = out.where(F.col("kind") == "coef").select(G, TS, "draw", "peer_ts_id", "coef")
+    return Models(effects, series, coefs, pre_end_table(p, start_date), alpha, niter, design)
+
+
+__all__ = ["bsts_models", "sample_bsts", "state_design", "OTHERS"]

@@ -51,6 +51,8 @@ class Models:
     coefs: DataFrame
     pre_end: DataFrame
     alpha: float
+    niter: int = 0
+    design: DataFrame | None = None
 
 
 def model_rows(p: DataFrame, start_date) -> DataFrame:

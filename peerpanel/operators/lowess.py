@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import compute_partitions
 from .describe import trim_leading_zeros
 from .prepare import C, D, G, TS
 
@@ -52,8 +53,8 @@ def _fit_at(x, y, i, nleft, nright, rw, use_rw, xrange_):
     return float(np.dot(w, y[idx]))
 
 
-def lowess_values(y, f: float = 1.0 / 3.0, iters: int = 3, delta: float | None = None):
-    """Smoothed values of ``y`` against x = 1..n."""
+def lowess_values_loop(y, f: float = 1.0 / 3.0, iters: int = 3, delta: float | None = None):
+    """Point-by-point form of the published algorithm (test reference)."""
     y = np.asarray(y, dtype=float)
     n = len(y)
     if n < 2:
@@ -103,7 +104,86 @@ def lowess_values(y, f: float = 1.0 / 3.0, iters: int = 3, delta: float | None =
         if cmad < 1e-7 * sc:
             break
         c9, c1 = 0.999 * cmad, 0.001 * cmad
-        rw = np.where(ar <= c1, 1.0, np.where(ar <= c9, (1.0 - (ar / cmad) ** 2) ** 2, 0.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rw = np.where(ar <= c1, 1.0, np.where(ar <= c9, (1.0 - (ar / cmad) ** 2) ** 2, 0.0))
+        it += 1
+    return ys
+
+
+def _fit_points(x, ns, delta):
+    """Points where the local fit is evaluated and their window starts
+    (depends on x only); the others are linearly interpolated."""
+    n = len(x)
+    pts, lefts = [], []
+    nleft, nright, i = 0, ns - 1, 0
+    while True:
+        if nright < n - 1 and x[i] - x[nleft] > x[nright + 1] - x[i]:
+            nleft += 1
+            nright += 1
+            continue
+        pts.append(i)
+        lefts.append(nleft)
+        last = i
+        cut = x[last] + delta
+        i = last + 1
+        while i < n and x[i] <= cut:
+            i += 1
+        i = max(last + 1, i - 1)
+        if last >= n - 1:
+            break
+    return np.asarray(pts), np.asarray(lefts)
+
+
+def lowess_values(y, f: float = 1.0 / 3.0, iters: int = 3, delta: float | None = None):
+    """Smoothed values of ``y`` against x = 1..n (distinct x).
+
+    Same fit as the point-by-point algorithm, evaluated for all fit points
+    of a pass at once: weights form a (points x n) matrix.
+    """
+    y = np.asarray(y, dtype=float)
+    n = len(y)
+    if n < 2:
+        return y.copy()
+    x = np.arange(1, n + 1, dtype=float)
+    if delta is None:
+        delta = 0.01 * (x[-1] - x[0])
+    ns = max(min(int(f * n + 1e-7), n), 2)
+    xrange_ = x[-1] - x[0]
+    P, NL = _fit_points(x, ns, delta)
+    xs = x[P]
+    h = np.maximum(xs - x[NL], x[NL + ns - 1] - xs)
+    dist = np.abs(x[None, :] - xs[:, None])
+    hh = h[:, None]
+    inwin = (np.arange(n)[None, :] >= NL[:, None]) & (dist <= 0.999 * hh)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        base = np.where(dist <= 0.001 * hh, 1.0, (1.0 - (dist / hh) ** 3) ** 3) * inwin
+    rw = np.ones(n)
+    ys = np.zeros(n)
+    it = 1
+    while it <= iters + 1:
+        W = base * rw[None, :] if it > 1 else base.copy()
+        a = W.sum(axis=1)
+        ok = a > 0
+        W[ok] = W[ok] / a[ok, None]
+        abar = W @ x
+        c = (W * (x[None, :] - abar[:, None]) ** 2).sum(axis=1)
+        adj = ok & (h > 0) & (np.sqrt(c) > 0.001 * xrange_)
+        if adj.any():
+            b = (xs - abar)[adj] / c[adj]
+            W[adj] = W[adj] * (b[:, None] * (x[None, :] - abar[adj, None]) + 1.0)
+        fit = np.where(ok, W @ y, y[P])
+        ys = np.interp(x, xs, fit)
+        res = y - ys
+        sc = float(np.abs(res).sum()) / n
+        if it > iters:
+            break
+        ar = np.abs(res)
+        cmad = 6.0 * float(np.median(ar))
+        if cmad < 1e-7 * sc:
+            break
+        c9, c1 = 0.999 * cmad, 0.001 * cmad
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rw = np.where(ar <= c1, 1.0, np.where(ar <= c9, (1.0 - (ar / cmad) ** 2) ** 2, 0.0))
         it += 1
     return ys
 
@@ -130,4 +210,5 @@ def lowess_smooth(p: DataFrame, f: float = 1.0 / 3.0) -> DataFrame:
             return out
     else:
         fn = _smooth_group
-    return t.groupBy(G, TS).applyInPandas(fn, LOWESS_SCHEMA)
+    n = compute_partitions(p.sparkSession)
+    return t.repartition(n, G, TS).groupBy(G, TS).applyInPandas(fn, LOWESS_SCHEMA)

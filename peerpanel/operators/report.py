@@ -57,45 +57,54 @@ def deviance_mean_sd(m: Models, summary: DataFrame | None = None) -> DataFrame:
 
 # ------------------------------------------------------------------ peers
 
-def peer_coef_stats(coefs: DataFrame, burn_fraction: float = 0.1) -> DataFrame:
-    """Per (target, peer) over the kept draws (first ``burn_fraction`` of
-    each target's draws dropped): ``inclusion_prob = mean(coef != 0)``,
-    ``coef = mean of the non-zero draws`` (NULL if none),
-    ``positive_prob = (that mean > 0)`` as 0/1 (the reference computes it
-    from the already-averaged coefficient), ``positive_share`` (the real
-    share of positive draws) and ``sign``."""
-    w = Window.partitionBy(G, TS)
-    c = coefs.withColumn("_ndraw", F.max("draw").over(w))
-    c = c.where(F.col("draw") > F.floor(F.col("_ndraw") * burn_fraction))
+def peer_coef_stats(coefs: DataFrame, niter: int, burn_fraction: float = 0.1) -> DataFrame:
+    """Per (target, peer) over the kept draws (``draw > floor(niter *
+    burn_fraction)``). Draws may be stored sparsely (non-zero only):
+    ``inclusion_prob`` = share of kept draws with a non-zero coefficient,
+    ``coef`` = mean of the non-zero draws (NULL if none),
+    ``positive_prob`` = (that mean > 0) as 0/1 - the reference computes it
+    from the already-averaged coefficient - ``positive_share`` = the real
+    share of positive draws, ``sign`` = 1 / -1 (NULL with no draws)."""
+    burn = int(niter * burn_fraction)
+    kept = float(niter - burn)
+    c = coefs.where(F.col("draw") > burn)
     st = c.groupBy(G, TS, "peer_ts_id").agg(
-        F.avg(F.when(F.col("coef") != 0, 1.0).otherwise(0.0)).alias("inclusion_prob"),
+        (F.count_if(F.col("coef") != 0) / kept).alias("inclusion_prob"),
         F.avg(F.when(F.col("coef") != 0, F.col("coef"))).alias("coef"),
-        F.avg(F.when(F.col("coef") > 0, 1.0).otherwise(0.0)).alias("positive_share"))
+        (F.count_if(F.col("coef") > 0) / kept).alias("positive_share"))
+    return _with_sign(st)
+
+
+def _with_sign(st: DataFrame) -> DataFrame:
     st = st.withColumn("positive_prob", F.when(F.col("coef").isNotNull(),
                                                F.when(F.col("coef") > 0, 1.0).otherwise(0.0)))
-    return st.withColumn("sign", F.when(F.col("positive_prob") > 0.5, 1.0).otherwise(-1.0))
+    return st.withColumn("sign", F.when(F.col("positive_prob").isNotNull(),
+                                        F.when(F.col("positive_prob") > 0.5, 1.0).otherwise(-1.0)))
 
 
-def peer_contributions(m: Models, peers: DataFrame, summary: DataFrame | None = None,
+def peer_contributions(m: Models, summary: DataFrame | None = None,
                        burn_fraction: float = 0.1, deviating_only: bool = True) -> DataFrame:
-    """Peer table for every deviating series (over/under): its peers'
-    series as used by its model, scaled by the mean non-zero coefficient,
-    plus the standardised target; ``inclusion_rank`` is the dense rank of
-    ``-inclusion_prob`` (target first). Rows are not filtered by rank.
-
-    ``peers`` holds ``group_id, ts_id (target), date, peer_ts_id,
-    scaled_count`` (the model's covariate values by date).
-    """
+    """Peer table for every deviating series (over/under): each peer's
+    covariate values by date as used by the target's model, multiplied by
+    the mean non-zero coefficient where there is one, plus the target's
+    standardised response (``ts_id = 'target'``, inclusion 1).
+    ``inclusion_rank`` = dense rank of ``-inclusion_prob`` per target.
+    Rows are not filtered by rank (see ``peer_plot_rows``)."""
+    from .peers import TARGET
     summary = summary if summary is not None else model_summary(m)
     targets = summary.select(G, TS, "deviance")
     if deviating_only:
         targets = targets.where(F.col("deviance") != "average")
     targets = targets.select(G, TS)
-    stats = peer_coef_stats(m.coefs.join(targets, [G, TS]), burn_fraction)
-    pr = peers.join(targets, [G, TS]).join(stats, [G, TS, "peer_ts_id"], "left")
-    pr = pr.withColumn("scaled_count", F.when(F.col("coef").isNotNull(),
-                                              F.col("scaled_count") * F.col("coef"))
-                       .otherwise(F.col("scaled_count")))
+    stats = peer_coef_stats(m.coefs.join(targets, [G, TS]), m.niter, burn_fraction)
+    design = m.design.where(F.col("peer_ts_id") != TARGET).join(targets, [G, TS])
+    pr = design.join(stats, [G, TS, "peer_ts_id"], "left").select(
+        G, TS, D, "peer_ts_id",
+        F.when(F.col("coef").isNotNull(), F.col("value") * F.col("coef"))
+        .otherwise(F.col("value")).alias("scaled_count"),
+        F.coalesce("inclusion_prob", F.lit(0.0)).alias("inclusion_prob"), "coef",
+        F.coalesce("positive_share", F.lit(0.0)).alias("positive_share"),
+        "positive_prob", "sign")
     tgt = (m.series.join(targets, [G, TS])
            .select(G, TS, D, F.lit("target").alias("peer_ts_id"),
                    standardize("response", [G, TS]).alias("scaled_count"),
@@ -103,13 +112,9 @@ def peer_contributions(m: Models, peers: DataFrame, summary: DataFrame | None =
                    F.lit(None).cast("double").alias("positive_share"),
                    F.lit(None).cast("double").alias("positive_prob"),
                    F.lit(None).cast("double").alias("sign")))
-    cols = [G, TS, D, "peer_ts_id", "scaled_count", "inclusion_prob", "coef", "positive_share",
-            "positive_prob", "sign"]
-    allr = pr.select(*cols).unionByName(tgt.select(*cols))
+    allr = pr.unionByName(tgt)
     allr = allr.withColumn("inclusion_rank", F.dense_rank().over(
-        Window.partitionBy(G, TS).orderBy(F.col("inclusion_prob").desc_nulls_last())))
-    allr = allr.withColumn("inclusion_rank", F.when(F.col("inclusion_prob").isNotNull(),
-                                                    F.col("inclusion_rank")))
+        Window.partitionBy(G, TS).orderBy(F.col("inclusion_prob").desc())))
     return allr.withColumnRenamed(TS, "target_ts_id").withColumnRenamed("peer_ts_id", TS)
 
 

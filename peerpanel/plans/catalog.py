@@ -14,6 +14,8 @@ from ..functions.columns import round_doubles
 from ..operators import changepoint as CP
 from ..operators import describe as DS
 from ..operators import impact as IM
+from ..operators import lowess as LO
+from ..operators import peers as PE
 from ..operators import report as RP
 from ..operators import prepare as PR
 from ..sources import panel as SRC
@@ -133,7 +135,72 @@ def _deviance_mean_sd(spark, sf_dir, cfg):
     return RP.deviance_mean_sd(ratio(spark, sf_dir, cfg))
 
 
+def _select_peers(spark, sf_dir, cfg):
+    p = prepared(spark, sf_dir, cfg)
+    return PE.select_peers(PE.active_rows(p, cfg["start"]), P.MAX_PEERS)
+
+
+def _lowess(spark, sf_dir, cfg):
+    return LO.lowess_smooth(prepared(spark, sf_dir, cfg))
+
+
+def _pre_post(spark, sf_dir, cfg):
+    p = prepared(spark, sf_dir, cfg)
+    return RP.pre_post_stats(p, IM.pre_end_table(p, cfg["start"]))
+
+
+def _ts_rank(spark, sf_dir, cfg):
+    p = prepared(spark, sf_dir, cfg)
+    return RP.model_ts_rank(IM.ratio_models(p, cfg["start"]), p)
+
+
+def _ts_rank_top(spark, sf_dir, cfg):
+    return RP.model_ts_rank_top(_ts_rank(spark, sf_dir, cfg), 5)
+
+
+def bayes(spark, sf_dir, cfg):
+    p = prepared(spark, sf_dir, cfg)
+    return IM.fit_models(p, cfg["start"], cfg["period"], alpha=0.05, method="bsts",
+                         niter=P.NITER, max_peers=P.MAX_PEERS)
+
+
+def _bsts_effects(spark, sf_dir, cfg):
+    return RP.model_summary(bayes(spark, sf_dir, cfg))
+
+
+def _bsts_series(spark, sf_dir, cfg):
+    return bayes(spark, sf_dir, cfg).series
+
+
+def _peer_coef_stats(spark, sf_dir, cfg):
+    m = bayes(spark, sf_dir, cfg)
+    return RP.peer_coef_stats(m.coefs, m.niter)
+
+
+def _ts_peers(spark, sf_dir, cfg):
+    return RP.peer_contributions(bayes(spark, sf_dir, cfg), deviating_only=False)
+
+
+def _ts_analysis(spark, sf_dir, cfg):
+    from . import pipeline as PL
+    out = PL.ts_analysis(raw_panel(spark, sf_dir, cfg), start_date=cfg["start"],
+                         period=cfg["period"], min_pre_periods=cfg["min_pre"],
+                         min_post_periods=cfg["min_post"], min_timeseries=cfg["min_ts"],
+                         method="bsts", niter=P.NITER, max_peers=P.MAX_PEERS)
+    return out["model_summary"]
+
+
 BUILDERS = {
+    "q_select_peers": _select_peers,
+    "q_lowess": _lowess,
+    "q_pre_post": _pre_post,
+    "q_ts_rank": _ts_rank,
+    "q_ts_rank_top": _ts_rank_top,
+    "q_bsts_effects": _bsts_effects,
+    "q_bsts_series": _bsts_series,
+    "q_peer_coef_stats": _peer_coef_stats,
+    "q_ts_peers": _ts_peers,
+    "q_ts_analysis": _ts_analysis,
     "q_ratio_effects": _ratio_effects,
     "q_ratio_series": _ratio_series,
     "q_model_summary": _model_summary,

@@ -365,6 +365,23 @@ def q_deviance_mean_sd(cfg):
         "count_mean", "count_sd")
 
 
+def q_select_peers(cfg, k=P.MAX_PEERS):
+    ctes = prepared_ctes(cfg) + [
+        ("ar", f"SELECT group_id, ts_id, date, count, date <= {d(cfg['start'])} AS is_pre "
+               "FROM p WHERE active"),
+        ("so", "SELECT group_id, ts_id, avg(CASE WHEN is_pre THEN count END) AS pm FROM ar "
+               "GROUP BY group_id, ts_id"),
+        ("o", "SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pm NULLS LAST, ts_id) "
+              "AS pos, count(*) OVER (PARTITION BY group_id) AS n FROM so"),
+        ("o2", f"SELECT *, greatest(1, least(pos - {k // 2}, n - {k})) AS st FROM o"),
+        ("t", f"SELECT group_id, ts_id, pos, unnest(range(st, least(n, st + {k}) + 1)) AS peer_pos "
+              "FROM o2"),
+    ]
+    return with_(ctes, "SELECT t.group_id, t.ts_id, o.ts_id AS peer_ts_id, "
+                       "CAST(t.peer_pos AS BIGINT) AS peer_pos FROM t JOIN o ON "
+                       "t.group_id = o.group_id AND t.peer_pos = o.pos WHERE t.peer_pos <> t.pos")
+
+
 def build() -> dict[str, str]:
     out = {}
     for name, (kind, cfg) in P.SQL_QUERIES.items():

@@ -15,6 +15,9 @@ PANEL_C_SEGMENT = {**PANEL_C, "panel": "C_segment", "min_ts": 1}
 PANEL_D = {"panel": "C", "period": "week", "start": "1999-06-30",
            "min_pre": 8, "min_post": 4, "min_ts": 5}
 
+MAX_PEERS = 10
+NITER = 1000
+
 # query name -> (oracle builder, panel config)
 SQL_QUERIES = {
     "bucket_sum_day": ("q_bucket_sum", PANEL_B),
@@ -54,10 +57,21 @@ SQL_QUERIES = {
     "model_summary_timeseries_week": ("q_summary_timeseries", PANEL_D),
     "model_group_timeseries": ("q_group_timeseries", PANEL_A),
     "deviance_mean_sd": ("q_deviance_mean_sd", PANEL_A),
+    "select_peers": ("q_select_peers", PANEL_A),
+    "select_peers_by_segment": ("q_select_peers", PANEL_C_SEGMENT),
 }
 
 # registered without a SQL oracle (rows-only check); checked against
 # brute force in tests instead
 SPARK_ONLY = {
     "detect_changepoint_3": ("q_changepoint_3", PANEL_A),
+    "lowess_smooth": ("q_lowess", PANEL_A),
+    "pre_post_stats": ("q_pre_post", PANEL_C),
+    "model_ts_rank": ("q_ts_rank", PANEL_A),
+    "model_ts_rank_top": ("q_ts_rank_top", PANEL_C),
+    "causal_impact": ("q_bsts_effects", PANEL_A_NATION),
+    "causal_impact_series": ("q_bsts_series", PANEL_A_NATION),
+    "peer_coef_stats": ("q_peer_coef_stats", PANEL_A_NATION),
+    "model_ts_peers": ("q_ts_peers", PANEL_A_NATION),
+    "ts_analysis": ("q_ts_analysis", PANEL_A),
 }

@@ -37,6 +37,8 @@ def build_session(master: str | None = None, app: str = "peerpanel",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -69,6 +71,14 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for compute-heavy grouped Python stages: their input is
+    small, so AQE would coalesce it into a few tasks; a fixed hash
+    repartition keeps every core busy."""
+    sp = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(spark.sparkContext.defaultParallelism * 4, sp)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only if it is proven small (row count checked).
 
