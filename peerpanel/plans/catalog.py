@@ -237,5 +237,6 @@ def queries() -> dict:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-date count summary of the customer x month panel."""
-    return _summary_count(spark, sf_dir, P.PANEL_C)
+    """The reference's main flow on the supplier x month panel: prepare,
+    fit the Bayesian model per supplier, classify (model_summary)."""
+    return _ts_analysis(spark, sf_dir, P.PANEL_A)
