@@ -359,7 +359,7 @@ def bsts_models(p: DataFrame, start_date, period: str = "month", alpha: float =
     series = out.where(F.col("kind") == "series").select(G, TS, D, *SERIES_COLUMNS)
     effects = out.where(F.col("kind") == "effects").select(G, TS, *EFFECT_COLUMNS)
     coefs = out.where(F.col("kind") == "coef").select(G, TS, "draw", "peer_ts_id", "coef")
-    return Models(effects, series, coefs, pre_end_table(p, start_date), alpha, niter, design)
+    return Models(effects, series, coefs, pre_end_table(p, start_date, period), alpha, niter, design)
 
 
 __all__ = ["bsts_models", "sample_bsts", "state_design", "OTHERS"]

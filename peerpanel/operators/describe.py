@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+import datetime as dt
+
+from ..functions.calendar import floor_period
 from ..functions.columns import pct_rank_nonnull
 from .prepare import C, D, G, TS, start_param, with_group_params
 
@@ -35,12 +38,21 @@ def trim_leading_zeros(p: DataFrame) -> DataFrame:
             .where(F.col("_cum") != 0).drop("_cum"))
 
 
-def last_pre_bucket(p: DataFrame, start_date) -> DataFrame:
-    """Per group the last bucket on or before the start date: the
-    ``start_date`` every report table uses."""
-    x = with_group_params(p.select(G, D).distinct(), start_param(start_date))
-    return (x.where(F.col(D) <= F.col("start_date"))
-            .groupBy(G).agg(F.max(D).alias("start_date")))
+def last_pre_bucket(start_date, period: str):
+    """The last bucket on or before the start date - the ``start_date``
+    every report table uses. On a densified panel (every bucket from the
+    group's first to last, start date inside that range) it is the bucket
+    holding the start date: a literal, or a column of the per-group start
+    table; no pass over the data."""
+    sp = start_param(start_date)
+    if isinstance(sp, DataFrame):
+        return sp.select(G, floor_period("start_date", period).alias("start_date"))
+    d = sp["start_date"]
+    if period == "week":
+        d = d - dt.timedelta(days=(d.weekday() + 1) % 7)
+    elif period == "month":
+        d = d.replace(day=1)
+    return d
 
 
 def _unpivot(df: DataFrame, names) -> DataFrame:

@@ -49,7 +49,7 @@ class Models:
     effects: DataFrame
     series: DataFrame
     coefs: DataFrame
-    pre_end: DataFrame
+    pre_end: object  # {"pre_end": date} or DataFrame(group_id, pre_end)
     alpha: float
     niter: int = 0
     design: DataFrame | None = None
@@ -63,10 +63,16 @@ def model_rows(p: DataFrame, start_date) -> DataFrame:
     return x
 
 
-def pre_end_table(p: DataFrame, start_date) -> DataFrame:
-    x = with_group_params(p.where(F.col("active")).select(G, D).distinct(), start_param(start_date))
-    return (x.where(F.col(D) <= F.col("start_date"))
-            .groupBy(G).agg(F.max(D).alias("pre_end")))
+def pre_end_table(p: DataFrame, start_date, period: str):
+    """Per group the last bucket on or before the start date (the bucket
+    holding it, since the panel is dense): ``{"pre_end": date}`` for a
+    scalar start date, else a ``(group_id, pre_end)`` DataFrame."""
+    from .describe import last_pre_bucket
+
+    pe = last_pre_bucket(start_date, period)
+    if isinstance(pe, DataFrame):
+        return pe.withColumnRenamed("start_date", "pre_end")
+    return {"pre_end": pe}
 
 
 def _series_columns(x: DataFrame, z: float) -> DataFrame:
@@ -93,7 +99,7 @@ def _series_columns(x: DataFrame, z: float) -> DataFrame:
     return x
 
 
-def ratio_models(p: DataFrame, start_date, alpha: float = 0.05) -> Models:
+def ratio_models(p: DataFrame, start_date, alpha: float = 0.05, period: str = "month") -> Models:
     """Deterministic leave-one-out counterfactual for every active series."""
     z = NormalDist().inv_cdf(1.0 - alpha / 2.0)
     x = model_rows(p, start_date)
@@ -125,7 +131,7 @@ def ratio_models(p: DataFrame, start_date, alpha: float = 0.05) -> Models:
            .withColumn("p_Average", F.col("p_Cumulative")))
     effects = eff.select(G, TS, *EFFECT_COLUMNS)
     coefs = p.sparkSession.createDataFrame([], COEF_SCHEMA)
-    return Models(effects, series, coefs, pre_end_table(p, start_date), alpha)
+    return Models(effects, series, coefs, pre_end_table(p, start_date, period), alpha)
 
 
 def fit_models(p: DataFrame, start_date, period: str = "month", alpha: float = 0.05,
@@ -133,7 +139,7 @@ def fit_models(p: DataFrame, start_date, period: str = "month", alpha: float = 0
     """Fit one model per active series. ``method`` is ``bsts`` (the
     reference's Bayesian model) or ``ratio`` (deterministic)."""
     if method == "ratio":
-        return ratio_models(p, start_date, alpha)
+        return ratio_models(p, start_date, alpha, period)
     if method == "bsts":
         from .bsts import bsts_models
         return bsts_models(p, start_date, period, alpha, **kw)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def with_group_params(df: DataFrame, params) -> DataFrame:
     if isinstance(params, DataFrame):
         return df.join(sized_broadcast(params), G)
     for k, v in params.items():
-        if isinstance(v, (dt.date, dt.datetime)) or k == "start_date":
+        if isinstance(v, (dt.date, dt.datetime)) or k in ("start_date", "pre_end"):
             df = df.withColumn(k, F.lit(_as_date(v)))
         else:
             df = df.withColumn(k, F.lit(v))
@@ -72,12 +73,34 @@ def bucket_sum(panel: DataFrame, period: str) -> DataFrame:
             .groupBy(G, TS, D).agg(F.sum(C).alias(C)))
 
 
-def default_periods(panel: DataFrame, start_date) -> DataFrame:
+def bucket_stats(panel: DataFrame, period: str) -> DataFrame:
+    """Bucket sums plus, per bucket, the raw row count and first/last raw
+    date: everything the checks and default minimums need, so the raw
+    panel is scanned once."""
+    check_period(period)
+    return (panel.withColumn("_raw", F.col(D)).withColumn(D, floor_period(D, period))
+            .groupBy(G, TS, D).agg(F.sum(C).alias(C), F.count(F.lit(1)).alias("_n"),
+                                   F.min("_raw").alias("_r0"), F.max("_raw").alias("_r1")))
+
+
+def _months(buckets: DataFrame) -> DataFrame:
+    """Distinct calendar months of the raw dates, per group. A bucket is at
+    most a month or a week, so its raw months are those of its first and
+    last raw date."""
+    m = buckets.select(G, F.explode(F.array(F.trunc("_r0", "MM"), F.trunc("_r1", "MM")))
+                       .alias("month"))
+    return m.distinct()
+
+
+def default_periods(panel: DataFrame, start_date, buckets: DataFrame | None = None) -> DataFrame:
     """Per group: ``min_pre_periods = floor(0.5 * #months <= start)`` and
     ``min_post_periods = floor(0.25 * #months > start)``, counting the
     distinct calendar months of the raw dates whatever the period."""
     sp = start_param(start_date)
-    m = panel.select(G, F.trunc(D, "MM").alias("month")).distinct()
+    if buckets is None:
+        m = panel.select(G, F.trunc(D, "MM").alias("month")).distinct()
+    else:
+        m = _months(buckets)
     m = with_group_params(m, sp)
     return (m.groupBy(G).agg(
         F.floor(F.count_if(F.col("month") <= F.col("start_date")) * 0.5)
@@ -87,13 +110,13 @@ def default_periods(panel: DataFrame, start_date) -> DataFrame:
 
 
 def run_params(panel: DataFrame, start_date, min_pre_periods=None,
-               min_post_periods=None):
+               min_post_periods=None, buckets: DataFrame | None = None):
     """Start date and minimums per group, as literals when all are scalars."""
     sp = start_param(start_date)
     if isinstance(sp, dict) and min_pre_periods is not None and min_post_periods is not None:
         return {**sp, "min_pre_periods": int(min_pre_periods),
                 "min_post_periods": int(min_post_periods)}
-    params = default_periods(panel, start_date)
+    params = default_periods(panel, start_date, buckets)
     if min_pre_periods is not None:
         params = params.withColumn("min_pre_periods", F.lit(int(min_pre_periods)).cast("long"))
     if min_post_periods is not None:
@@ -130,12 +153,12 @@ def densify(buckets: DataFrame, series: DataFrame, period: str) -> DataFrame:
             .select(G, TS, "active", D, F.coalesce(F.col(C), F.lit(0.0)).alias(C)))
 
 
-def check_inputs(panel: DataFrame, params, min_timeseries: int) -> None:
-    """Row-count and start-date range checks, one aggregate per group; only
-    failing groups (at most 20) come back to the driver."""
-    p = with_group_params(panel, params)
+def check_inputs(buckets: DataFrame, params, min_timeseries: int) -> None:
+    """Row-count and start-date range checks from the bucket table, one
+    aggregate per group; only failing groups (at most 20) come back."""
+    p = with_group_params(buckets, params)
     agg = (p.groupBy(G).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(D).alias("d_min"), F.max(D).alias("d_max"),
+        F.sum("_n").alias("n_rows"), F.min("_r0").alias("d_min"), F.max("_r1").alias("d_max"),
         F.first("start_date").alias("start_date"),
         F.first("min_pre_periods").alias("min_pre"), F.first("min_post_periods").alias("min_post")))
     need = F.lit(int(min_timeseries)) * (F.col("min_pre") + F.col("min_post"))
@@ -169,17 +192,23 @@ def prepare_panel(panel: DataFrame, start_date, period: str = "month",
 
     Minimums left as None are derived per group from the raw months
     (``default_periods``). With ``validate`` the reference's checks run
-    (each is one small aggregate job) and raise ``PanelError``.
+    (small aggregate jobs over the cached bucket table) and raise
+    ``PanelError``. The raw panel is scanned once: the bucket table (one
+    row per series and bucket) is persisted and feeds the checks, the
+    defaults, the active flags and the grid.
     """
     check_period(period)
-    params = run_params(panel, start_date, min_pre_periods, min_post_periods)
+    stats = bucket_stats(panel, period)
+    if validate or min_pre_periods is None or min_post_periods is None:
+        stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    params = run_params(panel, start_date, min_pre_periods, min_post_periods, stats)
     if isinstance(params, DataFrame):
         params = sized_broadcast(params)
     if validate:
-        check_inputs(panel, params, min_timeseries)
-    buckets = bucket_sum(panel, period)
+        check_inputs(stats, params, min_timeseries)
+    buckets = stats.select(G, TS, D, C)
     series = series_activity(buckets, params)
     if validate:
-        series = series.persist()
+        series = series.persist(StorageLevel.MEMORY_AND_DISK)
         check_active(series, min_timeseries)
     return densify(buckets, series, period)

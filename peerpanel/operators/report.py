@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import avg_rank, pct_rank_nonnull, standardize
 from .impact import EFFECT_COLUMNS, SERIES_COLUMNS, Models
-from .prepare import C, D, G, TS
+from .prepare import C, D, G, TS, with_group_params
 
 
 def model_summary(m: Models) -> DataFrame:
@@ -35,7 +35,7 @@ def point_perf(series: DataFrame) -> DataFrame:
 
 def model_summary_timeseries(m: Models) -> DataFrame:
     """Series per (date, group, point class) from the last pre bucket on."""
-    s = point_perf(m.series).join(m.pre_end, G).where(F.col(D) >= F.col("pre_end"))
+    s = with_group_params(point_perf(m.series), m.pre_end).where(F.col(D) >= F.col("pre_end"))
     return s.groupBy(D, G, "point_perf").agg(F.count(F.lit(1)).alias("timeseries"))
 
 
@@ -137,7 +137,7 @@ def pre_post_stats(p: DataFrame, pre_end: DataFrame, smoothed: DataFrame | None
     percent ranks. Leading zeros are trimmed; inactive series included."""
     from .lowess import lowess_smooth
     t = smoothed if smoothed is not None else lowess_smooth(p)
-    t = t.join(pre_end, G).withColumn(
+    t = with_group_params(t, pre_end).withColumn(
         "period", F.when(F.col(D) < F.col("pre_end"), "pre").otherwise("post"))
     w = Window.partitionBy(G, TS, "period").orderBy(D)
     t = t.withColumn("_k", F.row_number().over(w))

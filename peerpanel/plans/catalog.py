@@ -11,6 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import round_doubles
+from ..session import reuse
 from ..operators import changepoint as CP
 from ..operators import describe as DS
 from ..operators import impact as IM
@@ -38,8 +39,11 @@ def raw_panel(spark: SparkSession, sf_dir: str, cfg: dict) -> DataFrame:
 
 
 def prepared(spark, sf_dir, cfg, validate=True) -> DataFrame:
-    return PR.prepare_panel(raw_panel(spark, sf_dir, cfg), cfg["start"], cfg["period"],
-                            cfg["min_pre"], cfg["min_post"], cfg["min_ts"], validate=validate)
+    """Prepared panel, materialised once: every table below reads it
+    several times (as the pipeline does)."""
+    return reuse(PR.prepare_panel(raw_panel(spark, sf_dir, cfg), cfg["start"], cfg["period"],
+                                  cfg["min_pre"], cfg["min_post"], cfg["min_ts"],
+                                  validate=validate))
 
 
 def _bucket_sum(spark, sf_dir, cfg):
@@ -83,7 +87,7 @@ def _summary_stats(spark, sf_dir, cfg):
 
 def _quantile_ts(spark, sf_dir, cfg):
     p = prepared(spark, sf_dir, cfg)
-    return DS.desc_quantile_timeseries(p, DS.last_pre_bucket(p, cfg["start"]))
+    return DS.desc_quantile_timeseries(p, DS.last_pre_bucket(cfg["start"], cfg["period"]))
 
 
 def _month_complete(spark, sf_dir, cfg):
@@ -104,7 +108,7 @@ def _changepoint_nested(spark, sf_dir, cfg):
 
 def ratio(spark, sf_dir, cfg):
     p = prepared(spark, sf_dir, cfg)
-    return IM.ratio_models(p, cfg["start"], alpha=0.05)
+    return IM.ratio_models(p, cfg["start"], alpha=0.05, period=cfg["period"])
 
 
 def _ratio_effects(spark, sf_dir, cfg):
@@ -146,12 +150,12 @@ def _lowess(spark, sf_dir, cfg):
 
 def _pre_post(spark, sf_dir, cfg):
     p = prepared(spark, sf_dir, cfg)
-    return RP.pre_post_stats(p, IM.pre_end_table(p, cfg["start"]))
+    return RP.pre_post_stats(p, IM.pre_end_table(p, cfg["start"], cfg["period"]))
 
 
 def _ts_rank(spark, sf_dir, cfg):
     p = prepared(spark, sf_dir, cfg)
-    return RP.model_ts_rank(IM.ratio_models(p, cfg["start"]), p)
+    return RP.model_ts_rank(IM.ratio_models(p, cfg["start"], period=cfg["period"]), p)
 
 
 def _ts_rank_top(spark, sf_dir, cfg):

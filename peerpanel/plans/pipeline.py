@@ -42,7 +42,8 @@ def resolve_start(p: DataFrame, start_date) -> DataFrame | dt.date | str:
 def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5) -> dict:
     """All result tables. The report start date is, per group, the last
     bucket on or before the analysis start date (``m.pre_end``)."""
-    start = m.pre_end.withColumnRenamed("pre_end", "start_date")
+    start = (m.pre_end.withColumnRenamed("pre_end", "start_date")
+             if isinstance(m.pre_end, DataFrame) else m.pre_end["pre_end"])
     summary = reuse(RP.model_summary(m))
     count_long = DS.desc_summary_count(p)
     smoothed = lowess_smooth(p)
@@ -67,8 +68,9 @@ def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5) -> dict
     return out
 
 
-def load_models(spark, out_dir: str, prepared: DataFrame, start, sig_p: float, method: str,
-                design: DataFrame | None = None, niter: int | None = None, **model_kw):
+def load_models(spark, out_dir: str, prepared: DataFrame, start, period: str, sig_p: float,
+                method: str, design: DataFrame | None = None, niter: int | None = None,
+                **model_kw):
     """Model tables saved under ``<out_dir>/models``."""
     from ..operators.peers import peer_design
 
@@ -83,7 +85,7 @@ def load_models(spark, out_dir: str, prepared: DataFrame, start, sig_p: float, m
         design = peer_design(prepared, start, model_kw.get("max_peers", 50))
     if niter is None:
         niter = model_kw.get("niter", 1000) if method == "bsts" else 0
-    return IM.Models(eff, ser, coefs, IM.pre_end_table(prepared, start), sig_p, niter,
+    return IM.Models(eff, ser, coefs, IM.pre_end_table(prepared, start, period), sig_p, niter,
                      design if method == "bsts" else None)
 
 
@@ -124,7 +126,7 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
     margs = dict(args, sig_p=sig_p, method=method, **{k: str(v) for k, v in model_kw.items()})
     names = ("effects", "series", "coefs")
     if out_dir is not None and use_cache and store.args_match(spark, f"{out_dir}/models_args", margs):
-        m = load_models(spark, out_dir, prepared, start, sig_p, method, **model_kw)
+        m = load_models(spark, out_dir, prepared, start, period, sig_p, method, **model_kw)
     else:
         m = IM.fit_models(prepared, start, period, alpha=sig_p, method=method, **model_kw)
         if out_dir is not None and save_model:
@@ -132,8 +134,8 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
                 getattr(m, name).write.mode("overwrite").partitionBy("group_id") \
                     .parquet(f"{out_dir}/models/{name}")
             store.write_args(spark, f"{out_dir}/models_args", margs)
-            m = load_models(spark, out_dir, prepared, start, sig_p, method, design=m.design,
-                            niter=m.niter)
+            m = load_models(spark, out_dir, prepared, start, period, sig_p, method,
+                            design=m.design, niter=m.niter)
     result = {"prepared_panel": prepared, "models": m}
     if gen_output:
         out = generate_output(m, prepared, top_timeseries)

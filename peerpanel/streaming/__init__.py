@@ -1 +1,2 @@
-
+"""Streaming: the reference has no streaming part (no watermark, stream
+window or stateful operator), so nothing is defined here."""

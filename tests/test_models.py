@@ -56,7 +56,7 @@ def test_ratio_model_flags_injected_series(spark):
     from peerpanel.operators.impact import ratio_models
 
     p, start = _injected(spark)
-    s = RP.model_summary(ratio_models(p, start, alpha=0.01))
+    s = RP.model_summary(ratio_models(p, start, alpha=0.01, period="day"))
     dev = {r.ts_id: r.deviance for r in s.collect()}
     assert dev["1"] == "over" and dev["2"] == "under"
 
@@ -82,9 +82,9 @@ def test_model_ts_rank_rules(spark):
     from peerpanel.operators.impact import ratio_models
 
     p, start = _injected(spark)
-    m = ratio_models(p, start, alpha=0.01)
+    m = ratio_models(p, start, alpha=0.01, period="day")
     st = RP.pre_post_stats(p, m.pre_end).collect()
-    pre_end = m.pre_end.first().pre_end
+    pre_end = m.pre_end["pre_end"]
     assert pre_end == start
     n_pre = {r.num_periods for r in st if r.period == "pre"}
     assert n_pre == {45}  # the last pre bucket counts as post under the strict rule
