@@ -12,22 +12,26 @@ linear map of its innovations (level: cumulative sums; seasonal: impulse
 responses of the dummy recursion), so the state draw given everything
 else is one Gaussian draw with a Cholesky factor, no per-step filter.
 
-Gibbs sweep: state | beta, variances -> inclusion flags and beta | state
-(beta integrated out for each flip) -> observation variance -> level and
-seasonal variances. Post-period predictions simulate the level and
-seasonal recursions forward from each draw.
+Gibbs sweep: state | beta, variances -> inclusion flag and coefficient of
+each covariate in turn (single-site spike-and-slab update with a
+closed-form Bayes factor; the slab precision is the diagonal of the
+package default) -> observation variance -> level and seasonal
+variances. Post-period predictions simulate the level and seasonal
+recursions forward from each draw.
 
 Default priors (fixed values mirroring the reference's model package):
 1000 draws; level sd guess 0.01 sd(y) with weight 32; seasonal sd guess
 0.01 sd(y) with weight 0.01; both capped at sd(y); expected model size
 3; expected R^2 0.8 with 50 prior degrees of freedom; prior information
-weight 0.01 and diagonal shrinkage 0.5 for the slab; initial level
+weight 0.01 for the slab (diagonal precision); initial level
 N(y_1, sd(y)^2), initial seasonal N(0, sd(y)^2).
 
-Spark side: ``peer_design`` (pair-free) -> ``groupBy(group_id, ts_id)
-.applyInPandas`` (one target per call: its T rows x (k + 2) covariates,
-bounded by the calendar and ``max_peers``) -> one long output that is
-materialised once and split into the three model tables.
+Spark side: ``peer_design`` (pair-free) -> ``groupBy(group_id, batch)
+.applyInPandas`` where a batch is up to ``batch_size`` consecutive target
+positions of one group (each target: T rows x (k + 2) covariates, bounded
+by the calendar and ``max_peers``); the sampler is vectorised over the
+batch -> one long output that is materialised once and split into the
+three model tables.
 """
 
 from __future__ import annotations
@@ -94,26 +98,6 @@ def _inv_gamma(rng, shape, rate):
     return rate / rng.gamma(shape)
 
 
-def _log_marg(idx, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p):
-    """log p(gamma | y*, sigma^2) up to a constant, beta integrated out.
-    Returns it with the Cholesky factor of the posterior precision and the
-    posterior mean of the included coefficients."""
-    k = len(idx)
-    lp = k * logpi + (p - k) * log1mpi
-    if k == 0:
-        return lp - 0.5 * yty / sigma2, None, None
-    Om = omega[idx][:, idx]
-    Pm = Om + XtX[idx][:, idx]
-    try:
-        L = np.linalg.cholesky(np.stack((Om, Pm)))
-    except np.linalg.LinAlgError:
-        return -np.inf, None, None
-    xy = Xty[idx]
-    b = np.linalg.solve(Pm, xy)
-    ld = np.log(np.diagonal(L, axis1=1, axis2=2)).sum(axis=1)
-    return lp + ld[0] - ld[1] - 0.5 * (yty - xy @ b) / sigma2, L[1], b
-
-
 def limit_blas_threads():
     """Small matrices: one BLAS thread per Python worker (Spark already
     runs one worker per core). Best effort through the loaded OpenBLAS."""
@@ -134,116 +118,123 @@ def limit_blas_threads():
         pass
 
 
-def sample_bsts(y_pre, X_pre, X_post, S, niter, rng, prior=PRIOR):
-    """Posterior draws. Returns dict with ``fit`` (niter x T0 state +
-    regression), ``pred`` (niter x T1 forecasts without noise), ``sigma``
-    (niter), ``beta`` (niter x p)."""
-    T0 = len(y_pre)
-    p = X_pre.shape[1]
-    T1 = X_post.shape[0]
-    sdy = float(np.std(y_pre, ddof=1))
+def sample_bsts_batch(Y_pre, X_pre, X_post, avail, S, niter, rng, prior=PRIOR):
+    """Posterior draws for a batch of B targets sharing the calendar.
+
+    Y_pre (B, T0); X_pre (B, T0, p); X_post (B, T1, p); avail (B, p) marks
+    usable covariates (others are zero-padded and never included).
+    Returns ``fit`` (niter, B, T0), ``pred`` (niter, B, T1) without
+    observation noise, ``sigma`` (niter, B), ``beta`` (niter, B, p).
+    """
+    B, T0 = Y_pre.shape
+    p = X_pre.shape[2]
+    T1 = X_post.shape[1]
+    sdy = Y_pre.std(axis=1, ddof=1)
+    var_y = sdy * sdy
     H, kinds = state_design(T0, S)
     HtH = H.T @ H
     q = H.shape[1]
-    m0 = np.zeros(q)
-    m0[0] = y_pre[0]
-    var_y = sdy * sdy
+    m0 = np.zeros((B, q))
+    m0[:, 0] = Y_pre[:, 0]
     sl2 = (prior["level_sd"] * sdy) ** 2
     ss2 = (prior["season_sd"] * sdy) ** 2
     s2_guess = (1.0 - prior["r2"]) * var_y
-    sigma2 = s2_guess
-    # slab precision (in units of 1/sigma^2)
+    sigma2 = s2_guess.copy()
+    p_eff = avail.sum(axis=1)
     if p:
-        XtX = X_pre.T @ X_pre
-        d = np.diag(XtX) / T0
-        d = np.where(d > 0, d, 1.0)
-        omega = prior["info_weight"] * (prior["diag_shrink"] * np.diag(d)
-                                        + (1 - prior["diag_shrink"]) * XtX / T0)
-        omega = omega + 1e-9 * np.eye(p) * d.max()
-        pi = min(prior["model_size"] / p, 1.0)
-        pi = min(max(pi, 1e-6), 1 - 1e-6)
-        logpi, log1mpi = np.log(pi), np.log(1 - pi)
-    gamma = np.zeros(p, dtype=bool)
-    beta = np.zeros(p)
-    fit = np.empty((niter, T0))
-    pred = np.empty((niter, T1))
-    sig = np.empty(niter)
-    betas = np.zeros((niter, p))
+        # slab precision (units of 1/sigma^2): diagonal of the package
+        # default w * (0.5 diag(X'X)/n + 0.5 X'X/n), i.e. w * x_j'x_j / n
+        xx = (X_pre * X_pre).sum(axis=1)
+        om = prior["info_weight"] * np.where(xx > 0, xx, 1.0) / T0
+        pi = np.clip(prior["model_size"] / np.maximum(p_eff, 1), 1e-6, 1 - 1e-6)
+        logit_pi = np.log(pi) - np.log1p(-pi)
+    beta = np.zeros((B, p))
+    fit = np.empty((niter, B, T0))
+    pred = np.empty((niter, B, T1))
+    sig = np.empty((niter, B))
+    betas = np.zeros((niter, B, p))
+    is_lvl, is_w = kinds == 1, kinds == 3
+    diag_q = np.arange(q)
+    seas = kinds >= 2
     for it in range(niter):
-        # state | beta, variances
-        r = y_pre - (X_pre @ beta if p else 0.0)
-        dvar = np.where(kinds == 0, var_y, np.where(kinds == 1, sl2,
-                        np.where(kinds == 2, var_y, ss2)))
-        P = HtH / sigma2 + np.diag(1.0 / dvar)
+        # state | beta, variances: one Gaussian draw per target
+        r = Y_pre - (np.einsum("btj,bj->bt", X_pre, beta) if p else 0.0)
+        dvar = np.where(kinds[None] == 0, var_y[:, None],
+                        np.where(kinds[None] == 1, sl2[:, None],
+                                 np.where(kinds[None] == 2, var_y[:, None], ss2[:, None])))
+        P = HtH[None] * (1.0 / sigma2)[:, None, None]
+        P[:, diag_q, diag_q] += 1.0 / dvar
         Lc = np.linalg.cholesky(P)
-        rhs = H.T @ r / sigma2 + m0 / dvar
-        mean = np.linalg.solve(Lc.T, np.linalg.solve(Lc, rhs))
-        z = mean + np.linalg.solve(Lc.T, rng.standard_normal(q))
-        state = H @ z
-        # inclusion flags and beta | state
+        rhs = r @ H / sigma2[:, None] + m0 / dvar
+        eps = rng.standard_normal((B, q))
+        # P z = rhs + L eps  =>  z = mean + L^-T eps
+        z = np.linalg.solve(P, (rhs + np.einsum("bij,bj->bi", Lc, eps))[:, :, None])[:, :, 0]
+        state = z @ H.T
+        # inclusion flags and beta | state: single-site spike-and-slab
+        # Gibbs, closed-form Bayes factor per coefficient (batch vectors)
         if p:
-            ys = y_pre - state
-            Xty = X_pre.T @ ys
-            yty = float(ys @ ys)
-            cur = np.flatnonzero(gamma)
-            lcur, Lp, b = _log_marg(cur, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p)
+            r = Y_pre - state - np.einsum("btj,bj->bt", X_pre, beta)
             for j in rng.permutation(p):
-                gamma[j] = not gamma[j]
-                idx = np.flatnonzero(gamma)
-                lnew, Lp2, b2 = _log_marg(idx, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p)
-                if np.log(rng.random()) < lnew - lcur:
-                    lcur, Lp, b = lnew, Lp2, b2
-                else:
-                    gamma[j] = not gamma[j]
-            beta = np.zeros(p)
-            idx = np.flatnonzero(gamma)
-            if len(idx):
-                _, Lp, b = _log_marg(idx, XtX, Xty, omega, yty, sigma2, logpi, log1mpi, p)
-                beta[idx] = b + np.sqrt(sigma2) * np.linalg.solve(Lp.T, rng.standard_normal(len(idx)))
-            reg = X_pre @ beta
-            pen = float(beta[idx] @ omega[np.ix_(idx, idx)] @ beta[idx]) if len(idx) else 0.0
-            k_in = len(idx)
+                xj = X_pre[:, :, j]
+                rj = r + xj * beta[:, j:j + 1]
+                xr = (xj * rj).sum(axis=1)
+                lam = xx[:, j] + om[:, j]
+                log_odds = (logit_pi + 0.5 * np.log(om[:, j] / lam)
+                            + 0.5 * xr * xr / (sigma2 * lam))
+                inc = avail[:, j] & (rng.random(B) < 1.0 / (1.0 + np.exp(-log_odds)))
+                bj = np.where(inc, xr / lam + np.sqrt(sigma2 / lam) * rng.standard_normal(B), 0.0)
+                beta[:, j] = bj
+                r = rj - xj * bj[:, None]
+            reg = np.einsum("btj,bj->bt", X_pre, beta)
+            pen = (om * beta * beta).sum(axis=1)
+            k_in = (beta != 0).sum(axis=1)
         else:
             reg, pen, k_in = 0.0, 0.0, 0
-        # observation variance
-        res = y_pre - state - reg
-        sigma2 = _inv_gamma(rng, (prior["df"] + T0 + k_in) / 2.0,
-                            (prior["df"] * s2_guess + float(res @ res) + pen) / 2.0)
-        sigma2 = max(sigma2, 1e-12 * max(var_y, 1e-12))
-        # state variances (capped at var(y))
-        eta = z[kinds == 1]
-        sl2 = min(_inv_gamma(rng, (prior["level_n"] + len(eta)) / 2.0,
-                             (prior["level_n"] * (prior["level_sd"] * sdy) ** 2 + float(eta @ eta)) / 2.0),
-                  var_y)
+        res = Y_pre - state - reg
+        sigma2 = (prior["df"] * s2_guess + (res * res).sum(axis=1) + pen) / 2.0 \
+            / rng.gamma((prior["df"] + T0 + k_in) / 2.0, size=B)
+        sigma2 = np.maximum(sigma2, 1e-12 * np.maximum(var_y, 1e-12))
+        eta = z[:, is_lvl]
+        sl2 = np.minimum((prior["level_n"] * (prior["level_sd"] * sdy) ** 2
+                          + (eta * eta).sum(axis=1)) / 2.0
+                         / rng.gamma((prior["level_n"] + eta.shape[1]) / 2.0, size=B), var_y)
         if S > 1:
-            w = z[kinds == 3]
-            ss2 = min(_inv_gamma(rng, (prior["season_n"] + len(w)) / 2.0,
-                                 (prior["season_n"] * (prior["season_sd"] * sdy) ** 2
-                                  + float(w @ w)) / 2.0), var_y)
+            w = z[:, is_w]
+            ss2 = np.minimum((prior["season_n"] * (prior["season_sd"] * sdy) ** 2
+                              + (w * w).sum(axis=1)) / 2.0
+                             / rng.gamma((prior["season_n"] + w.shape[1]) / 2.0, size=B), var_y)
         fit[it] = state + reg
         sig[it] = np.sqrt(sigma2)
         betas[it] = beta
-        # forecast the state forward
         if T1:
-            level = z[0] + z[kinds == 1].sum()
-            lv = level + np.cumsum(rng.standard_normal(T1) * np.sqrt(sl2))
+            level = z[:, 0] + eta.sum(axis=1)
+            lv = level[:, None] + np.cumsum(rng.standard_normal((B, T1)) * np.sqrt(sl2)[:, None],
+                                            axis=1)
+            sv = np.zeros((B, T1))
             if S > 1:
                 m = S - 1
-                hist = list((H[:, kinds >= 2] @ z[kinds >= 2])[-m:]) if T0 >= m else \
-                    list(np.concatenate([rng.standard_normal(m - T0) * sdy,
-                                         (H[:, kinds >= 2] @ z[kinds >= 2])]))
-                sv = np.empty(T1)
+                past = z[:, seas] @ H[:, seas].T
+                if T0 < m:
+                    past = np.hstack([rng.standard_normal((B, m - T0)) * sdy[:, None], past])
+                hist = past[:, -m:]
                 sd_w = np.sqrt(ss2)
                 for t in range(T1):
-                    v = -sum(hist[-m:]) + rng.standard_normal() * sd_w
-                    sv[t] = v
-                    hist.append(v)
-            else:
-                sv = 0.0
-            pred[it] = lv + sv + (X_post @ beta if p else 0.0)
+                    v = -hist.sum(axis=1) + rng.standard_normal(B) * sd_w
+                    sv[:, t] = v
+                    hist = np.hstack([hist[:, 1:], v[:, None]])
+            pred[it] = lv + sv + (np.einsum("btj,bj->bt", X_post, beta) if p else 0.0)
     return {"fit": fit, "pred": pred, "sigma": sig, "beta": betas}
 
 
+def sample_bsts(y_pre, X_pre, X_post, S, niter, rng, prior=PRIOR):
+    """Single-target form of :func:`sample_bsts_batch`."""
+    p = X_pre.shape[1]
+    d = sample_bsts_batch(y_pre[None], X_pre[None], X_post[None], np.ones((1, p), bool), S,
+                          niter, rng, prior)
+    return {"fit": d["fit"][:, 0], "pred": d["pred"][:, 0], "sigma": d["sigma"][:, 0],
+            "beta": d["beta"][:, 0]}
+
+
 def summarise_draws(y_pre, y_post, draws, alpha, burn_fraction, rng):
     """Point predictions, intervals, cumulative columns and the effects."""
     niter = draws["sigma"].shape[0]
@@ -293,54 +284,76 @@ OUT_SCHEMA = ("kind string, group_id string, ts_id string, date date, "
               + ", draw int, peer_ts_id string, coef double")
 
 
-def _fit_group(pdf: pd.DataFrame, S: int, niter: int, alpha: float, seed: int,
+def _fit_batch(pdf: pd.DataFrame, S: int, niter: int, alpha: float, seed: int,
                burn_fraction: float) -> pd.DataFrame:
+    """Fit every target of one batch (same group, so same dates)."""
     limit_blas_threads()
-    g, ts = pdf[G].iloc[0], pdf[TS].iloc[0]
-    wide = pdf.pivot_table(index=D, columns="peer_ts_id", values="value", aggfunc="sum")
-    wide = wide.sort_index()
-    pre = pdf.drop_duplicates(D).set_index(D)["is_pre"].reindex(wide.index).to_numpy(bool)
-    y = wide[TARGET].to_numpy(float)
-    order = (pdf[pdf.peer_ts_id != TARGET].drop_duplicates("peer_ts_id")
-             .sort_values("peer_pos")["peer_ts_id"].tolist())
-    X = wide[order].fillna(0.0).to_numpy(float) if order else np.zeros((len(y), 0))
-    # drop covariates constant over the pre period (no information)
-    if X.shape[1]:
-        keep = X[pre].std(axis=0) > 0
-        X, order = X[:, keep], [o for o, k in zip(order, keep) if k]
-    dates = wide.index.to_numpy()
-    rng = np.random.default_rng([seed, zlib.crc32(f"{g}\x00{ts}".encode())])
-    y_pre, y_post = y[pre], y[~pre]
+    g = pdf[G].iloc[0]
+    dates = np.sort(pdf[D].unique())
+    pre = (pdf.drop_duplicates(D).set_index(D)["is_pre"].reindex(dates).to_numpy(bool))
+    targets = sorted(pdf[TS].unique(), key=lambda t: (pdf.loc[pdf[TS] == t, "tpos"].iloc[0]))
+    cols, Ys, Xs = [], [], []
+    for t in targets:
+        sub = pdf[pdf[TS] == t]
+        wide = sub.pivot_table(index=D, columns="peer_ts_id", values="value", aggfunc="sum")
+        wide = wide.reindex(dates)
+        order = (sub[sub.peer_ts_id != TARGET].drop_duplicates("peer_ts_id")
+                 .sort_values("peer_pos")["peer_ts_id"].tolist())
+        Ys.append(wide[TARGET].to_numpy(float))
+        Xs.append(wide[order].fillna(0.0).to_numpy(float) if order else np.zeros((len(dates), 0)))
+        cols.append(order)
+    p = max(x.shape[1] for x in Xs)
+    nb = len(targets)
+    Y = np.vstack(Ys)
+    X = np.zeros((nb, len(dates), p))
+    avail = np.zeros((nb, p), dtype=bool)
+    for i, x in enumerate(Xs):
+        X[i, :, :x.shape[1]] = x
+        # covariates constant over the pre period carry no information
+        avail[i, :x.shape[1]] = x[pre].std(axis=0) > 0 if x.shape[1] else False
+    y_pre, y_post = Y[:, pre], Y[:, ~pre]
+    ok = (y_pre.shape[1] >= 3) & np.isfinite(y_pre).all(axis=1) & (y_pre.std(axis=1) > 0)
+    rng = np.random.default_rng([seed, zlib.crc32(f"{g}\x00{targets[0]}".encode())])
+    order_dates = np.concatenate([dates[pre], dates[~pre]])
     rows = []
-    ok = len(y_pre) >= 3 and np.isfinite(y_pre).all() and np.std(y_pre) > 0
-    if ok:
-        draws = sample_bsts(y_pre, X[pre], X[~pre], S, niter, rng)
-        series, eff = summarise_draws(y_pre, y_post, draws, alpha, burn_fraction, rng)
-    else:
-        series = pd.DataFrame({"response": y, "cum_response": np.cumsum(y)})
-        eff = {c: None for c in EFFECT_COLUMNS}
-    series.insert(0, D, np.concatenate([dates[pre], dates[~pre]]))
-    series["kind"] = "series"
-    rows.append(series)
-    rows.append(pd.DataFrame([{**eff, "kind": "effects"}]))
-    if ok and X.shape[1]:
-        b = draws["beta"]
-        it, j = np.nonzero(b)
-        rows.append(pd.DataFrame({"kind": "coef", "draw": it + 1,
-                                  "peer_ts_id": np.asarray(order, dtype=object)[j],
-                                  "coef": b[it, j]}))
+    idx = np.flatnonzero(ok)
+    draws = None
+    if len(idx):
+        draws = sample_bsts_batch(y_pre[idx], X[idx][:, pre], X[idx][:, ~pre], avail[idx], S,
+                                  niter, rng)
+    pos = {b: i for i, b in enumerate(idx)}
+    for b, t in enumerate(targets):
+        if ok[b]:
+            i = pos[b]
+            d = {k: v[:, i] for k, v in draws.items()}
+            series, eff = summarise_draws(y_pre[b], y_post[b], d, alpha, burn_fraction, rng)
+        else:
+            y = np.concatenate([y_pre[b], y_post[b]])
+            series = pd.DataFrame({"response": y, "cum_response": np.cumsum(y)})
+            eff = {c: None for c in EFFECT_COLUMNS}
+        series.insert(0, D, order_dates)
+        series["kind"] = "series"
+        series[TS] = t
+        rows.append(series)
+        rows.append(pd.DataFrame([{**eff, "kind": "effects", TS: t}]))
+        if ok[b] and p:
+            bet = d["beta"]
+            it, j = np.nonzero(bet[:, :len(cols[b])])
+            rows.append(pd.DataFrame({"kind": "coef", TS: t, "draw": it + 1,
+                                      "peer_ts_id": np.asarray(cols[b], dtype=object)[j],
+                                      "coef": bet[it, j]}))
     out = pd.concat(rows, ignore_index=True)
-    out[G], out[TS] = g, ts
-    for c in OUT_SCHEMA.split(", "):
-        name = c.split(" ")[0]
+    out[G] = g
+    names = [c.split(" ")[0] for c in OUT_SCHEMA.split(", ")]
+    for name in names:
         if name not in out.columns:
             out[name] = None
-    return out[[c.split(" ")[0] for c in OUT_SCHEMA.split(", ")]]
+    return out[names]
 
 
 def bsts_models(p: DataFrame, start_date, period: str = "month", alpha: float = 0.05,
                 niter: int = 1000, max_peers: int = 50, seed: int = 1,
-                burn_fraction: float = 0.1) -> Models:
+                burn_fraction: float = 0.1, batch_size: int = 16) -> Models:
     """Fit the Bayesian model for every active series (see module doc).
 
     Seeds derive from (seed, group, series), so results do not depend on
@@ -352,10 +365,14 @@ def bsts_models(p: DataFrame, start_date, period: str = "month", alpha: float =
     design = peer_design(p, start_date, max_peers)
 
     def fn(pdf):
-        return _fit_group(pdf, S, niter, alpha, seed, burn_fraction)
+        return _fit_batch(pdf, S, niter, alpha, seed, burn_fraction)
 
+    # batches of consecutive target positions within a group: vectorised
+    # sampling, deterministic composition, large groups spread over tasks
     n = compute_partitions(p.sparkSession)
-    out = reuse(design.repartition(n, G, TS).groupBy(G, TS).applyInPandas(fn, OUT_SCHEMA))
+    batched = design.withColumn("_batch", F.floor((F.col("tpos") - 1) / int(batch_size)))
+    out = reuse(batched.repartition(n, G, "_batch").groupBy(G, "_batch")
+                .applyInPandas(fn, OUT_SCHEMA))
     series = out.where(F.col("kind") == "series").select(G, TS, D, *SERIES_COLUMNS)
     effects = out.where(F.col("kind") == "effects").select(G, TS, *EFFECT_COLUMNS)
     coefs = out.where(F.col("kind") == "coef").select(G, TS, "draw", "peer_ts_id", "coef")

@@ -36,11 +36,11 @@ def series_order(rows: DataFrame) -> DataFrame:
             .select(G, TS, "pos", "n_series"))
 
 
-def select_peers(rows: DataFrame, max_peers: int = 50) -> DataFrame:
+def select_peers(rows: DataFrame, max_peers: int = 50, order: DataFrame | None = None) -> DataFrame:
     """``(group_id, ts_id, peer_ts_id, peer_pos)``: the window of
     ``max_peers`` positions around each target (clamped at the ends)."""
     k = int(max_peers)
-    o = series_order(rows)
+    o = order if order is not None else series_order(rows)
     start = F.greatest(F.lit(1), F.least(F.col("pos") - k // 2, F.col("n_series") - k))
     end = F.least(F.col("n_series"), start + k)
     t = o.select(G, TS, "pos", F.explode(F.sequence(start, end)).alias("peer_pos"))
@@ -57,10 +57,12 @@ def active_rows(p: DataFrame, start_date) -> DataFrame:
 
 def peer_design(p: DataFrame, start_date, max_peers: int = 50) -> DataFrame:
     """Long model input ``(group_id, ts_id, date, is_pre, peer_ts_id,
-    peer_pos, value)``: the target's own values (``peer_ts_id = 'target'``,
-    position 0), its individual peers, and ``(others)`` (position -1)."""
+    peer_pos, value, tpos)``: the target's own values (``peer_ts_id =
+    'target'``, position 0), its individual peers, and ``(others)``
+    (position -1); ``tpos`` is the target's position in its group."""
     rows = active_rows(p, start_date)
-    peers = select_peers(rows, max_peers)
+    order = series_order(rows)
+    peers = select_peers(rows, max_peers, order)
     vals = rows.select(G, F.col(TS).alias("peer_ts_id"), D, "is_pre", F.col(C).alias("value"))
     pv = peers.join(vals, [G, "peer_ts_id"])
     psum = pv.groupBy(G, TS, D).agg(F.sum("value").alias("_peer_sum"))
@@ -73,4 +75,5 @@ def peer_design(p: DataFrame, start_date, max_peers: int = 50) -> DataFrame:
     me = rows.select(G, TS, D, "is_pre", F.lit(TARGET).alias("peer_ts_id"),
                      F.lit(0).alias("peer_pos"), F.col(C).alias("value"))
     pv = pv.select(G, TS, D, "is_pre", "peer_ts_id", "peer_pos", "value")
-    return me.unionByName(pv).unionByName(others)
+    tpos = order.select(G, TS, F.col("pos").alias("tpos"))
+    return me.unionByName(pv).unionByName(others).join(tpos, [G, TS])
