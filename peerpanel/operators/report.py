@@ -119,9 +119,15 @@ def peer_contributions(m: Models, summary: DataFrame | None = None,
 
 
 def peer_plot_rows(contrib: DataFrame, max_peers: int = 10, inclusion_thresh: float = 0.01):
-    """Plot subset: top ``max_peers`` inclusion ranks above the threshold."""
-    return contrib.where(F.col("inclusion_rank").between(1, max_peers)
-                         & (F.col("inclusion_prob") > inclusion_thresh))
+    """Plot subset: top ``max_peers`` inclusion ranks above the threshold,
+    with ``type`` (target / peers) and ``alpha``, the line weight: the
+    standardised inclusion probability (1 for the target) per target."""
+    sub = contrib.where(F.col("inclusion_rank").between(1, max_peers)
+                        & (F.col("inclusion_prob") > inclusion_thresh))
+    is_t = F.col(TS) == "target"
+    sub = sub.withColumn("type", F.when(is_t, "target").otherwise("peers"))
+    weight = F.when(is_t, F.lit(1.0)).otherwise(F.col("inclusion_prob"))
+    return sub.withColumn("alpha", standardize(weight, [G, "target_ts_id"]))
 
 
 # ---------------------------------------------------------------- ranking

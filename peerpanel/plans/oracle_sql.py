@@ -382,6 +382,134 @@ def q_select_peers(cfg, k=P.MAX_PEERS):
                        "t.group_id = o.group_id AND t.peer_pos = o.pos WHERE t.peer_pos <> t.pos")
 
 
+# --------------------------------------------------------------- LOWESS
+
+def _lowess_pass(k: int, prev: str | None) -> list[tuple[str, str]]:
+    """One fit of every row: window j >= nleft, |i - j| < h, tricube
+    weights times the previous pass's robustness weights; weighted local
+    line (closed form). Valid for series of at most 101 points (no
+    interpolation step)."""
+    rw = "1.0" if prev is None else f"{prev}.rw"
+    jn = "" if prev is None else (f" JOIN {prev} ON {prev}.group_id = b.group_id AND "
+                                  f"{prev}.ts_id = b.ts_id AND {prev}.i = b.i")
+    return [
+        (f"w{k}", f"SELECT a.group_id, a.ts_id, a.i, a.y AS yi, b.i AS j, b.y AS yj, "
+                  f"power(1.0 - power(abs(a.i - b.i) / a.h, 3), 3) * {rw} AS w "
+                  f"FROM lx a JOIN lx b ON a.group_id = b.group_id AND a.ts_id = b.ts_id "
+                  f"AND b.i >= a.nleft AND abs(a.i - b.i) <= 0.999 * a.h{jn}"),
+        (f"s{k}", f"SELECT group_id, ts_id, i, any_value(yi) AS yi, sum(w) AS sw, "
+                  f"sum(w * j) AS swj, sum(w * yj) AS swy FROM w{k} GROUP BY ALL"),
+        (f"m{k}", f"SELECT w{k}.group_id, w{k}.ts_id, w{k}.i, any_value(s{k}.yi) AS yi, "
+                  f"any_value(s{k}.sw) AS sw, any_value(s{k}.swy) / any_value(s{k}.sw) AS my, "
+                  f"any_value(s{k}.swj) / any_value(s{k}.sw) AS mx, "
+                  f"sum(w{k}.w * power(w{k}.j - s{k}.swj / s{k}.sw, 2)) / any_value(s{k}.sw) AS c, "
+                  f"sum(w{k}.w * (w{k}.j - s{k}.swj / s{k}.sw) * w{k}.yj) / any_value(s{k}.sw) AS cy "
+                  f"FROM w{k} JOIN s{k} USING (group_id, ts_id, i) GROUP BY ALL"),
+        (f"f{k}", f"SELECT m{k}.group_id, m{k}.ts_id, m{k}.i, yi, CASE WHEN sw <= 0 THEN yi "
+                  f"WHEN sqrt(c) > 0.001 * (lx.n - 1) THEN my + (m{k}.i - mx) * cy / c ELSE my END "
+                  f"AS ys FROM m{k} JOIN lx USING (group_id, ts_id, i)"),
+        (f"r{k}", f"SELECT group_id, ts_id, 6.0 * median(abs(yi - ys)) AS cmad, "
+                  f"avg(abs(yi - ys)) AS sc FROM f{k} GROUP BY ALL"),
+        (f"q{k}", f"SELECT f{k}.group_id, f{k}.ts_id, f{k}.i, f{k}.ys, r{k}.cmad < 1e-7 * r{k}.sc "
+                  f"AS stop, CASE WHEN abs(yi - ys) <= 0.001 * cmad THEN 1.0 "
+                  f"WHEN abs(yi - ys) <= 0.999 * cmad THEN power(1.0 - power(abs(yi - ys) / cmad, 2), 2) "
+                  f"ELSE 0.0 END AS rw FROM f{k} JOIN r{k} USING (group_id, ts_id)"),
+    ]
+
+
+def lowess_ctes(cfg):
+    ctes = trimmed_ctes(cfg) + [
+        ("lx0", "SELECT group_id, ts_id, active, date, count AS y, row_number() OVER "
+                "(PARTITION BY group_id, ts_id ORDER BY date) AS i, count(*) OVER "
+                "(PARTITION BY group_id, ts_id) AS n FROM t"),
+        ("lx1", "SELECT *, greatest(least(CAST(floor(n / 3.0 + 1e-7) AS BIGINT), n), 2) AS ns "
+                "FROM lx0"),
+        ("lx2", "SELECT *, least(greatest(CAST(ceil((2 * i - ns) / 2.0) AS BIGINT), 1), "
+                "n - ns + 1) AS nleft FROM lx1"),
+        ("lx", "SELECT *, greatest(i - nleft, nleft + ns - 1 - i) AS h FROM lx2"),
+    ]
+    prev = None
+    for k in range(1, 5):
+        ctes += _lowess_pass(k, prev)
+        prev = f"q{k}"
+    ctes.append(("sm", "SELECT lx.group_id, lx.ts_id, lx.active, lx.date, lx.y AS count, "
+                       "CASE WHEN lx.n < 2 THEN lx.y WHEN q1.stop THEN q1.ys WHEN q2.stop THEN q2.ys "
+                       "WHEN q3.stop THEN q3.ys ELSE q4.ys END AS count_smooth FROM lx "
+                       "LEFT JOIN q1 USING (group_id, ts_id, i) LEFT JOIN q2 USING (group_id, ts_id, i) "
+                       "LEFT JOIN q3 USING (group_id, ts_id, i) LEFT JOIN q4 USING (group_id, ts_id, i)"))
+    return ctes
+
+
+def q_lowess(cfg):
+    return R(with_(lowess_ctes(cfg), "SELECT * FROM sm"), "count", "count_smooth")
+
+
+def pre_post_ctes(cfg):
+    return lowess_ctes(cfg) + [last_pre_cte(cfg), (
+        "pp", "SELECT sm.*, CASE WHEN date < sd.start_date THEN 'pre' ELSE 'post' END AS period, "
+              "row_number() OVER (PARTITION BY sm.group_id, ts_id, CASE WHEN date < sd.start_date "
+              "THEN 'pre' ELSE 'post' END ORDER BY date) AS k FROM sm JOIN sd USING (group_id)"), (
+        "ps", "SELECT group_id, ts_id, period, avg(count) AS count_mean, CASE WHEN period = 'pre' "
+              "THEN arg_max(count_smooth, date) ELSE max(CASE WHEN k = 2 THEN count_smooth END) END "
+              "AS count_smooth, count(*) AS num_periods FROM pp GROUP BY group_id, ts_id, period"), (
+        "pr", "SELECT *, " + ", ".join(
+            f"CASE WHEN {v} IS NOT NULL AND count({v}) OVER (PARTITION BY group_id, period) > 1 "
+            f"THEN (rank() OVER (PARTITION BY group_id, period ORDER BY {v} NULLS LAST) - 1) / "
+            f"(count({v}) OVER (PARTITION BY group_id, period) - 1) END AS {o}"
+            for v, o in (("count_mean", "count_mean_pctile"), ("count_smooth", "count_smooth_pctile"),
+                         ("num_periods", "periods_pctile"))) + " FROM ps")]
+
+
+def q_pre_post(cfg):
+    return R(with_(pre_post_ctes(cfg), "SELECT * FROM pr"), "count_mean", "count_smooth",
+             "count_mean_pctile", "count_smooth_pctile", "periods_pctile")
+
+
+def _avg_rank_sql(expr: str, part: str, desc: bool) -> str:
+    o = "DESC" if desc else "ASC"
+    return (f"CASE WHEN {expr} IS NOT NULL THEN rank() OVER (PARTITION BY {part} ORDER BY {expr} "
+            f"{o} NULLS LAST) + (count(*) OVER (PARTITION BY {part}, {expr}) - 1) / 2.0 END")
+
+
+def ts_rank_ctes(cfg):
+    vals = ("count_mean", "count_smooth", "num_periods", "count_mean_pctile",
+            "count_smooth_pctile", "periods_pctile")
+    wide = ", ".join(f"any_value(CASE WHEN period = '{per}' THEN {v} END) AS {v}_{per}"
+                     for v in vals for per in ("pre", "post"))
+    return pre_post_ctes(cfg) + ratio_ctes(cfg)[len(prepared_ctes(cfg)):] + [
+        ("wd", f"SELECT group_id, ts_id, {wide} FROM pr GROUP BY group_id, ts_id"),
+        ("wd2", "SELECT *, count_mean_post - count_mean_pre AS count_mean_diff, "
+                "count_smooth_post - count_smooth_pre AS count_smooth_diff, "
+                "count_mean_pctile_post - count_mean_pctile_pre AS count_mean_pctile_diff, "
+                "count_smooth_pctile_post - count_smooth_pctile_pre AS count_smooth_pctile_diff "
+                "FROM wd WHERE num_periods_pre > 0"),
+        ("rk", "SELECT group_id, ts_id, "
+               f"{_avg_rank_sql('abs(count_mean_pctile_diff)', 'group_id', True)} AS count_mean_pctile_rank, "
+               f"{_avg_rank_sql('abs(count_mean_diff)', 'group_id', True)} AS count_mean_rank, "
+               f"{_avg_rank_sql('abs(count_smooth_diff)', 'group_id', True)} AS count_smooth_rank, "
+               f"{_avg_rank_sql('abs(count_smooth_pctile_diff)', 'group_id', True)} "
+               "AS count_smooth_pctile_rank FROM wd2"),
+        ("mrk", f"SELECT group_id, ts_id, {_avg_rank_sql('p_Cumulative', 'group_id', False)} "
+                "AS model_rank FROM msum"),
+        ("tr", "SELECT sm.group_id, sm.ts_id, sm.date, sm.count, rk.count_mean_pctile_rank, "
+               "rk.count_mean_rank, rk.count_smooth_rank, rk.count_smooth_pctile_rank, mrk.model_rank "
+               "FROM sm JOIN rk USING (group_id, ts_id) LEFT JOIN mrk USING (group_id, ts_id)"),
+    ]
+
+
+RANKS = ("count_mean_pctile_rank", "count_mean_rank", "count_smooth_rank",
+         "count_smooth_pctile_rank", "model_rank")
+
+
+def q_ts_rank(cfg):
+    return R(with_(ts_rank_ctes(cfg), "SELECT * FROM tr"), "count", *RANKS)
+
+
+def q_ts_rank_top(cfg, top=5):
+    cond = " OR ".join(f"coalesce({r} <= {top}, false)" for r in RANKS)
+    return R(with_(ts_rank_ctes(cfg), f"SELECT * FROM tr WHERE {cond}"), "count", *RANKS)
+
+
 def build() -> dict[str, str]:
     out = {}
     for name, (kind, cfg) in P.SQL_QUERIES.items():

@@ -59,16 +59,17 @@ SQL_QUERIES = {
     "deviance_mean_sd": ("q_deviance_mean_sd", PANEL_A),
     "select_peers": ("q_select_peers", PANEL_A),
     "select_peers_by_segment": ("q_select_peers", PANEL_C_SEGMENT),
+    "lowess_smooth": ("q_lowess", PANEL_A),
+    "lowess_smooth_orders": ("q_lowess", PANEL_C),
+    "pre_post_stats": ("q_pre_post", PANEL_C),
+    "model_ts_rank": ("q_ts_rank", PANEL_A),
+    "model_ts_rank_top": ("q_ts_rank_top", PANEL_C),
 }
 
 # registered without a SQL oracle (rows-only check); checked against
 # brute force in tests instead
 SPARK_ONLY = {
     "detect_changepoint_3": ("q_changepoint_3", PANEL_A),
-    "lowess_smooth": ("q_lowess", PANEL_A),
-    "pre_post_stats": ("q_pre_post", PANEL_C),
-    "model_ts_rank": ("q_ts_rank", PANEL_A),
-    "model_ts_rank_top": ("q_ts_rank_top", PANEL_C),
     "causal_impact": ("q_bsts_effects", PANEL_A_NATION),
     "causal_impact_series": ("q_bsts_series", PANEL_A_NATION),
     "peer_coef_stats": ("q_peer_coef_stats", PANEL_A_NATION),
