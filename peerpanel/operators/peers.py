@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_stats
 from ..session import sized_broadcast
 from .prepare import C, D, G, TS, start_param, with_group_params
 
@@ -28,11 +29,16 @@ TARGET = "target"
 
 
 def series_order(rows: DataFrame) -> DataFrame:
-    """Position of every active series in its group by pre-period mean."""
+    """Position of every active series in its group by pre-period mean
+    (ties by id). The rank comes from ``rank_stats`` (no one-task sort of
+    a group's series); only series with an identical mean are ordered
+    together, by id."""
     s = rows.groupBy(G, TS).agg(F.avg(F.when(F.col("is_pre"), F.col(C))).alias("_pre_mean"))
-    w = Window.partitionBy(G).orderBy(F.col("_pre_mean").asc_nulls_last(), TS)
-    return (s.withColumn("pos", F.row_number().over(w))
-            .withColumn("n_series", F.count(F.lit(1)).over(Window.partitionBy(G)))
+    s = s.withColumn("_pm", F.coalesce("_pre_mean", F.lit(float("inf"))))
+    r = rank_stats(s, [G], "_pm", prefix="_o")
+    w = Window.partitionBy(G, "_pm").orderBy(TS)
+    return (r.withColumn("pos", (F.col("_omin_rank") + F.row_number().over(w) - 1).cast("int"))
+            .withColumn("n_series", F.col("_on").cast("int"))
             .select(G, TS, "pos", "n_series"))
 
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import avg_rank, pct_rank_nonnull, standardize
+from ..functions.columns import standardize
+from ..functions.ranking import avg_ranks, pct_ranks
+from ..session import reuse
 from .impact import EFFECT_COLUMNS, SERIES_COLUMNS, Models
 from .prepare import C, D, G, TS, with_group_params
 
@@ -141,8 +143,9 @@ def pre_post_stats(p: DataFrame, pre_end: DataFrame, smoothed: DataFrame | None
     ``count_mean``, ``count_smooth`` (pre: last smoothed value; post: the
     second, NULL if there is none), ``num_periods`` and their within-period
     percent ranks. Leading zeros are trimmed; inactive series included."""
+    from ..session import reuse
     from .lowess import lowess_smooth
-    t = smoothed if smoothed is not None else lowess_smooth(p)
+    t = smoothed if smoothed is not None else reuse(lowess_smooth(p))
     t = with_group_params(t, pre_end).withColumn(
         "period", F.when(F.col(D) < F.col("pre_end"), "pre").otherwise("post"))
     w = Window.partitionBy(G, TS, "period").orderBy(D)
@@ -155,9 +158,12 @@ def pre_post_stats(p: DataFrame, pre_end: DataFrame, smoothed: DataFrame | None
     st = st.withColumn("count_smooth", F.when(F.col("period") == "pre", F.col("_last"))
                        .otherwise(F.col("_second"))).drop("_last", "_second")
     part = [G, "period"]
-    return (st.withColumn("count_mean_pctile", pct_rank_nonnull("count_mean", part))
-            .withColumn("count_smooth_pctile", pct_rank_nonnull("count_smooth", part))
-            .withColumn("periods_pctile", pct_rank_nonnull("num_periods", part)))
+    # exact percent ranks per (group, period) without a one-task sort of
+    # all series of a group (see functions/ranking.py)
+    st = reuse(st)
+    return pct_ranks(st, part, [("count_mean", "count_mean_pctile"),
+                                ("count_smooth", "count_smooth_pctile"),
+                                ("num_periods", "periods_pctile")])
 
 
 def model_ts_rank(m: Models, p: DataFrame, summary: DataFrame | None = None,
@@ -167,9 +173,11 @@ def model_ts_rank(m: Models, p: DataFrame, summary: DataFrame | None = None,
     of mean count, mean-count percentile, smoothed count and its
     percentile; ``model_rank`` = rank of ``p_Cumulative`` (NULL for series
     without a model)."""
+    from ..session import reuse
     from .lowess import lowess_smooth
     summary = summary if summary is not None else model_summary(m)
-    sm = smoothed if smoothed is not None else lowess_smooth(p)
+    # several branches read the smoothed rows: run the Python stage once
+    sm = smoothed if smoothed is not None else reuse(lowess_smooth(p))
     st = pre_post_stats(p, m.pre_end, sm)
     vals = ("count_mean", "count_smooth", "num_periods", "count_mean_pctile",
             "count_smooth_pctile", "periods_pctile")
@@ -183,14 +191,18 @@ def model_ts_rank(m: Models, p: DataFrame, summary: DataFrame | None = None,
                         F.col("count_mean_pctile_post") - F.col("count_mean_pctile_pre"))
             .withColumn("count_smooth_pctile_diff",
                         F.col("count_smooth_pctile_post") - F.col("count_smooth_pctile_pre")))
-    ranks = wide.select(
-        G, TS,
-        avg_rank(F.abs(F.col("count_mean_pctile_diff")), [G], True).alias("count_mean_pctile_rank"),
-        avg_rank(F.abs(F.col("count_mean_diff")), [G], True).alias("count_mean_rank"),
-        avg_rank(F.abs(F.col("count_smooth_diff")), [G], True).alias("count_smooth_rank"),
-        avg_rank(F.abs(F.col("count_smooth_pctile_diff")), [G], True)
-        .alias("count_smooth_pctile_rank"))
-    mr = summary.select(G, TS, avg_rank("p_Cumulative", [G]).alias("model_rank"))
+    ranks = wide.select(G, TS, *[F.abs(F.col(f"{c}_diff")).alias(f"_a_{c}") for c in
+                                 ("count_mean_pctile", "count_mean", "count_smooth",
+                                  "count_smooth_pctile")])
+    ranks = avg_ranks(reuse(ranks), [TS], [G], [
+        ("_a_count_mean_pctile", "count_mean_pctile_rank", True),
+        ("_a_count_mean", "count_mean_rank", True),
+        ("_a_count_smooth", "count_smooth_rank", True),
+        ("_a_count_smooth_pctile", "count_smooth_pctile_rank", True)])
+    ranks = ranks.select(G, TS, "count_mean_pctile_rank", "count_mean_rank", "count_smooth_rank",
+                         "count_smooth_pctile_rank")
+    mr = avg_ranks(summary.select(G, TS, "p_Cumulative"), [TS], [G],
+                   [("p_Cumulative", "model_rank", False)]).select(G, TS, "model_rank")
     rows = sm.select(G, TS, D, C).join(ranks, [G, TS]).join(mr, [G, TS], "left")
     return rows.select(G, TS, D, C, *RANK_COLUMNS)
 

@@ -46,7 +46,7 @@ def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5) -> dict
              if isinstance(m.pre_end, DataFrame) else m.pre_end["pre_end"])
     summary = reuse(RP.model_summary(m))
     count_long = DS.desc_summary_count(p)
-    smoothed = lowess_smooth(p)
+    smoothed = reuse(lowess_smooth(p))
     ranked = RP.model_ts_rank(m, p, summary, smoothed)
     out = {
         "desc_summary_count": count_long,
