@@ -144,6 +144,17 @@ def _select_peers(spark, sf_dir, cfg):
     return PE.select_peers(PE.active_rows(p, cfg["start"]), P.MAX_PEERS)
 
 
+def _peer_design(spark, sf_dir, cfg):
+    return PE.peer_design(prepared(spark, sf_dir, cfg), cfg["start"], P.MAX_PEERS)
+
+
+def _standardize(spark, sf_dir, cfg):
+    from ..functions.columns import standardize
+    s = ratio(spark, sf_dir, cfg).series
+    return s.select("group_id", "ts_id", "date",
+                    standardize("response", ["group_id", "ts_id"]).alias("scaled_response"))
+
+
 def _lowess(spark, sf_dir, cfg):
     return LO.lowess_smooth(prepared(spark, sf_dir, cfg))
 
@@ -197,6 +208,8 @@ def _ts_analysis(spark, sf_dir, cfg):
 BUILDERS = {
     "q_select_peers": _select_peers,
     "q_lowess": _lowess,
+    "q_peer_design": _peer_design,
+    "q_standardize": _standardize,
     "q_pre_post": _pre_post,
     "q_ts_rank": _ts_rank,
     "q_ts_rank_top": _ts_rank_top,

@@ -365,8 +365,8 @@ def q_deviance_mean_sd(cfg):
         "count_mean", "count_sd")
 
 
-def q_select_peers(cfg, k=P.MAX_PEERS):
-    ctes = prepared_ctes(cfg) + [
+def select_peers_ctes(cfg, k=P.MAX_PEERS):
+    return prepared_ctes(cfg) + [
         ("ar", f"SELECT group_id, ts_id, date, count, date <= {d(cfg['start'])} AS is_pre "
                "FROM p WHERE active"),
         ("so", "SELECT group_id, ts_id, avg(CASE WHEN is_pre THEN count END) AS pm FROM ar "
@@ -376,10 +376,39 @@ def q_select_peers(cfg, k=P.MAX_PEERS):
         ("o2", f"SELECT *, greatest(1, least(pos - {k // 2}, n - {k})) AS st FROM o"),
         ("t", f"SELECT group_id, ts_id, pos, unnest(range(st, least(n, st + {k}) + 1)) AS peer_pos "
               "FROM o2"),
+        ("peers", "SELECT t.group_id, t.ts_id, o.ts_id AS peer_ts_id, "
+                  "CAST(t.peer_pos AS BIGINT) AS peer_pos FROM t JOIN o ON "
+                  "t.group_id = o.group_id AND t.peer_pos = o.pos WHERE t.peer_pos <> t.pos"),
     ]
-    return with_(ctes, "SELECT t.group_id, t.ts_id, o.ts_id AS peer_ts_id, "
-                       "CAST(t.peer_pos AS BIGINT) AS peer_pos FROM t JOIN o ON "
-                       "t.group_id = o.group_id AND t.peer_pos = o.pos WHERE t.peer_pos <> t.pos")
+
+
+def q_select_peers(cfg):
+    return with_(select_peers_ctes(cfg), "SELECT * FROM peers")
+
+
+def q_peer_design(cfg):
+    ctes = select_peers_ctes(cfg) + [
+        ("pv", "SELECT peers.group_id, peers.ts_id, ar.date, ar.is_pre, peers.peer_ts_id, "
+               "peers.peer_pos, ar.count AS value FROM peers JOIN ar ON "
+               "peers.group_id = ar.group_id AND peers.peer_ts_id = ar.ts_id"),
+        ("psum", "SELECT group_id, ts_id, date, sum(value) AS ps FROM pv GROUP BY ALL"),
+        ("gt", "SELECT group_id, date, sum(count) AS tot FROM ar GROUP BY ALL"),
+        ("oth", "SELECT ar.group_id, ar.ts_id, ar.date, ar.is_pre, '(others)' AS peer_ts_id, "
+                "CAST(-1 AS BIGINT) AS peer_pos, gt.tot - ar.count - coalesce(psum.ps, 0.0) AS value "
+                "FROM ar JOIN gt USING (group_id, date) LEFT JOIN psum USING (group_id, ts_id, date)"),
+        ("me", "SELECT group_id, ts_id, date, is_pre, 'target' AS peer_ts_id, CAST(0 AS BIGINT) "
+               "AS peer_pos, count AS value FROM ar"),
+        ("des", "SELECT * FROM me UNION ALL SELECT * FROM pv UNION ALL SELECT * FROM oth"),
+    ]
+    return R(with_(ctes, "SELECT des.*, CAST(o.pos AS INTEGER) AS tpos FROM des JOIN o "
+                         "USING (group_id, ts_id)"), "value")
+
+
+def q_standardize(cfg):
+    return R(with_(ratio_ctes(cfg), (
+        "SELECT group_id, ts_id, date, (response - avg(response) OVER s) / "
+        "nullif(stddev_samp(response) OVER s, 0) AS scaled_response FROM ms "
+        "WINDOW s AS (PARTITION BY group_id, ts_id)")), "scaled_response")
 
 
 # --------------------------------------------------------------- LOWESS

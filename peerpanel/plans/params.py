@@ -59,6 +59,9 @@ SQL_QUERIES = {
     "deviance_mean_sd": ("q_deviance_mean_sd", PANEL_A),
     "select_peers": ("q_select_peers", PANEL_A),
     "select_peers_by_segment": ("q_select_peers", PANEL_C_SEGMENT),
+    "peer_design": ("q_peer_design", PANEL_A),
+    "peer_design_by_segment": ("q_peer_design", PANEL_C_SEGMENT),
+    "standardize_response": ("q_standardize", PANEL_A),
     "lowess_smooth": ("q_lowess", PANEL_A),
     "lowess_smooth_orders": ("q_lowess", PANEL_C),
     "pre_post_stats": ("q_pre_post", PANEL_C),
