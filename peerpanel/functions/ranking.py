@@ -81,6 +81,22 @@ def pct_rank_col(prefix: str = "_") -> Column:
                   (F.col(f"{prefix}min_rank") - 1) / (F.col(f"{prefix}n") - 1).cast("double"))
 
 
+def exact_median(df: DataFrame, part: Sequence[str], key: str, out: str) -> DataFrame:
+    """Interpolated median of ``key`` per partition ``(part..., out)``: the
+    mean of the values at positions floor((n+1)/2) and ceil((n+1)/2),
+    found in the rank table (no partition's values held by one task)."""
+    part = list(part)
+    p = f"_{out}_"
+    t = rank_table(df, part, key, prefix=p)
+    n, r, ties = F.col(f"{p}n"), F.col(f"{p}min_rank"), F.col(f"{p}ties")
+    lo = F.floor((n + 1) / 2)
+    hi = F.ceil((n + 1) / 2)
+    at = lambda q: (r <= q) & (q < r + ties)
+    return t.groupBy(*part).agg(
+        ((F.max(F.when(at(lo), F.col(key))) + F.max(F.when(at(hi), F.col(key)))) / 2.0)
+        .alias(out))
+
+
 def avg_ranks(df: DataFrame, ids: Sequence[str], part: Sequence[str], specs) -> DataFrame:
     """``df`` plus one averaged-ties rank column per ``(key, out,
     descending)`` in ``specs``. Each rank table is computed from ``df``

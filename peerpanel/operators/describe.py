@@ -14,6 +14,7 @@ import datetime as dt
 
 from ..functions.calendar import floor_period
 from ..functions.columns import pct_rank_nonnull
+from ..functions.ranking import exact_median
 from .prepare import C, D, G, TS, start_param, with_group_params
 
 SUMMARY_COUNT_NAMES = ("count_mean", "count_total", "timeseries_active", "timeseries_total",
@@ -111,10 +112,13 @@ def desc_summary_stats(p: DataFrame) -> DataFrame:
     t = trim_leading_zeros(p).withColumn("count_log10", F.log10(F.col(C) + 1))
     wide = t.groupBy(G, D).agg(
         F.avg(C).alias("count_mean"), F.stddev_samp(C).alias("count_sd"),
-        F.median(C).alias("count_median"),
         F.avg("count_log10").alias("count_log10_mean"),
-        F.stddev_samp("count_log10").alias("count_log10_sd"),
-        F.median("count_log10").alias("count_log10_median"))
+        F.stddev_samp("count_log10").alias("count_log10_sd"))
+    # exact medians from value frequencies per (group, date): no task holds
+    # all values of one date of a large group
+    med = exact_median(t, [G, D], C, "count_median")
+    med_log = exact_median(t, [G, D], "count_log10", "count_log10_median")
+    wide = wide.join(med, [G, D], "left").join(med_log, [G, D], "left")
     return _unpivot(wide, SUMMARY_STATS_NAMES)
 
 

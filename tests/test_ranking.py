@@ -23,3 +23,14 @@ def test_cell_ranks_equal_window_ranks(spark):
     for r in j:
         assert (r.ar is None) == (r.ar2 is None) and (r.ar is None or abs(r.ar - r.ar2) < 1e-9)
         assert (r.pr is None) == (r.pr2 is None) and (r.pr is None or abs(r.pr - r.pr2) < 1e-12)
+
+
+def test_exact_median_matches_builtin(spark):
+    from peerpanel.functions.ranking import exact_median
+
+    rows = [("a", 1.0), ("a", 3.0), ("a", 3.0), ("a", 10.0),
+            ("b", 2.0), ("b", 2.0), ("b", 5.0), ("c", 7.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m").collect()}
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}
