@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized_broadcast
+
 
 
 def rank_table(df: DataFrame, part: Sequence[str], key: str, descending: bool = False,
@@ -39,7 +41,9 @@ def rank_table(df: DataFrame, part: Sequence[str], key: str, descending: bool =
     qs = [i / cells for i in range(1, cells)]
     bounds = valid.groupBy(*part).agg(F.percentile_approx(kname, qs, 1000).alias(f"{prefix}b"))
     freq = valid.groupBy(*part, kname).agg(F.count(F.lit(1)).alias(f"{prefix}ties"))
-    freq = freq.join(bounds, part)
+    # one row per partition: broadcast after a size check, so a large
+    # partition's values are never shuffled onto one task for this join
+    freq = freq.join(sized_broadcast(bounds), part)
     freq = freq.withColumn(f"{prefix}cell", F.size(F.filter(
         f"{prefix}b", lambda b: b < F.col(kname)))).drop(f"{prefix}b")
     wcell = (Window.partitionBy(*part, f"{prefix}cell").orderBy(kname)
@@ -60,14 +64,11 @@ def rank_table(df: DataFrame, part: Sequence[str], key: str, descending: bool =
 
 def rank_stats(df: DataFrame, part: Sequence[str], key: str, descending: bool = False,
                cells: int = 64, prefix: str = "_") -> DataFrame:
-    """``df`` plus ``{prefix}min_rank, {prefix}ties`` (NULL for NULL key) and
-    ``{prefix}n`` (non-NULL rows of the partition)."""
+    """``df`` plus ``{prefix}min_rank, {prefix}ties, {prefix}n`` (all NULL for
+    a NULL key)."""
     part = list(part)
     t = rank_table(df, part, key, descending, cells, prefix)
-    n_tab = t.groupBy(*part).agg(F.first(f"{prefix}n").alias(f"{prefix}n_all"))
-    out = df.join(t.drop(f"{prefix}n"), [*part, key], "left").join(n_tab, part, "left")
-    return (out.withColumn(f"{prefix}n", F.coalesce(f"{prefix}n_all", F.lit(0)))
-            .drop(f"{prefix}n_all"))
+    return df.join(t, [*part, key], "left")
 
 
 def avg_rank_col(prefix: str = "_") -> Column:
