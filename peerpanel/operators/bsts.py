@@ -12,7 +12,9 @@ linear map of its innovations (level: cumulative sums; seasonal: impulse
 responses of the dummy recursion), so the state draw given everything
 else is one Gaussian draw with a Cholesky factor, no per-step filter.
 
-Gibbs sweep: state | beta, variances -> inclusion flag and coefficient of
+Covariates are centred on their pre-period means (the local level holds
+the series mean). Gibbs sweep: state | beta, variances -> inclusion flag
+and coefficient of
 each covariate in turn (single-site spike-and-slab update with a
 closed-form Bayes factor; the slab precision is the diagonal of the
 package default) -> observation variance -> level and seasonal
@@ -164,11 +166,12 @@ def sample_bsts_batch(Y_pre, X_pre, X_post, avail, S, niter, rng, prior=PRIOR):
                                  np.where(kinds[None] == 2, var_y[:, None], ss2[:, None])))
         P = HtH[None] * (1.0 / sigma2)[:, None, None]
         P[:, diag_q, diag_q] += 1.0 / dvar
-        Lc = np.linalg.cholesky(P)
         rhs = r @ H / sigma2[:, None] + m0 / dvar
-        eps = rng.standard_normal((B, q))
-        # P z = rhs + L eps  =>  z = mean + L^-T eps
-        z = np.linalg.solve(P, (rhs + np.einsum("bij,bj->bi", Lc, eps))[:, :, None])[:, :, 0]
+        # perturbation draw: u = H'e1/sigma + e2/sqrt(dvar) has covariance
+        # P, so the solution of P z = rhs + u is a draw from N(P^-1 rhs, P^-1)
+        u = (rng.standard_normal((B, T0)) / np.sqrt(sigma2)[:, None]) @ H \
+            + rng.standard_normal((B, q)) / np.sqrt(dvar)
+        z = np.linalg.solve(P, (rhs + u)[:, :, None])[:, :, 0]
         state = z @ H.T
         # inclusion flags and beta | state: single-site spike-and-slab
         # Gibbs, closed-form Bayes factor per coefficient (batch vectors)
@@ -312,6 +315,11 @@ def _fit_batch(pdf: pd.DataFrame, S: int, niter: int, alpha: float, seed: int,
         # covariates constant over the pre period carry no information
         avail[i, :x.shape[1]] = x[pre].std(axis=0) > 0 if x.shape[1] else False
     y_pre, y_post = Y[:, pre], Y[:, ~pre]
+    # centre every covariate on its pre-period mean: the local level carries
+    # the series mean, so a covariate's mean does not compete with it (that
+    # confounding traps the sampler in spurious inclusions)
+    if p and pre.any():
+        X = X - X[:, pre].mean(axis=1, keepdims=True)
     ok = (y_pre.shape[1] >= 3) & np.isfinite(y_pre).all(axis=1) & (y_pre.std(axis=1) > 0)
     rng = np.random.default_rng([seed, zlib.crc32(f"{g}\x00{targets[0]}".encode())])
     order_dates = np.concatenate([dates[pre], dates[~pre]])
