@@ -48,9 +48,16 @@ def main():
         times[name] = round(time.time() - t0, 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    conf = spark.conf
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": sf, "cpus": int(cpus),
-           "bsts_draws": P.NITER, "max_peers": P.MAX_PEERS}
+           "bsts_draws": P.NITER, "max_peers": P.MAX_PEERS,
+           "config": {"master": spark.sparkContext.master,
+                      "host_cpus": os.cpu_count(),
+                      "shuffle_partitions": conf.get("spark.sql.shuffle.partitions"),
+                      "aqe": conf.get("spark.sql.adaptive.enabled"),
+                      "driver_memory": conf.get("spark.driver.memory", None),
+                      "spark": spark.version}}
     print(json.dumps(out))
 
 
