@@ -100,8 +100,10 @@ def exact_median(df: DataFrame, part: Sequence[str], key: str, out: str) -> Data
 
 def avg_ranks(df: DataFrame, ids: Sequence[str], part: Sequence[str], specs) -> DataFrame:
     """``df`` plus one averaged-ties rank column per ``(key, out,
-    descending)`` in ``specs``. Each rank table is computed from ``df``
-    itself and joined back on the key (the plan grows linearly)."""
+    descending)`` in ``specs`` (NULL for NULL keys). Each rank table is
+    computed from ``df`` itself and joined back on the key, so the plan
+    grows linearly with the number of ranks. (``ids`` documents the row
+    key; one stacked pass over all keys measured slower.)"""
     out = df
     for key, name, desc in specs:
         p = f"_{name}_"
@@ -111,7 +113,7 @@ def avg_ranks(df: DataFrame, ids: Sequence[str], part: Sequence[str], specs) ->
     return out
 
 
-def pct_ranks(df: DataFrame, part: Sequence[str], specs) -> DataFrame:
+def pct_ranks(df: DataFrame, part: Sequence[str], specs, ids: Sequence[str] = ("ts_id",)) -> DataFrame:
     """``df`` plus one percent-rank column per ``(key, out)``: (min_rank -
     1) / (n - 1) over non-NULL keys; NULL for NULL keys and n <= 1."""
     out = df

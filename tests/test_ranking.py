@@ -15,7 +15,7 @@ def test_cell_ranks_equal_window_ranks(spark):
             rows.append((g, f"{g}{i}", None if i % 17 == 0 else v))
     rows.append(("c", "c0", 1.0))
     df = spark.createDataFrame(rows, "g string, id string, x double")
-    fast = pct_ranks(avg_ranks(df, ["id"], ["g"], [("x", "ar", True)]), ["g"], [("x", "pr")])
+    fast = pct_ranks(avg_ranks(df, ["id"], ["g"], [("x", "ar", True)]), ["g"], [("x", "pr")], ["id"])
     slow = df.select("g", "id", avg_rank("x", ["g"], True).alias("ar2"),
                      pct_rank_nonnull("x", ["g"]).alias("pr2"))
     j = fast.join(slow, ["g", "id"]).collect()
