@@ -98,6 +98,10 @@ def _changepoint(spark, sf_dir, cfg):
     return CP.detect_changepoint(raw_panel(spark, sf_dir, cfg), num_cpts=1)
 
 
+def _changepoint_2(spark, sf_dir, cfg):
+    return CP.detect_changepoint(raw_panel(spark, sf_dir, cfg), num_cpts=2)
+
+
 def _changepoint_3(spark, sf_dir, cfg):
     return CP.detect_changepoint(raw_panel(spark, sf_dir, cfg), num_cpts=3, include_model=True)
 
@@ -227,6 +231,7 @@ BUILDERS = {
     "q_deviance_mean_sd": _deviance_mean_sd,
     "q_month_complete": _month_complete,
     "q_changepoint": _changepoint,
+    "q_changepoint_2": _changepoint_2,
     "q_changepoint_3": _changepoint_3,
     "q_changepoint_nested": _changepoint_nested,
     "q_bucket_sum": _bucket_sum,

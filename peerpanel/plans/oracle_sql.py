@@ -246,6 +246,38 @@ def changepoint_ctes(cfg):
 CP_DOUBLES = ("before_mean", "after_mean", "mean_change", "pct_change")
 
 
+def q_changepoint_2(cfg):
+    """Two rounds: the round-1 split cuts the series in two segments, the
+    best split inside either segment is round 2; a round's point is kept if
+    the running minimum of the gains reaches the penalty."""
+    ctes = changepoint_ctes(cfg) + [
+        ("b1", "SELECT group_id, i AS k1, gain AS g1 FROM best WHERE rk = 1"),
+        ("x2", "SELECT x.*, CASE WHEN x.i <= b1.k1 THEN 1 ELSE b1.k1 + 1 END AS seg "
+               "FROM x JOIN b1 USING (group_id)"),
+        ("h2", "SELECT *, sum(xc) OVER w AS s1, sum(xc * xc) OVER w AS s2, "
+               "sum(xc) OVER (PARTITION BY group_id, seg) AS t1, "
+               "sum(xc * xc) OVER (PARTITION BY group_id, seg) AS t2, "
+               "count(*) OVER (PARTITION BY group_id, seg) AS ns FROM x2 "
+               "WINDOW w AS (PARTITION BY group_id, seg ORDER BY i ROWS BETWEEN UNBOUNDED "
+               "PRECEDING AND CURRENT ROW)"),
+        ("hh2", "SELECT *, (t2 - t1 * t1 / ns) - (s2 - s1 * s1 / (i - seg + 1)) - ((t2 - s2) - "
+                "(t1 - s1) * (t1 - s1) / (ns - (i - seg + 1))) + ln(ns) - ln(i - seg + 1) "
+                "- ln(ns - (i - seg + 1)) AS gain FROM h2 WHERE ns - (i - seg + 1) > 0"),
+        ("b2", "SELECT group_id, i AS k2, gain AS g2 FROM (SELECT *, row_number() OVER "
+               "(PARTITION BY group_id ORDER BY gain DESC, i) AS rk FROM hh2) WHERE rk = 1"),
+        ("pts", "SELECT group_id, k1 AS k, g1 AS rec FROM b1 UNION ALL "
+                "SELECT group_id, k2 AS k, least(g1, g2) AS rec FROM b1 JOIN b2 USING (group_id)"),
+        ("cp", "SELECT g.group_id, g.date AS change_date, g.cum / g.i AS before_mean, "
+               "(g.tot - g.cum) / (g.n - g.i) AS after_mean FROM pts JOIN g "
+               "ON pts.group_id = g.group_id AND pts.k = g.i WHERE pts.rec >= 3 * ln(g.n)"),
+        ("cp2", "SELECT *, after_mean - before_mean AS mean_change, CASE WHEN before_mean <> 0 "
+                "THEN (after_mean - before_mean) / before_mean END AS pct_change FROM cp"),
+    ]
+    ctes = [c for c in ctes if c[0] not in ("cp", "cp2")][:len(changepoint_ctes(cfg)) - 2] + \
+        [c for c in ctes[len(changepoint_ctes(cfg)):]]
+    return R(with_(ctes, "SELECT * FROM cp2"), *CP_DOUBLES)
+
+
 def q_changepoint(cfg):
     return R(with_(changepoint_ctes(cfg), "SELECT * FROM cp2"), *CP_DOUBLES)
 

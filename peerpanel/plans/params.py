@@ -47,6 +47,8 @@ SQL_QUERIES = {
     "detect_changepoint_orders": ("q_changepoint", PANEL_C),
     "detect_changepoint_by_segment": ("q_changepoint", PANEL_C_SEGMENT),
     "detect_changepoint_nested": ("q_changepoint_nested", PANEL_A),
+    "detect_changepoint_2": ("q_changepoint_2", PANEL_A),
+    "detect_changepoint_2_day": ("q_changepoint_2", PANEL_B),
     "counterfactual_effects": ("q_ratio_effects", PANEL_A),
     "counterfactual_series": ("q_ratio_series", PANEL_A),
     "model_summary": ("q_model_summary", PANEL_A),

@@ -9,7 +9,7 @@ import __spark_entry__ as E  # noqa: E402
 def test_registry_has_oracles_for_sql_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert len(o) >= 47
+    assert len(o) >= 49
 
 
 def test_entry_runs(spark):
