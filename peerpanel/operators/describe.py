@@ -14,7 +14,7 @@ import datetime as dt
 
 from ..functions.calendar import floor_period
 from ..functions.columns import pct_rank_nonnull
-from ..functions.ranking import exact_median
+from ..functions.ranking import exact_median, pct_rank_col, rank_table
 from .prepare import C, D, G, TS, start_param, with_group_params
 
 SUMMARY_COUNT_NAMES = ("count_mean", "count_total", "timeseries_active", "timeseries_total",
@@ -123,21 +123,24 @@ def desc_summary_stats(p: DataFrame) -> DataFrame:
 
 
 def _ntile_rows(rows: DataFrame, part, key, tiebreak, n: int, out: str) -> DataFrame:
-    """``ntile(n)`` over ``part`` ordered by ``key`` then ``tiebreak``,
-    without sorting a whole partition in one task.
-
-    The row number is split into the rows before the row's (key, date)
-    cell - a running sum over the much smaller table of cell sizes - plus
-    the position inside the cell. Bucket sizes follow SQL NTILE: the
-    first ``L mod n`` buckets hold one row more.
+    """``ntile(n)`` over ``part`` ordered by ``key``, then date, then
+    ``tiebreak``, without sorting a partition in one task.
+
+    Row number = rows with a smaller key (exact rank table over the key,
+    ``functions/ranking.py``) + rows with the same key on earlier dates (a
+    running sum over at most one row per date) + the position inside the
+    (key, date) cell. Bucket sizes follow SQL NTILE: the first ``L mod n``
+    buckets hold one row more.
     """
+    part = list(part)
+    ranks = rank_table(rows, part, key, prefix="_q").select(
+        *part, key, (F.col("_qmin_rank") - 1).alias("_off_key"), F.col("_qn").alias("_L"))
     cell = [*part, key, D]
     sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c"))
-    wcum = Window.partitionBy(*part).orderBy(key, D).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (sizes.withColumn("_off", F.coalesce(F.sum("_c").over(wcum), F.lit(0)))
-             .withColumn("_L", F.sum("_c").over(Window.partitionBy(*part))))
-    r = rows.join(sizes, cell)
-    r = r.withColumn("_r", F.col("_off") + F.row_number().over(
+    wdate = Window.partitionBy(*part, key).orderBy(D).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_off_date", F.coalesce(F.sum("_c").over(wdate), F.lit(0)))
+    r = rows.join(ranks, [*part, key]).join(sizes.drop("_c"), cell)
+    r = r.withColumn("_r", F.col("_off_key") + F.col("_off_date") + F.row_number().over(
         Window.partitionBy(*cell).orderBy(*tiebreak)))
     L = F.col("_L")
     n_larger = L % n
@@ -146,7 +149,7 @@ def _ntile_rows(rows: DataFrame, part, key, tiebreak, n: int, out: str) -> DataF
     thr = larger * n_larger
     bucket = F.when(F.col("_r") <= thr, F.floor((F.col("_r") + larger - 1) / larger)) \
         .otherwise(F.floor((F.col("_r") - thr + smaller - 1) / smaller) + n_larger)
-    return r.withColumn(out, bucket.cast("long")).drop("_c", "_off", "_L", "_r")
+    return r.withColumn(out, bucket.cast("long")).drop("_off_key", "_off_date", "_L", "_r")
 
 
 def desc_quantile_timeseries(p: DataFrame, start_date, n_quantiles: int = 3) -> DataFrame:
@@ -161,14 +164,8 @@ def desc_quantile_timeseries(p: DataFrame, start_date, n_quantiles: int = 3) ->
     t = t.withColumn("period", F.when(F.col(D) <= F.col("start_date"), "pre").otherwise("post"))
     t = t.withColumn("med_count", F.median(C).over(Window.partitionBy(G, "period", TS)))
     t = _ntile_rows(t, [G, "period"], "med_count", ["active", TS], n_quantiles, "quantile")
-    # within-date percent rank from the per-date value frequencies
-    freq = t.groupBy(G, D, C).agg(F.count(F.lit(1)).alias("_f"))
-    wl = Window.partitionBy(G, D).orderBy(C).rowsBetween(Window.unboundedPreceding, -1)
-    freq = (freq.withColumn("_less", F.coalesce(F.sum("_f").over(wl), F.lit(0)))
-            .withColumn("_n", F.sum("_f").over(Window.partitionBy(G, D)))
-            .withColumn("_pr", F.when(F.col("_n") > 1,
-                                      F.col("_less") / (F.col("_n") - 1).cast("double")))
-            .select(G, D, C, "_pr"))
+    # within-date percent rank from the exact rank table of the counts
+    freq = rank_table(t, [G, D], C, prefix="_p").select(G, D, C, pct_rank_col("_p").alias("_pr"))
     cells = t.groupBy(G, D, "quantile", C).agg(F.count(F.lit(1)).alias("_k"))
     x = cells.join(freq, [G, D, C])
     return (x.groupBy(G, D, "quantile").agg(
