@@ -15,6 +15,7 @@ import datetime as dt
 from ..functions.calendar import floor_period
 from ..functions.columns import pct_rank_nonnull
 from ..functions.ranking import exact_median, pct_rank_col, rank_table
+from ..session import reuse
 from .prepare import C, D, G, TS, start_param, with_group_params
 
 SUMMARY_COUNT_NAMES = ("count_mean", "count_total", "timeseries_active", "timeseries_total",
@@ -109,7 +110,8 @@ def desc_summary_count_plot(long: DataFrame) -> DataFrame:
 def desc_summary_stats(p: DataFrame) -> DataFrame:
     """Long table of per-date mean / sample sd / median of the count and
     of ``log10(count + 1)`` (NULL where count + 1 <= 0)."""
-    t = trim_leading_zeros(p).withColumn("count_log10", F.log10(F.col(C) + 1))
+    t = reuse(trim_leading_zeros(p).select(G, D, C)
+              .withColumn("count_log10", F.log10(F.col(C) + 1)))
     wide = t.groupBy(G, D).agg(
         F.avg(C).alias("count_mean"), F.stddev_samp(C).alias("count_sd"),
         F.avg("count_log10").alias("count_log10_mean"),
@@ -163,7 +165,10 @@ def desc_quantile_timeseries(p: DataFrame, start_date, n_quantiles: int = 3) ->
     t = with_group_params(trim_leading_zeros(p), start_param(start_date))
     t = t.withColumn("period", F.when(F.col(D) <= F.col("start_date"), "pre").otherwise("post"))
     t = t.withColumn("med_count", F.median(C).over(Window.partitionBy(G, "period", TS)))
-    t = _ntile_rows(t, [G, "period"], "med_count", ["active", TS], n_quantiles, "quantile")
+    # the rank tables below read their input several times: materialise it
+    t = reuse(t.select(G, TS, "active", D, C, "period", "med_count"))
+    t = reuse(_ntile_rows(t, [G, "period"], "med_count", ["active", TS], n_quantiles, "quantile")
+              .select(G, TS, D, C, "quantile"))
     # within-date percent rank from the exact rank table of the counts
     freq = rank_table(t, [G, D], C, prefix="_p").select(G, D, C, pct_rank_col("_p").alias("_pr"))
     cells = t.groupBy(G, D, "quantile", C).agg(F.count(F.lit(1)).alias("_k"))
