@@ -102,3 +102,19 @@ def test_partition_invariance(spark):
                       for r in df.collect())
 
     assert rows(DS.desc_summary_stats(p)) == rows(DS.desc_summary_stats(p.repartition(3)))
+
+
+def test_peer_window_clamps_at_ends(spark):
+    from peerpanel.operators.peers import active_rows, select_peers
+
+    rows = []
+    for s in range(1, 7):
+        for k, d in enumerate(pd.date_range("2024-01-01", periods=4, freq="D")):
+            rows.append(("g", f"s{s}", d.date(), True, float(s * 10 + k)))
+    p = spark.createDataFrame(pd.DataFrame(rows, columns=["group_id", "ts_id", "date", "active",
+                                                          "count"]))
+    got = {}
+    for r in select_peers(active_rows(p, dt.date(2024, 1, 2)), 2).collect():
+        got.setdefault(r.ts_id, set()).add(r.peer_ts_id)
+    assert got["s1"] == {"s2", "s3"} and got["s6"] == {"s4", "s5"}
+    assert got["s3"] == {"s2", "s4"} and all(len(v) == 2 for v in got.values())
