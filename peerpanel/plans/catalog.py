@@ -200,6 +200,10 @@ def _ts_peers(spark, sf_dir, cfg):
     return RP.peer_contributions(bayes(spark, sf_dir, cfg), deviating_only=False)
 
 
+def _ts_peers_plot(spark, sf_dir, cfg):
+    return RP.peer_plot_rows(_ts_peers(spark, sf_dir, cfg))
+
+
 def _ts_analysis(spark, sf_dir, cfg):
     from . import pipeline as PL
     out = PL.ts_analysis(raw_panel(spark, sf_dir, cfg), start_date=cfg["start"],
@@ -221,6 +225,7 @@ BUILDERS = {
     "q_bsts_series": _bsts_series,
     "q_peer_coef_stats": _peer_coef_stats,
     "q_ts_peers": _ts_peers,
+    "q_ts_peers_plot": _ts_peers_plot,
     "q_ts_analysis": _ts_analysis,
     "q_ratio_effects": _ratio_effects,
     "q_ratio_series": _ratio_series,

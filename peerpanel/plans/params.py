@@ -79,5 +79,6 @@ SPARK_ONLY = {
     "causal_impact_series": ("q_bsts_series", PANEL_A_NATION),
     "peer_coef_stats": ("q_peer_coef_stats", PANEL_A_NATION),
     "model_ts_peers": ("q_ts_peers", PANEL_A_NATION),
+    "model_ts_peers_plot": ("q_ts_peers_plot", PANEL_A_NATION),
     "ts_analysis": ("q_ts_analysis", PANEL_A),
 }
