@@ -7,22 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import line_dedup, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: lines, lines removed and the text that is left."""
+    out = line_dedup.drop_repeated_windows(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+                      F.col("text").alias("kept_text"))
+
+
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: fingerprint in hex and smallest linked doc_id."""
     out = simhash.simhash_near_duplicates(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS win
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l WHERE len(ls) >= 3)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS rn
+      FROM w WHERE regexp_matches(win, '[^ \t\n\r\f\x0B]')),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM f, (VALUES (0), (1), (2)) v(d) WHERE rn > 1),
+each_line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t
+         FROM each_line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT l.doc_id, CAST(len(ls) AS INTEGER) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS INTEGER) AS n_removed,
+       coalesce(t, '') AS kept_text
+FROM l LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash_near_dup,)}
+    return {f.__name__: f for f in (op3_line_dedup, op8_simhash_near_dup,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
