@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash
+from . import line_dedup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("text").alias("kept_text"))
 
 
+def _fold(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: held-out fold, score and the decision at 0.7."""
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held = F.coalesce(_fold(3) == 1, F.lit(False))
+    out = toxicity.toxicity(docs, labels, ~held)
+    return out.select("doc_id", held.alias("held_out"), "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: fingerprint in hex and smallest linked doc_id."""
     out = simhash.simhash_near_duplicates(_read(spark, sf_dir, "documents"))
@@ -44,7 +57,7 @@ FROM l LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op8_simhash_near_dup,)}
+    return {f.__name__: f for f in (op3_line_dedup, op6_toxicity, op8_simhash_near_dup,)}
 
 
 def oracle_sql() -> dict[str, str]:
