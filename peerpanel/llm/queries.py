@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash, toxicity
+from . import decontaminate, line_dedup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("text").alias("kept_text"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: words, words hit by benchmark windows, items."""
+    return decontaminate.digest(decontaminate.find_matches(_read(spark, sf_dir, "documents"),
+                                                           _read(spark, sf_dir, "benchmark")))
+
+
 def _fold(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
@@ -56,9 +62,34 @@ FROM l LEFT JOIN kept USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH lowered AS (
+    SELECT 'd' AS side, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+    UNION ALL
+    SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(coalesce(t, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+items AS (SELECT id, ws, least(10, len(ws)) AS n FROM w WHERE side = 'b' AND len(ws) > 0),
+test AS (SELECT DISTINCT id AS item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win
+         FROM (SELECT id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM items)),
+train AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win
+          FROM (SELECT id AS doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i
+                FROM (SELECT * FROM w WHERE side = 'd') d, (SELECT DISTINCT n FROM items) s WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM train JOIN test USING (n, win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS list
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM (SELECT * FROM w WHERE side = 'd') d
+LEFT JOIN covered ON covered.doc_id = d.id LEFT JOIN found ON found.doc_id = d.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op6_toxicity, op8_simhash_near_dup,)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_toxicity, op8_simhash_near_dup,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}

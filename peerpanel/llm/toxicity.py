@@ -261,8 +261,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, m: int, l2: float = 0.05,
-             rounds: int = 400) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, m: int, l2: float = 0.01,
+             rounds: int = 800) -> tuple[np.ndarray, float]:
     """L2 logistic regression on 0/1 features given as (row, column) pairs."""
     n = max(1, len(y))
     rate = np.clip(y.mean() if len(y) else 0.0, 1 / (n + 2), 1 - 1 / (n + 2))
