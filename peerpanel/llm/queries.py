@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, simhash, toxicity
+from . import bpe, decontaminate, line_dedup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                            _read(spark, sf_dir, "benchmark")))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: token count, hashes of the ids and of the decoded text."""
+    out = bpe.encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def _fold(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
@@ -88,7 +99,7 @@ LEFT JOIN covered ON covered.doc_id = d.id LEFT JOIN found ON found.doc_id = d.i
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_toxicity, op8_simhash_near_dup,)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op5_bpe, op6_toxicity, op8_simhash_near_dup,)}
 
 
 def oracle_sql() -> dict[str, str]:
