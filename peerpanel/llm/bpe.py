@@ -221,6 +221,12 @@ def _vocabulary(path: str) -> Vocabulary:
     return _KEPT[path]
 
 
+PIECES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("parts", pa.int32()),
+                    ("text", pa.string()), ("a", pa.bool_()), ("b", pa.bool_())])
+PARTS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("parts", pa.int32()),
+                   ("ids", pa.list_(pa.int32())), ("head", pa.int32()), ("tail", pa.int32())])
+
+
 def _long_ids(docs: DataFrame, path: str, piece: int) -> DataFrame:
     """``(k1, k2, ids)`` of ``docs(k1, k2, text)``: pieces encoded apart, then
     joined pairwise, round by round."""
@@ -232,7 +238,7 @@ def _long_ids(docs: DataFrame, path: str, piece: int) -> DataFrame:
                 inside = False
                 for n, (p, to) in enumerate(cut):
                     yield pa.RecordBatch.from_pylist([{"k1": r["k1"], "k2": r["k2"], "n": n, "parts": len(cut),
-                                                       "text": r["text"][at:p], "a": inside, "b": to}])
+                                                       "text": r["text"][at:p], "a": inside, "b": to}], PIECES)
                     at, inside = p, to
 
     def encode(batches):
@@ -248,11 +254,8 @@ def _long_ids(docs: DataFrame, path: str, piece: int) -> DataFrame:
                     e.head = e._run(t, 1) if r["a"] else 0
                     e.tail = e._run(t, -1) if r["b"] else 0
                     p = e
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["k1"]]), pa.array([r["k2"]]), pa.array([r["n"]], pa.int32()),
-                     pa.array([r["parts"]], pa.int32()), pa.array([p.ids], pa.list_(pa.int32())),
-                     pa.array([p.head], pa.int32()), pa.array([p.tail], pa.int32())],
-                    ["k1", "k2", "n", "parts", "ids", "head", "tail"])
+                yield pa.RecordBatch.from_pylist([{"k1": r["k1"], "k2": r["k2"], "n": r["n"], "parts": r["parts"],
+                                                   "ids": p.ids, "head": p.head, "tail": p.tail}], PARTS)
 
     def join(batches):
         v = _vocabulary(path)
@@ -262,11 +265,8 @@ def _long_ids(docs: DataFrame, path: str, piece: int) -> DataFrame:
                 p = Part(v, None, False, got[0]["ids"], got[0]["head"], got[0]["tail"])
                 for x in got[1:]:
                     p = p + Part(v, None, False, x["ids"], x["head"], x["tail"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["k1"]]), pa.array([r["k2"]]), pa.array([r["n"]], pa.int32()),
-                     pa.array([r["parts"]], pa.int32()), pa.array([p.ids], pa.list_(pa.int32())),
-                     pa.array([p.head], pa.int32()), pa.array([p.tail], pa.int32())],
-                    ["k1", "k2", "n", "parts", "ids", "head", "tail"])
+                yield pa.RecordBatch.from_pylist([{"k1": r["k1"], "k2": r["k2"], "n": r["n"], "parts": r["parts"],
+                                                   "ids": p.ids, "head": p.head, "tail": p.tail}], PARTS)
 
     n = partitions(docs.sparkSession)
     pieces = docs.mapInArrow(split, "k1 long, k2 long, n int, parts int, text string, a boolean, b boolean")
