@@ -332,15 +332,12 @@ def decode(v: Vocabulary, ids) -> str:
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(doc_id, text)`` from token ids; null ids are empty."""
-    kind = encoded.schema[id_col].dataType.simpleString()
-
-    def scan(batches):
+    """``encoded`` with a column ``text`` decoded from the token ids; null ids are
+    empty."""
+    @F.arrow_udf("string")
+    def text_of(ids: pa.Array) -> pa.Array:
         v = _vocabulary(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([decode(v, x or []) for x in b.column(1).to_pylist()], pa.string())],
-                ["doc_id", "text"])
+        return pa.array([decode(v, x or []) for x in ids.to_pylist()], pa.string())
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")) \
-        .mapInArrow(scan, f"doc_id {kind}, text string")
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"),
+                          text_of(F.col(ids_col)).alias("text"))
