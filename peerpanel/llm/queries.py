@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, simhash, toxicity
+from . import bpe, decontaminate, embed_dedup, line_dedup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -98,8 +98,14 @@ LEFT JOIN covered ON covered.doc_id = d.id LEFT JOIN found ON found.doc_id = d.i
 """
 
 
+def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: links at cosine >= 0.9, component, kept or not."""
+    return embed_dedup.embedding_near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op5_bpe, op6_toxicity, op8_simhash_near_dup,)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op5_bpe, op6_toxicity, op8_simhash_near_dup,
+                                   op10_embedding_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
