@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, line_dedup, simhash, toxicity
+from . import bpe, decontaminate, embed_dedup, langid, line_dedup, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: held-out fold, predicted language and its share."""
+    docs = _read(spark, sf_dir, "documents")
+    held = F.coalesce(_fold(4) == 2, F.lit(False))
+    out = langid.identify(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines, lines removed and the text that is left."""
     out = line_dedup.drop_repeated_windows(_read(spark, sf_dir, "documents"))
@@ -104,7 +112,7 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op5_bpe, op6_toxicity, op8_simhash_near_dup,
+    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_decontamination, op5_bpe, op6_toxicity, op8_simhash_near_dup,
                                    op10_embedding_near_dup)}
 
 
