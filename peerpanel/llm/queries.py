@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, langid, line_dedup, simhash, toxicity
+from . import bpe, decontaminate, embed_dedup, langid, line_dedup, simhash, token_output, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -106,6 +106,12 @@ LEFT JOIN covered ON covered.doc_id = d.id LEFT JOIN found ON found.doc_id = d.i
 """
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the shards that hold all documents' sequences in training order."""
+    return token_output.write_shards(_read(spark, sf_dir, "documents"), tokenizer_path(),
+                                     token_output.new_root(spark), key=20240607)
+
+
 def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vector: links at cosine >= 0.9, component, kept or not."""
     return embed_dedup.embedding_near_duplicates(_read(spark, sf_dir, "embeddings"))
@@ -113,7 +119,7 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_decontamination, op5_bpe, op6_toxicity, op8_simhash_near_dup,
-                                   op10_embedding_near_dup)}
+                                   op9_token_output, op10_embedding_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
