@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, langid, line_dedup, simhash, token_output, toxicity
+from . import bpe, decontaminate, embed_dedup, langid, license_scan, line_dedup, simhash, token_output, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def document_path() -> Column:
+    """Documents as files: by source, language and length class."""
+    kind = F.when(F.length("text") < 1000, F.lit("")).when(F.length("text") < 3000, F.concat("lang", F.lit("/"))) \
+        .otherwise(F.concat("lang", F.lit("/long/")))
+    return F.concat("source", F.lit("/"), kind, F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, taken as a file: own licence, its cosine, the licence
+    in force and the directory it comes from. A document that states a licence
+    word for word is a licence file of its directory."""
+    files = _read(spark, sf_dir, "documents").select(document_path().alias("path"), "text")
+    out = license_scan.license_scan(files, gives=F.col("score") >= 0.99)
+    return out.select("path", "own", F.round("score", 6).alias("score"), "licence", "from_dir")
+
+
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: fingerprint in hex and smallest linked doc_id."""
     out = simhash.simhash_near_duplicates(_read(spark, sf_dir, "documents"))
@@ -118,8 +134,9 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_decontamination, op5_bpe, op6_toxicity, op8_simhash_near_dup,
-                                   op9_token_output, op10_embedding_near_dup)}
+    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_decontamination, op5_bpe,
+                                   op6_toxicity, op7_license_scan, op8_simhash_near_dup, op9_token_output,
+                                   op10_embedding_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
