@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, langid, license_scan, line_dedup, simhash, token_output, toxicity
+from . import bpe, decontaminate, embed_dedup, langid, license_scan, line_dedup, simhash, suffix_dedup, token_output, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: bytes, bytes in repeated 200-byte strings, what is left."""
+    return suffix_dedup.drop_repeats(_read(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines, lines removed and the text that is left."""
     out = line_dedup.drop_repeated_windows(_read(spark, sf_dir, "documents"))
@@ -134,7 +139,7 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_line_dedup, op4_decontamination, op5_bpe,
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op4_decontamination, op5_bpe,
                                    op6_toxicity, op7_license_scan, op8_simhash_near_dup, op9_token_output,
                                    op10_embedding_near_dup)}
 
