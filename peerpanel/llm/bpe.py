@@ -337,7 +337,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
         v = _vocabulary(path)
-        return pa.array([decode(v, x or []) for x in ids.to_pylist()], pa.string())
+        return pa.array([decode(v, x.values.to_numpy()) if x.is_valid else "" for x in ids], pa.string())
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"),
                           text_of(F.col(ids_col)).alias("text"))

@@ -59,13 +59,13 @@ def covered_runs(windows: DataFrame, width: int) -> DataFrame:
 
 
 def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                          width: int = 3) -> DataFrame:
-    """``docs`` with repeated windows cut from the text, plus ``_n_lines`` and
-    ``_n_removed``."""
+                          width: int = 3, counts: bool = True) -> DataFrame:
+    """``docs`` with repeated windows cut from the text; ``counts`` adds
+    ``_n_lines`` and ``_n_removed``."""
     k1, k2 = row_keys(id_col, text_col)
     names = docs.columns
     runs = covered_runs(line_windows(docs, id_col, text_col, width), width)
-    both = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), k1.alias("_k1"), k2.alias("_k2")) \
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), k1.alias("_k1"), k2.alias("_k2")) \
         .join(runs, KEY, "left")
     both = both.withColumn("_l", _lines(f"_row.{text_col}"))
     gap = lambda j: F.slice(  # noqa: E731  lines between run j - 1 and run j
@@ -76,5 +76,6 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cut = F.aggregate("_runs", F.lit(0), lambda a, r: a + r["e"] - r["s"])
     text = F.when(F.col("_runs").isNull(), F.coalesce(F.col("_row")[text_col], F.lit(""))).otherwise(kept)
     cols = [(text if c == text_col else F.col("_row")[c]).alias(c) for c in names]
-    return both.select(*cols, F.size("_l").alias("_n_lines"),
-                       F.when(F.col("_runs").isNull(), 0).otherwise(cut).alias("_n_removed"))
+    if counts:
+        cols += [F.size("_l").alias("_n_lines"), F.when(F.col("_runs").isNull(), 0).otherwise(cut).alias("_n_removed")]
+    return both.select(*cols)
