@@ -20,12 +20,11 @@ number of dates, bounded by the calendar, not by the data volume.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_steps
+from ..session import reuse
 from .prepare import C, D, G
 
 
@@ -77,27 +76,33 @@ def detect_changepoint(panel: DataFrame, num_cpts: int = 1, penalty="MBIC",
     ``include_data`` adds ``data array<struct<date,count>>`` (the completed
     series), ``include_model`` adds ``gain, penalty, cpt_round``.
     """
-    series = group_total_month_complete(panel)
+    # a row per date and group: stored, so every round plans from the same
+    # small table and the raw panel is scanned once
+    series = reuse(group_total_month_complete(panel))
     wg = Window.partitionBy(G)
     x = (series.withColumn("i", F.row_number().over(wg.orderBy(D)))
          .withColumn("n", F.count(F.lit(1)).over(wg))
          .withColumn("xc", F.col(C) - F.avg(C).over(wg))
          .withColumn("seg", F.lit(1)))
+    x = reuse(x)
     mbic = penalty == "MBIC"
     found = None
     for q in range(1, num_cpts + 1):
         g = _split_gains(x.select(G, D, C, "i", "n", "xc", "seg"), mbic)
-        best = (g.where(F.col("gain").isNotNull())
+        best = reuse(g.where(F.col("gain").isNotNull())
                 .groupBy(G).agg(F.max(F.struct(F.col("gain"), (-F.col("i")).alias("ni"))).alias("b"))
                 .select(G, F.col("b.gain").alias("gain"), (-F.col("b.ni")).alias("k"),
                         F.lit(q).alias("cpt_round")))
         found = best if found is None else found.unionByName(best)
+        if q == num_cpts:
+            break
         # cut the chosen segment after k
         kseg = g.join(best.select(G, "k"), G, "left")
         kseg = kseg.withColumn("kseg", F.max(F.when(F.col("i") == F.col("k"), F.col("seg")))
                                .over(Window.partitionBy(G)))
-        x = kseg.withColumn("seg", F.when((F.col("seg") == F.col("kseg")) & (F.col("i") > F.col("k")),
-                                          F.col("k") + 1).otherwise(F.col("seg")))
+        x = reuse(kseg.select(
+            G, D, C, "i", "n", "xc", F.when((F.col("seg") == F.col("kseg")) & (F.col("i") > F.col("k")),
+                                            F.col("k") + 1).otherwise(F.col("seg")).alias("seg")))
     wr = Window.partitionBy(G).orderBy("cpt_round").rowsBetween(Window.unboundedPreceding, 0)
     n_per_group = x.groupBy(G).agg(F.first("n").alias("n"))
     found = (found.withColumn("record", F.min("gain").over(wr))
@@ -136,6 +141,3 @@ def explode_data(cpts: DataFrame) -> DataFrame:
     return (cpts.select(*cols, F.explode("data").alias("_d"))
             .select(*cols, F.col("_d.date").alias(D), F.col("_d.count").alias(C)))
 
-
-def mbic_penalty(n: int) -> float:
-    return 3.0 * math.log(n)

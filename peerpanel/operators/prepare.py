@@ -80,7 +80,8 @@ def bucket_stats(panel: DataFrame, period: str) -> DataFrame:
     check_period(period)
     return (panel.withColumn("_raw", F.col(D)).withColumn(D, floor_period(D, period))
             .groupBy(G, TS, D).agg(F.sum(C).alias(C), F.count(F.lit(1)).alias("_n"),
-                                   F.min("_raw").alias("_r0"), F.max("_raw").alias("_r1")))
+                                   F.min("_raw").alias("_r0"), F.max("_raw").alias("_r1"),
+                                   F.count_if(F.col(C).isNull()).alias("_null")))
 
 
 def _months(buckets: DataFrame) -> DataFrame:
@@ -153,9 +154,40 @@ def densify(buckets: DataFrame, series: DataFrame, period: str) -> DataFrame:
             .select(G, TS, "active", D, F.coalesce(F.col(C), F.lit(0.0)).alias(C)))
 
 
+LISTED = 20  # groups named in one error message
+
+
+def _named(rows) -> str:
+    """Failing groups of an error, at most ``LISTED``; says when there are more."""
+    more = " (and more groups)" if len(rows) > LISTED else ""
+    return "; ".join(rows[:LISTED]) + more
+
+
+def check_starts(groups: DataFrame, start: DataFrame) -> None:
+    """Every group has exactly one start date, else ``PanelError``."""
+    n = start.groupBy(G).agg(F.count(F.lit(1)).alias("n"), F.count("start_date").alias("dates"))
+    bad = (groups.select(G).distinct().join(n, G, "left")
+           .where(F.col("n").isNull() | (F.col("n") != 1) | (F.col("dates") != 1))
+           .orderBy(G).limit(LISTED + 1).collect())
+    if bad:
+        raise PanelError("start dates: " + _named(
+            [f"group {r[G]}: {'none' if not r.n or not r.dates else f'{r.n} rows'}" for r in bad]))
+
+
+def check_nulls(buckets: DataFrame) -> None:
+    """NULL dates and NULL counts are errors: they would silently vanish or
+    turn into zeros in the dense grid."""
+    bad = (buckets.groupBy(G).agg(F.sum(F.when(F.col(D).isNull(), F.col("_n")).otherwise(0)).alias("dates"),
+                                  F.sum("_null").alias("counts"))
+           .where((F.col("dates") > 0) | (F.col("counts") > 0)).orderBy(G).limit(LISTED + 1).collect())
+    if bad:
+        raise PanelError(_named([f"group {r[G]}: {r.dates} rows without a date, {r.counts} without a count"
+                                 for r in bad]))
+
+
 def check_inputs(buckets: DataFrame, params, min_timeseries: int) -> None:
     """Row-count and start-date range checks from the bucket table, one
-    aggregate per group; only failing groups (at most 20) come back."""
+    aggregate per group; only failing groups come back."""
     p = with_group_params(buckets, params)
     agg = (p.groupBy(G).agg(
         F.sum("_n").alias("n_rows"), F.min("_r0").alias("d_min"), F.max("_r1").alias("d_max"),
@@ -164,7 +196,7 @@ def check_inputs(buckets: DataFrame, params, min_timeseries: int) -> None:
     need = F.lit(int(min_timeseries)) * (F.col("min_pre") + F.col("min_post"))
     bad = agg.where((F.col("n_rows") < need)
                     | ~F.col("start_date").between(F.col("d_min"), F.col("d_max")))
-    rows = bad.limit(20).collect()
+    rows = bad.orderBy(G).limit(LISTED + 1).collect()
     if rows:
         msgs = []
         for r in rows:
@@ -174,15 +206,15 @@ def check_inputs(buckets: DataFrame, params, min_timeseries: int) -> None:
             else:
                 msgs.append(f"group {r.group_id}: not enough rows {r.n_rows} < "
                             f"{min_timeseries * (r.min_pre + r.min_post)}")
-        raise PanelError("; ".join(msgs))
+        raise PanelError(_named(msgs))
 
 
 def check_active(series: DataFrame, min_timeseries: int) -> None:
     bad = (series.groupBy(G).agg(F.count_if("active").alias("n_active"))
-           .where(F.col("n_active") < int(min_timeseries)).limit(20).collect())
+           .where(F.col("n_active") < int(min_timeseries)).orderBy(G).limit(LISTED + 1).collect())
     if bad:
-        raise PanelError("Does not meet minimum number of timeseries: " + "; ".join(
-            f"group {r.group_id}: {r.n_active} < {min_timeseries}" for r in bad))
+        raise PanelError("Does not meet minimum number of timeseries: " + _named(
+            [f"group {r.group_id}: {r.n_active} < {min_timeseries}" for r in bad]))
 
 
 def prepare_panel(panel: DataFrame, start_date, period: str = "month",
@@ -201,6 +233,10 @@ def prepare_panel(panel: DataFrame, start_date, period: str = "month",
     stats = bucket_stats(panel, period)
     if validate or min_pre_periods is None or min_post_periods is None:
         stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    if validate:
+        check_nulls(stats)
+        if isinstance(start_date, DataFrame):
+            check_starts(stats, start_param(start_date))
     params = run_params(panel, start_date, min_pre_periods, min_post_periods, stats)
     if isinstance(params, DataFrame):
         params = sized_broadcast(params)

@@ -19,24 +19,39 @@ from ..operators import describe as DS
 from ..operators import impact as IM
 from ..operators import report as RP
 from ..operators.lowess import lowess_smooth
-from ..operators.prepare import G, prepare_panel
+from ..operators.prepare import G, check_starts, prepare_panel, start_param
 from ..session import reuse
 from ..sources import store
-from ..sources.panel import PANEL_COLUMNS, panel as to_panel
+from ..sources.panel import panel as to_panel
 
 
-def resolve_start(p: DataFrame, start_date) -> DataFrame | dt.date | str:
-    """The given start date, or per group the detected change date."""
+def resolve_start(p: DataFrame, start_date):
+    """``(start, skipped)``: the given start date, or per group the detected
+    change date and the groups in which none was found."""
     if start_date is not None:
-        return start_date
+        return start_date, None
     cpt = CP.detect_changepoint(p, num_cpts=1)
     cpt = reuse(cpt.select(G, F.col("change_date").alias("start_date")))
-    found = cpt.limit(1).count()
-    if not found:
+    if not cpt.limit(1).count():
         raise PanelError("start_date not specified and no change point detected")
     warnings.warn("start_date not specified, using the detected change date per group",
                   stacklevel=3)
-    return cpt
+    skipped = reuse(p.select(G).distinct().join(cpt, G, "left_anti")
+                    .withColumn("reason", F.lit("no change point detected")))
+    n = skipped.count()
+    if n:
+        warnings.warn(f"{n} groups without a change point are left out: see skipped_groups",
+                      stacklevel=3)
+    return cpt, skipped
+
+
+def run_groups(p: DataFrame, start) -> DataFrame:
+    """``(group_id, start_date)`` of every group of this run."""
+    groups, sp = p.select(G).distinct(), start_param(start)
+    if isinstance(sp, DataFrame):
+        check_starts(groups, sp)
+        return groups.join(sp, G)
+    return groups.withColumn("start_date", F.lit(sp["start_date"]))
 
 
 def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5) -> dict:
@@ -68,14 +83,14 @@ def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5) -> dict
     return out
 
 
-def load_models(spark, out_dir: str, prepared: DataFrame, start, period: str, sig_p: float,
+def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, start, period: str, sig_p: float,
                 method: str, design: DataFrame | None = None, niter: int | None = None,
                 **model_kw):
-    """Model tables saved under ``<out_dir>/models``."""
+    """Model tables of ``groups`` saved under ``<out_dir>/models``."""
     from ..operators.peers import peer_design
 
     def rd(name, schema):
-        return store.read_table(spark, f"{out_dir}/models/{name}", schema)
+        return store.read_table(spark, f"{out_dir}/models/{name}", schema).join(groups.select(G), G, "left_semi")
 
     dbl = lambda cols: ", ".join(f"{c} double" for c in cols)
     eff = rd("effects", "group_id string, ts_id string, " + dbl(IM.EFFECT_COLUMNS))
@@ -105,17 +120,19 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
     Returns ``{"prepared_panel", "models", <result tables>...}``.
     """
     if "group_id" in data.columns:
-        p = data.select(*PANEL_COLUMNS) if set(PANEL_COLUMNS) <= set(data.columns) \
-            else to_panel(data, group_id="group_id")
-        p = to_panel(p, group_id="group_id")
+        if group_id is not None:
+            raise PanelError("data has a group_id column: do not pass group_id as well")
+        p = to_panel(data, group_id="group_id")
     else:
         gid = group_id if group_id is not None else str(dt.datetime.now().timestamp())
         p = to_panel(data, group_value=str(gid))
-    start = resolve_start(p, start_date)
+    start, skipped = resolve_start(p, start_date)
+    if skipped is not None:
+        p = p.join(skipped.select(G), G, "left_anti")
     spark = p.sparkSession
-    sd_key = start if not isinstance(start, DataFrame) else "detected"
-    args = dict(start_date=str(sd_key), period=period, min_pre=min_pre_periods,
-                min_post=min_post_periods, min_timeseries=min_timeseries)
+    groups = reuse(run_groups(p, start))
+    args = store.group_args(groups, dict(period=period, min_pre=min_pre_periods, min_post=min_post_periods,
+                                         min_timeseries=min_timeseries))
     prepared = store.cached_table(
         spark, out_dir, "panel", args,
         lambda: prepare_panel(p, start, period, min_pre_periods, min_post_periods,
@@ -123,20 +140,23 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
         use_cache, save_model_data)
     if out_dir is None or not save_model_data:
         prepared = reuse(prepared)
-    margs = dict(args, sig_p=sig_p, method=method, **{k: str(v) for k, v in model_kw.items()})
+    margs = store.group_args(groups, dict(
+        period=period, min_pre=min_pre_periods, min_post=min_post_periods, min_timeseries=min_timeseries,
+        sig_p=sig_p, method=method, **{k: str(v) for k, v in model_kw.items()}))
     names = ("effects", "series", "coefs")
     if out_dir is not None and use_cache and store.args_match(spark, f"{out_dir}/models_args", margs):
-        m = load_models(spark, out_dir, prepared, start, period, sig_p, method, **model_kw)
+        m = load_models(spark, out_dir, groups, prepared, start, period, sig_p, method, **model_kw)
     else:
         m = IM.fit_models(prepared, start, period, alpha=sig_p, method=method, **model_kw)
         if out_dir is not None and save_model:
             for name in names:
-                getattr(m, name).write.mode("overwrite").partitionBy("group_id") \
-                    .parquet(f"{out_dir}/models/{name}")
-            store.write_args(spark, f"{out_dir}/models_args", margs)
-            m = load_models(spark, out_dir, prepared, start, period, sig_p, method,
+                store.write_groups(getattr(m, name), f"{out_dir}/models/{name}")
+            store.write_groups(margs, f"{out_dir}/models_args")
+            m = load_models(spark, out_dir, groups, prepared, start, period, sig_p, method,
                             design=m.design, niter=m.niter)
     result = {"prepared_panel": prepared, "models": m}
+    if skipped is not None:
+        result["skipped_groups"] = skipped
     if gen_output:
         out = generate_output(m, prepared, top_timeseries)
         result.update(out)

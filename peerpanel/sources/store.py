@@ -4,13 +4,15 @@ sinks of the result tables.
 Layout under one output root (shared storage on a cluster):
 
     <root>/panel/                   parquet, partitioned by group_id
-    <root>/panel_args/              one-row JSON of the arguments used
+    <root>/panel_args/              per group, JSON of the arguments used
     <root>/models/{effects,series,coefs}/   parquet, partitioned by group_id
     <root>/models_args/
     <root>/output/<table>/group_id=<g>/part-*.csv
 
-A cache is used only when its stored arguments equal the current ones;
-otherwise it is recomputed and overwritten.
+A cache is used only when the stored arguments of every group of the run
+(its own start date among them) equal the current ones; otherwise it is
+recomputed. Writes replace the partitions of the run's groups only, and reads
+return only those, so runs of different groups share a root.
 """
 
 from __future__ import annotations
@@ -39,16 +41,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def args_match(spark: SparkSession, path: str, args: dict) -> bool:
+ARGS_SCHEMA = "group_id string, args string"
+
+
+def group_args(groups: DataFrame, args: dict) -> DataFrame:
+    """``(group_id, args)``: the arguments with each group's own start date."""
+    doc = json.dumps(args, sort_keys=True, default=str)
+    return groups.select("group_id", F.concat(
+        F.lit(doc + " start "), F.coalesce(F.col("start_date").cast("string"), F.lit("-"))).alias("args"))
+
+
+def args_match(spark: SparkSession, path: str, args: DataFrame) -> bool:
+    """Whether every group of ``args`` was stored with the same arguments."""
     if not _exists(spark, path):
         return False
-    rows = spark.read.text(path).collect()
-    return bool(rows) and rows[0][0] == json.dumps(args, sort_keys=True, default=str)
+    kept = read_table(spark, path, ARGS_SCHEMA)
+    return args.join(kept, ["group_id", "args"], "left_anti").limit(1).count() == 0
 
 
-def write_args(spark: SparkSession, path: str, args: dict) -> None:
-    doc = json.dumps(args, sort_keys=True, default=str)
-    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def write_groups(df: DataFrame, path: str, sort=()) -> None:
+    """Parquet by group; replaces only the groups that ``df`` holds."""
+    if sort:
+        df = df.orderBy("group_id", *sort)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("group_id").parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -58,7 +74,7 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*cols)
 
 
-def cached_table(spark: SparkSession, root: str | None, name: str, args: dict, build,
+def cached_table(spark: SparkSession, root: str | None, name: str, args: DataFrame, build,
                  use_cache: bool, save: bool, schema: str = PANEL_SCHEMA) -> DataFrame:
     """Read ``<root>/<name>`` if cached with the same args, else build it
     (and save it when asked). Saving also cuts the lineage: later jobs read
@@ -66,14 +82,13 @@ def cached_table(spark: SparkSession, root: str | None, name: str, args: dict, b
     if root is None:
         return build()
     path, apath = f"{root}/{name}", f"{root}/{name}_args"
-    if use_cache and args_match(spark, apath, args):
-        return read_table(spark, path, schema)
-    df = build()
-    if save:
-        df.write.mode("overwrite").partitionBy("group_id").parquet(path)
-        write_args(spark, apath, args)
-        return read_table(spark, path, schema)
-    return df
+    if not (use_cache and args_match(spark, apath, args)):
+        df = build()
+        if not save:
+            return df
+        write_groups(df, path, SINK_ORDER["prepared_panel"])
+        write_groups(args, apath)
+    return read_table(spark, path, schema).join(args.select("group_id"), "group_id", "left_semi")
 
 
 def write_csv(df: DataFrame, path: str, order=None) -> None:
@@ -82,7 +97,8 @@ def write_csv(df: DataFrame, path: str, order=None) -> None:
     and its files keep the order."""
     if order:
         df = df.orderBy("group_id", *[F.expr(o).asc_nulls_last() for o in order])
-    df.write.mode("overwrite").option("header", True).partitionBy("group_id").csv(path)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+     .partitionBy("group_id").csv(path))
 
 
 def write_outputs(outputs: dict, root: str) -> None:

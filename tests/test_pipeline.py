@@ -4,7 +4,11 @@ import tempfile
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from peerpanel.errors import PanelError
+from peerpanel.operators.prepare import prepare_panel
 from peerpanel.plans.pipeline import ts_analysis
 
 
@@ -37,3 +41,68 @@ def test_pipeline_detects_start_and_caches(spark):
     a = sorted((r.ts_id, round(r.AbsEffect_Cumulative, 9)) for r in summary)
     b = sorted((r.ts_id, round(r.AbsEffect_Cumulative, 9)) for r in res2["models"].effects.collect())
     assert a == b
+
+
+def _effects(models):
+    return sorted((r.group_id, r.ts_id, round(r.AbsEffect_Cumulative, 9)) for r in models.effects.collect())
+
+
+RUN = dict(period="month", min_pre_periods=4, min_post_periods=2, min_timeseries=3, method="ratio")
+
+
+def test_groups_share_a_root_and_caches_follow_their_start(spark):
+    data = _panel(spark)
+    root = tempfile.mkdtemp(prefix="pp-run-")
+    run = lambda g, start, **kw: ts_analysis(
+        data.where(data.group_id == g), start_date=spark.createDataFrame([(g, start)], "group_id string, start_date string"),
+        out_dir=root, use_cache=True, **RUN, **kw)
+    east = run("east", "2023-12-01")
+    want = _effects(east["models"])
+    prepared = east["prepared_panel"].count()
+    west = run("west", "2023-12-01")
+    assert {r.group_id for r in west["prepared_panel"].select("group_id").distinct().collect()} == {"west"}
+    assert os.path.isdir(os.path.join(root, "output", "model_summary", "group_id=east"))
+    # cached, from the shared root, the other group's run in between
+    again = run("east", "2023-12-01", gen_output=False)
+    assert _effects(again["models"]) == want and again["prepared_panel"].count() == prepared
+    # another start date of the same group is another run
+    moved = run("east", "2024-03-01", gen_output=False)
+    fresh = ts_analysis(data.where("group_id = 'east'"), start_date="2024-03-01", gen_output=False, **RUN)
+    assert _effects(moved["models"]) == _effects(fresh["models"]) != want
+
+
+def test_sinks_hold_the_tables_in_order(spark):
+    root = tempfile.mkdtemp(prefix="pp-run-")
+    out = ts_analysis(_panel(spark), start_date="2023-12-01", out_dir=root, **RUN)
+    got = spark.read.option("header", True).csv(f"{root}/output/model_summary").orderBy("group_id", "ts_id")
+    want = out["model_summary"].orderBy("group_id", "ts_id")
+    assert [(r.ts_id, r.deviance) for r in got.collect()] == [(r.ts_id, r.deviance) for r in want.collect()]
+    for g in ("east", "west"):
+        p = []
+        for f in sorted(glob.glob(os.path.join(root, "output", "model_summary", f"group_id={g}", "*.csv"))):
+            p += pd.read_csv(f).p_Cumulative.tolist()
+        assert len(p) == 8 and p == sorted(p)
+
+
+def test_no_group_vanishes(spark):
+    flat = [("flat", f"f{s}", d.date(), 5.0) for s in range(5) for d in pd.date_range("2023-01-01", periods=24, freq="MS")]
+    data = _panel(spark).unionByName(spark.createDataFrame(
+        pd.DataFrame(flat, columns=["group_id", "ts_id", "date", "count"])))
+    out = ts_analysis(data, start_date=None, gen_output=False, **RUN)
+    assert [r.group_id for r in out["skipped_groups"].collect()] == ["flat"]
+    assert {r.group_id for r in out["models"].effects.select("group_id").distinct().collect()} == {"east", "west"}
+    starts = spark.createDataFrame([("east", "2023-12-01"), ("west", "2023-12-01")], "group_id string, start_date string")
+    with pytest.raises(PanelError, match="flat"):
+        ts_analysis(data, start_date=starts, **RUN)
+    with pytest.raises(PanelError, match="east"):
+        ts_analysis(_panel(spark), start_date=starts.union(starts), **RUN)
+
+
+def test_bad_rows_are_errors(spark):
+    data = _panel(spark)
+    for col in ("date", "count"):
+        bad = data.withColumn(col, F.when(F.col("ts_id") != "east1", F.col(col)))
+        with pytest.raises(PanelError, match="east"):
+            prepare_panel(bad, "2023-12-01", "month", 4, 2, 3)
+    with pytest.raises(PanelError, match="group_id"):
+        ts_analysis(data, group_id="x", start_date="2023-12-01")
