@@ -15,7 +15,6 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from peerpanel.plans import catalog as C  # noqa: E402
-from peerpanel.plans import params as P  # noqa: E402
 from peerpanel.session import build_session  # noqa: E402
 
 # headline queries: one per operator family
@@ -29,7 +28,7 @@ HEADLINE = [
     "model_summary_orders",          # leave-one-out counterfactual, all customers
     "model_ts_rank",                 # LOWESS (grouped pandas) + rankings
     "select_peers_by_segment",       # pair-free peer windows
-    "causal_impact",                 # Bayesian model per supplier (grouped pandas)
+    "causal_impact",                 # cohort regression per supplier
 ]
 
 
@@ -51,7 +50,6 @@ def main():
     conf = spark.conf
     out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": sf, "cpus": int(cpus),
-           "bsts_draws": P.NITER, "max_peers": P.MAX_PEERS,
            "config": {"master": spark.sparkContext.master,
                       "host_cpus": os.cpu_count(),
                       "shuffle_partitions": conf.get("spark.sql.shuffle.partitions"),

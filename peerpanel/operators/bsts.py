@@ -96,30 +96,6 @@ def _build_design(T: int, S: int):
     return H, np.concatenate(kinds)
 
 
-def _inv_gamma(rng, shape, rate):
-    return rate / rng.gamma(shape)
-
-
-def limit_blas_threads():
-    """Small matrices: one BLAS thread per Python worker (Spark already
-    runs one worker per core). Best effort through the loaded OpenBLAS."""
-    try:
-        import ctypes
-        with open("/proc/self/maps") as f:
-            libs = {ln.split()[-1] for ln in f
-                    if "openblas" in ln.lower() and ln.split()[-1].startswith("/")}
-        for path in libs:
-            lib = ctypes.CDLL(path)
-            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_",
-                         "openblas_set_num_threads"):
-                fn = getattr(lib, name, None)
-                if fn is not None:
-                    fn(1)
-                    break
-    except Exception:  # noqa: BLE001 - purely a speed setting
-        pass
-
-
 def sample_bsts_batch(Y_pre, X_pre, X_post, avail, S, niter, rng, prior=PRIOR):
     """Posterior draws for a batch of B targets sharing the calendar.
 
@@ -290,7 +266,6 @@ OUT_SCHEMA = ("kind string, group_id string, ts_id string, date date, "
 def _fit_batch(pdf: pd.DataFrame, S: int, niter: int, alpha: float, seed: int,
                burn_fraction: float) -> pd.DataFrame:
     """Fit every target of one batch (same group, so same dates)."""
-    limit_blas_threads()
     g = pdf[G].iloc[0]
     dates = np.sort(pdf[D].unique())
     pre = (pdf.drop_duplicates(D).set_index(D)["is_pre"].reindex(dates).to_numpy(bool))
@@ -387,4 +362,4 @@ def bsts_models(p: DataFrame, start_date, period: str = "month", alpha: float =
     return Models(effects, series, coefs, pre_end_table(p, start_date, period), alpha, niter, design)
 
 
-__all__ = ["bsts_models", "sample_bsts", "state_design", "OTHERS"]
+__all__ = ["bsts_models", "state_design", "OTHERS"]

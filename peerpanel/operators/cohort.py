@@ -1,0 +1,109 @@
+"""Counterfactual from cohort means: the default model.
+
+Every other active series of the group enters at any group size, without
+pairs: series are split into ``COHORTS`` fixed cohorts (by a hash of the id),
+and the covariates of series i are the cohorts' mean counts without i's own
+share, ``(cohort total - own) / (cohort size - own)``. Group-level tables hold
+one row per bucket; all else is one row per series and bucket.
+
+Response on covariates plus intercept over the pre period, ridge-regularised
+(the cohort means are close to collinear), in closed form from centred sums:
+
+    S = [[s00 + l, s01], [s01, s11 + l]],  b = S^-1 [s0y, s1y],
+    l = RIDGE * (s00 + s11) / 2
+
+The residual variance has n - 3 degrees of freedom. The variance of the
+cumulative effect over m post buckets counts the uncertainty of the fit,
+``sigma^2 (m + m^2 / n + v' S^-1 v)``, v being the summed centred post
+covariates; its tail probability is one-sided normal. Point and cumulative
+intervals are residual intervals, as in the ratio model.
+"""
+
+from __future__ import annotations
+
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import norm_cdf
+from ..session import reuse, sized_broadcast
+from .impact import EFFECT_COLUMNS, SERIES_COLUMNS, Models, _series_columns, model_rows, pre_end_table
+from .peers import TARGET
+from .prepare import C, D, G, TS
+
+COHORTS = 2
+RIDGE = 0.01
+NAMES = [f"(cohort {k})" for k in range(COHORTS)]
+
+
+def cohort_of(ts_id: str) -> Column:
+    """0 or 1, from the first hexadecimal digit of the id's MD5."""
+    return F.when(F.substring(F.md5(F.col(ts_id)), 1, 1) < "8", 0).otherwise(1)
+
+
+def cohort_rows(p: DataFrame, start_date) -> DataFrame:
+    """Active rows with ``is_pre`` and the covariates ``x0, x1``."""
+    x = model_rows(p, start_date).withColumn("_c", cohort_of(TS))
+    own = [F.col("_c") == k for k in range(COHORTS)]
+    totals = x.groupBy(G, D).agg(*[f for k in range(COHORTS) for f in (
+        F.sum(F.when(own[k], F.col(C)).otherwise(0.0)).alias(f"_s{k}"), F.count_if(own[k]).alias(f"_n{k}"))])
+    x = x.join(sized_broadcast(totals), [G, D])
+    for k in range(COHORTS):
+        mean = F.try_divide(F.col(f"_s{k}") - F.when(own[k], F.col(C)).otherwise(0.0),
+                            (F.col(f"_n{k}") - own[k].cast("int")).cast("double"))
+        x = x.withColumn(f"x{k}", F.coalesce(mean, F.lit(0.0)))
+    return x.select(G, TS, D, C, "is_pre", "x0", "x1")
+
+
+def cohort_models(p: DataFrame, start_date, alpha: float = 0.05, period: str = "month") -> Models:
+    z = NormalDist().inv_cdf(1.0 - alpha / 2.0)
+    x = reuse(cohort_rows(p, start_date))
+    pre = F.col("is_pre")
+    w = Window.partitionBy(G, TS)                    # one series: bounded by the calendar
+    f = x.withColumn("n", F.count_if(pre).over(w))
+    for a, col in (("y", C), ("0", "x0"), ("1", "x1")):
+        f = f.withColumn(f"m{a}", F.avg(F.when(pre, F.col(col))).over(w))
+    d = {"y": F.col(C) - F.col("my"), "0": F.col("x0") - F.col("m0"), "1": F.col("x1") - F.col("m1")}
+    for a, b in ("00", "01", "11", "0y", "1y"):
+        f = f.withColumn(f"s{a}{b}", F.sum(F.when(pre, d[a] * d[b])).over(w))
+    ridge = RIDGE * (F.col("s00") + F.col("s11")) / 2.0
+    f = f.withColumn("_a", F.col("s00") + ridge).withColumn("_b", F.col("s11") + ridge)
+    f = f.withColumn("_det", F.col("_a") * F.col("_b") - F.col("s01") * F.col("s01"))
+    zero = F.lit(0.0)
+    f = (f.withColumn("b0", F.coalesce(F.try_divide(F.col("_b") * F.col("s0y") - F.col("s01") * F.col("s1y"), "_det"), zero))
+         .withColumn("b1", F.coalesce(F.try_divide(F.col("_a") * F.col("s1y") - F.col("s01") * F.col("s0y"), "_det"), zero)))
+    f = (f.withColumn("point_pred", F.col("my") + F.col("b0") * d["0"] + F.col("b1") * d["1"])
+         .withColumnRenamed(C, "response"))
+    r = F.col("response") - F.col("point_pred")
+    f = f.withColumn("sigma", F.sqrt(F.try_divide(F.sum(F.when(pre, r * r)).over(w), (F.col("n") - 3).cast("double"))))
+    f = f.withColumn("sigma", F.when(F.col("n") > 3, F.col("sigma")))
+    series = _series_columns(f, z).select(G, TS, D, *SERIES_COLUMNS)
+    post = f.where(~pre).groupBy(G, TS).agg(
+        F.avg(r).alias("AbsEffect_Average"), F.avg("point_pred").alias("_pa"),
+        F.sum(r).alias("AbsEffect_Cumulative"), F.sum("point_pred").alias("_ps"),
+        F.sum(F.col("x0") - F.col("m0")).alias("_v0"), F.sum(F.col("x1") - F.col("m1")).alias("_v1"),
+        F.count(F.lit(1)).cast("double").alias("_m"),
+        *[F.first(c).alias(c) for c in ("sigma", "n", "_a", "_b", "s01", "_det", "b0", "b1")])
+    v0, v1 = F.col("_v0"), F.col("_v1")
+    fit = F.coalesce(F.try_divide(F.col("_b") * v0 * v0 - 2.0 * F.col("s01") * v0 * v1 + F.col("_a") * v1 * v1, "_det"),
+                     zero)
+    sd = F.col("sigma") * F.sqrt(F.col("_m") + F.col("_m") * F.col("_m") / F.col("n") + fit)
+    eff = (post.withColumn("RelEffect_Average", F.try_divide("AbsEffect_Average", "_pa"))
+           .withColumn("RelEffect_Cumulative", F.try_divide("AbsEffect_Cumulative", "_ps"))
+           .withColumn("p_Cumulative", F.when(F.col("sigma") > 0, 1.0 - norm_cdf(
+               F.abs(F.try_divide(F.col("AbsEffect_Cumulative"), sd)))))
+           .withColumn("p_Average", F.col("p_Cumulative")))
+    # one coefficient "draw" per covariate; the design holds their values
+    coefs = eff.select(G, TS, F.lit(1).alias("draw"), F.explode(F.array(*[
+        F.struct(F.lit(NAMES[k]).alias("peer_ts_id"), F.col(f"b{k}").alias("coef")) for k in range(COHORTS)])).alias("c"))
+    design = x.select(G, TS, D, "is_pre", F.explode(F.array(
+        F.struct(F.lit(TARGET).alias("peer_ts_id"), F.lit(0).alias("peer_pos"), F.col(C).alias("value")),
+        *[F.struct(F.lit(NAMES[k]).alias("peer_ts_id"), F.lit(k + 1).alias("peer_pos"), F.col(f"x{k}").alias("value"))
+          for k in range(COHORTS)])).alias("c")).select(G, TS, D, "is_pre", "c.*")
+    return Models(eff.select(G, TS, *EFFECT_COLUMNS), series, coefs.select(G, TS, "draw", "c.*"),
+                  pre_end_table(p, start_date, period), alpha, 1, design)
+
+
+def cohort_design(p: DataFrame, start_date) -> DataFrame:
+    return cohort_models(p, start_date).design

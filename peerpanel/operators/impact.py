@@ -18,8 +18,12 @@ without forming pairs. It is scaled by the pre-period ratio of sums;
 the residual sd of the pre period gives normal intervals and a one-sided
 tail probability for the cumulative post effect.
 
-``method="bsts"``: the Bayesian structural time-series model (see
-``bsts.py``) fitted per series in ``applyInPandas``.
+``method="cohort"`` (default): regression on cohort means of all other
+series in closed form (see ``cohort.py``).
+
+``method="bsts"``: a Bayesian structural time-series model (see
+``bsts.py``) fitted per series in ``applyInPandas``; an option only, no
+registered query uses it.
 """
 
 from __future__ import annotations
@@ -135,9 +139,12 @@ def ratio_models(p: DataFrame, start_date, alpha: float = 0.05, period: str = "m
 
 
 def fit_models(p: DataFrame, start_date, period: str = "month", alpha: float = 0.05,
-               method: str = "bsts", **kw) -> Models:
-    """Fit one model per active series. ``method`` is ``bsts`` (the
-    reference's Bayesian model) or ``ratio`` (deterministic)."""
+               method: str = "cohort", **kw) -> Models:
+    """Fit one model per active series: ``cohort``, ``ratio`` (both pure
+    DataFrame) or ``bsts`` (sampled)."""
+    if method == "cohort":
+        from .cohort import cohort_models
+        return cohort_models(p, start_date, alpha, period, **kw)
     if method == "ratio":
         return ratio_models(p, start_date, alpha, period)
     if method == "bsts":

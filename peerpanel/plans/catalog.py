@@ -177,39 +177,41 @@ def _ts_rank_top(spark, sf_dir, cfg):
     return RP.model_ts_rank_top(_ts_rank(spark, sf_dir, cfg), 5)
 
 
-def bayes(spark, sf_dir, cfg):
+def cohort(spark, sf_dir, cfg):
     p = prepared(spark, sf_dir, cfg)
-    return IM.fit_models(p, cfg["start"], cfg["period"], alpha=0.05, method="bsts",
-                         niter=P.NITER, max_peers=P.MAX_PEERS)
+    return IM.fit_models(p, cfg["start"], cfg["period"], alpha=0.05)
 
 
-def _bsts_effects(spark, sf_dir, cfg):
-    return RP.model_summary(bayes(spark, sf_dir, cfg))
+def _cohort_effects(spark, sf_dir, cfg):
+    return RP.model_summary(cohort(spark, sf_dir, cfg))
 
 
-def _bsts_series(spark, sf_dir, cfg):
-    return bayes(spark, sf_dir, cfg).series
+def _cohort_series(spark, sf_dir, cfg):
+    return cohort(spark, sf_dir, cfg).series
 
 
 def _peer_coef_stats(spark, sf_dir, cfg):
-    m = bayes(spark, sf_dir, cfg)
+    m = cohort(spark, sf_dir, cfg)
     return RP.peer_coef_stats(m.coefs, m.niter)
 
 
 def _ts_peers(spark, sf_dir, cfg):
-    return RP.peer_contributions(bayes(spark, sf_dir, cfg), deviating_only=False)
+    return RP.peer_contributions(cohort(spark, sf_dir, cfg), deviating_only=False)
+
+
+def _ts_peers_deviating(spark, sf_dir, cfg):
+    return RP.peer_contributions(cohort(spark, sf_dir, cfg))
 
 
 def _ts_peers_plot(spark, sf_dir, cfg):
-    return RP.peer_plot_rows(_ts_peers(spark, sf_dir, cfg))
+    return RP.peer_plot_rows(_ts_peers_deviating(spark, sf_dir, cfg))
 
 
 def _ts_analysis(spark, sf_dir, cfg):
     from . import pipeline as PL
     out = PL.ts_analysis(raw_panel(spark, sf_dir, cfg), start_date=cfg["start"],
                          period=cfg["period"], min_pre_periods=cfg["min_pre"],
-                         min_post_periods=cfg["min_post"], min_timeseries=cfg["min_ts"],
-                         method="bsts", niter=P.NITER, max_peers=P.MAX_PEERS)
+                         min_post_periods=cfg["min_post"], min_timeseries=cfg["min_ts"])
     return out["model_summary"]
 
 
@@ -221,10 +223,11 @@ BUILDERS = {
     "q_pre_post": _pre_post,
     "q_ts_rank": _ts_rank,
     "q_ts_rank_top": _ts_rank_top,
-    "q_bsts_effects": _bsts_effects,
-    "q_bsts_series": _bsts_series,
+    "q_cohort_effects": _cohort_effects,
+    "q_cohort_series": _cohort_series,
     "q_peer_coef_stats": _peer_coef_stats,
     "q_ts_peers": _ts_peers,
+    "q_ts_peers_deviating": _ts_peers_deviating,
     "q_ts_peers_plot": _ts_peers_plot,
     "q_ts_analysis": _ts_analysis,
     "q_ratio_effects": _ratio_effects,
@@ -258,12 +261,12 @@ def _rounded(fn, cfg, spark, sf_dir):
 
 def queries() -> dict:
     out = {}
-    for name, (kind, cfg) in {**P.SQL_QUERIES, **P.SPARK_ONLY}.items():
+    for name, (kind, cfg) in P.SQL_QUERIES.items():
         out[name] = partial(_rounded, BUILDERS[kind], cfg)
     return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's main flow on the supplier x month panel: prepare,
-    fit the Bayesian model per supplier, classify (model_summary)."""
+    fit the cohort model per supplier, classify (model_summary)."""
     return _ts_analysis(spark, sf_dir, P.PANEL_A)

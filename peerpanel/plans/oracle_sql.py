@@ -278,6 +278,38 @@ def q_changepoint_2(cfg):
     return R(with_(ctes, "SELECT * FROM cp2"), *CP_DOUBLES)
 
 
+def q_changepoint_3(cfg, rounds=3):
+    """Any number of rounds: a round's segments start after the cuts chosen so
+    far; its best split is the next cut, its record the least gain so far."""
+    ctes = [c for c in changepoint_ctes(cfg) if c[0] in [n for n, _ in completed_ctes(cfg)] + ["x", "g"]]
+    cuts, prev = "", "(SELECT DISTINCT group_id FROM x)"
+    for q in range(1, rounds + 1):
+        seg = "greatest(1" + "".join(f", CASE WHEN x.i > k{j} THEN k{j} + 1 ELSE 1 END" for j in range(1, q)) + ")"
+        ctes += [
+            (f"y{q}", f"SELECT x.*{cuts}, {seg} AS seg FROM x JOIN {prev} USING (group_id)"),
+            (f"h{q}", "SELECT *, sum(xc) OVER w AS s1, sum(xc * xc) OVER w AS s2, sum(xc) OVER a AS t1, "
+                      f"sum(xc * xc) OVER a AS t2, count(*) OVER a AS ns FROM y{q} WINDOW a AS (PARTITION BY group_id, seg), "
+                      "w AS (PARTITION BY group_id, seg ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"),
+            (f"r{q}", "SELECT *, (t2 - t1 * t1 / ns) - (s2 - s1 * s1 / (i - seg + 1)) - ((t2 - s2) - (t1 - s1) * "
+                      "(t1 - s1) / (ns - (i - seg + 1))) + ln(ns) - ln(i - seg + 1) - ln(ns - (i - seg + 1)) AS gain "
+                      f"FROM h{q} WHERE ns - (i - seg + 1) > 0"),
+            (f"b{q}", f"SELECT group_id{cuts}, i AS k{q}, gain AS g{q} FROM (SELECT *, row_number() OVER "
+                      f"(PARTITION BY group_id ORDER BY gain DESC, i) AS rk FROM r{q}) WHERE rk = 1"),
+        ]
+        prev, cuts = f"b{q}", cuts + f", k{q}, g{q}"
+    pts = " UNION ALL ".join(
+        f"SELECT group_id, k{q} AS k, g{q} AS gain, least({', '.join(f'g{j}' for j in range(1, q + 1))}) AS rec, "
+        f"{q} AS cpt_round FROM b{q}" for q in range(1, rounds + 1))
+    ctes += [
+        ("pts", pts),
+        ("cp", "SELECT g.group_id, g.date AS change_date, g.cum / g.i AS before_mean, (g.tot - g.cum) / (g.n - g.i) AS "
+               "after_mean, pts.gain, 3 * ln(g.n) AS penalty, pts.cpt_round FROM pts JOIN g "
+               "ON pts.group_id = g.group_id AND pts.k = g.i WHERE pts.rec >= 3 * ln(g.n)"),
+        ("cp2", "SELECT *, after_mean - before_mean AS mean_change, CASE WHEN before_mean <> 0 "
+                "THEN (after_mean - before_mean) / before_mean END AS pct_change FROM cp")]
+    return R(with_(ctes, "SELECT * FROM cp2"), *CP_DOUBLES, "gain", "penalty")
+
+
 def q_changepoint(cfg):
     return R(with_(changepoint_ctes(cfg), "SELECT * FROM cp2"), *CP_DOUBLES)
 
@@ -397,6 +429,119 @@ def q_deviance_mean_sd(cfg):
         "count_mean", "count_sd")
 
 
+def cohort_ctes(cfg):
+    """Closed-form ridge regression on the two cohort means; intervals and
+    classes as in the ratio model."""
+    kept = dict(ratio_ctes(cfg))
+    own = ["(md5(ts_id) < '8')", "(md5(ts_id) >= '8')"]
+    sums = ", ".join(f"sum(CASE WHEN {o} THEN count ELSE 0.0 END) AS s{k}, count(*) FILTER ({o}) AS n{k}"
+                     for k, o in enumerate(own))
+    means = ", ".join(f"coalesce((s{k} - CASE WHEN {o} THEN count ELSE 0.0 END) / nullif(CAST(n{k} - "
+                      f"CASE WHEN {o} THEN 1 ELSE 0 END AS DOUBLE), 0), 0.0) AS x{k}" for k, o in enumerate(own))
+    pre = lambda e: f"sum(CASE WHEN is_pre THEN {e} END) OVER s"
+    p_value = f"CASE WHEN sigma > 0 THEN 1.0 - {norm_cdf_sql('abs(zc)')} END"
+    return prepared_ctes(cfg) + [
+        ("mr", kept["mr"]),
+        ("ct", f"SELECT group_id, date, {sums} FROM mr GROUP BY ALL"),
+        ("c1", f"SELECT mr.*, {means} FROM mr JOIN ct USING (group_id, date)"),
+        ("c2", "SELECT *, count(*) FILTER (is_pre) OVER s AS n, avg(CASE WHEN is_pre THEN count END) OVER s AS my, "
+               "avg(CASE WHEN is_pre THEN x0 END) OVER s AS m0, avg(CASE WHEN is_pre THEN x1 END) OVER s AS m1 "
+               "FROM c1 WINDOW s AS (PARTITION BY group_id, ts_id)"),
+        ("c3", f"SELECT *, {pre('(x0 - m0) * (x0 - m0)')} AS s00, {pre('(x0 - m0) * (x1 - m1)')} AS s01, "
+               f"{pre('(x1 - m1) * (x1 - m1)')} AS s11, {pre('(x0 - m0) * (count - my)')} AS s0y, "
+               f"{pre('(x1 - m1) * (count - my)')} AS s1y FROM c2 WINDOW s AS (PARTITION BY group_id, ts_id)"),
+        ("c4", "SELECT *, s00 + 0.01 * (s00 + s11) / 2 AS a, s11 + 0.01 * (s00 + s11) / 2 AS b FROM c3"),
+        ("c5", "SELECT *, a * b - s01 * s01 AS det FROM c4"),
+        ("c6", "SELECT *, coalesce((b * s0y - s01 * s1y) / nullif(det, 0), 0.0) AS b0, "
+               "coalesce((a * s1y - s01 * s0y) / nullif(det, 0), 0.0) AS b1 FROM c5"),
+        ("x3", "SELECT *, my + b0 * (x0 - m0) + b1 * (x1 - m1) AS point_pred, count AS response FROM c6"),
+        ("x4", "SELECT *, CASE WHEN n > 3 THEN sqrt(sum(CASE WHEN is_pre THEN power(response - point_pred, 2) END) "
+               "OVER (PARTITION BY group_id, ts_id) / (n - 3)) END AS sigma FROM x3"),
+        ("x5", kept["x5"]), ("x6", kept["x6"]), ("ms", kept["ms"]),
+        ("e1", "SELECT group_id, ts_id, avg(response - point_pred) AS AbsEffect_Average, avg(point_pred) AS pa, "
+               "sum(response - point_pred) AS AbsEffect_Cumulative, sum(point_pred) AS ps, any_value(sigma) AS sigma, "
+               "CAST(count(*) AS DOUBLE) AS m, sum(x0 - m0) AS v0, sum(x1 - m1) AS v1, any_value(n) AS n, "
+               "any_value(a) AS a, any_value(b) AS b, any_value(s01) AS s01, any_value(det) AS det, "
+               "any_value(b0) AS b0, any_value(b1) AS b1 FROM x6 WHERE NOT is_pre GROUP BY group_id, ts_id"),
+        ("e2", "SELECT *, AbsEffect_Cumulative / nullif(sigma * sqrt(m + m * m / n + coalesce("
+               "(b * v0 * v0 - 2 * s01 * v0 * v1 + a * v1 * v1) / nullif(det, 0), 0.0)), 0) AS zc FROM e1"),
+        ("me", "SELECT group_id, ts_id, AbsEffect_Average, AbsEffect_Average / nullif(pa, 0) AS "
+               "RelEffect_Average, AbsEffect_Cumulative, AbsEffect_Cumulative / nullif(ps, 0) AS "
+               f"RelEffect_Cumulative, {p_value} AS p_Cumulative, {p_value} AS p_Average FROM e2"),
+        ("msum", kept["msum"]), ("pe", kept["pe"]),
+        ("co", "SELECT group_id, ts_id, '(cohort 0)' AS peer, b0 AS coef FROM e2 UNION ALL "
+               "SELECT group_id, ts_id, '(cohort 1)', b1 FROM e2"),
+        ("cs", "SELECT group_id, ts_id, peer, CASE WHEN coef <> 0 THEN 1.0 ELSE 0.0 END AS inclusion_prob, "
+               "CASE WHEN coef <> 0 THEN coef END AS coef, CASE WHEN coef > 0 THEN 1.0 ELSE 0.0 END AS positive_share, "
+               "CASE WHEN coef <> 0 THEN CASE WHEN coef > 0 THEN 1.0 ELSE 0.0 END END AS positive_prob, "
+               "CASE WHEN coef <> 0 THEN CASE WHEN coef > 0 THEN 1.0 ELSE -1.0 END END AS sign FROM co"),
+    ]
+
+
+def q_cohort_effects(cfg):
+    return R(with_(cohort_ctes(cfg), "SELECT * FROM msum"), *EFFECTS)
+
+
+def q_ts_analysis(cfg):
+    return q_cohort_effects(cfg)
+
+
+def q_cohort_series(cfg):
+    return R(with_(cohort_ctes(cfg), "SELECT * EXCLUDE (is_pre) FROM ms"), *SERIES)
+
+
+COEF_STATS = ("inclusion_prob", "coef", "positive_share", "positive_prob", "sign")
+
+
+def q_peer_coef_stats(cfg):
+    return R(with_(cohort_ctes(cfg), "SELECT group_id, ts_id, peer AS peer_ts_id, inclusion_prob, coef, "
+                                     "positive_share, positive_prob, sign FROM cs"), *COEF_STATS)
+
+
+def peer_ctes(cfg, deviating):
+    """Scaled cohort means and the standardised target of each model."""
+    pick = " WHERE deviance <> 'average'" if deviating else ""
+    return cohort_ctes(cfg) + [
+        ("tg", f"SELECT group_id, ts_id FROM msum{pick}"),
+        ("des", "SELECT group_id, ts_id, date, '(cohort 0)' AS peer, x0 AS value FROM c1 UNION ALL "
+                "SELECT group_id, ts_id, date, '(cohort 1)', x1 FROM c1"),
+        ("pr", "SELECT des.group_id, des.ts_id, date, peer, value * coalesce(coef, 1.0) AS scaled_count, "
+               "coalesce(inclusion_prob, 0.0) AS inclusion_prob, coef, coalesce(positive_share, 0.0) AS positive_share, "
+               "positive_prob, sign FROM des JOIN tg USING (group_id, ts_id) LEFT JOIN cs USING (group_id, ts_id, peer)"),
+        ("ty", "SELECT group_id, ts_id, date, 'target' AS peer, (response - avg(response) OVER s) / "
+               "nullif(stddev_samp(response) OVER s, 0) AS scaled_count, 1.0 AS inclusion_prob, "
+               "CAST(NULL AS DOUBLE) AS coef, CAST(NULL AS DOUBLE) AS positive_share, CAST(NULL AS DOUBLE) AS "
+               "positive_prob, CAST(NULL AS DOUBLE) AS sign FROM ms JOIN tg USING (group_id, ts_id) "
+               "WINDOW s AS (PARTITION BY group_id, ts_id)"),
+        ("pall", "SELECT group_id, ts_id AS target_ts_id, date, peer AS ts_id, * EXCLUDE (group_id, ts_id, date, peer), "
+                 "CAST(dense_rank() OVER (PARTITION BY group_id, target_ts_id ORDER BY inclusion_prob DESC) AS INTEGER) "
+                 "AS inclusion_rank FROM (SELECT *, ts_id AS target_ts_id FROM "
+                 "(SELECT * FROM pr UNION ALL SELECT * FROM ty)) u"),
+    ]
+
+
+PEER_COLUMNS = ("group_id, target_ts_id, date, ts_id, scaled_count, inclusion_prob, coef, positive_share, "
+                "positive_prob, sign, inclusion_rank")
+
+
+def q_ts_peers(cfg, deviating=False):
+    return R(with_(peer_ctes(cfg, deviating), f"SELECT {PEER_COLUMNS} FROM pall"), "scaled_count", *COEF_STATS)
+
+
+def q_ts_peers_deviating(cfg):
+    return q_ts_peers(cfg, True)
+
+
+def q_ts_peers_plot(cfg):
+    ctes = peer_ctes(cfg, True) + [
+        ("sub", f"SELECT {PEER_COLUMNS}, CASE WHEN ts_id = 'target' THEN 'target' ELSE 'peers' END AS type, "
+                "CASE WHEN ts_id = 'target' THEN 1.0 ELSE inclusion_prob END AS wt FROM pall "
+                "WHERE inclusion_rank BETWEEN 1 AND 10 AND inclusion_prob > 0.01")]
+    return R(with_(ctes, "SELECT * EXCLUDE (wt), (wt - avg(wt) OVER s) / nullif(stddev_samp(wt) OVER s, 0) AS alpha "
+                         "FROM sub WINDOW s AS (PARTITION BY group_id, target_ts_id)"),
+             "scaled_count", *COEF_STATS, "alpha")
+
+
 def select_peers_ctes(cfg, k=P.MAX_PEERS):
     return prepared_ctes(cfg) + [
         ("ar", f"SELECT group_id, ts_id, date, count, date <= {d(cfg['start'])} AS is_pre "

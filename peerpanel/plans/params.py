@@ -16,7 +16,6 @@ PANEL_D = {"panel": "C", "period": "week", "start": "1999-06-30",
            "min_pre": 8, "min_post": 4, "min_ts": 5}
 
 MAX_PEERS = 10
-NITER = 1000
 
 # query name -> (oracle builder, panel config)
 SQL_QUERIES = {
@@ -69,16 +68,16 @@ SQL_QUERIES = {
     "pre_post_stats": ("q_pre_post", PANEL_C),
     "model_ts_rank": ("q_ts_rank", PANEL_A),
     "model_ts_rank_top": ("q_ts_rank_top", PANEL_C),
-}
-
-# registered without a SQL oracle (rows-only check); checked against
-# brute force in tests instead
-SPARK_ONLY = {
     "detect_changepoint_3": ("q_changepoint_3", PANEL_A),
-    "causal_impact": ("q_bsts_effects", PANEL_A_NATION),
-    "causal_impact_series": ("q_bsts_series", PANEL_A_NATION),
+    "detect_changepoint_by_nation": ("q_changepoint_2", PANEL_A_NATION),
+    "causal_impact": ("q_cohort_effects", PANEL_A_NATION),
+    "causal_impact_orders": ("q_cohort_effects", PANEL_C),
+    "causal_impact_week": ("q_cohort_effects", PANEL_D),
+    "causal_impact_day": ("q_cohort_effects", PANEL_B),
+    "causal_impact_series": ("q_cohort_series", PANEL_A_NATION),
     "peer_coef_stats": ("q_peer_coef_stats", PANEL_A_NATION),
-    "model_ts_peers": ("q_ts_peers", PANEL_A_NATION),
-    "model_ts_peers_plot": ("q_ts_peers_plot", PANEL_A_NATION),
+    "model_ts_peers": ("q_ts_peers", PANEL_A),
+    "model_ts_peers_deviating": ("q_ts_peers_deviating", PANEL_A),
+    "model_ts_peers_plot": ("q_ts_peers_plot", PANEL_A),
     "ts_analysis": ("q_ts_analysis", PANEL_A),
 }

@@ -96,18 +96,21 @@ def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, sta
     eff = rd("effects", "group_id string, ts_id string, " + dbl(IM.EFFECT_COLUMNS))
     ser = rd("series", "group_id string, ts_id string, date date, " + dbl(IM.SERIES_COLUMNS))
     coefs = rd("coefs", IM.COEF_SCHEMA)
-    if method == "bsts" and design is None:
-        design = peer_design(prepared, start, model_kw.get("max_peers", 50))
-    if niter is None:
-        niter = model_kw.get("niter", 1000) if method == "bsts" else 0
-    return IM.Models(eff, ser, coefs, IM.pre_end_table(prepared, start, period), sig_p, niter,
-                     design if method == "bsts" else None)
+    if method == "cohort":
+        from ..operators.cohort import cohort_design
+        design, niter = cohort_design(prepared, start) if design is None else design, 1
+    elif method == "bsts":
+        design = peer_design(prepared, start, model_kw.get("max_peers", 50)) if design is None else design
+        niter = model_kw.get("niter", 1000) if niter is None else niter
+    else:
+        design, niter = None, 0
+    return IM.Models(eff, ser, coefs, IM.pre_end_table(prepared, start, period), sig_p, niter, design)
 
 
 def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
                 period: str = "month", min_pre_periods: int | None = None,
                 min_post_periods: int | None = None, min_timeseries: int = 30,
-                sig_p: float = 0.05, method: str = "bsts", out_dir: str | None = None,
+                sig_p: float = 0.05, method: str = "cohort", out_dir: str | None = None,
                 save_model_data: bool = True, save_model: bool = True,
                 gen_output: bool = True, use_cache: bool = False,
                 top_timeseries: int = 5, **model_kw) -> dict:

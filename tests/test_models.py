@@ -77,6 +77,51 @@ def test_bayesian_model_acceptance(spark):
     assert peers.where((F.col("ts_id") == "target") & (F.col("inclusion_rank") != 1)).count() == 0
 
 
+def test_cohort_model_acceptance(spark):
+    """The same example with the default model, and its peer tables."""
+    from peerpanel.operators.impact import fit_models
+
+    p, start = _injected(spark)
+    m = fit_models(p, start, "day", alpha=0.01)
+    dev = {r.ts_id: r.deviance for r in RP.model_summary(m).collect()}
+    assert dev["1"] == "over" and dev["2"] == "under"
+    assert sum(v == "average" for v in dev.values()) == 28
+    peers = RP.peer_contributions(m)
+    assert {r.target_ts_id for r in peers.select("target_ts_id").distinct().collect()} == {"1", "2"}
+    assert {r.ts_id for r in peers.select("ts_id").distinct().collect()} == {"target", "(cohort 0)", "(cohort 1)"}
+
+
+def test_cohort_regression_against_normal_equations(spark):
+    """Coefficients, residual sd and the variance of the sum, by matrices."""
+    import hashlib
+    import math
+
+    import numpy as np
+
+    from peerpanel.operators.cohort import RIDGE
+    from peerpanel.operators.impact import fit_models
+
+    p, start = _injected(spark)
+    m = fit_models(p, start, "day", alpha=0.01)
+    wide = p.toPandas().pivot(index="date", columns="ts_id", values="count").sort_index()
+    pre = np.array([d <= start for d in wide.index])
+    side = {c: int(hashlib.md5(c.encode()).hexdigest()[0] >= "8") for c in wide.columns}
+    got = {r.ts_id: r for r in m.effects.collect()}
+    for c in ("1", "2", "7"):
+        x = np.stack([wide[[o for o in wide.columns if o != c and side[o] == k]].mean(axis=1) for k in (0, 1)], 1)
+        y = wide[c].to_numpy()
+        xc, yc = x - x[pre].mean(0), y - y[pre].mean()
+        s = xc[pre].T @ xc[pre]
+        s += np.eye(2) * RIDGE * np.trace(s) / 2
+        b = np.linalg.solve(s, xc[pre].T @ yc[pre])
+        res = yc - xc @ b
+        sigma2, n, k, v = (res[pre] ** 2).sum() / (pre.sum() - 3), pre.sum(), (~pre).sum(), xc[~pre].sum(0)
+        sd = math.sqrt(sigma2 * (k + k * k / n + v @ np.linalg.solve(s, v)))
+        assert abs(got[c].AbsEffect_Cumulative - res[~pre].sum()) < 1e-6
+        tail = 0.5 * math.erfc(abs(res[~pre].sum()) / sd / math.sqrt(2))
+        assert abs(got[c].p_Cumulative - tail) < 1e-6
+
+
 def test_model_ts_rank_rules(spark):
     """Strict pre rule, second post value, average ties, model rank join."""
     from peerpanel.operators.impact import ratio_models
