@@ -1,4 +1,4 @@
-"""Column helpers shared by the operators (window ranks, scaling,
+"""Column helpers shared by the operators (scaling,
 normal tail probabilities). All built-in expressions, no Python UDFs."""
 
 from __future__ import annotations
@@ -14,33 +14,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def avg_rank(value, partition: Sequence[str], descending: bool = False) -> Column:
-    """Rank with ties averaged (1.5, 1.5, 3); NULL values stay NULL and do
-    not take a rank position."""
-    v = _col(value)
-    order = v.desc_nulls_last() if descending else v.asc_nulls_last()
-    w = Window.partitionBy(*partition).orderBy(order)
-    ties = Window.partitionBy(*partition, v)
-    r = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-    return F.when(v.isNotNull(), r.cast("double"))
-
-
-def pct_rank_nonnull(value, partition: Sequence[str]) -> Column:
-    """(min_rank - 1) / (n - 1) over the non-NULL values of the partition;
-    NULL for NULL input and for a single non-NULL value."""
-    v = _col(value)
-    w = Window.partitionBy(*partition).orderBy(v.asc_nulls_last())
-    n = F.count(v).over(Window.partitionBy(*partition))
-    pr = F.try_divide((F.rank().over(w) - 1).cast("double"), (n - 1).cast("double"))
-    return F.when(v.isNotNull() & (n > 1), pr)
-
-
-def dense_rank_desc(value, partition: Sequence[str]) -> Column:
-    v = _col(value)
-    w = Window.partitionBy(*partition).orderBy(v.desc_nulls_last())
-    return F.when(v.isNotNull(), F.dense_rank().over(w))
-
-
 def standardize(value, partition: Sequence[str]) -> Column:
     """(x - mean) / sample sd over the partition; NULL if sd is 0/NULL."""
     v = _col(value)

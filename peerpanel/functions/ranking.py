@@ -25,15 +25,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import sized_broadcast
-
+from ..session import reuse, sized_broadcast
 
 
 def rank_table(df: DataFrame, part: Sequence[str], key: str, descending: bool = False,
                cells: int = 64, prefix: str = "_") -> DataFrame:
     """One row per (partition, distinct non-NULL key): ``key``,
     ``{prefix}min_rank``, ``{prefix}ties``, ``{prefix}n``. ``df`` should be
-    materialised (it is read three times)."""
+    materialised (it is read twice)."""
     part = list(part)
     kname = f"{prefix}k"
     valid = df.select(*part, (-F.col(key) if descending else F.col(key)).alias(kname)) \
@@ -62,17 +61,8 @@ def rank_table(df: DataFrame, part: Sequence[str], key: str, descending: bool =
     return out
 
 
-def rank_stats(df: DataFrame, part: Sequence[str], key: str, descending: bool = False,
-               cells: int = 64, prefix: str = "_") -> DataFrame:
-    """``df`` plus ``{prefix}min_rank, {prefix}ties, {prefix}n`` (all NULL for
-    a NULL key)."""
-    part = list(part)
-    t = rank_table(df, part, key, descending, cells, prefix)
-    return df.join(t, [*part, key], "left")
-
-
 def avg_rank_col(prefix: str = "_") -> Column:
-    """Rank with ties averaged, from ``rank_stats`` columns."""
+    """Rank with ties averaged, from ``rank_table`` columns."""
     return (F.col(f"{prefix}min_rank") + (F.col(f"{prefix}ties") - 1) / 2.0).cast("double")
 
 
@@ -82,43 +72,55 @@ def pct_rank_col(prefix: str = "_") -> Column:
                   (F.col(f"{prefix}min_rank") - 1) / (F.col(f"{prefix}n") - 1).cast("double"))
 
 
-def exact_median(df: DataFrame, part: Sequence[str], key: str, out: str) -> DataFrame:
-    """Interpolated median of ``key`` per partition ``(part..., out)``: the
-    mean of the values at positions floor((n+1)/2) and ceil((n+1)/2),
-    found in the rank table (no partition's values held by one task)."""
-    part = list(part)
-    p = f"_{out}_"
-    t = rank_table(df, part, key, prefix=p)
-    n, r, ties = F.col(f"{p}n"), F.col(f"{p}min_rank"), F.col(f"{p}ties")
-    lo = F.floor((n + 1) / 2)
-    hi = F.ceil((n + 1) / 2)
-    at = lambda q: (r <= q) & (q < r + ties)
-    return t.groupBy(*part).agg(
-        ((F.max(F.when(at(lo), F.col(key))) + F.max(F.when(at(hi), F.col(key)))) / 2.0)
-        .alias(out))
+def median_at(n: Column) -> tuple[Column, Column]:
+    """The two middle positions of ``n`` ordered values."""
+    return F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
+
+
+def value_at(position: Column, min_rank: Column, ties: Column, key) -> Column:
+    """Aggregate over a rank table: the value at a position."""
+    v = F.col(key) if isinstance(key, str) else key
+    return F.max(F.when((min_rank <= position) & (position < min_rank + ties), v))
+
+
+def _stacked(df: DataFrame, ids: Sequence[str], part: Sequence[str], specs) -> DataFrame:
+    """``(part..., ids..., out columns)``: all keys ranked in one pass, as rows
+    ``(part, metric, key)`` of one rank table. ``specs``: (key, out, descending,
+    column of the rank table)."""
+    part, ids = list(part), list(ids)
+    rows = df.select(*part, *ids, F.explode(F.array(*[
+        F.struct(F.lit(out).alias("_metric"), ((-F.col(key)) if desc else F.col(key)).cast("double").alias("_key"))
+        for key, out, desc, _ in specs])).alias("_x")).select(*part, *ids, "_x._metric", "_x._key")
+    t = rank_table(rows, [*part, "_metric"], "_key")
+    long = rows.join(t, [*part, "_metric", "_key"], "left")
+    return long.groupBy(*part, *ids).agg(*[
+        F.max(F.when(F.col("_metric") == out, rank)).alias(out) for _, out, _, rank in specs])
+
+
+def positions(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` plus the position 1..N in its partition by ``order`` (a total
+    order). Rows are dealt by range of (partition, order) over many tasks; a
+    position is the rows in earlier ranges plus the place in the range, so
+    neither a large partition nor a tie value meets in one task."""
+    part, order = list(part), list(order)
+    x = reuse(df.repartitionByRange(*part, *order).withColumn("_pid", F.spark_partition_id()))
+    early = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy(*part, "_pid").agg(F.count(F.lit(1)).alias("_rows")) \
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(early), F.lit(0))).drop("_rows")
+    place = F.row_number().over(Window.partitionBy(*part, "_pid").orderBy(*order))
+    return x.join(before, [*part, "_pid"]).withColumn(out, F.col("_before") + place).drop("_pid", "_before")
 
 
 def avg_ranks(df: DataFrame, ids: Sequence[str], part: Sequence[str], specs) -> DataFrame:
     """``df`` plus one averaged-ties rank column per ``(key, out,
-    descending)`` in ``specs`` (NULL for NULL keys). Each rank table is
-    computed from ``df`` itself and joined back on the key, so the plan
-    grows linearly with the number of ranks. (``ids`` documents the row
-    key; one stacked pass over all keys measured slower.)"""
-    out = df
-    for key, name, desc in specs:
-        p = f"_{name}_"
-        t = rank_table(df, part, key, desc, prefix=p).select(
-            *part, key, avg_rank_col(p).alias(name))
-        out = out.join(t, [*part, key], "left")
-    return out
+    descending)`` in ``specs`` (NULL for NULL keys); ``ids`` tells the rows of
+    a partition apart."""
+    ranks = _stacked(df, ids, part, [(k, o, d, avg_rank_col()) for k, o, d in specs])
+    return df.join(ranks, [*part, *ids], "left")
 
 
 def pct_ranks(df: DataFrame, part: Sequence[str], specs, ids: Sequence[str] = ("ts_id",)) -> DataFrame:
     """``df`` plus one percent-rank column per ``(key, out)``: (min_rank -
     1) / (n - 1) over non-NULL keys; NULL for NULL keys and n <= 1."""
-    out = df
-    for key, name in specs:
-        p = f"_{name}_"
-        t = rank_table(df, part, key, prefix=p).select(*part, key, pct_rank_col(p).alias(name))
-        out = out.join(t, [*part, key], "left")
-    return out
+    ranks = _stacked(df, ids, part, [(k, o, False, pct_rank_col()) for k, o in specs])
+    return df.join(ranks, [*part, *ids], "left")

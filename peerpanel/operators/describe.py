@@ -7,15 +7,14 @@ every series are trimmed first.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-import datetime as dt
-
 from ..functions.calendar import floor_period
-from ..functions.columns import pct_rank_nonnull
-from ..functions.ranking import exact_median, pct_rank_col, rank_table
-from ..session import reuse
+from ..functions.ranking import median_at, pct_rank_col, positions, rank_table, value_at
+from ..session import reuse, sized_broadcast
 from .prepare import C, D, G, TS, start_param, with_group_params
 
 SUMMARY_COUNT_NAMES = ("count_mean", "count_total", "timeseries_active", "timeseries_total",
@@ -110,48 +109,65 @@ def desc_summary_count_plot(long: DataFrame) -> DataFrame:
 def desc_summary_stats(p: DataFrame) -> DataFrame:
     """Long table of per-date mean / sample sd / median of the count and
     of ``log10(count + 1)`` (NULL where count + 1 <= 0)."""
-    t = reuse(trim_leading_zeros(p).select(G, D, C)
-              .withColumn("count_log10", F.log10(F.col(C) + 1)))
+    t = reuse(trim_leading_zeros(p).select(G, D, C))
+    log = F.when(F.col(C) + 1 > 0, F.log10(F.col(C) + 1))
     wide = t.groupBy(G, D).agg(
         F.avg(C).alias("count_mean"), F.stddev_samp(C).alias("count_sd"),
-        F.avg("count_log10").alias("count_log10_mean"),
-        F.stddev_samp("count_log10").alias("count_log10_sd"))
+        F.avg(log).alias("count_log10_mean"), F.stddev_samp(log).alias("count_log10_sd"),
+        F.count_if(F.col(C) + 1 <= 0).alias("_low"))
     # exact medians from value frequencies per (group, date): no task holds
-    # all values of one date of a large group
-    med = exact_median(t, [G, D], C, "count_median")
-    med_log = exact_median(t, [G, D], "count_log10", "count_log10_median")
-    wide = wide.join(med, [G, D], "left").join(med_log, [G, D], "left")
-    return _unpivot(wide, SUMMARY_STATS_NAMES)
-
-
-def _ntile_rows(rows: DataFrame, part, key, tiebreak, n: int, out: str) -> DataFrame:
-    """``ntile(n)`` over ``part`` ordered by ``key``, then date, then
-    ``tiebreak``, without sorting a partition in one task.
-
-    Row number = rows with a smaller key (exact rank table over the key,
-    ``functions/ranking.py``) + rows with the same key on earlier dates (a
-    running sum over at most one row per date) + the position inside the
-    (key, date) cell. Bucket sizes follow SQL NTILE: the first ``L mod n``
-    buckets hold one row more.
+    # all values of one date of a large group. log10 keeps the order, so both
+    # medians come from one rank table; counts without a logarithm come first
+    low = sized_broadcast(wide.select(G, D, "_low"))      # one row per group and bucket
+    ranks = rank_table(t, [G, D], C).join(low, [G, D])
+    r, ties, n, skip = F.col("_min_rank"), F.col("_ties"), F.col("_n"), F.col("_low")
+    lo, hi = median_at(n)
+    llo, lhi = (skip + x for x in median_at(n - skip))
+    med = ranks.groupBy(G, D).agg(
+        ((value_at(lo, r, ties, C) + value_at(hi, r, ties, C)) / 2.0).alias("count_median"),
+        ((value_at(llo, r, ties, log) + value_at(lhi, r, ties, log)) / 2.0).alias("count_log10_median"))
+    return _unpivot(wide.join(med, [G, D], "left"), SUMMARY_STATS_NAMES)
+
+
+def _ntile_cells(rows: DataFrame, part, key, tiebreak, n: int, out: str) -> DataFrame:
+    """``ntile(n)`` over ``part`` ordered by ``key``, then date, then ``tiebreak``,
+    as ``(group_id, date, count, out, _k)``: rows per date, count and bucket.
+
+    A (key, date) cell starts at the rows with a smaller key (rank table) plus
+    those of its key on earlier dates (a running sum over at most one row per
+    date). Unless one of the n - 1 bucket ends falls into it, the whole cell
+    lies in one bucket, so it needs no order inside. The few cells that are cut
+    (at most n - 1 per partition) are sorted by range over many tasks: a row's
+    place is its range's offset plus its place in the range. No row-level join
+    or window has a tie value as its key.
     """
     part = list(part)
-    ranks = rank_table(rows, part, key, prefix="_q").select(
-        *part, key, (F.col("_qmin_rank") - 1).alias("_off_key"), F.col("_qn").alias("_L"))
     cell = [*part, key, D]
-    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = rank_table(rows.select(*part, key), part, key, prefix="_q").select(
+        *part, key, (F.col("_qmin_rank") - 1).alias("_off"), F.col("_qn").alias("_L"))
+    values = reuse(rows.groupBy(*cell, C).agg(F.count(F.lit(1)).alias("_k")))
+    sizes = values.groupBy(*cell).agg(F.sum("_k").alias("_c"))
     wdate = Window.partitionBy(*part, key).orderBy(D).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_off_date", F.coalesce(F.sum("_c").over(wdate), F.lit(0)))
-    r = rows.join(ranks, [*part, key]).join(sizes.drop("_c"), cell)
-    r = r.withColumn("_r", F.col("_off_key") + F.col("_off_date") + F.row_number().over(
-        Window.partitionBy(*cell).orderBy(*tiebreak)))
-    L = F.col("_L")
-    n_larger = L % n
-    larger = F.ceil(L / n)
-    smaller = F.floor(L / n)
-    thr = larger * n_larger
-    bucket = F.when(F.col("_r") <= thr, F.floor((F.col("_r") + larger - 1) / larger)) \
-        .otherwise(F.floor((F.col("_r") - thr + smaller - 1) / smaller) + n_larger)
-    return r.withColumn(out, bucket.cast("long")).drop("_off_key", "_off_date", "_L", "_r")
+    sizes = sizes.withColumn("_early", F.coalesce(F.sum("_c").over(wdate), F.lit(0)))
+    sizes = reuse(sizes.join(ranks, [*part, key]).select(*cell, "_L", "_c", (F.col("_off") + F.col("_early")).alias("_s")))
+
+    def bucket(r):
+        # SQL NTILE: the first L mod n buckets hold one row more
+        L = F.col("_L")
+        larger, smaller = F.ceil(L / n), F.floor(L / n)
+        thr = larger * (L % n)
+        return F.when(r <= thr, F.floor((r + larger - 1) / larger)) \
+            .otherwise(F.floor((r - thr + smaller - 1) / smaller) + L % n).cast("long")
+
+    first, last = bucket(F.col("_s") + 1), bucket(F.col("_s") + F.col("_c"))
+    sizes = sizes.withColumn("_b0", first).withColumn("_b1", last)
+    plain = values.join(sizes.where("_b0 = _b1").select(*cell, F.col("_b0").alias(out)), cell) \
+        .select(G, D, C, out, "_k")
+    # at most n - 1 cut cells per partition
+    cut = sized_broadcast(sizes.where("_b0 <> _b1").select(*cell, "_L", "_s"))
+    inner = positions(rows.join(cut, cell), cell, tiebreak, "_place").withColumn("_r", F.col("_s") + F.col("_place"))
+    inner = inner.select(G, D, C, bucket(F.col("_r")).alias(out)).groupBy(G, D, C, out).agg(F.count(F.lit(1)).alias("_k"))
+    return plain.unionByName(inner).groupBy(G, D, C, out).agg(F.sum("_k").alias("_k"))
 
 
 def desc_quantile_timeseries(p: DataFrame, start_date, n_quantiles: int = 3) -> DataFrame:
@@ -167,19 +183,11 @@ def desc_quantile_timeseries(p: DataFrame, start_date, n_quantiles: int = 3) ->
     t = t.withColumn("med_count", F.median(C).over(Window.partitionBy(G, "period", TS)))
     # the rank tables below read their input several times: materialise it
     t = reuse(t.select(G, TS, "active", D, C, "period", "med_count"))
-    t = reuse(_ntile_rows(t, [G, "period"], "med_count", ["active", TS], n_quantiles, "quantile")
-              .select(G, TS, D, C, "quantile"))
+    cells = reuse(_ntile_cells(t, [G, "period"], "med_count", ["active", TS], n_quantiles, "quantile"))
     # within-date percent rank from the exact rank table of the counts
-    freq = rank_table(t, [G, D], C, prefix="_p").select(G, D, C, pct_rank_col("_p").alias("_pr"))
-    cells = t.groupBy(G, D, "quantile", C).agg(F.count(F.lit(1)).alias("_k"))
+    freq = rank_table(t.select(G, D, C), [G, D], C, prefix="_p").select(G, D, C, pct_rank_col("_p").alias("_pr"))
     x = cells.join(freq, [G, D, C])
     return (x.groupBy(G, D, "quantile").agg(
         F.try_divide(F.sum(F.col("_k") * F.col("_pr")),
                      F.sum(F.when(F.col("_pr").isNotNull(), F.col("_k"))).cast("double"))
         .alias("mean_percentile")))
-
-
-def month_percentile_rows(t: DataFrame) -> DataFrame:
-    """Row-level within-date percent rank (used by tests as a brute-force
-    cross-check of the frequency form)."""
-    return t.withColumn("month_percentile", pct_rank_nonnull(C, [G, D]))

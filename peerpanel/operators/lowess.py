@@ -17,99 +17,6 @@ from .describe import trim_leading_zeros
 from .prepare import C, D, G, TS
 
 
-def _fit_at(x, y, i, nleft, nright, rw, use_rw, xrange_):
-    """Weighted local linear fit at x[i] over the window [nleft, nright]
-    (extended to the right over points tied within .999 h)."""
-    n = len(x)
-    xs = x[i]
-    h = max(xs - x[nleft], x[nright] - xs)
-    h9, h1 = 0.999 * h, 0.001 * h
-    j = nleft
-    idx, w = [], []
-    while j < n:
-        r = abs(x[j] - xs)
-        if r <= h9:
-            wj = 1.0 if r <= h1 else (1.0 - (r / h) ** 3) ** 3
-            if use_rw:
-                wj *= rw[j]
-            idx.append(j)
-            w.append(wj)
-        elif x[j] > xs:
-            break
-        j += 1
-    w = np.asarray(w, dtype=float)
-    a = w.sum()
-    if a <= 0.0:
-        return None
-    w = w / a
-    xj = x[idx]
-    if h > 0.0:
-        a = float(np.dot(w, xj))
-        b = xs - a
-        c = float(np.dot(w, (xj - a) ** 2))
-        if np.sqrt(c) > 0.001 * xrange_:
-            b /= c
-            w = w * (b * (xj - a) + 1.0)
-    return float(np.dot(w, y[idx]))
-
-
-def lowess_values_loop(y, f: float = 1.0 / 3.0, iters: int = 3, delta: float | None = None):
-    """Point-by-point form of the published algorithm (test reference)."""
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    if n < 2:
-        return y.copy()
-    x = np.arange(1, n + 1, dtype=float)
-    if delta is None:
-        delta = 0.01 * (x[-1] - x[0])
-    ns = max(min(int(f * n + 1e-7), n), 2)
-    xrange_ = x[-1] - x[0]
-    ys = np.zeros(n)
-    rw = np.ones(n)
-    it = 1
-    while it <= iters + 1:
-        nleft, nright, last, i = 0, ns - 1, -1, 0
-        while True:
-            if nright < n - 1:
-                if x[i] - x[nleft] > x[nright + 1] - x[i]:
-                    nleft += 1
-                    nright += 1
-                    continue
-            v = _fit_at(x, y, i, nleft, nright, rw, it > 1, xrange_)
-            ys[i] = y[i] if v is None else v
-            if last < i - 1:
-                denom = x[i] - x[last]
-                for j in range(last + 1, i):
-                    al = (x[j] - x[last]) / denom
-                    ys[j] = al * ys[i] + (1.0 - al) * ys[last]
-            last = i
-            cut = x[last] + delta
-            i = last + 1
-            while i < n:
-                if x[i] > cut:
-                    break
-                if x[i] == x[last]:
-                    ys[i] = ys[last]
-                    last = i
-                i += 1
-            i = max(last + 1, i - 1)
-            if last >= n - 1:
-                break
-        res = y - ys
-        sc = float(np.abs(res).sum()) / n
-        if it > iters:
-            break
-        ar = np.abs(res)
-        cmad = 6.0 * float(np.median(ar))
-        if cmad < 1e-7 * sc:
-            break
-        c9, c1 = 0.999 * cmad, 0.001 * cmad
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rw = np.where(ar <= c1, 1.0, np.where(ar <= c9, (1.0 - (ar / cmad) ** 2) ** 2, 0.0))
-        it += 1
-    return ys
-
-
 def _fit_points(x, ns, delta):
     """Points where the local fit is evaluated and their window starts
     (depends on x only); the others are linearly interpolated."""
@@ -137,8 +44,8 @@ def _fit_points(x, ns, delta):
 def lowess_values(y, f: float = 1.0 / 3.0, iters: int = 3, delta: float | None = None):
     """Smoothed values of ``y`` against x = 1..n (distinct x).
 
-    Same fit as the point-by-point algorithm, evaluated for all fit points
-    of a pass at once: weights form a (points x n) matrix.
+    All fit points of a pass are evaluated at once: weights form a (points x
+    n) matrix.
     """
     y = np.asarray(y, dtype=float)
     n = len(y)

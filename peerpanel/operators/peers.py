@@ -17,10 +17,10 @@ reference's design) and ``(others)`` is empty and dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import rank_stats
+from ..functions.ranking import positions
 from ..session import sized_broadcast
 from .prepare import C, D, G, TS, start_param, with_group_params
 
@@ -30,16 +30,13 @@ TARGET = "target"
 
 def series_order(rows: DataFrame) -> DataFrame:
     """Position of every active series in its group by pre-period mean
-    (ties by id). The rank comes from ``rank_stats`` (no one-task sort of
-    a group's series); only series with an identical mean are ordered
-    together, by id."""
+    (ties by id), dealt by range: a group's series, or all those of one mean,
+    never meet in one task."""
     s = rows.groupBy(G, TS).agg(F.avg(F.when(F.col("is_pre"), F.col(C))).alias("_pre_mean"))
     s = s.withColumn("_pm", F.coalesce("_pre_mean", F.lit(float("inf"))))
-    r = rank_stats(s, [G], "_pm", prefix="_o")
-    w = Window.partitionBy(G, "_pm").orderBy(TS)
-    return (r.withColumn("pos", (F.col("_omin_rank") + F.row_number().over(w) - 1).cast("int"))
-            .withColumn("n_series", F.col("_on").cast("int"))
-            .select(G, TS, "pos", "n_series"))
+    o = positions(s, [G], ["_pm", TS], "pos")
+    n = o.groupBy(G).agg(F.max("pos").cast("int").alias("n_series"))
+    return o.join(sized_broadcast(n), G).select(G, TS, F.col("pos").cast("int"), "n_series")
 
 
 def select_peers(rows: DataFrame, max_peers: int = 50, order: DataFrame | None = None) -> DataFrame:

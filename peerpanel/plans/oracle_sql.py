@@ -173,8 +173,12 @@ def q_summary_count_plot(cfg):
 
 
 def q_running_distinct(cfg):
-    ctes = summary_count_ctes(cfg)
-    return with_(ctes, "SELECT group_id, date, timeseries_total FROM tot")
+    """The set form: distinct ids with a positive count on any date so far."""
+    ctes = trimmed_ctes(cfg) + [
+        ("dates", "SELECT DISTINCT group_id, date FROM t"),
+        ("seen", "SELECT DISTINCT group_id, date, ts_id FROM t WHERE count > 0")]
+    return with_(ctes, "SELECT d.group_id, d.date, count(DISTINCT s.ts_id) AS timeseries_total FROM dates d "
+                       "LEFT JOIN seen s ON s.group_id = d.group_id AND s.date <= d.date GROUP BY d.group_id, d.date")
 
 
 def q_summary_stats(cfg):

@@ -1,9 +1,9 @@
 import datetime as dt
 
 from conftest import make_panel
+from plain_forms import avg_rank, pct_rank_nonnull
 from pyspark.sql import functions as F
 
-from peerpanel.functions.columns import avg_rank, pct_rank_nonnull
 from peerpanel.operators import describe as DS
 
 D = dt.date.fromisoformat
@@ -35,8 +35,8 @@ def test_single_series_per_date_stats(spark):
     p = prepared(spark, [("a", "2024-01-01", 3)])
     got = {r.name: r.value for r in DS.desc_summary_stats(p).collect()}
     assert got["count_sd"] is None and got["count_median"] == 3.0
-    t = DS.month_percentile_rows(p).first()
-    assert t.month_percentile is None
+    q = DS.desc_quantile_timeseries(p, "2024-01-01").first()
+    assert q["mean_percentile"] is None
 
 
 def test_avg_rank_ties_desc(spark):
@@ -54,19 +54,26 @@ def test_pct_rank_nonnull(spark):
     assert got[("g", None)] is None and got[("h", 5.0)] is None
 
 
-def test_quantile_ntile_matches_window(spark):
-    """The split ntile equals a plain ntile window (brute force)."""
+def _ntile_both(spark, p, split):
     from pyspark.sql import Window
 
-    rows = [(f"s{i}", f"2024-01-{d:02d}", (i * 7 + d * 3) % 5) for i in range(9) for d in range(1, 8)]
-    p = prepared(spark, rows)
-    t = DS.trim_leading_zeros(p).withColumn("period", F.when(F.col("date") <= "2024-01-04", "pre")
-                                            .otherwise("post"))
-    t = t.withColumn("med_count", F.median("count").over(Window.partitionBy("group_id", "period",
-                                                                            "ts_id")))
-    fast = DS._ntile_rows(t, ["group_id", "period"], "med_count", ["active", "ts_id"], 3, "q")
-    slow = t.withColumn("q2", F.ntile(3).over(Window.partitionBy("group_id", "period").orderBy(
+    t = DS.trim_leading_zeros(p).withColumn("period", F.when(F.col("date") <= split, "pre").otherwise("post"))
+    t = t.withColumn("med_count", F.median("count").over(Window.partitionBy("group_id", "period", "ts_id")))
+    fast = DS._ntile_cells(t, ["group_id", "period"], "med_count", ["active", "ts_id"], 3, "q")
+    slow = t.withColumn("q", F.ntile(3).over(Window.partitionBy("group_id", "period").orderBy(
         "med_count", "date", "active", "ts_id")))
-    j = fast.join(slow, ["group_id", "ts_id", "date"])
-    assert j.where(F.col("q") != F.col("q2")).count() == 0
-    assert j.count() == t.count()
+    key = lambda r: (r.date, r["count"], r.q, r._k)
+    want = slow.groupBy("date", "count", "q").agg(F.count("*").alias("_k"))
+    assert sorted(map(key, fast.collect())) == sorted(map(key, want.collect()))
+
+
+def test_quantile_ntile_matches_window(spark):
+    """The split ntile equals a plain ntile window (brute force)."""
+    rows = [(f"s{i}", f"2024-01-{d:02d}", (i * 7 + d * 3) % 5) for i in range(9) for d in range(1, 8)]
+    _ntile_both(spark, prepared(spark, rows), "2024-01-04")
+
+
+def test_quantile_ntile_with_one_common_median(spark):
+    """99 % of the series share one median: its cells are cut by range."""
+    rows = [(f"s{i:03d}", f"2024-01-{d:02d}", 5 if i < 198 else i + d) for i in range(200) for d in range(1, 5)]
+    _ntile_both(spark, prepared(spark, rows), "2024-01-02")

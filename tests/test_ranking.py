@@ -2,8 +2,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from peerpanel.functions.columns import avg_rank, pct_rank_nonnull
 from peerpanel.functions.ranking import avg_ranks, pct_ranks
+from plain_forms import avg_rank, pct_rank_nonnull
 
 
 def test_cell_ranks_equal_window_ranks(spark):
@@ -25,12 +25,28 @@ def test_cell_ranks_equal_window_ranks(spark):
         assert (r.pr is None) == (r.pr2 is None) and (r.pr is None or abs(r.pr - r.pr2) < 1e-12)
 
 
-def test_exact_median_matches_builtin(spark):
-    from peerpanel.functions.ranking import exact_median
+def test_medians_match_builtin(spark):
+    """Counts below or at -1 have no logarithm; both medians from one table."""
+    import datetime as dt
 
-    rows = [("a", 1.0), ("a", 3.0), ("a", 3.0), ("a", 10.0),
-            ("b", 2.0), ("b", 2.0), ("b", 5.0), ("c", 7.0), ("d", None)]
-    df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: r.m for r in exact_median(df, ["g"], "x", "m").collect()}
-    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()}
-    assert got == {k: v for k, v in want.items() if v is not None}
+    from peerpanel.operators.describe import desc_summary_stats
+
+    rng = np.random.default_rng(4)
+    rows = [("g", f"s{i}", True, dt.date(2024, 1, 1 + i % 5), float(rng.integers(-3, 9)) or 1.0) for i in range(203)]
+    p = spark.createDataFrame(rows, "group_id string, ts_id string, active boolean, date date, count double")
+    got = {(r.date, r.name): r.value for r in desc_summary_stats(p).collect()}
+    log = F.when(F.col("count") > -1, F.log10(F.col("count") + 1))
+    for r in p.groupBy("date").agg(F.median("count").alias("m"), F.median(log).alias("l")).collect():
+        assert abs(got[(r.date, "count_median")] - r.m) < 1e-12
+        assert abs(got[(r.date, "count_log10_median")] - r.l) < 1e-12
+
+
+def test_positions_equal_row_numbers(spark):
+    from peerpanel.functions.ranking import positions
+
+    rng = np.random.default_rng(1)
+    rows = [("ab"[i % 2], float(rng.integers(0, 3)), f"s{i:04d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x double, id string").repartition(5)
+    slow = F.row_number().over(Window.partitionBy("g").orderBy("x", "id"))
+    j = positions(df, ["g"], ["x", "id"], "p").withColumn("q", slow)
+    assert j.count() == 900 and j.where("p <> q").count() == 0
