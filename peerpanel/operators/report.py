@@ -4,7 +4,7 @@ the before/after rankings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import standardize
@@ -207,10 +207,22 @@ def model_ts_rank(m: Models, p: DataFrame, summary: DataFrame | None = None,
     return rows.select(G, TS, D, C, *RANK_COLUMNS)
 
 
+# fixed order of the parts of a title
+TITLE = ("model_rank", "count_mean_rank", "count_mean_pctile_rank", "count_smooth_rank", "count_smooth_pctile_rank")
+
+
+def rank_title() -> Column:
+    """First five characters of the id and the five ranks; NA where NULL."""
+    shown = [F.coalesce(F.regexp_replace(F.col(r).cast("decimal(20,1)").cast("string"), "[.]0$", ""), F.lit("NA"))
+             for r in TITLE]
+    return F.concat_ws(" ", F.substring(F.col(TS), 1, 5), *shown)
+
+
 def model_ts_rank_top(ranked: DataFrame, top_timeseries: int = 5) -> DataFrame:
-    """Rows of series with any of the five ranks within ``top_timeseries``."""
+    """Rows of series with any of the five ranks within ``top_timeseries``,
+    with their plot ``title``."""
     cond = None
     for r in RANK_COLUMNS:
         c = F.coalesce(F.col(r) <= top_timeseries, F.lit(False))
         cond = c if cond is None else (cond | c)
-    return ranked.where(cond)
+    return ranked.where(cond).withColumn("title", rank_title())

@@ -207,12 +207,16 @@ def _ts_peers_plot(spark, sf_dir, cfg):
     return RP.peer_plot_rows(_ts_peers_deviating(spark, sf_dir, cfg))
 
 
-def _ts_analysis(spark, sf_dir, cfg):
+def _ts_analysis(spark, sf_dir, cfg, table="model_summary"):
     from . import pipeline as PL
     out = PL.ts_analysis(raw_panel(spark, sf_dir, cfg), start_date=cfg["start"],
                          period=cfg["period"], min_pre_periods=cfg["min_pre"],
-                         min_post_periods=cfg["min_post"], min_timeseries=cfg["min_ts"])
-    return out["model_summary"]
+                         min_post_periods=cfg["min_post"], min_timeseries=cfg["min_ts"], only=[table])
+    return out[table]
+
+
+def _pipeline_table(spark, sf_dir, cfg):
+    return _ts_analysis(spark, sf_dir, cfg, cfg["table"])
 
 
 BUILDERS = {
@@ -230,6 +234,7 @@ BUILDERS = {
     "q_ts_peers_deviating": _ts_peers_deviating,
     "q_ts_peers_plot": _ts_peers_plot,
     "q_ts_analysis": _ts_analysis,
+    "q_pipeline": _pipeline_table,
     "q_ratio_effects": _ratio_effects,
     "q_ratio_series": _ratio_series,
     "q_model_summary": _model_summary,

@@ -396,6 +396,11 @@ def ratio_ctes(cfg):
     ]
 
 
+def model_ctes(cfg):
+    """The model of the configuration: ``ratio`` unless it names another."""
+    return cohort_ctes(cfg) if cfg.get("method") == "cohort" else ratio_ctes(cfg)
+
+
 def q_ratio_effects(cfg):
     return R(with_(ratio_ctes(cfg), "SELECT * FROM me"), *EFFECTS)
 
@@ -405,29 +410,29 @@ def q_ratio_series(cfg):
 
 
 def q_model_summary(cfg):
-    return R(with_(ratio_ctes(cfg), "SELECT * FROM msum"), *EFFECTS)
+    return R(with_(model_ctes(cfg), "SELECT * FROM msum"), *EFFECTS)
 
 
 def q_deviance_counts(cfg):
-    return with_(ratio_ctes(cfg), "SELECT group_id, deviance, count(*) AS timeseries FROM msum "
+    return with_(model_ctes(cfg), "SELECT group_id, deviance, count(*) AS timeseries FROM msum "
                                   "GROUP BY ALL")
 
 
 def q_summary_timeseries(cfg):
-    return with_(ratio_ctes(cfg), (
+    return with_(model_ctes(cfg), (
         "SELECT date, group_id, CASE WHEN point_effect_lower > 0 THEN 'over' WHEN "
         "point_effect_upper < 0 THEN 'under' ELSE 'average' END AS point_perf, count(*) AS "
         "timeseries FROM ms JOIN pe USING (group_id) WHERE date >= pre_end GROUP BY ALL"))
 
 
 def q_group_timeseries(cfg):
-    return R(with_(ratio_ctes(cfg), (
+    return R(with_(model_ctes(cfg), (
         "SELECT msum.group_id, msum.ts_id, msum.p_Cumulative, ms.* EXCLUDE (group_id, ts_id, "
         "is_pre) FROM msum JOIN ms USING (group_id, ts_id)")), "p_Cumulative", *SERIES)
 
 
 def q_deviance_mean_sd(cfg):
-    return R(with_(ratio_ctes(cfg), (
+    return R(with_(model_ctes(cfg), (
         "SELECT ms.group_id, date, deviance, avg(response) AS count_mean, stddev_samp(response) "
         "AS count_sd FROM ms LEFT JOIN msum USING (group_id, ts_id) GROUP BY ALL")),
         "count_mean", "count_sd")
@@ -490,6 +495,21 @@ def q_ts_analysis(cfg):
     return q_cohort_effects(cfg)
 
 
+def q_pipeline(cfg):
+    """A table of the whole analysis; its own query's SQL with the default model."""
+    return globals()[PIPELINE_SQL[cfg["table"]]]({**cfg, "method": "cohort"})
+
+
+PIPELINE_SQL = {
+    "prepared_panel": "q_prepare", "desc_summary_count": "q_summary_count",
+    "desc_summary_count_plot": "q_summary_count_plot", "desc_summary_stats": "q_summary_stats",
+    "desc_quantile_timeseries": "q_quantile_ts", "deviance_counts": "q_deviance_counts",
+    "model_summary_timeseries": "q_summary_timeseries", "model_group_timeseries": "q_group_timeseries",
+    "deviance_mean_sd": "q_deviance_mean_sd", "model_ts_rank": "q_ts_rank", "model_ts_rank_top": "q_ts_rank_top",
+    "model_ts_peers": "q_ts_peers_deviating", "model_ts_peers_plot": "q_ts_peers_plot",
+}
+
+
 def q_cohort_series(cfg):
     return R(with_(cohort_ctes(cfg), "SELECT * EXCLUDE (is_pre) FROM ms"), *SERIES)
 
@@ -586,7 +606,7 @@ def q_peer_design(cfg):
 
 
 def q_standardize(cfg):
-    return R(with_(ratio_ctes(cfg), (
+    return R(with_(model_ctes(cfg), (
         "SELECT group_id, ts_id, date, (response - avg(response) OVER s) / "
         "nullif(stddev_samp(response) OVER s, 0) AS scaled_response FROM ms "
         "WINDOW s AS (PARTITION BY group_id, ts_id)")), "scaled_response")
@@ -686,7 +706,7 @@ def ts_rank_ctes(cfg):
             "count_smooth_pctile", "periods_pctile")
     wide = ", ".join(f"any_value(CASE WHEN period = '{per}' THEN {v} END) AS {v}_{per}"
                      for v in vals for per in ("pre", "post"))
-    return pre_post_ctes(cfg) + ratio_ctes(cfg)[len(prepared_ctes(cfg)):] + [
+    return pre_post_ctes(cfg) + model_ctes(cfg)[len(prepared_ctes(cfg)):] + [
         ("wd", f"SELECT group_id, ts_id, {wide} FROM pr GROUP BY group_id, ts_id"),
         ("wd2", "SELECT *, count_mean_post - count_mean_pre AS count_mean_diff, "
                 "count_smooth_post - count_smooth_pre AS count_smooth_diff, "
@@ -717,7 +737,11 @@ def q_ts_rank(cfg):
 
 def q_ts_rank_top(cfg, top=5):
     cond = " OR ".join(f"coalesce({r} <= {top}, false)" for r in RANKS)
-    return R(with_(ts_rank_ctes(cfg), f"SELECT * FROM tr WHERE {cond}"), "count", *RANKS)
+    show = lambda r: (f"coalesce(regexp_replace(CAST(CAST({r} AS DECIMAL(20, 1)) AS VARCHAR), "
+                      "'[.]0$', ''), 'NA')")
+    order = ("model_rank", "count_mean_rank", "count_mean_pctile_rank", "count_smooth_rank", "count_smooth_pctile_rank")
+    title = " || ' ' || ".join(["substr(ts_id, 1, 5)", *map(show, order)])
+    return R(with_(ts_rank_ctes(cfg), f"SELECT *, {title} AS title FROM tr WHERE {cond}"), "count", *RANKS)
 
 
 def build() -> dict[str, str]:

@@ -81,3 +81,10 @@ SQL_QUERIES = {
     "model_ts_peers_plot": ("q_ts_peers_plot", PANEL_A),
     "ts_analysis": ("q_ts_analysis", PANEL_A),
 }
+
+# every table of the whole analysis, taken from one ts_analysis run
+PIPELINE_TABLES = (
+    "prepared_panel", "desc_summary_count", "desc_summary_count_plot", "desc_summary_stats",
+    "desc_quantile_timeseries", "deviance_counts", "model_summary_timeseries", "model_group_timeseries",
+    "deviance_mean_sd", "model_ts_rank", "model_ts_rank_top", "model_ts_peers", "model_ts_peers_plot")
+SQL_QUERIES |= {f"ts_analysis_{t}": ("q_pipeline", {**PANEL_A, "table": t}) for t in PIPELINE_TABLES}

@@ -54,33 +54,39 @@ def run_groups(p: DataFrame, start) -> DataFrame:
     return groups.withColumn("start_date", F.lit(sp["start_date"]))
 
 
-def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5) -> dict:
-    """All result tables. The report start date is, per group, the last
-    bucket on or before the analysis start date (``m.pre_end``)."""
+def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5, only=None) -> dict:
+    """The result tables, or those named in ``only``. The report start date is,
+    per group, the last bucket on or before the analysis start date
+    (``m.pre_end``)."""
     start = (m.pre_end.withColumnRenamed("pre_end", "start_date")
              if isinstance(m.pre_end, DataFrame) else m.pre_end["pre_end"])
-    summary = reuse(RP.model_summary(m))
-    count_long = DS.desc_summary_count(p)
-    smoothed = reuse(lowess_smooth(p))
-    ranked = RP.model_ts_rank(m, p, summary, smoothed)
-    out = {
-        "desc_summary_count": count_long,
-        "desc_summary_count_plot": DS.desc_summary_count_plot(count_long),
-        "desc_summary_stats": DS.desc_summary_stats(p),
-        "desc_quantile_timeseries": DS.desc_quantile_timeseries(p, start),
+    kept: dict = {}
+
+    def once(name, build):
+        if name not in kept:
+            kept[name] = build()
+        return kept[name]
+
+    summary = lambda: once("summary", lambda: reuse(RP.model_summary(m)))
+    counts = lambda: once("counts", lambda: DS.desc_summary_count(p))
+    ranked = lambda: once("ranked", lambda: RP.model_ts_rank(m, p, summary(), reuse(lowess_smooth(p))))
+    peers = lambda: once("peers", lambda: RP.peer_contributions(m, summary()))
+    tables = {
+        "desc_summary_count": counts,
+        "desc_summary_count_plot": lambda: DS.desc_summary_count_plot(counts()),
+        "desc_summary_stats": lambda: DS.desc_summary_stats(p),
+        "desc_quantile_timeseries": lambda: DS.desc_quantile_timeseries(p, start),
         "model_summary": summary,
-        "deviance_counts": RP.deviance_counts(summary),
-        "model_summary_timeseries": RP.model_summary_timeseries(m),
-        "model_group_timeseries": RP.model_group_timeseries(m, summary),
-        "deviance_mean_sd": RP.deviance_mean_sd(m, summary),
+        "deviance_counts": lambda: RP.deviance_counts(summary()),
+        "model_summary_timeseries": lambda: RP.model_summary_timeseries(m),
+        "model_group_timeseries": lambda: RP.model_group_timeseries(m, summary()),
+        "deviance_mean_sd": lambda: RP.deviance_mean_sd(m, summary()),
         "model_ts_rank": ranked,
-        "model_ts_rank_top": RP.model_ts_rank_top(ranked, top_timeseries),
+        "model_ts_rank_top": lambda: RP.model_ts_rank_top(ranked(), top_timeseries),
     }
     if m.design is not None:
-        peers = RP.peer_contributions(m, summary)
-        out["model_ts_peers"] = peers
-        out["model_ts_peers_plot"] = RP.peer_plot_rows(peers)
-    return out
+        tables |= {"model_ts_peers": peers, "model_ts_peers_plot": lambda: RP.peer_plot_rows(peers())}
+    return {name: build() for name, build in tables.items() if only is None or name in only}
 
 
 def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, start, period: str, sig_p: float,
@@ -113,13 +119,14 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
                 sig_p: float = 0.05, method: str = "cohort", out_dir: str | None = None,
                 save_model_data: bool = True, save_model: bool = True,
                 gen_output: bool = True, use_cache: bool = False,
-                top_timeseries: int = 5, **model_kw) -> dict:
+                top_timeseries: int = 5, only=None, **model_kw) -> dict:
     """Run the whole analysis.
 
     ``data`` has ``date, ts_id, count`` and optionally ``group_id``; without
     that column all rows form one group named ``group_id`` (default: a run
     id from the clock). ``start_date`` may be a date, a ``(group_id,
     start_date)`` DataFrame, or None to detect one change date per group.
+    ``only`` names the result tables to build (default: all).
     Returns ``{"prepared_panel", "models", <result tables>...}``.
     """
     if "group_id" in data.columns:
@@ -161,7 +168,7 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
     if skipped is not None:
         result["skipped_groups"] = skipped
     if gen_output:
-        out = generate_output(m, prepared, top_timeseries)
+        out = generate_output(m, prepared, top_timeseries, only)
         result.update(out)
         if out_dir is not None:
             store.write_outputs(out, out_dir)
