@@ -45,7 +45,10 @@ def step_sql(period: str) -> str:
     return {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH"}[period]
 
 
-def d(x: str) -> str:
+def d(x: str | None) -> str:
+    """A start date; without one, the row's group's change date."""
+    if x is None:
+        return "(SELECT map(list(group_id), list(change_date)) FROM starts)[group_id]"
     return f"DATE '{x}'"
 
 
@@ -73,9 +76,14 @@ def R(sql: str, *doubles: str) -> str:
 def prepared_ctes(cfg: dict) -> list[tuple[str, str]]:
     """CTEs ``raw, b, params, s, r, p`` - p is the prepared panel."""
     period, start = cfg["period"], d(cfg["start"])
-    ctes = [("raw", RAW[cfg["panel"]]),
-            ("b", f"SELECT group_id, ts_id, {floor_sql('date', period)} AS date, "
-                  "sum(count) AS count FROM raw GROUP BY ALL")]
+    ctes = [("raw", RAW[cfg["panel"]])]
+    if cfg["start"] is None:          # one detected change date per group
+        found = with_(changepoint_ctes(cfg), "SELECT group_id, change_date FROM cp2")
+        ctes = [("starts", f"SELECT * FROM ({found}) AS found"),
+                ("raw", f"SELECT * FROM ({RAW[cfg['panel']]}) AS all_groups WHERE group_id IN "
+                        "(SELECT group_id FROM starts)")]
+    ctes += [("b", f"SELECT group_id, ts_id, {floor_sql('date', period)} AS date, "
+                   "sum(count) AS count FROM raw GROUP BY ALL")]
     if cfg.get("min_pre") is None:
         ctes.append(("m", "SELECT DISTINCT group_id, CAST(date_trunc('month', date) AS DATE) "
                           "AS month FROM raw"))

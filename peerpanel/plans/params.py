@@ -7,6 +7,7 @@ minimums (its default ones leave no series active).
 PANEL_A = {"panel": "A", "period": "month", "start": "1999-12-31",
            "min_pre": None, "min_post": None, "min_ts": 5}
 PANEL_A_NATION = {**PANEL_A, "panel": "A_nation", "min_ts": 1}
+PANEL_A_DETECTED = {**PANEL_A_NATION, "start": None}
 PANEL_B = {"panel": "B", "period": "day", "start": "2024-01-20",
            "min_pre": None, "min_post": None, "min_ts": 5}
 PANEL_C = {"panel": "C", "period": "month", "start": "1999-06-30",
@@ -80,6 +81,7 @@ SQL_QUERIES = {
     "model_ts_peers_deviating": ("q_ts_peers_deviating", PANEL_A),
     "model_ts_peers_plot": ("q_ts_peers_plot", PANEL_A),
     "ts_analysis": ("q_ts_analysis", PANEL_A),
+    "ts_analysis_detected": ("q_ts_analysis", PANEL_A_DETECTED),
 }
 
 # every table of the whole analysis, taken from one ts_analysis run
@@ -88,3 +90,5 @@ PIPELINE_TABLES = (
     "desc_quantile_timeseries", "deviance_counts", "model_summary_timeseries", "model_group_timeseries",
     "deviance_mean_sd", "model_ts_rank", "model_ts_rank_top", "model_ts_peers", "model_ts_peers_plot")
 SQL_QUERIES |= {f"ts_analysis_{t}": ("q_pipeline", {**PANEL_A, "table": t}) for t in PIPELINE_TABLES}
+SQL_QUERIES |= {f"ts_analysis_detected_{t}": ("q_pipeline", {**PANEL_A_DETECTED, "table": t})
+                for t in ("prepared_panel", "model_summary_timeseries", "desc_quantile_timeseries")}
