@@ -20,10 +20,6 @@ tail probability for the cumulative post effect.
 
 ``method="cohort"`` (default): regression on cohort means of all other
 series in closed form (see ``cohort.py``).
-
-``method="bsts"``: a Bayesian structural time-series model (see
-``bsts.py``) fitted per series in ``applyInPandas``; an option only, no
-registered query uses it.
 """
 
 from __future__ import annotations
@@ -140,14 +136,10 @@ def ratio_models(p: DataFrame, start_date, alpha: float = 0.05, period: str = "m
 
 def fit_models(p: DataFrame, start_date, period: str = "month", alpha: float = 0.05,
                method: str = "cohort", **kw) -> Models:
-    """Fit one model per active series: ``cohort``, ``ratio`` (both pure
-    DataFrame) or ``bsts`` (sampled)."""
+    """Fit one model per active series: ``cohort`` or ``ratio``."""
     if method == "cohort":
         from .cohort import cohort_models
         return cohort_models(p, start_date, alpha, period, **kw)
     if method == "ratio":
         return ratio_models(p, start_date, alpha, period)
-    if method == "bsts":
-        from .bsts import bsts_models
-        return bsts_models(p, start_date, period, alpha, **kw)
     raise ValueError(f"unknown method {method!r}")

@@ -93,8 +93,6 @@ def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, sta
                 method: str, design: DataFrame | None = None, niter: int | None = None,
                 **model_kw):
     """Model tables of ``groups`` saved under ``<out_dir>/models``."""
-    from ..operators.peers import peer_design
-
     def rd(name, schema):
         return store.read_table(spark, f"{out_dir}/models/{name}", schema).join(groups.select(G), G, "left_semi")
 
@@ -105,9 +103,6 @@ def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, sta
     if method == "cohort":
         from ..operators.cohort import cohort_design
         design, niter = cohort_design(prepared, start) if design is None else design, 1
-    elif method == "bsts":
-        design = peer_design(prepared, start, model_kw.get("max_peers", 50)) if design is None else design
-        niter = model_kw.get("niter", 1000) if niter is None else niter
     else:
         design, niter = None, 0
     return IM.Models(eff, ser, coefs, IM.pre_end_table(prepared, start, period), sig_p, niter, design)

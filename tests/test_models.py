@@ -2,7 +2,6 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from peerpanel.operators import report as RP
@@ -87,22 +86,6 @@ def test_ratio_model_flags_injected_series(spark):
     assert dev["1"] == "over" and dev["2"] == "under"
 
 
-@pytest.mark.slow
-def test_bayesian_model_acceptance(spark):
-    """The reference's example: 1 over, 2 under, the other 28 average."""
-    from peerpanel.operators.bsts import bsts_models
-
-    p, start = _injected(spark)
-    m = bsts_models(p, start, "day", alpha=0.01, niter=1000)
-    dev = {r.ts_id: r.deviance for r in RP.model_summary(m).collect()}
-    assert dev["1"] == "over" and dev["2"] == "under"
-    assert sum(v == "average" for v in dev.values()) == 28
-    peers = RP.peer_contributions(m)
-    tg = {r.target_ts_id for r in peers.collect()}
-    assert tg == {"1", "2"}
-    assert peers.where((F.col("ts_id") == "target") & (F.col("inclusion_rank") != 1)).count() == 0
-
-
 def test_cohort_model_acceptance(spark):
     """The same example with the default model, and its peer tables."""
     from peerpanel.operators.impact import fit_models
