@@ -138,6 +138,66 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE cast_up AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+v AS (SELECT vec_id, e FROM cast_up
+      WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS node, vec_id AS r FROM embeddings
+          UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.node),
+comp AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+# weights as in license_scan; a passage is a line, as no path is a licence name
+OP7_SQL = r"""
+WITH templates(name, text) AS (VALUES {templates}),
+lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+words AS (SELECT doc_id, i, unnest(regexp_extract_all(
+              translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM lines),
+twords AS (SELECT name, text, unnest(regexp_extract_all(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM templates),
+n AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT w, count(DISTINCT doc_id) AS df FROM words GROUP BY w),
+known AS (SELECT DISTINCT w FROM twords),
+idf AS (SELECT known.w, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM known LEFT JOIN df USING (w), n),
+tv AS (SELECT name, text, w, count(*) * any_value(idf) AS x FROM twords JOIN idf USING (w) GROUP BY name, text, w),
+tn AS (SELECT name, text, sqrt(sum(x * x)) AS norm FROM tv GROUP BY name, text),
+lv AS (SELECT doc_id, i, w, count(*) * any_value(coalesce(idf, ln(n + 1))) AS x
+       FROM words LEFT JOIN idf USING (w), n GROUP BY doc_id, i, w),
+ln_ AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM lv GROUP BY doc_id, i),
+dot AS (SELECT doc_id, i, name, text, sum(lv.x * tv.x) AS dot FROM lv JOIN tv USING (w) GROUP BY ALL),
+cos AS (SELECT doc_id, name, least(1.0, dot / tn.norm / ln_.norm) AS score
+        FROM dot JOIN tn USING (name, text) JOIN ln_ USING (doc_id, i)),
+best AS (SELECT doc_id, name AS own, score FROM (
+             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, name) AS rn
+             FROM cos WHERE score >= 0.6) WHERE rn = 1),
+files AS (SELECT doc_id, own, coalesce(score, 0.0) AS score, source || CASE WHEN length(text) < 1000 THEN ''
+              WHEN length(text) < 3000 THEN '/' || lang ELSE '/' || lang || '/long' END AS home,
+          source, lang FROM documents LEFT JOIN best USING (doc_id)),
+votes AS (SELECT home AS dir, own, count(*) AS c FROM files WHERE score >= 0.99 GROUP BY ALL),
+dirs AS (SELECT dir, own AS licence FROM (
+             SELECT *, row_number() OVER (PARTITION BY dir ORDER BY c DESC, own) AS rn FROM votes) WHERE rn = 1),
+up AS (SELECT doc_id, dir, licence, row_number() OVER (PARTITION BY doc_id ORDER BY length(dir) DESC) AS rn
+       FROM files JOIN dirs ON home = dir OR starts_with(home, dir || '/') WHERE own IS NULL)
+SELECT home || '/' || doc_id || '.txt' AS path, own, round(score, 6) AS score,
+       coalesce(own, licence) AS licence, dir AS from_dir
+FROM files LEFT JOIN (SELECT * FROM up WHERE rn = 1) USING (doc_id)
+"""
+
+
+def _op7_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return OP7_SQL.replace("{templates}", ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in license_scan.TEMPLATES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op4_decontamination, op5_bpe,
                                    op6_toxicity, op7_license_scan, op8_simhash_near_dup, op9_token_output,
@@ -145,4 +205,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL,
+            "op7_license_scan": _op7_sql(), "op10_embedding_near_dup": OP10_SQL}
