@@ -2,7 +2,6 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from peerpanel.operators import report as RP
 from peerpanel.operators.lowess import lowess_values
