@@ -23,7 +23,6 @@ no hits; other columns are never read.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

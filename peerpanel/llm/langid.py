@@ -78,7 +78,7 @@ def word_features(b, s, e) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Field:
-    """Weights: hashed features x labels, lexicon flags, transitions, starts."""
+    """Weights: hashed features x labels, lexicon flags, transitions; starts are uniform."""
 
     def __init__(self, labels, lexicon, table, flags, step, start):
         self.labels, self.lexicon = labels, lexicon          # lexicon: ascending hashes, label of each
