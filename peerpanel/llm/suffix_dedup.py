@@ -41,12 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stored
-from .textbytes import BYTE, GOLD, SLICE, mix, runs, slices
+from .textbytes import BYTE, GOLD, mix, runs, slices
 
 MIN_BYTES = 200
 GRAM = 64
 HOT = 20_000         # classes of one anchor in one shard group
-SHARD_BYTES = 1 << 20
+SLICE = 1 << 19      # bytes of text scanned at once: some twelve arrays of 8 bytes each
+SHARD_BYTES = 1 << 19
 BITMAP = 27          # log2 of the bits of a bitmap: 16 MB
 U = np.uint64
 BASE2 = 0xD6E8FEB86659FD93
@@ -232,7 +233,7 @@ def covered_runs(base: DataFrame, length: int, gram: int) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            for i, j, buf, off in slices(b.column(2)):
+            for i, j, buf, off in slices(b.column(2), SLICE):
                 e, text = entries(buf, off, length, gram)
                 cut = np.searchsorted(text, np.arange(j - i + 1))
                 blob = [e[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
