@@ -38,6 +38,8 @@ from .textbytes import mix
 
 LENGTH = 256         # ids of a sequence
 SHARD = 1 << 14      # slots of a shard
+ROWS, IDS = 2048, 1 << 22    # documents, and about how many ids, compressed together
+LEVEL = 9            # of the compression between the steps
 ROUNDS = 6
 U = np.uint64
 
@@ -66,35 +68,46 @@ def permute(number: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
 
 
 def id_table(docs: DataFrame, path: str, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``(pid, start, n, ids)``: ids of one document, compressed, with its first
-    sequence's place in the partition."""
+    """``(pid, start, n, sizes, ids)``: ids of up to ``ROWS`` documents, compressed
+    together, with their first sequence's place in the partition."""
     def scan(batches):
         v = _vocabulary(path)
         end = max(v.special.values(), default=0)
         kind = "<u2" if max(v.token) < 1 << 16 else "<u4"
         pid, start = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        ids: list[np.ndarray] = []
+
+        def row():
+            nonlocal start
+            n = sum(-(-len(x) // length) for x in ids)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([pid], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()),
+                 pa.array([[len(x) for x in ids]], pa.list_(pa.int64())),
+                 pa.array([pack.compress(np.concatenate(ids).tobytes())], pa.binary())],
+                ["pid", "start", "n", "sizes", "ids"])
+            start += n
+            ids.clear()
+            return out
+
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                rows = []
-                for t in b.column(0).slice(i, 512).to_pylist():
-                    ids = np.append(v.encode(t or ""), end).astype(kind)
-                    n = -(-len(ids) // length)
-                    rows.append((start, n, pack.compress(ids.tobytes())))
-                    start += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([pid] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()),
-                     pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                    ["pid", "start", "n", "ids"])
+            held = 0
+            for t in b.column(0):
+                ids.append(np.append(v.encode(t.as_py() or ""), end).astype(kind))
+                held += len(ids[-1])
+                if len(ids) == ROWS or held >= IDS:
+                    yield row()
+                    held = 0
+            if ids:
+                yield row()
 
-    return docs.select(text_col).mapInArrow(scan, "pid int, start long, n long, ids binary")
+    return docs.select(text_col).mapInArrow(scan, "pid int, start long, n long, sizes array<long>, ids binary")
 
 
 def write_shards(docs: DataFrame, path: str, root: str, key: int, text_col: str = "text",
                  length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Write ``root``/shard-NNNNN.bin and return ``(shard, file, first_slot,
     n_slots, n_bytes, sha256)``."""
-    spark = docs.sparkSession
     v = _vocabulary(path)
     end = max(v.special.values(), default=0)
     kind = "<u2" if max(v.token) < 1 << 16 else "<u4"
@@ -107,58 +120,56 @@ def write_shards(docs: DataFrame, path: str, root: str, key: int, text_col: str
         total += size[p]
 
     def place(batches):
-        unpack = zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                s = b.slice(i, 512)
-                n = s.column(2).to_numpy()
-                first = np.array([base[p] for p in s.column(0).to_pylist()]) + s.column(1).to_numpy()
-                number = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            for r in range(b.num_rows):
+                sizes = b.column(3)[r].values.to_numpy()
+                ids = np.frombuffer(unpack.decompress(b.column(4)[r].as_py()), kind)
+                n = -(-sizes // length)
+                flat = np.full((int(n.sum()), length), end, kind)
+                first = np.repeat((np.cumsum(n) - n) * length - (np.cumsum(sizes) - sizes), sizes)
+                flat.reshape(-1)[first + np.arange(len(ids))] = ids
+                number = base[b.column(0)[r].as_py()] + b.column(1)[r].as_py() + np.arange(len(flat))
                 slot = permute(number, total, key)
-                flat = np.full((len(number), length), end, kind).reshape(-1)
-                for x, at in zip(s.column(3).to_pylist(), ((np.cumsum(n) - n) * length).tolist()):
-                    ids = np.frombuffer(unpack.decompress(x), kind)
-                    flat[at:at + len(ids)] = ids
-                raw = pa.py_buffer(flat.tobytes())
-                off = pa.py_buffer((np.arange(len(number) + 1) * width).astype(np.int32).tobytes())
+                order = np.argsort(slot)
+                cut = np.flatnonzero(np.diff(slot[order] // shard)) + 1
+                parts = np.split(order, cut)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array((slot // shard).astype(np.int32)),
-                     pa.Array.from_buffers(pa.binary(), len(number), [None, off, raw])], ["slot", "shard", "record"])
+                    [pa.array([int(slot[x[0]]) // shard for x in parts], pa.int32()),
+                     pa.array([slot[x] for x in parts], pa.list_(pa.int64())),
+                     pa.array([pack.compress(flat[x].tobytes()) for x in parts], pa.binary())],
+                    ["shard", "slots", "records"])
 
     def write(batches):
+        """One partition per shard: its slots are filled in as they come."""
         where, folder = fs.FileSystem.from_uri(root)
-        out = name = digest = None
-        now, first, count = -1, 0, 0
-
-        def close():
-            out.close()
-            where.move(f"{folder}/{name}", f"{folder}/shard-{now:05d}.bin")
-            return pa.RecordBatch.from_pylist(
-                [{"shard": now, "file": f"shard-{now:05d}.bin", "first_slot": first, "n_slots": count,
-                  "n_bytes": count * width, "sha256": digest.hexdigest()}], MANIFEST)
-
+        unpack = zstandard.ZstdDecompressor()
+        now, data, filled = -1, None, None
         for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                for slot, s, r in zip(*(c.slice(k, 1024).to_pylist() for c in b.columns)):
-                    if s != now:
-                        if out is not None:
-                            yield close()
-                        now, first, count, digest = s, slot, 0, hashlib.sha256()
-                        name = f".shard-{s:05d}-{uuid.uuid4().hex}"
-                        out = where.open_output_stream(f"{folder}/{name}")
-                    if slot != first + count:
-                        raise RuntimeError(f"slot {first + count} is missing")
-                    out.write(r)
-                    digest.update(r)
-                    count += 1
-        if out is not None:
-            yield close()
+            for r in range(b.num_rows):
+                if data is None:
+                    now = b.column(0)[r].as_py()
+                    n = min(shard, total - now * shard)
+                    data, filled = np.zeros((n, width), np.uint8), np.zeros(n, bool)
+                at = b.column(1)[r].values.to_numpy() - now * shard
+                data[at] = np.frombuffer(unpack.decompress(b.column(2)[r].as_py()), np.uint8).reshape(-1, width)
+                filled[at] = True
+        if data is None:
+            return
+        if not filled.all():
+            raise RuntimeError(f"shard {now}: {int((~filled).sum())} slots are missing")
+        raw, own, name = data.tobytes(), f"{folder}/.shard-{now:05d}-{uuid.uuid4().hex}", f"shard-{now:05d}.bin"
+        with where.open_output_stream(own) as out:
+            out.write(raw)
+        where.move(own, f"{folder}/{name}")
+        yield pa.RecordBatch.from_pylist(
+            [{"shard": now, "file": name, "first_slot": now * shard, "n_slots": len(data), "n_bytes": len(raw),
+              "sha256": hashlib.sha256(raw).hexdigest()}], MANIFEST)
 
     where, folder = fs.FileSystem.from_uri(root)
     where.create_dir(folder, recursive=True)
-    n_shards = max(1, -(-total // shard))
-    dealt = table.mapInArrow(place, "slot long, shard int, record binary") \
-        .repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot")
+    dealt = table.mapInArrow(place, "shard int, slots array<long>, records binary") \
+        .repartitionById(max(1, -(-total // shard)), F.col("shard"))
     done = dealt.mapInArrow(write, "shard int, file string, first_slot long, n_slots long, n_bytes long, sha256 string")
     return stored(done, "token-manifest")
 
