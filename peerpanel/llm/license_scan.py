@@ -1,14 +1,16 @@
 """License scan: TF-IDF cosine to templates, then inheritance along paths.
 
 Terms are lower-case runs of a-z, 0-9 and non-ASCII characters. The weight of a
-template term is ln((N + 1) / (df + 1)), df counted over all N files; a term of no
-template has ln(N + 1). A passage is a line of any file, or the whole text of a
-licence file (by name). Its sparse vector holds term count times weight; the best
+term is ln((N + 1) / (df + 1)), df counted over all N files. A passage is a line of
+any file, or the whole text of a licence file (by name). Its sparse vector holds term count times weight; the best
 template by cosine at or above the threshold is the file's own licence, ties
 going to the template that sorts first.
 
-Lines are scored inside the scan: a bound without the terms of no template rules
-out nearly all, the rest get the exact cosine. A licence file in a directory
+A bound without the terms of no template rules out nearly all passages inside the
+scan. The rest are stored with their terms; the df of those terms is counted in one
+more pass over the files and joined to them for the exact cosine. ``own_licences``
+alone can also give terms of no template the fixed weight ln(N + 1) and score inside
+the scan, which is the form the SQL states. A licence file in a directory
 covers the files below it: files without a licence of their own inherit from
 the nearest ancestor that has one, found by joining their ancestor directories
 with the directories' licences (a few rows per directory, summed before the
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from .textbytes import LOWER, runs, slices, span_hashes
 
 THRESHOLD = 0.6
 SALTS = 32           # parts of a directory's files
+SLOTS = 20           # bits of a term's hash in the filter of the df pass
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|copyright|unlicense|notice)([.\-_][^/]*)?$"
 
 # fixed values: public licence names with their usual notices
@@ -77,13 +81,16 @@ def _lookup(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocab[i] == h, i, -1)
 
 
-def best_match(h, passage, n_passages, vocab, counts, idf, none_idf, threshold):
-    """Best ``(template, cosine)`` per passage; -1 below the threshold."""
-    best, score = np.full(n_passages, -1), np.zeros(n_passages)
+def near_passages(h, passage, n_passages, vocab, counts, idf, threshold):
+    """Passages that may reach the threshold: ``(passage, dots, inside, (passage,
+    term hash, count) of their terms of no template)``; ``dots`` are by template and
+    divided by its norm, ``inside`` is the squared norm of the template terms."""
+    none = np.zeros(0, np.int64), np.zeros((0, len(counts))), np.zeros(0), (np.zeros(0, np.int64), np.zeros(0, np.uint64),
+                                                                         np.zeros(0, np.int64))
     term = _lookup(vocab, h)
     hit = np.flatnonzero(term >= 0)
     if not len(hit):
-        return best, score
+        return none
     w = counts * idf
     norm = np.sqrt((w * w).sum(1))
     key, tf = np.unique(passage[hit] * len(vocab) + term[hit], return_counts=True)
@@ -93,24 +100,34 @@ def best_match(h, passage, n_passages, vocab, counts, idf, none_idf, threshold):
     some = np.unique(p)
     dots = np.zeros((len(some), len(counts)))
     row = np.searchsorted(some, p)
-    for k in range(len(counts)):
-        dots[:, k] = np.bincount(row, x * w[k][t], len(some))
     with np.errstate(divide="ignore", invalid="ignore"):
-        bound = np.nan_to_num(dots / np.sqrt(inside[some])[:, None] / norm[None, :])
+        for k in range(len(counts)):
+            dots[:, k] = np.nan_to_num(np.bincount(row, x * w[k][t], len(some)) / norm[k])
+        bound = np.nan_to_num(dots / np.sqrt(inside[some])[:, None])
     near = bound.max(1) >= threshold
     if not near.any():
-        return best, score
+        return none
     keep = np.zeros(n_passages, bool)
     keep[some[near]] = True
     out = np.flatnonzero((term < 0) & keep[passage])
     pair = np.stack([passage[out].astype(np.uint64), h[out]])
-    pair, n = np.unique(pair, axis=1, return_counts=True) if len(out) else (pair, np.zeros(0))
-    full = inside + np.bincount(pair[0].astype(np.int64), (n * none_idf) ** 2.0, n_passages)
-    cos = np.nan_to_num(dots[near] / np.sqrt(full[some[near]])[:, None] / norm[None, :])
+    pair, n = np.unique(pair, axis=1, return_counts=True) if len(out) else (pair, np.zeros(0, np.int64))
+    return some[near], dots[near], inside[some[near]], (pair[0].astype(np.int64), pair[1], n)
+
+
+def best_match(h, passage, n_passages, vocab, counts, idf, none_idf, threshold):
+    """Best ``(template, cosine)`` per passage with one weight for all terms of no
+    template; -1 below the threshold."""
+    best, score = np.full(n_passages, -1), np.zeros(n_passages)
+    who, dots, inside, (p, _, n) = near_passages(h, passage, n_passages, vocab, counts, idf, threshold)
+    if not len(who):
+        return best, score
+    full = inside + np.bincount(p, (n * none_idf) ** 2.0, n_passages)[who]
+    cos = np.nan_to_num(dots / np.sqrt(full)[:, None])
     top = cos.argmax(1)
-    ok = cos[np.arange(len(top)), top] >= threshold
-    best[some[near][ok]] = top[ok]
-    score[some[near][ok]] = np.minimum(1.0, cos[np.arange(len(top)), top][ok])
+    value = cos[np.arange(len(top)), top]
+    ok = value >= threshold
+    best[who[ok]], score[who[ok]] = top[ok], np.minimum(1.0, value[ok])
     return best, score
 
 
@@ -134,15 +151,107 @@ def document_frequency(files: DataFrame, text_col: str, vocab: np.ndarray) -> tu
     return df[:-1], int(df[-1])
 
 
+def passages(buf, off, h, s, d, named):
+    """Passages of a slice as ``(term hashes, passage of each, text of each passage)``:
+    all lines, then the whole texts of the licence files."""
+    line = np.cumsum(buf == 10)[s] + d if len(s) else np.zeros(0, np.int64)    # lines never span texts
+    u, line = np.unique(line, return_inverse=True)
+    owner = np.zeros(len(u), np.int64)
+    owner[line] = d
+    yield h, line, owner
+    if named.any():
+        of = named[d]
+        yield h[of], d[of], np.arange(len(off) - 1)
+
+
+def term_frequency(files: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
+    """``(term, df)``: files that hold each term hash of ``needed``. A filter of fixed
+    size keeps most other terms out of the shuffle."""
+    slot = F.shiftrightunsigned("term", 64 - SLOTS).cast("int")
+    slots = needed.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)   # at most 2^SLOTS
+    mask = np.zeros(1 << SLOTS, bool)
+    mask[slots] = True
+    bc = files.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+    def scan(batches):
+        wanted = np.unpackbits(bc.value).astype(bool)
+        for b in batches:
+            for _, _, buf, off in slices(b.column(0)):
+                h, _, d = terms(buf, off)
+                ok = wanted[(h >> U(64 - SLOTS)).astype(np.int64)]
+                h, d = h[ok], d[ok]
+                o = np.lexsort((d, h))
+                h, d = h[o], d[o]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+                u, n = np.unique(h[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    return files.select(text_col).mapInArrow(scan, "term long, n long").groupBy("term").agg(F.sum("n").alias("df")) \
+        .join(needed, "term", "left_semi")
+
+
+NEAR = "array<struct<dots: array<double>, inside: double, terms: array<bigint>, counts: array<bigint>>>"
+
+
+def _weighted(files, path_col, text_col, whole, names, vocab, counts, idf, n, threshold) -> DataFrame:
+    """``(path, own, score)`` with the df of every term."""
+    def scan(batches):
+        row = (TaskContext.get().partitionId() << 40)
+        for b in batches:
+            near = [[] for _ in range(b.num_rows)]
+            named = b.column(2).to_numpy(zero_copy_only=False)
+            for i, j, buf, off in slices(b.column(1)):
+                h, s, d = terms(buf, off)
+                for g, passage, owner in passages(buf, off, h, s, d, named[i:j]):
+                    who, dots, inside, (p, t, c) = near_passages(g, passage, len(owner), vocab, counts, idf, threshold)
+                    o = np.argsort(p, kind="stable")
+                    p, t, c = p[o], t[o].view(np.int64), c[o]
+                    lo, hi = np.searchsorted(p, who), np.searchsorted(p, who, "right")
+                    for k, x in enumerate(who.tolist()):
+                        near[i + int(owner[x])].append({"dots": dots[k].tolist(), "inside": float(inside[k]),
+                                                        "terms": t[lo[k]:hi[k]].tolist(), "counts": c[lo[k]:hi[k]].tolist()})
+            ids = np.arange(row, row + b.num_rows, dtype=np.int64)
+            row += b.num_rows
+            kind = pa.list_(pa.struct([("dots", pa.list_(pa.float64())), ("inside", pa.float64()),
+                                       ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(near, kind)], ["row", "path", "near"])
+
+    # row numbers are written once, so both readers see the same ones
+    rows = stored(files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), whole.alias("named"))
+                  .mapInArrow(scan, f"row long, path string, near {NEAR}"), "licence-passages")
+    each = rows.where(F.size("near") > 0).select("row", "path", F.posexplode("near").alias("k", "p")) \
+        .select("row", "path", "k", "p.*")
+    tf = each.select("row", "k", F.explode(F.arrays_zip("terms", "counts")).alias("t")) \
+        .select("row", "k", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
+    df = stored(term_frequency(files, text_col, tf.select("term").distinct()), "licence-terms")
+    x = F.col("tf") * F.log(F.lit(float(n + 1)) / (F.col("df") + 1))
+    outside = tf.join(df, "term").groupBy("row", "k").agg(F.sum(x * x).alias("outside"))
+    full = F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))
+    label = F.array(*[F.lit(x) for x in names])
+    best = each.join(outside, ["row", "k"], "left") \
+        .withColumn("cos", F.transform("dots", lambda v: F.coalesce(F.try_divide(v, full), F.lit(0.0)))) \
+        .withColumn("top", F.array_max("cos")) \
+        .withColumn("own", F.when(F.col("top") >= threshold, F.element_at(label, F.array_position("cos", F.col("top")).cast("int")))) \
+        .withColumn("score", F.when(F.col("own").isNotNull(), F.least(F.lit(1.0), "top"))) \
+        .groupBy("row").agg(F.first("path").alias("path"), F.min_by(F.struct("own", "score"), F.when(
+            F.col("own").isNotNull(), F.struct(-F.col("score"), "own"))).alias("b"))
+    return best.select("path", "b.own", F.coalesce("b.score", F.lit(0.0)).alias("score")).union(
+        rows.where(F.size("near") == 0).select("path", F.lit(None).cast("string"), F.lit(0.0)))
+
+
 def own_licences(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=None,
-                 threshold: float = THRESHOLD) -> DataFrame:
-    """``(path, own, score)`` per row of ``files``."""
+                 threshold: float = THRESHOLD, all_terms: bool = False) -> DataFrame:
+    """``(path, own, score)`` per row of ``files``; with ``all_terms`` every term has
+    the weight of its df, else terms of no template have ln(N + 1)."""
     templates = sorted(templates or TEMPLATES)
     vocab, counts = vocabulary(templates)
     df, n = document_frequency(files, text_col, vocab)
     idf, none = np.log((n + 1) / (df + 1)), float(np.log(n + 1))
     names = [t[0] for t in templates]
     whole = F.coalesce(F.col(path_col).rlike(LICENCE_NAME), F.lit(False))
+    if all_terms:
+        return _weighted(files, path_col, text_col, whole, names, vocab, counts, idf, n, threshold)
 
     def scan(batches):
         for b in batches:
@@ -150,16 +259,10 @@ def own_licences(files: DataFrame, path_col: str = "path", text_col: str = "text
             named = b.column(2).to_numpy(zero_copy_only=False)
             for i, j, buf, off in slices(b.column(1)):
                 h, s, d = terms(buf, off)
-                line = np.cumsum(buf == 10)[s] + d if len(s) else np.zeros(0, np.int64)    # lines never span texts
-                u, line = np.unique(line, return_inverse=True)
-                owner = np.zeros(len(u), np.int64)
-                owner[line] = d
-                for passage, who in ((line, owner), (d, np.arange(j - i))):
-                    best, cos = best_match(h, passage, len(who), vocab, counts, idf, none, threshold)
+                for g, passage, who in passages(buf, off, h, s, d, named[i:j]):
+                    best, cos = best_match(g, passage, len(who), vocab, counts, idf, none, threshold)
                     for k in np.flatnonzero(best >= 0).tolist():
                         x = i + int(who[k])
-                        if who is not owner and not named[x]:
-                            continue
                         if own[x] is None or (-cos[k], names[best[k]]) < (-score[x], own[x]):
                             own[x], score[x] = names[best[k]], float(cos[k])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.string()), pa.array(score)],
@@ -199,5 +302,5 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
                  threshold: float = THRESHOLD, gives: Column | None = None) -> DataFrame:
     """``(path, own, score, licence, from_dir)`` per row of ``files``. By default
     licence files are told by name."""
-    found = stored(own_licences(files, path_col, text_col, templates, threshold), "licences")
+    found = stored(own_licences(files, path_col, text_col, templates, threshold, all_terms=True), "licences")
     return inherit(found, F.col("path").rlike(LICENCE_NAME) if gives is None else gives)

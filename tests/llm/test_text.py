@@ -270,6 +270,37 @@ def test_cosine_against_plain_vectors(spark):
         assert got[f"f{i}"][1] == name and abs(got[f"f{i}"][0] - s) < 1e-9
 
 
+def test_every_term_counts_by_its_frequency(spark):
+    import math
+    templates = sorted(license_scan.TEMPLATES)
+    texts = [prose(i, 20) + "\nthe data of the thing and was" for i in range(60)] + [
+        "The data was released under the MIT License.", "The thing of the and was released under the MIT License.",
+        "zyx the wvu released under the MIT License.", "the the the\nReleased under the MIT License. " + prose(3, 4)]
+    names = [f"f{i}" for i in range(len(texts))] + ["LICENSE", "f0"]
+    texts += ["of the data: " + dict(templates)["MIT"] + "\nand the thing was", texts[0]]
+    term = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    df, n = {}, len(texts) + 1                                      # one null text
+    for t in texts:
+        for w in set(term(t)):
+            df[w] = df.get(w, 0) + 1
+    vec = lambda t: {w: term(t).count(w) * math.log((n + 1) / (df.get(w, 0) + 1)) for w in set(term(t))}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = []
+    for path, t in zip(names, texts):
+        best = (0.0, None)
+        for p in t.split("\n") + [t] * (path == "LICENSE"):
+            v = vec(p)
+            for name, u in templates:
+                c = sum(x * vec(u).get(w, 0) for w, x in v.items()) / norm(v) / norm(vec(u)) if norm(v) else 0.0
+                if c >= license_scan.THRESHOLD and c > best[0] + 1e-12:
+                    best = (c, name)
+        want.append((path, best[1], round(best[0], 9)))
+    rows = spark.createDataFrame(list(zip(names, texts)) + [(None, None)], "path string, text string")
+    got = sorted(((r["path"], r["own"], round(r["score"], 9)) for r in license_scan.license_scan(rows).collect()), key=str)
+    assert got == sorted(want + [(None, None, 0.0)], key=str)
+    assert {p: o for p, o, _ in got}["f61"] == "MIT"                # too weak with the highest weight for "the", "of", ...
+
+
 # -------------------------------------------------------------- token shards
 
 def test_permutation_is_a_keyed_bijection():
