@@ -2,10 +2,11 @@
 
 1. A character 4-gram model is counted over all documents (28 symbols: a-z, any
    other letter, boundary), so its table is at most 28^4 cells at any size.
-2. Tokens that look obfuscated (leet signs inside a word, letters three times
-   running, letters spelled one by one) become lattices: a leet sign may stand
-   for each letter it resembles or be noise, a repeated letter may collapse, a
-   separator may vanish or stay a boundary. Viterbi under the character model
+2. Tokens that may be obfuscated (leet signs inside a word, a letter twice running,
+   letters or signs spelled one by one with the short fragments beside them) become
+   lattices: a leet sign may stand for each letter it resembles or be noise, a
+   repeated letter may collapse, also if signs or separators stand for it or between,
+   a run of separators may vanish or stay a boundary. Viterbi under the character model
    finds the likeliest reading. Plain tokens have a single path and are left.
 3. Prefixes of 4 to 8 bytes and whole short words of plain and restored words
    are features of a logistic regression, learned from at most ``SAMPLE``
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import BYTE, LOWER, mix, runs, slices
+from .textbytes import BYTE, LOWER, mix, runs, slices, span_hashes
 
 SAMPLE = 12_000      # labelled documents that the classifier may learn from
 FEATURES = 3_000     # features of the regression
@@ -40,6 +41,7 @@ NS = 28              # symbols of the character model
 # fixed values: letters that a sign may stand for
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
+FRAGMENT = 4         # characters of a piece beside a spelled-out word
 COST_LEET, COST_NOISE, COST_REPEAT, COST_JOIN = 1.0, 4.0, 0.5, 0.7
 
 
@@ -101,16 +103,18 @@ def log_probabilities(code: np.ndarray, n: np.ndarray, weight: float = 5.0) -> n
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Per character its readings ``(letters, cost)``; "" is dropped, " " a boundary."""
-    out = []
-    for i, ch in enumerate(token):
-        if ch.isalpha():
-            options = [(ch, 0.0)]
-            if i and token[i - 1] == ch:
+    out, before, gap = [], set(), False
+    for ch in token:
+        if ch.isalpha() or ch in LEET:
+            sign = not ch.isalpha()
+            options = [(x, COST_LEET) for x in LEET[ch]] + [("", COST_NOISE), (" ", 0.0)] if sign else [(ch, 0.0)]
+            may_be = set(LEET[ch]) if sign else {ch}
+            if may_be & before:
                 options.append(("", COST_REPEAT))
-        elif ch in LEET:
-            options = [(x, COST_LEET) for x in LEET[ch]] + [("", COST_NOISE), (" ", 0.0)]
+            before, gap = may_be, False
         else:
-            options = [("", COST_JOIN), (" ", 0.0)]
+            options = [("", 0.0 if gap else COST_JOIN), (" ", 0.0)]    # a run of separators joins at one cost
+            gap = True
         out.append(options)
     return out
 
@@ -165,17 +169,44 @@ def obfuscated(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sign = leet & (at(letter, -1) & (at(letter, 1) | at(leet, 1) & at(letter, 2)) | at(letter, 1) & ~at(letter, -1))
     tail = leet & (b != 33) & (b != 124) & (b != 43) & at(letter, -1) & ~at(leet, 2) & ~at(letter, 1)
     same = np.zeros(n, bool)
-    same[2:] = (b[2:] == b[1:-1]) & (b[2:] == b[:-2]) & letter[2:] & (b[2:] < 0x80)
+    same[1:] = (b[1:] == b[:-1]) & letter[1:] & (b[1:] < 0x80)
+    two = (b[:-3] >= 0xC3) & (b[:-3] < 0xE0)                              # letters of two bytes
+    same[3:] |= two & (b[2:-1] == b[:-3]) & (b[3:] == b[1:-2])
     s, e, d = runs(~_SPACE[b], off)
     odd = np.concatenate([[0], np.cumsum(sign | tail | same)])
     pick = odd[e] > odd[s]
-    alone = letter & (b < 0x80) & ~at(letter, -1) & ~at(letter, 1)
-    spelled = alone & at(alone, 2) & at(alone, 4) if n > 4 else np.zeros(n, bool)
-    chain = spelled | at(spelled, -1) | at(spelled, -2) | at(spelled, -3) | at(spelled, -4)
-    cs, ce, cd = runs(chain, off)
+    cs, ce, cd = chains(b, off, letter, leet)
     return np.concatenate([s[pick], cs]), np.concatenate([e[pick], ce]), np.concatenate([d[pick], cd])
 
 
+def chains(b, off, letter, leet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of words spelled in pieces: two single letters or signs side by side, with
+    all pieces of one character that go on from them and a fragment of up to four
+    characters before and after; three pieces and a letter at least. The pieces of
+    one character are a span of their own too."""
+    s, e, d = runs(letter | leet, off)
+    heads = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    size = heads[e] - heads[s]
+    beside = d[1:] == d[:-1]
+    single = size == 1
+    pair = single[1:] & single[:-1] & beside
+    core = np.zeros(len(s), bool)
+    core[1:] |= pair
+    core[:-1] |= pair
+    member = core.copy()
+    member[1:] |= (size[1:] <= FRAGMENT) & core[:-1] & beside
+    member[:-1] |= (size[:-1] <= FRAGMENT) & core[1:] & beside
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    cut = np.searchsorted(d, np.arange(len(off)))
+    spans = []
+    for mask in (member, core):
+        x, y, _ = runs(mask, cut)
+        x, y = x[y - x >= 3], y[y - x >= 3] - 1
+        ok = letters[e[y]] > letters[s[x]]
+        spans.append(np.stack([s[x[ok]], e[y[ok]], d[x[ok]]]))
+    return tuple(np.unique(np.concatenate(spans, axis=1), axis=1))
+
+
 # ------------------------------------------------------------------ features
 
 def word_codes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,17 +248,20 @@ def words_of(buf: np.ndarray, off: np.ndarray, channel: Channel) -> tuple[np.nda
     os_, oe, od = obfuscated(b, off)
     if not len(os_):
         return packed, size, d
-    extra, owner = [], []
-    for x, y, i in zip(os_.tolist(), oe.tolist(), od.tolist()):
-        for w in channel.read(b[x:y].tobytes().decode("utf-8", "ignore")).split(" "):
-            if w:
-                extra.append(w.encode())
-                owner.append(i)
+    # each distinct token of the slice is read once
+    _, first, token = np.unique(span_hashes(b, os_, oe), return_index=True, return_inverse=True)
+    extra, many = [], np.zeros(len(first), np.int64)
+    for k, (x, y) in enumerate(zip(os_[first].tolist(), oe[first].tolist())):
+        ws = [w.encode() for w in channel.read(b[x:y].tobytes().decode("utf-8", "ignore")).split(" ") if w]
+        extra += ws
+        many[k] = len(ws)
     if not extra:
         return packed, size, d
     ends = np.cumsum([len(w) for w in extra])
     p2, n2 = word_codes(np.frombuffer(b"".join(extra), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-    return np.concatenate([packed, p2]), np.concatenate([size, n2]), np.concatenate([d, np.array(owner)])
+    n = many[token]
+    word = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - (np.cumsum(many) - many)[token], n)
+    return np.concatenate([packed, p2[word]]), np.concatenate([size, n2[word]]), np.concatenate([d, np.repeat(od, n)])
 
 
 @dataclass

@@ -142,6 +142,36 @@ def test_toxicity_of_obfuscated_text(spark):
     assert toxicity.toxicity(docs.limit(0), lab.limit(0)).count() == 0
 
 
+def plain_channel():
+    text = pa.array([" ".join(f"you are an idiot and a moron, {w} here, stupid pig, the café is on idle " for w in BAD * 9)])
+    total = np.zeros(toxicity.NS ** 4, np.int64)
+    for _, _, buf, _ in toxicity.slices(text):
+        s = toxicity.SYMBOL[toxicity.lowered(buf)]
+        s = s[s >= 0]
+        s = np.concatenate([[0, 0, 0], s[(s > 0) | (np.concatenate([[1], s[:-1]]) > 0)]])
+        code = ((s[:-3] * 28 + s[1:-2]) * 28 + s[2:-1]) * 28 + s[3:]
+        total += np.bincount(code, minlength=len(total))
+    code = np.flatnonzero(total)
+    return toxicity.Channel(toxicity.log_probabilities(code, total[code]))
+
+
+def words_read(texts, channel):
+    """Words of up to eight bytes per text."""
+    out = [set() for _ in texts]
+    for i, _, buf, off in toxicity.slices(pa.array(texts)):
+        for w, n, d in zip(*(x.tolist() for x in toxicity.words_of(buf, off, channel)[:3])):
+            out[i + d].add(w.to_bytes(8, "little").rstrip(b"\0").decode("utf-8", "ignore"))
+    return out
+
+
+def test_leet_spacing_and_repetition_together():
+    want = {"an i d 1 o t here": "idiot", "you m 0 r 0 n": "moron", "a p 1 g": "pig", "you i-d-1-0-t": "idiot",
+            "an  i  d  i  o  t": "idiot", "st u p i d": "stupid", "an iddiot": "idiot", "a m o r 0 0 n": "moron",
+            "a m  0 0 r.r o  n": "moron", "an 1 d d i 0 o t": "idiot", "the cafféé": "café", "you m.0.r.0.n!": "moron"}
+    for text, got in zip(want, words_read(list(want), plain_channel())):
+        assert want[text] in got, (text, got)
+
+
 def test_viterbi_takes_the_best_path():
     rng = np.random.default_rng(0)
     logp = np.log(rng.dirichlet(np.ones(28), (28, 28, 28))).astype(np.float32)
