@@ -8,7 +8,7 @@
    repeated letter may collapse, also if signs or separators stand for it or between,
    a run of separators may vanish or stay a boundary. Viterbi under the character model
    finds the likeliest reading. Plain tokens have a single path and are left.
-3. Prefixes of 4 to 8 bytes and whole short words of plain and restored words
+3. Prefixes of 4 to 8 bytes and whole words of plain and restored words
    are features of a logistic regression, learned from at most ``SAMPLE``
    labelled documents taken in hash order; every document is then scored over
    its whole text.
@@ -156,6 +156,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def obfuscated(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans ``(start, end, text)`` of tokens and spelled-out words to restore."""
+    b = np.insert(b, np.repeat(off[1:-1], 2), 32)      # no mask looks into the next text
+    off = off + 2 * np.minimum(np.arange(len(off)), max(0, len(off) - 2))
     n = len(b)
     letter = ((b >= 97) & (b <= 122)) | (b >= 0x80)
     pad = np.zeros(n + 8, bool)
@@ -176,7 +178,8 @@ def obfuscated(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     odd = np.concatenate([[0], np.cumsum(sign | tail | same)])
     pick = odd[e] > odd[s]
     cs, ce, cd = chains(b, off, letter, leet)
-    return np.concatenate([s[pick], cs]), np.concatenate([e[pick], ce]), np.concatenate([d[pick], cd])
+    d = np.concatenate([d[pick], cd])
+    return np.concatenate([s[pick], cs]) - 2 * d, np.concatenate([e[pick], ce]) - 2 * d, d
 
 
 def chains(b, off, letter, leet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,24 +212,30 @@ def chains(b, off, letter, leet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # ------------------------------------------------------------------ features
 
-def word_codes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First eight bytes of each word as one number, and the word lengths."""
+def word_codes(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First eight bytes of each word as one number, the word lengths, and the hash of
+    each word of more than eight bytes (else 0)."""
     size = e - s
     packed = np.zeros(len(s), np.uint64)
     for j in range(8):
         has = size > j
         packed[has] |= b[s[has] + j].astype(np.uint64) << U(8 * j)
-    return packed, size
+    whole = np.zeros(len(s), np.uint64)
+    long = size > 8
+    whole[long] = span_hashes(b, s[long], e[long])
+    return packed, size, whole
 
 
-def feature_codes(packed: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(rows, codes)`` per kind: prefixes of 4 to 8 bytes, whole short words."""
+def feature_codes(packed: np.ndarray, size: np.ndarray, whole: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(rows, codes)`` per kind: prefixes of 4 to 8 bytes, whole words."""
     out = []
     for k in range(4, 9):
         r = np.flatnonzero(size >= k)
         out.append((r, packed[r] & U((1 << 8 * k) - 1)))
     r = np.flatnonzero(size <= 8)
     out.append((r, mix(packed[r] + BYTE[0])))
+    r = np.flatnonzero(size > 8)
+    out.append((r, whole[r]))
     return out
 
 
@@ -240,14 +249,14 @@ class Channel:
         self.read = lru_cache(1 << 16)(lambda token: viterbi(token, self.logp))
 
 
-def words_of(buf: np.ndarray, off: np.ndarray, channel: Channel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(packed, size, text)`` of all plain and restored words."""
+def words_of(buf: np.ndarray, off: np.ndarray, channel: Channel) -> tuple[np.ndarray, ...]:
+    """``(packed, size, text, whole)`` of all plain and restored words."""
     b = lowered(buf)
     s, e, d = runs(((b >= 97) & (b <= 122)) | (b >= 0x80), off)
-    packed, size = word_codes(b, s, e)
+    packed, size, whole = word_codes(b, s, e)
     os_, oe, od = obfuscated(b, off)
     if not len(os_):
-        return packed, size, d
+        return packed, size, d, whole
     # each distinct token of the slice is read once
     _, first, token = np.unique(span_hashes(b, os_, oe), return_index=True, return_inverse=True)
     extra, many = [], np.zeros(len(first), np.int64)
@@ -256,12 +265,13 @@ def words_of(buf: np.ndarray, off: np.ndarray, channel: Channel) -> tuple[np.nda
         extra += ws
         many[k] = len(ws)
     if not extra:
-        return packed, size, d
+        return packed, size, d, whole
     ends = np.cumsum([len(w) for w in extra])
-    p2, n2 = word_codes(np.frombuffer(b"".join(extra), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+    p2, n2, w2 = word_codes(np.frombuffer(b"".join(extra), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
     n = many[token]
     word = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - (np.cumsum(many) - many)[token], n)
-    return np.concatenate([packed, p2[word]]), np.concatenate([size, n2[word]]), np.concatenate([d, np.repeat(od, n)])
+    return (np.concatenate([packed, p2[word]]), np.concatenate([size, n2[word]]), np.concatenate([d, np.repeat(od, n)]),
+            np.concatenate([whole, w2[word]]))
 
 
 @dataclass
@@ -271,14 +281,17 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def hits(self, packed, size, text) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, packed, size, text, whole) -> tuple[np.ndarray, np.ndarray]:
         """Distinct ``(text, feature)`` that occur."""
         seen = []
         gate = np.zeros(1 << 16, bool)
         gate[(mix(self.codes & U(0xFFFFFFFF)) >> U(48)).astype(np.int64)] = True
         likely = gate[(mix(packed & U(0xFFFFFFFF)) >> U(48)).astype(np.int64)] | (size <= 8)
-        packed, size, text = packed[likely], size[likely], text[likely]
-        for r, c in feature_codes(packed, size):
+        gate[:] = False
+        gate[(self.codes >> U(48)).astype(np.int64)] = True
+        likely |= gate[(whole >> U(48)).astype(np.int64)]
+        packed, size, text, whole = packed[likely], size[likely], text[likely], whole[likely]
+        for r, c in feature_codes(packed, size, whole):
             i = np.searchsorted(self.codes, c)
             i[i == len(self.codes)] = 0
             ok = np.flatnonzero(self.codes[i] == c) if len(self.codes) else np.zeros(0, int)
@@ -332,8 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         for b in batches:
             y = b.column(1).to_numpy(zero_copy_only=False)
             for i, j, buf, off in slices(b.column(0)):
-                packed, size, text = words_of(buf, off, channel)
-                c = [(text[r], c) for r, c in feature_codes(packed, size)]
+                packed, size, text, whole = words_of(buf, off, channel)
+                c = [(text[r], c) for r, c in feature_codes(packed, size, whole)]
                 t, c = np.concatenate([x[0] for x in c]), np.concatenate([x[1] for x in c])
                 o = np.lexsort((c, t))
                 t, c = t[o], c[o]

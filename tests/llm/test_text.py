@@ -172,6 +172,30 @@ def test_leet_spacing_and_repetition_together():
         assert want[text] in got, (text, got)
 
 
+def test_words_do_not_depend_on_the_next_text():
+    channel = plain_channel()
+    texts = ["you i d i o t", "next text", "", "p i g", "a$", "$b", "1d10t", "", "o i d i o t", "x0", "0", "m o r", "o n", ""]
+    alone = [words_read([t], channel)[0] for t in texts]
+    assert words_read(texts, channel) == alone and "idiot" in alone[0] and "pig" in alone[3]
+
+
+def test_long_words_are_told_apart_beyond_eight_bytes():
+    plain, toxic = "сообщество", "сообщивший"           # the first eight bytes agree
+    y = np.arange(200) % 2
+    texts = [f"{prose(i, 5)} {(plain, toxic)[k]}" for i, k in enumerate(y)]
+    _, _, buf, off = next(toxicity.slices(pa.array(texts)))
+    packed, size, text, whole = toxicity.words_of(buf, off, plain_channel())
+    got = [(text[r], c) for r, c in toxicity.feature_codes(packed, size, whole)]
+    of = {}
+    for rows, codes in got:
+        for i, c in zip(rows.tolist(), codes.tolist()):
+            of.setdefault(c, set()).add(i)
+    telling = [c for c, i in of.items() if i == set(np.flatnonzero(y).tolist())]
+    assert telling
+    m = toxicity.Model(plain_channel().logp, np.array(telling[:1], np.uint64), np.array([5.0]), -2.0)
+    assert ((m.scores(pa.array(texts)) > .7) == y).all()
+
+
 def test_viterbi_takes_the_best_path():
     rng = np.random.default_rng(0)
     logp = np.log(rng.dirichlet(np.ones(28), (28, 28, 28))).astype(np.float32)
