@@ -22,6 +22,7 @@ other than id and text are never read.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -249,6 +250,18 @@ class Channel:
         self.read = lru_cache(1 << 16)(lambda token: viterbi(token, self.logp))
 
 
+_CHANNELS: dict[bytes, Channel] = {}
+
+
+def channel_of(logp: np.ndarray) -> Channel:
+    """The worker's channel of this character model; its readings serve later tasks."""
+    key = hashlib.sha256(logp.tobytes()).digest()
+    if key not in _CHANNELS:
+        _CHANNELS.clear()
+        _CHANNELS[key] = Channel(logp)
+    return _CHANNELS[key]
+
+
 def words_of(buf: np.ndarray, off: np.ndarray, channel: Channel) -> tuple[np.ndarray, ...]:
     """``(packed, size, text, whole)`` of all plain and restored words."""
     b = lowered(buf)
@@ -257,7 +270,11 @@ def words_of(buf: np.ndarray, off: np.ndarray, channel: Channel) -> tuple[np.nda
     os_, oe, od = obfuscated(b, off)
     if not len(os_):
         return packed, size, d, whole
-    # each distinct token of the slice is read once
+    # each distinct token of the slice is read once; signs at its ends that stand for
+    # nothing are boundaries in every reading
+    inner = _LEET[b] | ((b >= 97) & (b <= 122)) | (b >= 0x80)
+    at = np.flatnonzero(inner)
+    os_, oe = at[np.searchsorted(at, os_)], at[np.searchsorted(at, oe) - 1] + 1
     _, first, token = np.unique(span_hashes(b, os_, oe), return_index=True, return_inverse=True)
     extra, many = [], np.zeros(len(first), np.int64)
     for k, (x, y) in enumerate(zip(os_[first].tolist(), oe[first].tolist())):
@@ -301,7 +318,7 @@ class Model:
 
     def scores(self, col: pa.Array) -> np.ndarray:
         out = np.zeros(len(col))
-        channel = Channel(self.logp)
+        channel = channel_of(self.logp)
         for i, j, buf, off in slices(col):
             t, f = self.hits(*words_of(buf, off, channel))
             out[i:j] = np.bincount(t, self.weights[f], j - i)[:j - i] if len(t) else 0.0
@@ -341,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def count(batches):
         codes, pos, neg = [], [], []
-        channel = Channel(bc.value)
+        channel = channel_of(bc.value)
         for b in batches:
             y = b.column(1).to_numpy(zero_copy_only=False)
             for i, j, buf, off in slices(b.column(0)):
@@ -375,7 +392,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def rows(batches):
         m = Model(bc.value, draft.value, np.zeros(0), 0.0)
-        channel = Channel(m.logp)
+        channel = channel_of(m.logp)
         for b in batches:
             for i, j, buf, off in slices(b.column(0)):
                 t, f = m.hits(*words_of(buf, off, channel))
