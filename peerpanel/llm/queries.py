@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dedup, langid, license_scan, line_dedup, simhash, suffix_dedup, token_output, toxicity
+from . import (bpe, decontaminate, embed_dedup, hard_negatives, langid, license_scan, line_dedup, simhash, spelling,
+               suffix_dedup, token_output, toxicity, url_filter)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -153,6 +154,92 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM embeddings JOIN comp ON comp.node = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (ids divisible by 100) and its first positives."""
+    rows, label = _read(spark, sf_dir, "embeddings"), F.col("label").cast("long")
+    rows = rows.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hard_negatives.hard_negatives(rows, lambda i: i % 100 == 0)
+
+
+OP11_SQL = r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE same)
+      WHERE k <= 5),
+n AS (SELECT p.a, p.b AS p, p.score AS ps, s.b, s.score,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, b AS negative_id, ps AS positive_score,
+       score AS negative_score FROM n WHERE k <= 10
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per word of the corpus: its form, root, counts and near words."""
+    return spelling.spelling_variants(spelling.corpus_words(_read(spark, sf_dir, "documents")))
+
+
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: host, path, the longest fitting rule and the verdict."""
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _op13_sql() -> str:
+    """The same tree level by level, for the depth that the operator has."""
+    u = url_filter
+    quoted = lambda t: "'" + t + "'"
+    rules = sorted(URL_RULES, key=lambda r: -len(r[0]))
+    fits = [(f"((host = '{r[:r.index('/')]}' OR ends_with(host, '.{r[:r.index('/')]}')) AND starts_with(path, '{r[r.index('/'):]}'))", r, v)
+            for r, v in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    decided = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for k, p in u.KINDS) + " ELSE s END"
+    fixed = ", ".join(quoted(k) for k in [*(k for k, _ in u.KINDS), u.TAIL, ""])
+    ctes = [f"""a AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{u.URL}', 1), ''), '{u.UPPER}', '{u.LOWER}') AS host,
+                 coalesce(regexp_extract(url, '{u.URL}', 2), '') AS path FROM pages)""",
+            f"""u AS (SELECT *, {rule} AS rule, {decided} AS decided, CASE WHEN path = '' THEN []
+                 ELSE list_transform(string_split(regexp_replace(path, '^/', ''), '/')[1:{u.DEPTH}], lambda s: {kind})
+                      || CASE WHEN len(string_split(regexp_replace(path, '^/', ''), '/')) > {u.DEPTH} THEN ['{u.TAIL}'] ELSE [] END
+                 END AS segs FROM a)""",
+            """c AS (SELECT host, segs, count(*) AS n, count(decided) AS l, count(CASE WHEN decided = 'block' THEN 1 END) AS b FROM u GROUP BY ALL)""",
+            f"""v0 AS (SELECT host, segs, n, l, b, '' AS template,
+                 (sum(b) OVER h + {u.SMOOTH} * g) / (sum(n) OVER h + {u.SMOOTH}) AS parent,
+                 (sum(b) OVER h + {u.SMOOTH} * g) / (sum(l) OVER h + {u.SMOOTH}) AS purity
+                 FROM c, (SELECT sum(b) / sum(n) AS g FROM c) WINDOW h AS (PARTITION BY host))"""]
+    for d in range(1, u.DEPTH + 2):
+        ctes += [f"""s{d} AS (SELECT *, segs[{d}] AS seg, sum(n) OVER (PARTITION BY host, template) AS whole,
+                       sum(n) OVER (PARTITION BY host, template, segs[{d}]) AS own FROM v{d - 1} WHERE len(segs) >= {d})""",
+                 f"""k{d} AS (SELECT *, CASE WHEN seg NOT IN ({fixed}) AND (own < {u.MIN_PAGES} OR own < {u.MIN_SHARE} * whole) THEN '*'
+                       ELSE seg END AS child FROM s{d})""",
+                 f"""g{d} AS (SELECT host, template, parent, child, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM k{d} GROUP BY ALL)""",
+                 f"""p{d} AS (SELECT *, lag(b) OVER o AS b0, lag(l) OVER o AS l0 FROM g{d} WHERE l > 0
+                       WINDOW o AS (PARTITION BY host, template ORDER BY b / l, child))""",
+                 f"""x{d} AS (SELECT *, CASE WHEN b / l > b0 / l0 AND b / l - b0 / l0 >= {u.Z} * sqrt((b + b0) / (l + l0)
+                       * (1.0 - (b + b0) / (l + l0)) * (1.0 / l + 1.0 / l0)) THEN 1 ELSE 0 END AS cut FROM p{d})""",
+                 f"""y{d} AS (SELECT *, sum(cut) OVER (PARTITION BY host, template ORDER BY b / l, child
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS branch FROM x{d})""",
+                 f"""z{d} AS (SELECT host, template, unnest(list(child)) AS child, sum(b) AS b, sum(n) AS n, sum(l) AS l, any_value(parent) AS parent,
+                       CASE WHEN count(*) > 1 THEN '{{' || string_agg(child, '|' ORDER BY child) || '}}' ELSE min(child) END AS name
+                       FROM y{d} GROUP BY host, template, branch
+                       UNION ALL SELECT host, template, child, b, n, l, parent, child FROM g{d} WHERE l = 0)""",
+                 f"""v{d} AS (SELECT k.host, k.segs, k.n, k.l, k.b, k.template || '/' || z.name AS template,
+                       (z.b + {u.SMOOTH} * z.parent) / (z.n + {u.SMOOTH}) AS parent,
+                       (z.b + {u.SMOOTH} * z.parent) / (z.l + {u.SMOOTH}) AS purity
+                       FROM k{d} k JOIN z{d} z ON z.host = k.host AND z.template = k.template AND z.child = k.child)"""]
+    done = " UNION ALL ".join(f"SELECT host, segs, template, purity FROM v{d} WHERE len(segs) = {d}" for d in range(u.DEPTH + 2))
+    ctes = [c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes]
+    return "WITH " + ",\n".join([*ctes, f"t AS ({done})"]) + f"""
+SELECT page_id, u.host, path, rule, coalesce(decided, CASE WHEN purity >= {u.REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+       template, round(purity, 6) AS purity FROM u JOIN t ON t.host = u.host AND t.segs = u.segs"""
+
+
 # weights as in license_scan; a passage is a line, as no path is a licence name
 OP7_SQL = r"""
 WITH templates(name, text) AS (VALUES {templates}),
@@ -201,9 +288,11 @@ def _op7_sql() -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_line_dedup, op4_decontamination, op5_bpe,
                                    op6_toxicity, op7_license_scan, op8_simhash_near_dup, op9_token_output,
-                                   op10_embedding_near_dup)}
+                                   op10_embedding_near_dup, op11_hard_negatives, op12_spelling_variants,
+                                   op13_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL,
-            "op7_license_scan": _op7_sql(), "op10_embedding_near_dup": OP10_SQL}
+            "op7_license_scan": _op7_sql(), "op10_embedding_near_dup": OP10_SQL,
+            "op11_hard_negatives": OP11_SQL, "op13_url_filter": _op13_sql()}
