@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 PERIODS = ("day", "week", "month")
 
-# Seasonal cycle length used by the Bayesian model for each bucket size
+# Seasonal cycle length of the model for each bucket size
 # (fixed values that must match the reference).
 SEASONS = {"month": 12, "week": 52, "day": 7}
 

@@ -6,10 +6,13 @@ Every method returns a :class:`Models` with three flat tables:
   AbsEffect_Cumulative, RelEffect_Cumulative, p_Cumulative, p_Average)``
 * ``series(group_id, ts_id, date, response, cum_response, point_pred{,_lower,_upper},
   cum_pred{..}, point_effect{..}, cum_effect{..})``
-* ``coefs(group_id, ts_id, draw, peer_ts_id, coef)`` (empty for ``ratio``)
+* ``coefs(group_id, ts_id, draw, peer_ts_id, coef)`` of the deviating series (empty for
+  ``ratio``)
 
 plus ``pre_end`` (per group, the last bucket on or before the start
-date: the report tables' start date) and ``alpha``.
+date: the report tables' start date), ``alpha``, the number of draws, the peers'
+counts ``design(group_id, peer_ts_id, date, value)`` and ``peers``, which makes the
+``coefs`` of other targets.
 
 ``method="ratio"``: deterministic leave-one-out peer model, pure
 DataFrame. The peer signal of series i is the mean of all *other* active
@@ -18,12 +21,13 @@ without forming pairs. It is scaled by the pre-period ratio of sums;
 the residual sd of the pre period gives normal intervals and a one-sided
 tail probability for the cumulative post effect.
 
-``method="cohort"`` (default): regression on cohort means of all other
-series in closed form (see ``cohort.py``).
+``method="ridge"`` (default): ridge regression on all other series, with
+seasons, in closed form (see ``ridge.py``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -53,6 +57,7 @@ class Models:
     alpha: float
     niter: int = 0
     design: DataFrame | None = None
+    peers: Callable[..., DataFrame] | None = None
 
 
 def model_rows(p: DataFrame, start_date) -> DataFrame:
@@ -135,11 +140,11 @@ def ratio_models(p: DataFrame, start_date, alpha: float = 0.05, period: str = "m
 
 
 def fit_models(p: DataFrame, start_date, period: str = "month", alpha: float = 0.05,
-               method: str = "cohort", **kw) -> Models:
-    """Fit one model per active series: ``cohort`` or ``ratio``."""
-    if method == "cohort":
-        from .cohort import cohort_models
-        return cohort_models(p, start_date, alpha, period, **kw)
+               method: str = "ridge", **kw) -> Models:
+    """Fit one model per active series: ``ridge`` or ``ratio``."""
+    if method == "ridge":
+        from .ridge import ridge_models
+        return ridge_models(p, start_date, alpha, period, **kw)
     if method == "ratio":
         return ratio_models(p, start_date, alpha, period)
     raise ValueError(f"unknown method {method!r}")

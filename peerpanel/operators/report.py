@@ -85,22 +85,27 @@ def _with_sign(st: DataFrame) -> DataFrame:
 
 
 def peer_contributions(m: Models, summary: DataFrame | None = None,
-                       burn_fraction: float = 0.1, deviating_only: bool = True) -> DataFrame:
+                       burn_fraction: float = 0.1, deviating_only: bool = True,
+                       all_peers: bool = False) -> DataFrame:
     """Peer table for every deviating series (over/under): each peer's
-    covariate values by date as used by the target's model, multiplied by
-    the mean non-zero coefficient where there is one, plus the target's
-    standardised response (``ts_id = 'target'``, inclusion 1).
-    ``inclusion_rank`` = dense rank of ``-inclusion_prob`` per target.
-    Rows are not filtered by rank (see ``peer_plot_rows``)."""
-    from .peers import TARGET
+    counts by date, multiplied by the mean non-zero coefficient of the draws where
+    there is one, plus the target's standardised response (``ts_id = 'target'``,
+    inclusion 1). ``inclusion_rank`` = dense rank of ``-inclusion_prob`` per target.
+    Peers are the strongest ones of the fit and all that any draw holds, or with
+    ``all_peers`` every other series; rows are not filtered by rank (see
+    ``peer_plot_rows``)."""
     summary = summary if summary is not None else model_summary(m)
     targets = summary.select(G, TS, "deviance")
     if deviating_only:
         targets = targets.where(F.col("deviance") != "average")
     targets = targets.select(G, TS)
-    stats = peer_coef_stats(m.coefs.join(targets, [G, TS]), m.niter, burn_fraction)
-    design = m.design.where(F.col("peer_ts_id") != TARGET).join(targets, [G, TS])
-    pr = design.join(stats, [G, TS, "peer_ts_id"], "left").select(
+    if all_peers or not deviating_only:
+        coefs = reuse(m.peers(targets, None) if all_peers else m.peers(targets))
+    else:
+        coefs = reuse(m.coefs.join(targets, [G, TS], "left_semi"))
+    stats = peer_coef_stats(coefs, m.niter, burn_fraction)
+    pairs = coefs.select(G, TS, "peer_ts_id").distinct().join(stats, [G, TS, "peer_ts_id"], "left")
+    pr = pairs.join(m.design, [G, "peer_ts_id"]).select(
         G, TS, D, "peer_ts_id",
         F.when(F.col("coef").isNotNull(), F.col("value") * F.col("coef"))
         .otherwise(F.col("value")).alias("scaled_count"),

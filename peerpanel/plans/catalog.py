@@ -177,30 +177,30 @@ def _ts_rank_top(spark, sf_dir, cfg):
     return RP.model_ts_rank_top(_ts_rank(spark, sf_dir, cfg), 5)
 
 
-def cohort(spark, sf_dir, cfg):
+def ridge(spark, sf_dir, cfg):
     p = prepared(spark, sf_dir, cfg)
     return IM.fit_models(p, cfg["start"], cfg["period"], alpha=0.05)
 
 
-def _cohort_effects(spark, sf_dir, cfg):
-    return RP.model_summary(cohort(spark, sf_dir, cfg))
+def _ridge_effects(spark, sf_dir, cfg):
+    return RP.model_summary(ridge(spark, sf_dir, cfg))
 
 
-def _cohort_series(spark, sf_dir, cfg):
-    return cohort(spark, sf_dir, cfg).series
+def _ridge_series(spark, sf_dir, cfg):
+    return ridge(spark, sf_dir, cfg).series
 
 
 def _peer_coef_stats(spark, sf_dir, cfg):
-    m = cohort(spark, sf_dir, cfg)
-    return RP.peer_coef_stats(m.coefs, m.niter)
+    m = ridge(spark, sf_dir, cfg)
+    return RP.peer_coef_stats(m.peers(m.effects), m.niter)
 
 
 def _ts_peers(spark, sf_dir, cfg):
-    return RP.peer_contributions(cohort(spark, sf_dir, cfg), deviating_only=False)
+    return RP.peer_contributions(ridge(spark, sf_dir, cfg), all_peers=True)
 
 
 def _ts_peers_deviating(spark, sf_dir, cfg):
-    return RP.peer_contributions(cohort(spark, sf_dir, cfg))
+    return RP.peer_contributions(ridge(spark, sf_dir, cfg))
 
 
 def _ts_peers_plot(spark, sf_dir, cfg):
@@ -227,8 +227,8 @@ BUILDERS = {
     "q_pre_post": _pre_post,
     "q_ts_rank": _ts_rank,
     "q_ts_rank_top": _ts_rank_top,
-    "q_cohort_effects": _cohort_effects,
-    "q_cohort_series": _cohort_series,
+    "q_ridge_effects": _ridge_effects,
+    "q_ridge_series": _ridge_series,
     "q_peer_coef_stats": _peer_coef_stats,
     "q_ts_peers": _ts_peers,
     "q_ts_peers_deviating": _ts_peers_deviating,
@@ -273,5 +273,5 @@ def queries() -> dict:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's main flow on the supplier x month panel: prepare,
-    fit the cohort model per supplier, classify (model_summary)."""
+    fit the ridge model per supplier, classify (model_summary)."""
     return _ts_analysis(spark, sf_dir, P.PANEL_A)

@@ -8,6 +8,8 @@ derivation is written once.
 
 from __future__ import annotations
 
+from ..functions.calendar import SEASONS
+from ..operators import ridge as RM
 from . import params as P
 
 SUMMARY_COUNT_NAMES = ("count_mean", "count_total", "timeseries_active", "timeseries_total",
@@ -406,7 +408,7 @@ def ratio_ctes(cfg):
 
 def model_ctes(cfg):
     """The model of the configuration: ``ratio`` unless it names another."""
-    return cohort_ctes(cfg) if cfg.get("method") == "cohort" else ratio_ctes(cfg)
+    return ridge_ctes(cfg) if cfg.get("method") == "ridge" else ratio_ctes(cfg)
 
 
 def q_ratio_effects(cfg):
@@ -446,66 +448,130 @@ def q_deviance_mean_sd(cfg):
         "count_mean", "count_sd")
 
 
-def cohort_ctes(cfg):
-    """Closed-form ridge regression on the two cohort means; intervals and
-    classes as in the ratio model."""
+def inverse_ctes(ctes_in: str, name: str) -> list[tuple[str, str]]:
+    """Inverses of the positive definite matrices ``m`` (lists of rows) of
+    ``(group_id, draw, n, m)`` by Gauss-Jordan steps, one pivot a step:
+    ``name(group_id, draw, n, t, s, a)``."""
+    step = ("list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = p AND j = p THEN 1 / m[p][p] "
+            "WHEN i = p THEN v / m[p][p] WHEN j = p THEN -v / m[p][p] ELSE v - r[p] * m[p][j] / m[p][p] END))")
+    return [
+        (f"{name}_gj", f"WITH RECURSIVE gj AS (SELECT group_id, draw, n, 1 AS p, m FROM {ctes_in} UNION ALL "
+                       f"SELECT group_id, draw, n, p + 1, {step} FROM gj WHERE p <= n) SELECT * FROM gj WHERE p = n + 1"),
+        (f"{name}_r", f"SELECT group_id, draw, n, unnest(range(0, n)) AS t, unnest(m) AS r FROM {name}_gj"),
+        (name, f"SELECT group_id, draw, n, t, unnest(range(0, n)) AS s, unnest(r) AS a FROM {name}_r")]
+
+
+def ridge_ctes(cfg):
+    """Every series on all others: the group's matrix, its inverse, and the
+    downdate of each series; intervals and classes as in the ratio model."""
     kept = dict(ratio_ctes(cfg))
-    own = ["(md5(ts_id) < '8')", "(md5(ts_id) >= '8')"]
-    sums = ", ".join(f"sum(CASE WHEN {o} THEN count ELSE 0.0 END) AS s{k}, count(*) FILTER ({o}) AS n{k}"
-                     for k, o in enumerate(own))
-    means = ", ".join(f"coalesce((s{k} - CASE WHEN {o} THEN count ELSE 0.0 END) / nullif(CAST(n{k} - "
-                      f"CASE WHEN {o} THEN 1 ELSE 0 END AS DOUBLE), 0), 0.0) AS x{k}" for k, o in enumerate(own))
-    pre = lambda e: f"sum(CASE WHEN is_pre THEN {e} END) OVER s"
+    season, draws = SEASONS[cfg["period"]], RM.DRAWS
+    hashed = "(t * 7919 + draw * 104729 + 1)"
+    for _ in range(3):
+        hashed = f"({hashed} * 48271 % 2147483647)"
     p_value = f"CASE WHEN sigma > 0 THEN 1.0 - {norm_cdf_sql('abs(zc)')} END"
     return prepared_ctes(cfg) + [
         ("mr", kept["mr"]),
-        ("ct", f"SELECT group_id, date, {sums} FROM mr GROUP BY ALL"),
-        ("c1", f"SELECT mr.*, {means} FROM mr JOIN ct USING (group_id, date)"),
-        ("c2", "SELECT *, count(*) FILTER (is_pre) OVER s AS n, avg(CASE WHEN is_pre THEN count END) OVER s AS my, "
-               "avg(CASE WHEN is_pre THEN x0 END) OVER s AS m0, avg(CASE WHEN is_pre THEN x1 END) OVER s AS m1 "
-               "FROM c1 WINDOW s AS (PARTITION BY group_id, ts_id)"),
-        ("c3", f"SELECT *, {pre('(x0 - m0) * (x0 - m0)')} AS s00, {pre('(x0 - m0) * (x1 - m1)')} AS s01, "
-               f"{pre('(x1 - m1) * (x1 - m1)')} AS s11, {pre('(x0 - m0) * (count - my)')} AS s0y, "
-               f"{pre('(x1 - m1) * (count - my)')} AS s1y FROM c2 WINDOW s AS (PARTITION BY group_id, ts_id)"),
-        ("c4", "SELECT *, s00 + 0.01 * (s00 + s11) / 2 AS a, s11 + 0.01 * (s00 + s11) / 2 AS b FROM c3"),
-        ("c5", "SELECT *, a * b - s01 * s01 AS det FROM c4"),
-        ("c6", "SELECT *, coalesce((b * s0y - s01 * s1y) / nullif(det, 0), 0.0) AS b0, "
-               "coalesce((a * s1y - s01 * s0y) / nullif(det, 0), 0.0) AS b1 FROM c5"),
-        ("x3", "SELECT *, my + b0 * (x0 - m0) + b1 * (x1 - m1) AS point_pred, count AS response FROM c6"),
-        ("x4", "SELECT *, CASE WHEN n > 3 THEN sqrt(sum(CASE WHEN is_pre THEN power(response - point_pred, 2) END) "
-               "OVER (PARTITION BY group_id, ts_id) / (n - 3)) END AS sigma FROM x3"),
+        ("q1", f"SELECT *, n // {season} AS cyc, n - n // {season} * {season} AS off FROM (SELECT *, CAST(row_number() OVER "
+               "(PARTITION BY group_id, ts_id ORDER BY date) - 1 AS BIGINT) AS t, count(*) FILTER (is_pre) OVER "
+               "(PARTITION BY group_id, ts_id) AS n FROM mr) z"),
+        ("cm", f"SELECT group_id, ts_id, (t - off) // {season} AS c, any_value(cyc) AS cyc, avg(count) AS m FROM q1 "
+               "WHERE cyc >= 2 AND t >= off AND t < n GROUP BY group_id, ts_id, (t - off) // " + str(season)),
+        ("sl", f"SELECT group_id, ts_id, avg(m) AS mm, (arg_max(m, c) - arg_min(m, c)) / ((max(cyc) - 1) * {season}) AS slope "
+               "FROM cm GROUP BY group_id, ts_id"),
+        ("dv", f"SELECT group_id, ts_id, (t - off) % {season} AS k, avg(count) AS sm FROM q1 WHERE cyc >= 2 AND t >= off "
+               f"AND t < n GROUP BY group_id, ts_id, (t - off) % {season}"),
+        ("q2", f"SELECT q1.*, coalesce(sm - mm - slope * (k - ({season} - 1) / 2.0), 0.0) AS sea FROM q1 LEFT JOIN sl "
+               f"USING (group_id, ts_id) LEFT JOIN dv ON dv.group_id = q1.group_id AND dv.ts_id = q1.ts_id "
+               f"AND dv.k = ((t - off) % {season} + {season}) % {season}"),
+        ("q3", "SELECT *, count - sea - mu AS x, sea + mu AS base FROM (SELECT *, avg(CASE WHEN is_pre THEN count - sea END) "
+               "OVER (PARTITION BY group_id, ts_id) AS mu FROM q2) z"),
+        ("nn", "SELECT group_id, any_value(n) AS n, any_value(cyc) AS cyc FROM q3 GROUP BY group_id"),
+        ("k", "SELECT a.group_id, a.t, b.t AS s, sum(a.x * b.x) AS v FROM q3 a JOIN q3 b ON a.group_id = b.group_id "
+              "AND a.ts_id = b.ts_id GROUP BY a.group_id, a.t, b.t"),
+        ("lam", f"SELECT group_id, any_value(n) AS n, CASE WHEN sum(v) > 0 THEN {RM.RIDGE} * sum(v) / any_value(n) ELSE 1.0 END "
+                "AS lam FROM k JOIN nn USING (group_id) WHERE t = s AND t < n GROUP BY group_id"),
+        ("hw", f"SELECT group_id, draw, t, CASE WHEN draw = 0 THEN 1.0 ELSE -ln({hashed} / 2147483647.0) END AS w FROM "
+               f"(SELECT group_id, draw, unnest(range(0, n)) AS t FROM (SELECT group_id, n, unnest(range(0, {draws} + 1)) AS draw "
+               "FROM nn) y) z"),
+        ("wt", "SELECT *, w / avg(w) OVER (PARTITION BY group_id, draw) AS wn FROM hw"),
+        ("mrow", "SELECT k.group_id, wt.draw, k.t, any_value(n) AS n, list(v + CASE WHEN k.t = s THEN lam / wn ELSE 0.0 END "
+                 "ORDER BY s) AS r FROM k JOIN lam USING (group_id) JOIN wt ON wt.group_id = k.group_id AND wt.t = k.t "
+                 "WHERE k.t < n AND s < n GROUP BY k.group_id, wt.draw, k.t"),
+        ("mats", "SELECT group_id, draw, any_value(n) AS n, list(r ORDER BY t) AS m FROM mrow GROUP BY group_id, draw"),
+        ("mats0", "SELECT * FROM mats WHERE draw = 0"),
+        *inverse_ctes("mats0", "ai"),
+        ("ax", "SELECT q3.group_id, ts_id, ai.t, sum(a * x) AS ax, any_value(CASE WHEN ai.t = ai.s THEN a END) AS own FROM ai "
+               "JOIN q3 ON q3.group_id = ai.group_id AND q3.t = ai.s GROUP BY q3.group_id, ts_id, ai.t"),
+        ("uv", "SELECT ai.group_id, ai.t, sum(a * c) AS u FROM ai JOIN (SELECT k.group_id, s, sum(v) AS c FROM k JOIN nn "
+               "USING (group_id) WHERE k.t >= n GROUP BY k.group_id, s) z ON z.group_id = ai.group_id AND z.s = ai.s "
+               "GROUP BY ai.group_id, ai.t"),
+        ("hh", "SELECT ax.group_id, ax.ts_id, sum(x * ax) AS h, sum(x * u) AS xu FROM ax JOIN q3 USING (group_id, ts_id, t) "
+               "JOIN uv USING (group_id, t) GROUP BY ax.group_id, ax.ts_id"),
+        ("ps_", "SELECT group_id, ts_id, sum(CASE WHEN is_pre THEN 0.0 ELSE x END) AS post FROM q3 GROUP BY group_id, ts_id"),
+        ("fit", f"SELECT ax.group_id, ax.ts_id, CASE WHEN any_value(n - 1 - CASE WHEN cyc >= 2 THEN {season} - 1 ELSE 0 END) > 0 "
+                "THEN sqrt(sum(power(ax / (1 - h) / (own + ax * ax / (1 - h)), 2)) / any_value(n - 1 - CASE WHEN cyc >= 2 THEN "
+                f"{season} - 1 ELSE 0 END)) END AS sigma, sum(power(u - post * ax + ax * (xu - post * h) / (1 - h), 2)) AS ww, "
+                "any_value(h) AS h FROM ax JOIN hh USING (group_id, ts_id) JOIN ps_ USING (group_id, ts_id) "
+                "JOIN uv ON uv.group_id = ax.group_id AND uv.t = ax.t JOIN nn ON nn.group_id = ax.group_id "
+                "GROUP BY ax.group_id, ax.ts_id"),
+        ("kax", "SELECT k.group_id, ax.ts_id, k.t, sum(v * ax) AS kx FROM k JOIN ax ON ax.group_id = k.group_id AND ax.t = k.s "
+                "GROUP BY k.group_id, ax.ts_id, k.t"),
+        ("x4", "SELECT q3.*, base + (kx - x * h) / (1 - h) AS point_pred, count AS response, sigma, ww FROM q3 "
+               "JOIN kax USING (group_id, ts_id, t) JOIN fit USING (group_id, ts_id)"),
         ("x5", kept["x5"]), ("x6", kept["x6"]), ("ms", kept["ms"]),
         ("e1", "SELECT group_id, ts_id, avg(response - point_pred) AS AbsEffect_Average, avg(point_pred) AS pa, "
                "sum(response - point_pred) AS AbsEffect_Cumulative, sum(point_pred) AS ps, any_value(sigma) AS sigma, "
-               "CAST(count(*) AS DOUBLE) AS m, sum(x0 - m0) AS v0, sum(x1 - m1) AS v1, any_value(n) AS n, "
-               "any_value(a) AS a, any_value(b) AS b, any_value(s01) AS s01, any_value(det) AS det, "
-               "any_value(b0) AS b0, any_value(b1) AS b1 FROM x6 WHERE NOT is_pre GROUP BY group_id, ts_id"),
-        ("e2", "SELECT *, AbsEffect_Cumulative / nullif(sigma * sqrt(m + m * m / n + coalesce("
-               "(b * v0 * v0 - 2 * s01 * v0 * v1 + a * v1 * v1) / nullif(det, 0), 0.0)), 0) AS zc FROM e1"),
+               "CAST(count(*) AS DOUBLE) AS m, any_value(n) AS n, any_value(ww) AS ww FROM x6 "
+               "WHERE NOT is_pre GROUP BY group_id, ts_id"),
+        ("e2", "SELECT *, AbsEffect_Cumulative / nullif(sigma * sqrt(m + m * m / n + ww), 0) AS zc FROM e1"),
         ("me", "SELECT group_id, ts_id, AbsEffect_Average, AbsEffect_Average / nullif(pa, 0) AS "
                "RelEffect_Average, AbsEffect_Cumulative, AbsEffect_Cumulative / nullif(ps, 0) AS "
                f"RelEffect_Cumulative, {p_value} AS p_Cumulative, {p_value} AS p_Average FROM e2"),
         ("msum", kept["msum"]), ("pe", kept["pe"]),
-        ("co", "SELECT group_id, ts_id, '(cohort 0)' AS peer, b0 AS coef FROM e2 UNION ALL "
-               "SELECT group_id, ts_id, '(cohort 1)', b1 FROM e2"),
-        ("cs", "SELECT group_id, ts_id, peer, CASE WHEN coef <> 0 THEN 1.0 ELSE 0.0 END AS inclusion_prob, "
-               "CASE WHEN coef <> 0 THEN coef END AS coef, CASE WHEN coef > 0 THEN 1.0 ELSE 0.0 END AS positive_share, "
-               "CASE WHEN coef <> 0 THEN CASE WHEN coef > 0 THEN 1.0 ELSE 0.0 END END AS positive_prob, "
-               "CASE WHEN coef <> 0 THEN CASE WHEN coef > 0 THEN 1.0 ELSE -1.0 END END AS sign FROM co"),
     ]
 
 
-def q_cohort_effects(cfg):
-    return R(with_(cohort_ctes(cfg), "SELECT * FROM msum"), *EFFECTS)
+def draw_ctes(cfg, deviating: bool, most: int | None):
+    """Coefficient draws of the targets, their strongest peers, statistics."""
+    pick = " WHERE deviance <> 'average'" if deviating else ""
+    burn = int(RM.DRAWS * 0.1)
+    kept = float(RM.DRAWS - burn)
+    few = f"draw > 0 AND rk <= {RM.MODEL_SIZE} AND score > 0" + (f" OR draw = 0 AND rk <= {most}" if most else " OR draw = 0")
+    return ridge_ctes(cfg) + [
+        ("tg", f"SELECT group_id, ts_id FROM msum{pick}"),
+        *inverse_ctes("mats", "ad"),
+        ("dx", "SELECT q3.group_id, q3.ts_id, ad.draw, ad.t, sum(a * x) AS ax FROM ad JOIN q3 ON q3.group_id = ad.group_id "
+               "AND q3.t = ad.s JOIN tg ON tg.group_id = q3.group_id AND tg.ts_id = q3.ts_id "
+               "GROUP BY q3.group_id, q3.ts_id, ad.draw, ad.t"),
+        ("dh", "SELECT dx.group_id, dx.ts_id, draw, sum(x * ax) AS h FROM dx JOIN q3 USING (group_id, ts_id, t) "
+               "GROUP BY dx.group_id, dx.ts_id, draw"),
+        ("pn", "SELECT group_id, ts_id, sqrt(sum(x * x)) AS norm FROM q3 WHERE is_pre GROUP BY group_id, ts_id"),
+        ("cf", "SELECT dx.group_id, dx.ts_id, dx.draw, o.ts_id AS peer, sum(o.x * ax) AS b FROM dx JOIN q3 o "
+               "ON o.group_id = dx.group_id AND o.t = dx.t AND o.ts_id <> dx.ts_id GROUP BY dx.group_id, dx.ts_id, dx.draw, o.ts_id"),
+        ("cg", "SELECT cf.group_id, cf.ts_id, cf.draw, peer, b / (1 - h) AS coef, abs(b / (1 - h)) * norm AS score FROM cf "
+               "JOIN dh ON dh.group_id = cf.group_id AND dh.ts_id = cf.ts_id AND dh.draw = cf.draw "
+               "JOIN pn ON pn.group_id = cf.group_id AND pn.ts_id = peer"),
+        ("co", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, ts_id, draw ORDER BY score DESC, peer) AS rk "
+               f"FROM cg) z WHERE {few}"),
+        ("cs", f"SELECT group_id, ts_id, peer, count(*) / {kept} AS inclusion_prob, avg(coef) AS coef, "
+               f"count(*) FILTER (coef > 0) / {kept} AS positive_share, CASE WHEN avg(coef) > 0 THEN 1.0 ELSE 0.0 END AS "
+               "positive_prob, CASE WHEN avg(coef) > 0 THEN 1.0 ELSE -1.0 END AS sign FROM co "
+               f"WHERE draw > {burn} AND coef <> 0 GROUP BY group_id, ts_id, peer"),
+    ]
+
+
+def q_ridge_effects(cfg):
+    return R(with_(ridge_ctes(cfg), "SELECT * FROM msum"), *EFFECTS)
 
 
 def q_ts_analysis(cfg):
-    return q_cohort_effects(cfg)
+    return q_ridge_effects(cfg)
 
 
 def q_pipeline(cfg):
     """A table of the whole analysis; its own query's SQL with the default model."""
-    return globals()[PIPELINE_SQL[cfg["table"]]]({**cfg, "method": "cohort"})
+    return globals()[PIPELINE_SQL[cfg["table"]]]({**cfg, "method": "ridge"})
 
 
 PIPELINE_SQL = {
@@ -518,25 +584,23 @@ PIPELINE_SQL = {
 }
 
 
-def q_cohort_series(cfg):
-    return R(with_(cohort_ctes(cfg), "SELECT * EXCLUDE (is_pre) FROM ms"), *SERIES)
+def q_ridge_series(cfg):
+    return R(with_(ridge_ctes(cfg), "SELECT * EXCLUDE (is_pre) FROM ms"), *SERIES)
 
 
 COEF_STATS = ("inclusion_prob", "coef", "positive_share", "positive_prob", "sign")
 
 
 def q_peer_coef_stats(cfg):
-    return R(with_(cohort_ctes(cfg), "SELECT group_id, ts_id, peer AS peer_ts_id, inclusion_prob, coef, "
+    return R(with_(draw_ctes(cfg, False, RM.MAX_PEERS), "SELECT group_id, ts_id, peer AS peer_ts_id, inclusion_prob, coef, "
                                      "positive_share, positive_prob, sign FROM cs"), *COEF_STATS)
 
 
-def peer_ctes(cfg, deviating):
-    """Scaled cohort means and the standardised target of each model."""
-    pick = " WHERE deviance <> 'average'" if deviating else ""
-    return cohort_ctes(cfg) + [
-        ("tg", f"SELECT group_id, ts_id FROM msum{pick}"),
-        ("des", "SELECT group_id, ts_id, date, '(cohort 0)' AS peer, x0 AS value FROM c1 UNION ALL "
-                "SELECT group_id, ts_id, date, '(cohort 1)', x1 FROM c1"),
+def peer_ctes(cfg, deviating, most=RM.MAX_PEERS):
+    """Scaled counts of the peers and the standardised target of each model."""
+    return draw_ctes(cfg, deviating, most) + [
+        ("des", "SELECT z.group_id, z.ts_id, peer, date, count AS value FROM (SELECT DISTINCT group_id, ts_id, peer FROM co) z "
+                "JOIN mr ON mr.group_id = z.group_id AND mr.ts_id = z.peer"),
         ("pr", "SELECT des.group_id, des.ts_id, date, peer, value * coalesce(coef, 1.0) AS scaled_count, "
                "coalesce(inclusion_prob, 0.0) AS inclusion_prob, coef, coalesce(positive_share, 0.0) AS positive_share, "
                "positive_prob, sign FROM des JOIN tg USING (group_id, ts_id) LEFT JOIN cs USING (group_id, ts_id, peer)"),
@@ -556,12 +620,13 @@ PEER_COLUMNS = ("group_id, target_ts_id, date, ts_id, scaled_count, inclusion_pr
                 "positive_prob, sign, inclusion_rank")
 
 
-def q_ts_peers(cfg, deviating=False):
-    return R(with_(peer_ctes(cfg, deviating), f"SELECT {PEER_COLUMNS} FROM pall"), "scaled_count", *COEF_STATS)
+def q_ts_peers(cfg, deviating=True, most=None):
+    """All peers of the deviating series, or the strongest ones."""
+    return R(with_(peer_ctes(cfg, deviating, most), f"SELECT {PEER_COLUMNS} FROM pall"), "scaled_count", *COEF_STATS)
 
 
 def q_ts_peers_deviating(cfg):
-    return q_ts_peers(cfg, True)
+    return q_ts_peers(cfg, True, RM.MAX_PEERS)
 
 
 def q_ts_peers_plot(cfg):

@@ -71,11 +71,11 @@ SQL_QUERIES = {
     "model_ts_rank_top": ("q_ts_rank_top", PANEL_C),
     "detect_changepoint_3": ("q_changepoint_3", PANEL_A),
     "detect_changepoint_by_nation": ("q_changepoint_2", PANEL_A_NATION),
-    "causal_impact": ("q_cohort_effects", PANEL_A_NATION),
-    "causal_impact_orders": ("q_cohort_effects", PANEL_C),
-    "causal_impact_week": ("q_cohort_effects", PANEL_D),
-    "causal_impact_day": ("q_cohort_effects", PANEL_B),
-    "causal_impact_series": ("q_cohort_series", PANEL_A_NATION),
+    "causal_impact": ("q_ridge_effects", PANEL_A_NATION),
+    "causal_impact_orders": ("q_ridge_effects", PANEL_C),
+    "causal_impact_week": ("q_ridge_effects", PANEL_D),
+    "causal_impact_day": ("q_ridge_effects", PANEL_B),
+    "causal_impact_series": ("q_ridge_series", PANEL_A_NATION),
     "peer_coef_stats": ("q_peer_coef_stats", PANEL_A_NATION),
     "model_ts_peers": ("q_ts_peers", PANEL_A),
     "model_ts_peers_deviating": ("q_ts_peers_deviating", PANEL_A),

@@ -90,8 +90,7 @@ def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5, only=No
 
 
 def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, start, period: str, sig_p: float,
-                method: str, design: DataFrame | None = None, niter: int | None = None,
-                **model_kw):
+                method: str, **model_kw):
     """Model tables of ``groups`` saved under ``<out_dir>/models``."""
     def rd(name, schema):
         return store.read_table(spark, f"{out_dir}/models/{name}", schema).join(groups.select(G), G, "left_semi")
@@ -100,18 +99,18 @@ def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, sta
     eff = rd("effects", "group_id string, ts_id string, " + dbl(IM.EFFECT_COLUMNS))
     ser = rd("series", "group_id string, ts_id string, date date, " + dbl(IM.SERIES_COLUMNS))
     coefs = rd("coefs", IM.COEF_SCHEMA)
-    if method == "cohort":
-        from ..operators.cohort import cohort_design
-        design, niter = cohort_design(prepared, start) if design is None else design, 1
-    else:
-        design, niter = None, 0
+    design, niter = None, 0
+    if method == "ridge":
+        from ..operators.ridge import DRAWS
+        niter = model_kw.get("draws", DRAWS)
+        design = IM.model_rows(prepared, start).select(G, F.col("ts_id").alias("peer_ts_id"), "date", F.col("count").alias("value"))
     return IM.Models(eff, ser, coefs, IM.pre_end_table(prepared, start, period), sig_p, niter, design)
 
 
 def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
                 period: str = "month", min_pre_periods: int | None = None,
                 min_post_periods: int | None = None, min_timeseries: int = 30,
-                sig_p: float = 0.05, method: str = "cohort", out_dir: str | None = None,
+                sig_p: float = 0.05, method: str = "ridge", out_dir: str | None = None,
                 save_model_data: bool = True, save_model: bool = True,
                 gen_output: bool = True, use_cache: bool = False,
                 top_timeseries: int = 5, only=None, **model_kw) -> dict:
@@ -157,8 +156,7 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
             for name in names:
                 store.write_groups(getattr(m, name), f"{out_dir}/models/{name}")
             store.write_groups(margs, f"{out_dir}/models_args")
-            m = load_models(spark, out_dir, groups, prepared, start, period, sig_p, method,
-                            design=m.design, niter=m.niter)
+            m = load_models(spark, out_dir, groups, prepared, start, period, sig_p, method, **model_kw)
     result = {"prepared_panel": prepared, "models": m}
     if skipped is not None:
         result["skipped_groups"] = skipped

@@ -85,7 +85,7 @@ def test_ratio_model_flags_injected_series(spark):
     assert dev["1"] == "over" and dev["2"] == "under"
 
 
-def test_cohort_model_acceptance(spark):
+def test_ridge_model_acceptance(spark):
     """The same example with the default model, and its peer tables."""
     from peerpanel.operators.impact import fit_models
 
@@ -94,40 +94,110 @@ def test_cohort_model_acceptance(spark):
     dev = {r.ts_id: r.deviance for r in RP.model_summary(m).collect()}
     assert dev["1"] == "over" and dev["2"] == "under"
     assert sum(v == "average" for v in dev.values()) == 28
-    peers = RP.peer_contributions(m)
+    peers = RP.peer_contributions(m).cache()
     assert {r.target_ts_id for r in peers.select("target_ts_id").distinct().collect()} == {"1", "2"}
-    assert {r.ts_id for r in peers.select("ts_id").distinct().collect()} == {"target", "(cohort 0)", "(cohort 1)"}
+    names = {r.ts_id for r in peers.where("target_ts_id = '1'").select("ts_id").distinct().collect()}
+    assert names == {"target", *map(str, range(2, 31))}
+    chance = {r[0] for r in peers.where("ts_id <> 'target'").select("inclusion_prob").distinct().collect()}
+    assert any(0 < c < 1 for c in chance) and 0.0 in chance
+    assert peers.select("inclusion_rank").distinct().count() > 3
+    assert 0 < RP.peer_plot_rows(peers).count() < peers.count()
+    every = RP.peer_contributions(m, all_peers=True, deviating_only=False)
+    assert every.count() == 30 * 30 * 90
 
 
-def test_cohort_regression_against_normal_equations(spark):
-    """Coefficients, residual sd and the variance of the sum, by matrices."""
-    import hashlib
-    import math
+def _wide(p, start):
+    wide = p.toPandas().pivot(index="date", columns="ts_id", values="count").sort_index()
+    return wide, sum(d <= start for d in wide.index)
+
 
-    import numpy as np
+def _plain_adjusted(y, n, season):
+    """Season and mean of one series by plain loops."""
+    cycles, s = n // season, np.zeros(len(y))
+    if cycles >= 2:
+        off = n - cycles * season
+        per = [[y[off + c * season + k] for k in range(season)] for c in range(cycles)]
+        slope = (np.mean(per[-1]) - np.mean(per[0])) / ((cycles - 1) * season)
+        for t in range(len(y)):
+            k = (t - off) % season
+            s[t] = np.mean([c[k] for c in per]) - np.mean(per) - slope * (k - (season - 1) / 2)
+    return y - s - np.mean((y - s)[:n]), s + np.mean((y - s)[:n])
 
-    from peerpanel.operators.cohort import RIDGE
+
+def test_ridge_equals_plain_ridge_on_all_others(spark, monkeypatch):
+    """Effects, residual sd, variance and draws against primal ridge regressions,
+    one at a time; with small parts, several of them and blocks of targets."""
+    import math
+
+    from peerpanel.operators import ridge
     from peerpanel.operators.impact import fit_models
 
+    monkeypatch.setattr(ridge, "PART", 11)
+    monkeypatch.setattr(ridge, "TARGETS", 7)
     p, start = _injected(spark)
-    m = fit_models(p, start, "day", alpha=0.01)
-    wide = p.toPandas().pivot(index="date", columns="ts_id", values="count").sort_index()
-    pre = np.array([d <= start for d in wide.index])
-    side = {c: int(hashlib.md5(c.encode()).hexdigest()[0] >= "8") for c in wide.columns}
+    m = fit_models(p, start, "day", alpha=0.01, draws=4, max_peers=6)
+    wide, n = _wide(p, start)
+    parts = {c: _plain_adjusted(wide[c].to_numpy(), n, 7) for c in wide.columns}
+    x = {c: v[0] for c, v in parts.items()}
+    lam = ridge.RIDGE * sum((v[:n] ** 2).sum() for v in x.values()) / n
     got = {r.ts_id: r for r in m.effects.collect()}
-    for c in ("1", "2", "7"):
-        x = np.stack([wide[[o for o in wide.columns if o != c and side[o] == k]].mean(axis=1) for k in (0, 1)], 1)
-        y = wide[c].to_numpy()
-        xc, yc = x - x[pre].mean(0), y - y[pre].mean()
-        s = xc[pre].T @ xc[pre]
-        s += np.eye(2) * RIDGE * np.trace(s) / 2
-        b = np.linalg.solve(s, xc[pre].T @ yc[pre])
-        res = yc - xc @ b
-        sigma2, n, k, v = (res[pre] ** 2).sum() / (pre.sum() - 3), pre.sum(), (~pre).sum(), xc[~pre].sum(0)
-        sd = math.sqrt(sigma2 * (k + k * k / n + v @ np.linalg.solve(s, v)))
-        assert abs(got[c].AbsEffect_Cumulative - res[~pre].sum()) < 1e-6
-        tail = 0.5 * math.erfc(abs(res[~pre].sum()) / sd / math.sqrt(2))
-        assert abs(got[c].p_Cumulative - tail) < 1e-6
+    coefs = m.peers(m.effects).toPandas()
+
+    def betas(c, others, w=None):
+        z, w = np.stack([x[o][:n] for o in others], 1), np.ones(n) if w is None else w
+        return np.linalg.solve(z.T @ (w[:, None] * z) + lam * np.eye(len(others)), z.T @ (w * x[c][:n]))
+
+    for c in wide.columns:
+        others = [o for o in wide.columns if o != c]
+        z = np.stack([x[o] for o in others], 1)
+        b = betas(c, others)
+        res = x[c] - z @ b
+        hat = z[:n] @ np.linalg.solve(z[:n].T @ z[:n] + lam * np.eye(len(others)), z[:n].T)
+        out = res[:n] / (1 - np.diag(hat))
+        sigma = math.sqrt((out ** 2).sum() / (n - 7))
+        k = len(res) - n
+        w = z[n:].sum(0) @ np.linalg.solve(z[:n].T @ z[:n] + lam * np.eye(len(others)), z[:n].T)
+        sd = sigma * math.sqrt(k + k * k / n + w @ w)
+        assert abs(got[c].AbsEffect_Cumulative - res[n:].sum()) < 1e-6
+        assert abs(got[c].AbsEffect_Average - res[n:].mean()) < 1e-6
+        assert abs(got[c].p_Cumulative - 0.5 * math.erfc(abs(res[n:].sum()) / sd / math.sqrt(2))) < 1e-6
+        for draw in range(5):
+            b = betas(c, others, ridge.draw_weights(n, draw))
+            best = sorted(others, key=lambda o: -abs(b[others.index(o)]) * np.linalg.norm(x[o][:n]))[:6 if draw == 0 else 3]
+            mine = coefs[(coefs.ts_id == c) & (coefs.draw == draw)]
+            assert set(mine.peer_ts_id) == set(best)
+            assert all(abs(b[others.index(o)] - v) < 1e-9 for o, v in zip(mine.peer_ts_id, mine.coef))
+
+
+def test_season_does_not_count_as_effect(spark):
+    """A weekly pattern of one series, with a post window of weekend days only."""
+    from peerpanel.operators.impact import fit_models
+
+    rng = np.random.default_rng(5)
+    d0 = dt.date(2024, 1, 1)
+    rows = [(f"s{s}", d0 + dt.timedelta(days=k), float(rng.poisson(100) + (60 if s == 0 and k % 7 >= 5 else 0)))
+            for s in range(12) for k in range(61)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["ts_id", "date", "count"]))
+    start = d0 + dt.timedelta(days=53)            # the post window ends on a weekend
+    p = prepare_panel(panel(df), start, "day", 4, 2, 3).where(f"date <= '{start}' or date > '{d0 + dt.timedelta(days=53)}'")
+    short = p.where(f"date <= '{start}' or date in ('{d0 + dt.timedelta(days=54)}', '{d0 + dt.timedelta(days=55)}')")
+    dev = {r.ts_id: r.deviance for r in RP.model_summary(fit_models(short, start, "day", alpha=0.01)).collect()}
+    assert dev["s0"] == "average"
+    plain = {r.ts_id: r.deviance for r in RP.model_summary(fit_models(short, start, "day", alpha=0.01, method="ratio")).collect()}
+    assert plain["s0"] == "over"
+
+
+def test_flat_and_single_series_have_no_class(spark):
+    from peerpanel.operators.impact import fit_models
+
+    rows = [("flat", d.date(), 5.0) for d in pd.date_range("2024-01-01", periods=40)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["ts_id", "date", "count"]))
+    p = prepare_panel(panel(df), dt.date(2024, 1, 25), "day", 4, 2, 1)
+    m = fit_models(p, dt.date(2024, 1, 25), "day")
+    r = m.effects.first()
+    assert r.p_Cumulative is None and abs(r.AbsEffect_Cumulative) < 1e-9
+    assert m.coefs.count() == 0 and RP.peer_contributions(m).count() == 0
+    assert {x.deviance for x in RP.model_summary(m).collect()} == {"average"}
 
 
 def test_model_ts_rank_rules(spark):
