@@ -574,7 +574,12 @@ def q_pipeline(cfg):
     return globals()[PIPELINE_SQL[cfg["table"]]]({**cfg, "method": "ridge"})
 
 
+def q_stored(cfg):
+    return q_pipeline(cfg)
+
+
 PIPELINE_SQL = {
+    "model_summary": "q_ridge_effects",
     "prepared_panel": "q_prepare", "desc_summary_count": "q_summary_count",
     "desc_summary_count_plot": "q_summary_count_plot", "desc_summary_stats": "q_summary_stats",
     "desc_quantile_timeseries": "q_quantile_ts", "deviance_counts": "q_deviance_counts",

@@ -90,5 +90,9 @@ PIPELINE_TABLES = (
     "desc_quantile_timeseries", "deviance_counts", "model_summary_timeseries", "model_group_timeseries",
     "deviance_mean_sd", "model_ts_rank", "model_ts_rank_top", "model_ts_peers", "model_ts_peers_plot")
 SQL_QUERIES |= {f"ts_analysis_{t}": ("q_pipeline", {**PANEL_A, "table": t}) for t in PIPELINE_TABLES}
+# the eight sinks, written and read back
+STORED_TABLES = ("desc_summary_count", "desc_summary_stats", "desc_quantile_timeseries", "model_summary",
+                 "model_summary_timeseries", "model_group_timeseries", "model_ts_peers", "model_ts_rank")
+SQL_QUERIES |= {f"stored_{t}": ("q_stored", {**PANEL_A, "table": t}) for t in STORED_TABLES}
 SQL_QUERIES |= {f"ts_analysis_detected_{t}": ("q_pipeline", {**PANEL_A_DETECTED, "table": t})
                 for t in ("prepared_panel", "model_summary_timeseries", "desc_quantile_timeseries")}

@@ -20,10 +20,13 @@ from ..operators import impact as IM
 from ..operators import report as RP
 from ..operators.lowess import lowess_smooth
 from ..operators.prepare import G, check_starts, prepare_panel, start_param
+from ..operators.ridge import DRAWS
 from ..session import reuse
 from ..sources import store
 from ..sources.panel import panel as to_panel
 
+MODEL_TABLES = ("effects", "series", "coefs")
+
 
 def resolve_start(p: DataFrame, start_date):
     """``(start, skipped)``: the given start date, or per group the detected
@@ -89,22 +92,14 @@ def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5, only=No
     return {name: build() for name, build in tables.items() if only is None or name in only}
 
 
-def load_models(spark, out_dir: str, groups: DataFrame, prepared: DataFrame, start, period: str, sig_p: float,
-                method: str, **model_kw):
-    """Model tables of ``groups`` saved under ``<out_dir>/models``."""
-    def rd(name, schema):
-        return store.read_table(spark, f"{out_dir}/models/{name}", schema).join(groups.select(G), G, "left_semi")
-
-    dbl = lambda cols: ", ".join(f"{c} double" for c in cols)
-    eff = rd("effects", "group_id string, ts_id string, " + dbl(IM.EFFECT_COLUMNS))
-    ser = rd("series", "group_id string, ts_id string, date date, " + dbl(IM.SERIES_COLUMNS))
-    coefs = rd("coefs", IM.COEF_SCHEMA)
+def stored_models(tables: dict, prepared: DataFrame, start, period: str, sig_p: float, method: str,
+                  **model_kw) -> IM.Models:
+    """Models from their stored tables."""
     design, niter = None, 0
     if method == "ridge":
-        from ..operators.ridge import DRAWS
         niter = model_kw.get("draws", DRAWS)
         design = IM.model_rows(prepared, start).select(G, F.col("ts_id").alias("peer_ts_id"), "date", F.col("count").alias("value"))
-    return IM.Models(eff, ser, coefs, IM.pre_end_table(prepared, start, period), sig_p, niter, design)
+    return IM.Models(*(tables[n] for n in MODEL_TABLES), IM.pre_end_table(prepared, start, period), sig_p, niter, design)
 
 
 def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
@@ -137,26 +132,26 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
     groups = reuse(run_groups(p, start))
     args = store.group_args(groups, dict(period=period, min_pre=min_pre_periods, min_post=min_post_periods,
                                          min_timeseries=min_timeseries))
-    prepared = store.cached_table(
-        spark, out_dir, "panel", args,
-        lambda: prepare_panel(p, start, period, min_pre_periods, min_post_periods,
-                              min_timeseries),
-        use_cache, save_model_data)
+    prepared = store.cached(
+        spark, out_dir and f"{out_dir}/panel", args,
+        lambda: {"rows": prepare_panel(p, start, period, min_pre_periods, min_post_periods, min_timeseries)},
+        use_cache, save_model_data)["rows"]
     if out_dir is None or not save_model_data:
         prepared = reuse(prepared)
     margs = store.group_args(groups, dict(
         period=period, min_pre=min_pre_periods, min_post=min_post_periods, min_timeseries=min_timeseries,
         sig_p=sig_p, method=method, **{k: str(v) for k, v in model_kw.items()}))
-    names = ("effects", "series", "coefs")
-    if out_dir is not None and use_cache and store.args_match(spark, f"{out_dir}/models_args", margs):
-        m = load_models(spark, out_dir, groups, prepared, start, period, sig_p, method, **model_kw)
+    fitted: list[IM.Models] = []
+
+    def fit():
+        fitted.append(IM.fit_models(prepared, start, period, alpha=sig_p, method=method, **model_kw))
+        return {name: getattr(fitted[0], name) for name in MODEL_TABLES}
+
+    tables = store.cached(spark, out_dir and f"{out_dir}/models", margs, fit, use_cache, save_model)
+    if fitted and (out_dir is None or not save_model):
+        m = fitted[0]
     else:
-        m = IM.fit_models(prepared, start, period, alpha=sig_p, method=method, **model_kw)
-        if out_dir is not None and save_model:
-            for name in names:
-                store.write_groups(getattr(m, name), f"{out_dir}/models/{name}")
-            store.write_groups(margs, f"{out_dir}/models_args")
-            m = load_models(spark, out_dir, groups, prepared, start, period, sig_p, method, **model_kw)
+        m = stored_models(tables, prepared, start, period, sig_p, method, **model_kw)
     result = {"prepared_panel": prepared, "models": m}
     if skipped is not None:
         result["skipped_groups"] = skipped
@@ -164,5 +159,5 @@ def ts_analysis(data: DataFrame, group_id: str | None = None, start_date=None,
         out = generate_output(m, prepared, top_timeseries, only)
         result.update(out)
         if out_dir is not None:
-            store.write_outputs(out, out_dir)
+            store.write_outputs(out, out_dir, groups)
     return result
