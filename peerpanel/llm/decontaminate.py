@@ -10,7 +10,8 @@ numbers of the test vocabulary (0: not in it); positions at which a match could
 start form the shard's suffix array, ordered by their next ``window`` words.
 Every test suffix is searched in it by bisection, once from below and once from
 above, so each hit range gives all locations; hits on one diagonal join to the
-longest verbatim matches. Nothing is shuffled: shards are independent.
+longest verbatim matches. Words are numbered by hash; the bytes of every hit word
+are compared with the test word's. Nothing is shuffled: shards are independent.
 
 The test side is broadcast in blocks of at most ``BLOCK_BYTES`` of text, as
 many as its measured size asks for. Equal items are searched once.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_keys
-from .textbytes import LOWER, runs, slices, span_hashes
+from .textbytes import LOWER, prime_hashes, runs, slices
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -39,24 +40,37 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, text)`` of every word of a slice."""
+def words(buf: np.ndarray, off: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+    """``(hash, text, start, end, bytes)`` of every word of a slice."""
     b = LOWER[buf]
     s, e, d = runs(_WORD[b], off)
-    return span_hashes(b, s, e), d
+    return prime_hashes(b, s, e, seed), d, s, e, b
+
+
+def vocabulary(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Hashes of all words with their texts, the sorted distinct hashes, and the bytes
+    and ends of the words that have them. No two words share a hash: the next seed is
+    taken until that holds."""
+    for seed in range(100):
+        h, d, spelt = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}
+        for i, _, buf, off in slices(texts):
+            x, y, s, e, b = words(buf, off, seed)
+            h.append(x)
+            d.append(y + i)
+            for k, u, v in zip(x.tolist(), s.tolist(), e.tolist()):
+                spelt.setdefault(k, set()).add(b[u:v].tobytes())
+        if all(len(w) == 1 for w in spelt.values()):
+            vocab = np.array(sorted(spelt), np.uint64)
+            raw = [next(iter(spelt[k])) for k in vocab.tolist()]
+            ends = np.cumsum([0, *map(len, raw)])
+            return seed, np.concatenate(h), np.concatenate(d), vocab, np.frombuffer(b"".join(raw), np.uint8), ends
+    raise RuntimeError("words share hashes under every seed")
 
 
 def test_block(items: list[tuple[str | None, str | None]], window: int) -> dict:
     """Vocabulary, word pairs and distinct windows of one block of items."""
-    texts = pa.array([t for _, t in items], pa.large_string())
-    h, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i, _, buf, off in slices(texts):
-        x, y = words(buf, off)
-        h.append(x)
-        d.append(y + i)
-    h, d = np.concatenate(h), np.concatenate(d)
-    vocab, word = np.unique(h, return_inverse=True)
-    word = word + 1
+    seed, h, d, vocab, raw, ends = vocabulary(pa.array([t for _, t in items], pa.large_string()))
+    word = np.searchsorted(vocab, h) + 1
     cut = np.searchsorted(d, np.arange(len(items) + 1))
     classes: dict[bytes, list] = {}
     for i, (item, _) in enumerate(items):
@@ -76,7 +90,7 @@ def test_block(items: list[tuple[str | None, str | None]], window: int) -> dict:
         order = np.argsort(at, kind="stable")
         wins[n] = (keys, np.searchsorted(at[order], np.arange(len(keys) + 1)),
                    np.array([rows[i][1] for i in order]), np.array([rows[i][2] for i in order]))
-    return {"vocab": vocab, "pairs": np.unique(np.concatenate(pairs)), "windows": wins, "items": list(classes.values())}
+    return {"seed": seed, "vocab": vocab, "raw": raw, "ends": ends, "pairs": np.unique(np.concatenate(pairs)), "windows": wins, "items": list(classes.values())}
 
 
 def suffix_array(word: np.ndarray, doc: np.ndarray, block: dict, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +138,20 @@ def search(word: np.ndarray, doc: np.ndarray, block: dict, window: int) -> tuple
     return tuple(np.concatenate(out, axis=1))
 
 
+def unequal(word, p, n, ws, we, low, block) -> np.ndarray:
+    """Hit words whose bytes differ from those of the test word with their hash."""
+    level = np.zeros(len(word) + 1, np.int64)
+    np.add.at(level, p, 1)
+    np.add.at(level, p + n, -1)
+    at = np.flatnonzero(np.cumsum(level)[:-1] > 0)
+    first, size = block["ends"][word[at] - 1], np.diff(block["ends"])[word[at] - 1]
+    same = size == we[at] - ws[at]
+    i, m = at[same], size[same]
+    step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    differ = low[np.repeat(ws[i], m) + step] != block["raw"][np.repeat(first[same], m) + step]
+    return np.concatenate([at[~same], np.unique(np.repeat(i, m)[differ])])
+
+
 def longest(p, cls, pos, n, doc) -> tuple[np.ndarray, ...]:
     """Join windows on one diagonal to maximal matches ``(start, class, words)``."""
     o = np.lexsort((p, p - pos, cls, doc[p]))
@@ -138,13 +166,16 @@ def longest(p, cls, pos, n, doc) -> tuple[np.ndarray, ...]:
 def scan_texts(col: pa.Array, block: dict, window: int):
     """Per text: words, merged hit runs and matches ``(item, start, words)``."""
     for i, j, buf, off in slices(col):
-        h, doc = words(buf, off)
+        h, doc, ws, we, low = words(buf, off, block["seed"])
         k = np.searchsorted(block["vocab"], h)
         k[k == len(block["vocab"])] = 0
         word = np.where(block["vocab"][k] == h, k + 1, 0) if len(block["vocab"]) else np.zeros(len(h), int)
         count = np.bincount(doc, minlength=j - i)
         start = np.cumsum(count) - count
         p, cls, pos, n = search(word, doc, block, window)
+        while len(p) and len(other := unequal(word, p, n, ws, we, low, block)):
+            word[other] = 0                      # another word with the hash of a test word
+            p, cls, pos, n = search(word, doc, block, window)
         hits: dict[int, tuple[list, list]] = {}
         if len(p):
             level = np.zeros(len(word) + 1, np.int64)

@@ -5,8 +5,10 @@ features are its affixes (first and last one to four bytes), its byte trigrams
 with word ends, both hashed, and one flag per language lexicon. Lexicons come
 from word counts over all learning documents. Weights and label transitions are
 learned by gradient steps on the sequence likelihood, from at most ``SAMPLE``
-documents and ``SPANS`` evenly spaced spans of each; spans of different
-languages are strung together, so the transitions learn to switch.
+distinct documents and ``SPANS`` evenly spaced spans of each, of ``SPAN`` words and at
+most ``SPAN_BYTES`` bytes (a text without spaces is one word, of which a span is the
+first ``SPAN_BYTES`` bytes: these bound learning alone, predictions read whole texts);
+spans of different languages are strung together, so the transitions learn to switch.
 
 Whole texts are labelled word by word: forward and backward messages cross
 blocks of ``BLOCK`` words as products of transfer matrices, so a batch of texts
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .textbytes import LOWER, mix, runs, slices, span_hashes
 
 SAMPLE = 3_000       # documents that the weights may be learned from
-SPANS, SPAN = 12, 24
+SPANS, SPAN, SPAN_BYTES = 12, 24, 24 * 48
 LEXICON = 4_000      # words per language
 BITS = 17
 BLOCK = 64
@@ -229,7 +232,7 @@ def lexicons(docs: DataFrame, labels: list[str], size: int) -> tuple[np.ndarray,
     per = per.select("w", *[x.alias(f"n{i}") for i, x in enumerate(n)], total.alias("t")).where("t >= 3")
     best = F.greatest(*[F.col(f"n{i}") for i in range(len(labels))], F.lit(0))
     y = sum((F.when(F.col(f"n{i}") == best, i).otherwise(0) for i in range(1, len(labels))), F.lit(0))
-    own = per.where(best >= 0.9 * F.col("t")).select("w", best.alias("n"), y.alias("y"))
+    own = stored(per.where(best >= 0.9 * F.col("t")).select("w", best.alias("n"), y.alias("y")), "langid-words")
     for i in range(len(labels)):                              # at most `size` rows each
         for r in own.where(F.col("y") == i).orderBy(F.desc("n"), "w").limit(size).collect():
             keys.append(r["w"])
@@ -249,18 +252,20 @@ def fit(docs: DataFrame, may_learn: Column, text_col: str = "text", lang_col: st
     index = {x: i for i, x in enumerate(labels)}
     keys = lexicons(known.select("text", "lang"), labels, lexicon)
     order = F.xxhash64("id", "text")
-    edge = known.select(order.alias("o")).orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    edge = known.select(order.alias("o")).distinct().orderBy("o").limit(sample).agg(F.max("o")).first()[0]
 
     def spans(batches):
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = text.encode().split()
                 n = min(SPANS, max(1, len(w) // SPAN))
-                got = [b" ".join(w[i * len(w) // n:i * len(w) // n + SPAN])[:SPAN * 48] + b" " for i in range(n)]
+                got = [b" ".join(w[i * len(w) // n:i * len(w) // n + SPAN])[:SPAN_BYTES] + b" " for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([index[lang]] * n, pa.int32()), pa.array(got, pa.binary())],
                                                  ["y", "s"])
 
-    rows = known.where(order <= F.lit(edge)).select("text", "lang").mapInArrow(spans, "y int, s binary")
+    # repeated rows count once: at most `sample` documents
+    some = known.where(order <= F.lit(edge)).groupBy(order.alias("o")).agg(F.min(F.struct("text", "lang")).alias("d"))
+    rows = some.select("d.text", "d.lang").mapInArrow(spans, "y int, s binary")
     got = rows.orderBy("y", "s").collect()                     # at most sample * SPANS spans
     return learn([(r["y"], bytes(r["s"])) for r in got], labels, keys)
 

@@ -61,9 +61,9 @@ def covered_runs(windows: DataFrame, width: int) -> DataFrame:
 def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           width: int = 3, counts: bool = True) -> DataFrame:
     """``docs`` with repeated windows cut from the text; ``counts`` adds
-    ``_n_lines`` and ``_n_removed``."""
+    ``_n_lines`` and ``_n_removed`` in place of columns that have these names."""
     k1, k2 = row_keys(id_col, text_col)
-    names = docs.columns
+    names = [c for c in docs.columns if not counts or c.lower() not in ("_n_lines", "_n_removed")]
     runs = covered_runs(line_windows(docs, id_col, text_col, width), width)
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), k1.alias("_k1"), k2.alias("_k2")) \
         .join(runs, KEY, "left")

@@ -251,16 +251,21 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def keep_one_per_component(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """Rows of ``docs`` that hold their component's document of the smallest
-    doc_id. Documents are told apart by (doc_id, text): repeated rows of one
-    document stay together. Rows without a doc_id stay only where no row of
-    their component has one."""
+    """One row of ``docs`` per component: that of the smallest doc_id (then of the
+    smallest text hash). Of rows that repeat this doc_id and text, the smallest in
+    order of all columns stays. A row without a doc_id stays only where no row of
+    its component has one."""
     h = F.xxhash64(F.coalesce("text", F.lit("")))
     marks = stored(fingerprints(docs.select("doc_id", "text", h.alias("h")), "doc_id", "text", width, "h"),
                    "simhash-fp")
     comp = fingerprint_components(marks.select("doc_id", "fp"), radius)
-    first = marks.join(comp, "fp").groupBy("component_id") \
-        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("m")) \
-        .select(F.col("m.doc_id").alias("_d"), F.col("m.h").alias("_h"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_d"])
-                     & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == first["_h"]), "left_semi")
+    first = marks.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("copies")).join(comp, "fp").groupBy("component_id") \
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "copies")).alias("m"))
+    first = stored(first.select(F.col("m.doc_id").alias("_d"), F.col("m.h").alias("_h"), F.col("m.copies").alias("_copies")),
+                   "simhash-first")
+    same = lambda f: docs["doc_id"].eqNullSafe(f["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == f["_h"])
+    single, many = first.where("_copies = 1"), first.where("_copies > 1")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.join(many, same(many), "left_semi") \
+        .groupBy(F.col("doc_id").alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).agg(F.min(row).alias("_row"))
+    return docs.join(single, same(single), "left_semi").union(again.select("_row.*"))

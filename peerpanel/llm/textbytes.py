@@ -102,3 +102,25 @@ def window_hashes(buf: np.ndarray, k: int) -> np.ndarray:
             cur = cur[:n] * U(pow(GOLD, m, 1 << 64)) + cur[m:m + n]
             m *= 2
     return out
+
+
+PRIMES = (2147483647, 2147483629)
+
+
+def prime_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """62-bit hash of each span from polynomials modulo two primes, with bases by
+    ``seed``; spans are disjoint and ascending."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    n = e - s
+    within = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+    value = buf[within + np.repeat(s, n)].astype(np.int64) + 1
+    out = np.zeros(len(s), np.uint64)
+    for i, p in enumerate(PRIMES):
+        base = (1_000_003 + 7_919 * (2 * seed + i)) ** 3 % p
+        power = np.ones(1, np.int64)
+        while len(power) < n.max():
+            power = np.concatenate([power, power * pow(base, len(power), p) % p])
+        x = np.add.reduceat(value * power[within] % p, np.cumsum(n) - n) % p
+        out = out << U(31) | x.astype(np.uint64)
+    return out

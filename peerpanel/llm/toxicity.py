@@ -353,7 +353,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         .groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .join(F.broadcast(known), "doc_id").select("text", "y")     # at most `sample` ids
+        .join(F.broadcast(known), "doc_id").groupBy("doc_id") \
+        .agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")      # at most `sample` rows
     bc = docs.sparkSession.sparkContext.broadcast(logp)
 
     def count(batches):

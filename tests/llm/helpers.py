@@ -2,7 +2,8 @@
 
 import random
 
-EXTRA = ["fp", "k", "k1", "_k1", "score", "runs", "component_id", "ids", "a", "row", "n", "h", "x.y"]
+EXTRA = ["fp", "k", "k1", "_k1", "score", "runs", "component_id", "ids", "a", "row", "n", "h", "x.y", "_n_lines", "_n_removed",
+         "_row", "_d", "_h", "_copies", "_runs", "_l"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 

@@ -7,9 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import awkward, make_docs
+from helpers import awkward, make_docs, prose
 
-from peerpanel.llm import hard_negatives, queries, spelling, url_filter
+from peerpanel.llm import decontaminate, hard_negatives, langid, queries, spelling, toxicity, url_filter
 
 # ------------------------------------------------------------------ hard negatives
 
@@ -223,3 +223,44 @@ def test_branches_that_differ_stay_apart(spark):
     kids = spark.createDataFrame(rows, "host string, template string, parent double, child string, pages long, labelled long, blocked long")
     got = {r["child"]: r["name"] for r in url_filter._merged(kids, ["host", "template"]).collect()}
     assert got == {"a": "{a|b}", "b": "{a|b}", "c": "{c|d}", "d": "{c|d}", "e": "e", "f": "f"}
+
+
+# ----------------------------------------------------- repeated rows and equal hashes
+
+def test_repeated_rows_count_once_in_learning(spark, monkeypatch):
+    rows = [(1, prose(1, 400), "aa")] * 3000 + [(i, prose(i, 300), "ab"[i % 2]) for i in range(2, 90)]
+    docs, seen = make_docs(spark, rows), []
+    learn = langid.learn
+    monkeypatch.setattr(langid, "learn", lambda spans, *a: seen.append(len(spans)) or learn(spans, *a))
+    assert langid.fit(docs, langid.F.lit(True), sample=20) is not None
+    assert 20 * 2 <= seen[0] <= 20 * langid.SPANS
+    labels = spark.createDataFrame([(r[0], 1, r[0] % 2) for r in rows[2999:]], "doc_id long, quality int, toxic int")
+    logistic = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda i, c, y, *a, **k: seen.append(len(y)) or logistic(i, c, y, *a, **k))
+    toxicity.fit(docs, labels, toxicity.F.lit(True), sample=50)
+    assert seen[1] == 50
+
+
+def test_words_with_equal_polynomial_hashes_differ(spark):
+    bits = "0"
+    for _ in range(10):
+        bits += bits.translate(str.maketrans("01", "10"))
+    a = bits.translate(str.maketrans("01", "ab"))
+    b = bits.translate(str.maketrans("01", "ba"))
+    docs = make_docs(spark, [(1, a), (2, b), (3, f"x {b} y")])
+    for item, hits in ((a, [1]), (b, [2, 3])):
+        found = decontaminate.find_matches(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+        assert sorted(r["doc_id"] for r in found.collect() if r["runs"]) == hits
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With a hash of the length alone every word is compared by its bytes."""
+    real = decontaminate.prime_hashes
+    weak = lambda b, s, e, seed=0: real(b, s, e, seed) if seed else (e - s).astype(np.uint64)
+    docs = [(1, "one two six ten"), (2, "one two sax ten"), (3, "six one two")]
+    for item, want in (("two six", {1: [(1, 3)]}), ("two", {1: [(1, 2)], 2: [(1, 2)], 3: [(2, 3)]}),
+                       ("seven six", {}), ("six", {1: [(2, 3)], 3: [(0, 1)]})):
+        monkeypatch.setattr(decontaminate, "prime_hashes", weak)
+        block = decontaminate.test_block([("7", item)], 10)
+        got = list(decontaminate.scan_texts(decontaminate.pa.array([t for _, t in docs]), block, 10))
+        assert {i: r for (i, _), (_, r, _) in zip(docs, got) if r} == want
