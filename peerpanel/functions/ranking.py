@@ -1,5 +1,6 @@
 """Exact ranks inside large partitions without sorting a partition in one
-task.
+task: ranks of rows by range partitioning (``avg_ranks``, ``pct_ranks``,
+``positions``), and rank tables of values, from which medians and cells are read.
 
 ``rank_table`` gives, for every distinct non-NULL key, its ``min_rank``
 (1 + number of smaller keys in the partition), ``ties`` (rows with the
@@ -13,7 +14,7 @@ same key) and ``n`` (non-NULL rows in the partition):
 3. inside each cell a running sum over the frequency rows gives the rows
    before each value; cell offsets are a running sum over the (small)
    table of cell sizes;
-4. ranks are joined back on ``(partition, key)``.
+4. callers aggregate the table or join it to rows grouped by value.
 
 Approximate boundaries only decide the cell split; the ranks are exact.
 """
@@ -84,16 +85,46 @@ def value_at(position: Column, min_rank: Column, ties: Column, key) -> Column:
 
 
 def _stacked(df: DataFrame, ids: Sequence[str], part: Sequence[str], specs) -> DataFrame:
-    """``(part..., ids..., out columns)``: all keys ranked in one pass, as rows
-    ``(part, metric, key)`` of one rank table. ``specs``: (key, out, descending,
-    column of the rank table)."""
+    """``(part..., ids..., out columns)``: all keys ranked in one pass. ``specs``: (key,
+    out, descending, rank column from ``_min_rank``, ``_ties`` and ``_n``).
+
+    Rows ``(part, metric, key)`` are dealt by range, so a partition or a tie value is
+    spread over many tasks. Inside a range a row's rank is its place; the rows of
+    earlier ranges are added. A run of ties can cross the borders of ranges only as
+    the first or the last run of a range: those runs, two a range, are summed up and
+    carried over. The table of ranges joins on (part, metric, range); no join has a
+    value as its key.
+    """
     part, ids = list(part), list(ids)
+    group = [*part, "_metric"]
     rows = df.select(*part, *ids, F.explode(F.array(*[
         F.struct(F.lit(out).alias("_metric"), ((-F.col(key)) if desc else F.col(key)).cast("double").alias("_key"))
-        for key, out, desc, _ in specs])).alias("_x")).select(*part, *ids, "_x._metric", "_x._key")
-    t = rank_table(rows, [*part, "_metric"], "_key")
-    long = rows.join(t, [*part, "_metric", "_key"], "left")
-    return long.groupBy(*part, *ids).agg(*[
+        for key, out, desc, _ in specs])).alias("_x")).select(*part, *ids, "_x._metric", "_x._key").where("_key IS NOT NULL")
+    rows = reuse(rows.repartitionByRange(*group, "_key", *ids).withColumn("_pid", F.spark_partition_id()))
+    own = Window.partitionBy(*group, "_pid")
+    rows = rows.withColumn("_place", F.rank().over(own.orderBy("_key")) - 1) \
+        .withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(*group, "_pid", "_key")))
+    early = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*group, "_pid").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi"),
+        F.min_by("_same", "_key").alias("_lo_n"), F.max_by("_same", "_key").alias("_hi_n"))
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(early), F.lit(0))) \
+        .withColumn("_n", F.sum("_rows").over(Window.partitionBy(*group)))
+    first = F.struct(F.col("_lo").alias("k"), F.col("_lo_n").alias("c"), F.col("_before").alias("s"))
+    last = F.struct(F.col("_hi").alias("k"), F.col("_hi_n").alias("c"), (F.col("_before") + F.col("_rows") - F.col("_hi_n")).alias("s"))
+    runs = ranges.select(*group, "_pid", "_before", "_n", F.explode(F.when(
+        F.col("_lo") == F.col("_hi"), F.array(first)).otherwise(F.array(first, last))).alias("_r"))
+    run = Window.partitionBy(*group, "_r.k")
+    runs = runs.withColumn("_run", F.struct(F.col("_r.k").alias("k"), F.sum("_r.c").over(run).alias("ties"),
+                                            F.min("_r.s").over(run).alias("start")))
+    ranges = runs.groupBy(*group, "_pid").agg(F.first("_before").alias("_before"), F.first("_n").alias("_n"),
+                                              F.min("_run").alias("_first"), F.max("_run").alias("_last"))
+    x = rows.join(sized_broadcast(ranges), [*group, "_pid"])          # one row per range
+    edge = lambda f, other: F.when(F.col("_key") == F.col("_first.k"), F.col(f"_first.{f}")) \
+        .when(F.col("_key") == F.col("_last.k"), F.col(f"_last.{f}")).otherwise(other)
+    x = x.select(*part, *ids, "_metric", "_n", edge("ties", F.col("_same")).alias("_ties"),
+                 (edge("start", F.col("_before") + F.col("_place")) + 1).alias("_min_rank"))
+    return x.groupBy(*part, *ids).agg(*[
         F.max(F.when(F.col("_metric") == out, rank)).alias(out) for _, out, _, rank in specs])
 
 

@@ -148,20 +148,18 @@ def pre_post_stats(p: DataFrame, pre_end: DataFrame, smoothed: DataFrame | None
     ``count_mean``, ``count_smooth`` (pre: last smoothed value; post: the
     second, NULL if there is none), ``num_periods`` and their within-period
     percent ranks. Leading zeros are trimmed; inactive series included."""
-    from ..session import reuse
-    from .lowess import lowess_smooth
-    t = smoothed if smoothed is not None else reuse(lowess_smooth(p))
-    t = with_group_params(t, pre_end).withColumn(
-        "period", F.when(F.col(D) < F.col("pre_end"), "pre").otherwise("post"))
-    w = Window.partitionBy(G, TS, "period").orderBy(D)
-    t = t.withColumn("_k", F.row_number().over(w))
-    st = t.groupBy(G, TS, "period").agg(
-        F.avg(C).alias("count_mean"),
-        F.max_by("count_smooth", D).alias("_last"),
-        F.max(F.when(F.col("_k") == 2, F.col("count_smooth"))).alias("_second"),
-        F.count(F.lit(1)).alias("num_periods"))
-    st = st.withColumn("count_smooth", F.when(F.col("period") == "pre", F.col("_last"))
-                       .otherwise(F.col("_second"))).drop("_last", "_second")
+    from .lowess import lowess_series
+    x = with_group_params(smoothed if smoothed is not None else lowess_series(p), pre_end)
+    k = F.size(F.filter("d", lambda d: d < F.col("pre_end")))
+    n = F.size("d")
+
+    def stats(period, first, rows, smooth):
+        total = F.aggregate(F.slice("y", first + 1, rows), F.lit(0.0), lambda s, v: s + v)
+        return F.struct(F.lit(period).alias("period"), F.try_divide(total, rows).alias("count_mean"),
+                        F.get("ys", smooth).alias("count_smooth"), rows.cast("long").alias("num_periods"))
+
+    st = x.select(G, TS, F.explode(F.array(stats("pre", F.lit(0), k, k - 1), stats("post", k, n - k, k + 1))).alias("s"))
+    st = st.select(G, TS, "s.*").where("num_periods > 0")
     part = [G, "period"]
     # exact percent ranks per (group, period) without a one-task sort of
     # all series of a group (see functions/ranking.py)
@@ -178,38 +176,23 @@ def model_ts_rank(m: Models, p: DataFrame, summary: DataFrame | None = None,
     of mean count, mean-count percentile, smoothed count and its
     percentile; ``model_rank`` = rank of ``p_Cumulative`` (NULL for series
     without a model)."""
-    from ..session import reuse
-    from .lowess import lowess_smooth
+    from .lowess import lowess_series, series_points
     summary = summary if summary is not None else model_summary(m)
-    # several branches read the smoothed rows: run the Python stage once
-    sm = smoothed if smoothed is not None else reuse(lowess_smooth(p))
+    # several branches read the smoothed series: one row each, smoothed once
+    sm = smoothed if smoothed is not None else reuse(lowess_series(p))
     st = pre_post_stats(p, m.pre_end, sm)
-    vals = ("count_mean", "count_smooth", "num_periods", "count_mean_pctile",
-            "count_smooth_pctile", "periods_pctile")
+    vals = ("count_mean", "count_smooth", "num_periods", "count_mean_pctile", "count_smooth_pctile")
     wide = st.groupBy(G, TS).agg(*[
         F.first(F.when(F.col("period") == per, F.col(v)), ignorenulls=True).alias(f"{v}_{per}")
         for v in vals for per in ("pre", "post")])
-    wide = wide.where(F.col("num_periods_pre") > 0)
-    wide = (wide.withColumn("count_mean_diff", F.col("count_mean_post") - F.col("count_mean_pre"))
-            .withColumn("count_smooth_diff", F.col("count_smooth_post") - F.col("count_smooth_pre"))
-            .withColumn("count_mean_pctile_diff",
-                        F.col("count_mean_pctile_post") - F.col("count_mean_pctile_pre"))
-            .withColumn("count_smooth_pctile_diff",
-                        F.col("count_smooth_pctile_post") - F.col("count_smooth_pctile_pre")))
-    ranks = wide.select(G, TS, *[F.abs(F.col(f"{c}_diff")).alias(f"_a_{c}") for c in
-                                 ("count_mean_pctile", "count_mean", "count_smooth",
-                                  "count_smooth_pctile")])
-    ranks = avg_ranks(reuse(ranks), [TS], [G], [
-        ("_a_count_mean_pctile", "count_mean_pctile_rank", True),
-        ("_a_count_mean", "count_mean_rank", True),
-        ("_a_count_smooth", "count_smooth_rank", True),
-        ("_a_count_smooth_pctile", "count_smooth_pctile_rank", True)])
-    ranks = ranks.select(G, TS, "count_mean_pctile_rank", "count_mean_rank", "count_smooth_rank",
-                         "count_smooth_pctile_rank")
-    mr = avg_ranks(summary.select(G, TS, "p_Cumulative"), [TS], [G],
-                   [("p_Cumulative", "model_rank", False)]).select(G, TS, "model_rank")
-    rows = sm.select(G, TS, D, C).join(ranks, [G, TS]).join(mr, [G, TS], "left")
-    return rows.select(G, TS, D, C, *RANK_COLUMNS)
+    metrics = ("count_mean_pctile", "count_mean", "count_smooth", "count_smooth_pctile")
+    wide = wide.where(F.col("num_periods_pre") > 0).select(G, TS, F.lit(True).alias("ranked"), *[
+        F.abs(F.col(f"{c}_post") - F.col(f"{c}_pre")).alias(f"_a_{c}") for c in metrics])
+    # a model's rank counts among all models, also those of series without a pre period
+    every = reuse(wide.join(summary.select(G, TS, "p_Cumulative"), [G, TS], "full"))
+    ranks = avg_ranks(every, [TS], [G], [(f"_a_{c}", f"{c}_rank", True) for c in metrics]
+                      + [("p_Cumulative", "model_rank", False)]).where("ranked").select(G, TS, *RANK_COLUMNS)
+    return series_points(sm).select(G, TS, D, C).join(ranks, [G, TS]).select(G, TS, D, C, *RANK_COLUMNS)
 
 
 # fixed order of the parts of a title

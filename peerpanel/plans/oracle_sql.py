@@ -692,60 +692,51 @@ def q_standardize(cfg):
 
 # --------------------------------------------------------------- LOWESS
 
-def _lowess_pass(k: int, prev: str | None) -> list[tuple[str, str]]:
-    """One fit of every row: window j >= nleft, |i - j| < h, tricube
-    weights times the previous pass's robustness weights; weighted local
-    line (closed form). Valid for series of at most 101 points (no
-    interpolation step)."""
-    rw = "1.0" if prev is None else f"{prev}.rw"
-    jn = "" if prev is None else (f" JOIN {prev} ON {prev}.group_id = b.group_id AND "
-                                  f"{prev}.ts_id = b.ts_id AND {prev}.i = b.i")
+def _lowess_pass(k: int, prev: str) -> list[tuple[str, str]]:
+    """One fit of every fit point: list positions from 1, the weighted mean and spread
+    of the window's positions, the line at i; straight lines between fit points."""
+    near = "list_filter(range(greatest(1, i - h), least(n, i + h) + 1), lambda j: abs(i - j) <= 0.999 * h)"
+    tri = "CASE WHEN abs(i - j) <= 0.001 * h THEN 1.0 ELSE power(1.0 - power(abs(i - j) / h, 3), 3) END * rw[j]"
     return [
-        (f"w{k}", f"SELECT a.group_id, a.ts_id, a.i, a.y AS yi, b.i AS j, b.y AS yj, "
-                  f"power(1.0 - power(abs(a.i - b.i) / a.h, 3), 3) * {rw} AS w "
-                  f"FROM lx a JOIN lx b ON a.group_id = b.group_id AND a.ts_id = b.ts_id "
-                  f"AND b.i >= a.nleft AND abs(a.i - b.i) <= 0.999 * a.h{jn}"),
-        (f"s{k}", f"SELECT group_id, ts_id, i, any_value(yi) AS yi, sum(w) AS sw, "
-                  f"sum(w * j) AS swj, sum(w * yj) AS swy FROM w{k} GROUP BY ALL"),
-        (f"m{k}", f"SELECT w{k}.group_id, w{k}.ts_id, w{k}.i, any_value(s{k}.yi) AS yi, "
-                  f"any_value(s{k}.sw) AS sw, any_value(s{k}.swy) / any_value(s{k}.sw) AS my, "
-                  f"any_value(s{k}.swj) / any_value(s{k}.sw) AS mx, "
-                  f"sum(w{k}.w * power(w{k}.j - s{k}.swj / s{k}.sw, 2)) / any_value(s{k}.sw) AS c, "
-                  f"sum(w{k}.w * (w{k}.j - s{k}.swj / s{k}.sw) * w{k}.yj) / any_value(s{k}.sw) AS cy "
-                  f"FROM w{k} JOIN s{k} USING (group_id, ts_id, i) GROUP BY ALL"),
-        (f"f{k}", f"SELECT m{k}.group_id, m{k}.ts_id, m{k}.i, yi, CASE WHEN sw <= 0 THEN yi "
-                  f"WHEN sqrt(c) > 0.001 * (lx.n - 1) THEN my + (m{k}.i - mx) * cy / c ELSE my END "
-                  f"AS ys FROM m{k} JOIN lx USING (group_id, ts_id, i)"),
-        (f"r{k}", f"SELECT group_id, ts_id, 6.0 * median(abs(yi - ys)) AS cmad, "
-                  f"avg(abs(yi - ys)) AS sc FROM f{k} GROUP BY ALL"),
-        (f"q{k}", f"SELECT f{k}.group_id, f{k}.ts_id, f{k}.i, f{k}.ys, r{k}.cmad < 1e-7 * r{k}.sc "
-                  f"AS stop, CASE WHEN abs(yi - ys) <= 0.001 * cmad THEN 1.0 "
-                  f"WHEN abs(yi - ys) <= 0.999 * cmad THEN power(1.0 - power(abs(yi - ys) / cmad, 2), 2) "
-                  f"ELSE 0.0 END AS rw FROM f{k} JOIN r{k} USING (group_id, ts_id)"),
+        (f"lo_u{k}", f"SELECT *, {near} AS js FROM (SELECT group_id, ts_id, n, y, rw, i, greatest(i - nl, nl + ns - 1 - i) AS h FROM "
+                  "(SELECT *, least(greatest(CAST(ceil((2 * i - ns) / 2.0) AS BIGINT), 1), n - ns + 1) AS nl FROM "
+                  f"(SELECT group_id, ts_id, n, ns, y, rw, unnest(pts) AS i FROM {prev} WHERE n > 1) a) b) c"),
+        (f"lo_w{k}", f"SELECT group_id, ts_id, n, y, i, js, list_transform(js, lambda j: {tri}) AS w FROM lo_u{k}"),
+        (f"lo_s{k}", "SELECT *, list_sum(w) AS sw, list_sum(list_transform(js, lambda j, p: w[p] * j)) / list_sum(w) AS mx, "
+                  f"list_sum(list_transform(js, lambda j, p: w[p] * y[j])) / list_sum(w) AS my FROM lo_w{k}"),
+        (f"lo_f{k}", "SELECT group_id, ts_id, list(v ORDER BY i) AS f FROM (SELECT group_id, ts_id, i, CASE WHEN sw <= 0 THEN y[i] "
+                  "WHEN sqrt(c) > 0.001 * (n - 1) THEN my + (i - mx) * cy / c ELSE my END AS v FROM (SELECT *, "
+                  "list_sum(list_transform(js, lambda j, p: w[p] * power(j - mx, 2))) / sw AS c, "
+                  f"list_sum(list_transform(js, lambda j, p: w[p] * (j - mx) * y[j])) / sw AS cy FROM lo_s{k}) a) b GROUP BY group_id, ts_id"),
+        (f"lo_z{k}", f"SELECT * EXCLUDE (f), CASE WHEN n < 2 OR done THEN ys ELSE list_transform(range(1, n + 1), lambda i: "
+                  "f[(i - 1) // step + 1] + CASE WHEN (i - 1) % step = 0 THEN 0.0 ELSE (f[(i - 1) // step + 2] - f[(i - 1) // step + 1]) "
+                  "* (i - pts[(i - 1) // step + 1]) / (pts[(i - 1) // step + 2] - pts[(i - 1) // step + 1]) END) END AS fresh "
+                  f"FROM {prev} LEFT JOIN lo_f{k} USING (group_id, ts_id)"),
+        (f"lo_r{k}", "SELECT *, list_transform(y, lambda v, i: abs(v - fresh[i])) AS res, "
+                  "6.0 * list_median(list_transform(y, lambda v, i: abs(v - fresh[i]))) AS cmad "
+                  f"FROM lo_z{k}"),
+        (f"lo_q{k}", "SELECT group_id, ts_id, active, d, y, n, ns, step, pts, fresh AS ys, done OR cmad < 1e-7 * list_avg(res) AS done, "
+                  "list_transform(res, lambda v: CASE WHEN v <= 0.001 * cmad THEN 1.0 WHEN v <= 0.999 * cmad "
+                  f"THEN power(1.0 - power(v / cmad, 2), 2) ELSE 0.0 END) AS rw FROM lo_r{k}"),
     ]
 
 
 def lowess_ctes(cfg):
     ctes = trimmed_ctes(cfg) + [
-        ("lx0", "SELECT group_id, ts_id, active, date, count AS y, row_number() OVER "
-                "(PARTITION BY group_id, ts_id ORDER BY date) AS i, count(*) OVER "
-                "(PARTITION BY group_id, ts_id) AS n FROM t"),
-        ("lx1", "SELECT *, greatest(least(CAST(floor(n / 3.0 + 1e-7) AS BIGINT), n), 2) AS ns "
-                "FROM lx0"),
-        ("lx2", "SELECT *, least(greatest(CAST(ceil((2 * i - ns) / 2.0) AS BIGINT), 1), "
-                "n - ns + 1) AS nleft FROM lx1"),
-        ("lx", "SELECT *, greatest(i - nleft, nleft + ns - 1 - i) AS h FROM lx2"),
+        ("lx0", "SELECT group_id, ts_id, any_value(active) AS active, list(date ORDER BY date) AS d, list(count ORDER BY date) AS y, "
+                "count(*) AS n FROM t GROUP BY group_id, ts_id"),
+        ("lx1", "SELECT *, greatest(least(CAST(floor(n / 3.0 + 1e-7) AS BIGINT), n), 2) AS ns, "
+                "greatest(CAST(floor(0.01 * (n - 1)) AS BIGINT), 1) AS step FROM lx0"),
+        ("lo_q0", "SELECT *, list_distinct(list_concat(range(1, n + 1, step), [n])) AS raw_pts, y AS ys, n < 2 AS done, "
+               "list_transform(y, lambda v: 1.0) AS rw FROM lx1"),
+        ("lo_p0", "SELECT * EXCLUDE (raw_pts), list_sort(raw_pts) AS pts FROM lo_q0"),
     ]
-    prev = None
+    prev = "lo_p0"
     for k in range(1, 5):
         ctes += _lowess_pass(k, prev)
-        prev = f"q{k}"
-    ctes.append(("sm", "SELECT lx.group_id, lx.ts_id, lx.active, lx.date, lx.y AS count, "
-                       "CASE WHEN lx.n < 2 THEN lx.y WHEN q1.stop THEN q1.ys WHEN q2.stop THEN q2.ys "
-                       "WHEN q3.stop THEN q3.ys ELSE q4.ys END AS count_smooth FROM lx "
-                       "LEFT JOIN q1 USING (group_id, ts_id, i) LEFT JOIN q2 USING (group_id, ts_id, i) "
-                       "LEFT JOIN q3 USING (group_id, ts_id, i) LEFT JOIN q4 USING (group_id, ts_id, i)"))
-    return ctes
+        prev = f"lo_q{k}"
+    ctes.append(("sm", "SELECT group_id, ts_id, active, unnest(d) AS date, unnest(y) AS count, unnest(ys) AS count_smooth FROM lo_q4"))
+    return [c for c in ctes]
 
 
 def q_lowess(cfg):

@@ -66,6 +66,7 @@ SQL_QUERIES = {
     "standardize_response": ("q_standardize", PANEL_A),
     "lowess_smooth": ("q_lowess", PANEL_A),
     "lowess_smooth_orders": ("q_lowess", PANEL_C),
+    "lowess_smooth_week": ("q_lowess", PANEL_D),
     "pre_post_stats": ("q_pre_post", PANEL_C),
     "model_ts_rank": ("q_ts_rank", PANEL_A),
     "model_ts_rank_top": ("q_ts_rank_top", PANEL_C),

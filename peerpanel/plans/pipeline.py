@@ -18,7 +18,7 @@ from ..operators import changepoint as CP
 from ..operators import describe as DS
 from ..operators import impact as IM
 from ..operators import report as RP
-from ..operators.lowess import lowess_smooth
+from ..operators.lowess import lowess_series
 from ..operators.prepare import G, check_starts, prepare_panel, start_param
 from ..operators.ridge import DRAWS
 from ..session import reuse
@@ -72,7 +72,7 @@ def generate_output(m: IM.Models, p: DataFrame, top_timeseries: int = 5, only=No
 
     summary = lambda: once("summary", lambda: reuse(RP.model_summary(m)))
     counts = lambda: once("counts", lambda: DS.desc_summary_count(p))
-    ranked = lambda: once("ranked", lambda: RP.model_ts_rank(m, p, summary(), reuse(lowess_smooth(p))))
+    ranked = lambda: once("ranked", lambda: RP.model_ts_rank(m, p, summary(), reuse(lowess_series(p))))
     peers = lambda: once("peers", lambda: RP.peer_contributions(m, summary()))
     tables = {
         "desc_summary_count": counts,

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from peerpanel.operators import report as RP
-from peerpanel.operators.lowess import lowess_values
+from peerpanel.operators.lowess import lowess_smooth
 from peerpanel.operators.prepare import prepare_panel
 from peerpanel.sources.panel import panel
 
@@ -46,16 +46,29 @@ def _smooth_by_polyfit(y, iters=3):
     return ys
 
 
-def test_lowess_equals_weighted_least_squares():
+def _smoothed(spark, series):
+    d0 = dt.date(2020, 1, 1)
+    rows = [("g", k, True, d0 + dt.timedelta(days=i), float(v)) for k, y in series.items() for i, v in enumerate(y)]
+    p = spark.createDataFrame(rows, "group_id string, ts_id string, active boolean, date date, count double")
+    out: dict = {}
+    for r in lowess_smooth(p).orderBy("date").collect():
+        out.setdefault(r.ts_id, []).append(r.count_smooth)
+    return out
+
+
+def test_lowess_equals_weighted_least_squares(spark):
     rng = np.random.default_rng(0)
-    for n in [30, 101, 250, 420]:            # above 101 points the fit is interpolated
-        y = rng.normal(20, 3, n)
-        assert np.allclose(lowess_values(y), _smooth_by_polyfit(y), atol=1e-6)
+    series = {str(n): rng.normal(20, 3, n) for n in [5, 30, 101, 250, 420]}     # above 101 points the fit is interpolated
+    series["outlier"] = np.where(np.arange(60) == 30, 900.0, series["250"][:60])
+    got = _smoothed(spark, series)
+    for k, y in series.items():
+        assert np.allclose(got[k], _smooth_by_polyfit(y), atol=1e-6), k
 
 
-def test_lowess_line_is_exact():
-    y = 2.0 * np.arange(40) + 1.0
-    assert np.allclose(lowess_values(y), y)
+def test_lowess_line_is_exact(spark):
+    series = {"line": 2.0 * np.arange(40) + 1.0, "flat": np.full(200, 7.0), "one": [3.0], "two": [3.0, 5.0]}
+    got = _smoothed(spark, series)
+    assert all(np.allclose(got[k], y) for k, y in series.items())
 
 
 def _injected(spark, seed=143):

@@ -25,6 +25,20 @@ def test_cell_ranks_equal_window_ranks(spark):
         assert (r.pr is None) == (r.pr2 is None) and (r.pr is None or abs(r.pr - r.pr2) < 1e-12)
 
 
+def test_tie_runs_cross_many_ranges(spark):
+    """One value in most rows, in more ranges than one, and several metrics at once."""
+    rng = np.random.default_rng(9)
+    rows = [("ab"[i % 5 == 0], f"s{i}", 5.0 if i % 4 else float(rng.integers(0, 11)), None if i % 3 else float(i % 2))
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id string, x double, y double").repartition(7)
+    fast = avg_ranks(df, ["id"], ["g"], [("x", "up", False), ("x", "down", True), ("y", "yr", False)])
+    slow = df.select("g", "id", avg_rank("x", ["g"]).alias("up2"), avg_rank("x", ["g"], True).alias("down2"),
+                     avg_rank("y", ["g"]).alias("yr2"))
+    j = fast.join(slow, ["g", "id"])
+    assert j.count() == 3000
+    assert j.where("not (up <=> up2 and down <=> down2 and yr <=> yr2)").count() == 0
+
+
 def test_medians_match_builtin(spark):
     """Counts below or at -1 have no logarithm; both medians from one table."""
     import datetime as dt
