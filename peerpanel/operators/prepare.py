@@ -6,12 +6,12 @@ Shuffle plan of ``prepare_panel`` (all keyed by ``group_id`` first):
 1. bucket sum on ``(group, series, bucket)`` - partial aggregation on the
    map side, so a hot series collapses to at most one row per bucket per
    input partition before the shuffle;
-2. per-series pre/post bucket counts (one row per series) and per-group
-   date range (one row per group, partial-aggregated);
-3. the dense grid is generated per *series row* with ``explode(sequence)``
-   (no join on the group key, so a group holding a third of all series
-   does not land in one task) and left-joined to the bucket sums on the
-   unique key ``(group, series, bucket)``.
+2. per group one row of counts and date ranges (partial-aggregated), which
+   all checks and the grid read;
+3. the present buckets of a series meet in one row (bounded by the calendar)
+   with its activity; the gaps between them are filled as that row is exploded,
+   so the dense rows pass no exchange and a group holding a third of all series
+   does not land in one task.
 """
 
 from __future__ import annotations
@@ -129,29 +129,37 @@ def run_params(panel: DataFrame, start_date, min_pre_periods=None,
     return params
 
 
-def series_activity(buckets: DataFrame, params) -> DataFrame:
+def series_activity(buckets: DataFrame, params, entries: bool = False) -> DataFrame:
     """One row per series: present buckets on/before and after the start
-    date and the ``active`` flag (floored bucket vs raw start date)."""
+    date and the ``active`` flag (floored bucket vs raw start date); with
+    ``entries`` also its present buckets in order, as structs (date, count)."""
     b = with_group_params(buckets, params)
+    kept = [F.array_sort(F.collect_list(F.struct(D, C))).alias("entries")] if entries else []
     return (b.groupBy(G, TS).agg(
         F.count_if(F.col(D) <= F.col("start_date")).alias("n_pre"),
         F.count_if(F.col(D) > F.col("start_date")).alias("n_post"),
         F.first("min_pre_periods").alias("min_pre_periods"),
-        F.first("min_post_periods").alias("min_post_periods"))
+        F.first("min_post_periods").alias("min_post_periods"), *kept)
         .withColumn("active", (F.col("n_pre") >= F.col("min_pre_periods"))
                     & (F.col("n_post") >= F.col("min_post_periods")))
         .drop("min_pre_periods", "min_post_periods"))
 
 
-def densify(buckets: DataFrame, series: DataFrame, period: str) -> DataFrame:
-    """Every series x every bucket from the group's first to last bucket,
-    missing buckets filled with 0."""
-    ranges = buckets.groupBy(G).agg(F.min(D).alias("d0"), F.max(D).alias("d1"))
-    grid = (series.select(G, TS, "active")
-            .join(sized_broadcast(ranges), G)
-            .select(G, TS, "active", F.explode(bucket_grid("d0", "d1", period)).alias(D)))
-    return (grid.join(buckets, [G, TS, D], "left")
-            .select(G, TS, "active", D, F.coalesce(F.col(C), F.lit(0.0)).alias(C)))
+def densify(series: DataFrame, ranges: DataFrame, period: str) -> DataFrame:
+    """Every series x every bucket from its group's first to last bucket (``ranges``:
+    ``group_id, d0, d1``), missing buckets filled with 0. ``series`` has its present
+    ``entries``: each yields its own bucket and zeros up to the next one."""
+    x = series.join(sized_broadcast(ranges.select(G, "d0", "d1")), G)
+    point = lambda d, c: F.struct(d.alias(D), c.alias(C))
+    zero = F.lit(0.0)
+    until = lambda a, b: F.slice(a, 1, F.greatest(F.size(a) - b, F.lit(0)))
+    ahead = F.transform(until(bucket_grid("d0", F.element_at("entries", 1)[D], period), 1), lambda d: point(d, zero))
+    nexts = F.concat(F.transform(F.slice("entries", 2, F.size("entries")), lambda e: F.struct(e[D].alias("to"), F.lit(1).alias("cut"))),
+                     F.array(F.struct(F.col("d1").alias("to"), F.lit(0).alias("cut"))))
+    filled = F.flatten(F.zip_with("entries", nexts, lambda e, n: F.transform(
+        until(bucket_grid(e[D], n["to"], period), n["cut"]), lambda d: point(d, F.when(d == e[D], e[C]).otherwise(zero)))))
+    return x.select(G, TS, "active", F.explode(F.concat(ahead, filled)).alias("v")) \
+        .select(G, TS, "active", F.col(f"v.{D}").alias(D), F.col("v")[C].alias(C))
 
 
 LISTED = 20  # groups named in one error message
@@ -174,25 +182,28 @@ def check_starts(groups: DataFrame, start: DataFrame) -> None:
             [f"group {r[G]}: {'none' if not r.n or not r.dates else f'{r.n} rows'}" for r in bad]))
 
 
-def check_nulls(buckets: DataFrame) -> None:
+def group_stats(buckets: DataFrame) -> DataFrame:
+    """One row per group of ``bucket_stats``: raw rows, first and last raw date and
+    bucket, rows without a date or a count."""
+    return buckets.groupBy(G).agg(
+        F.sum("_n").alias("n_rows"), F.min("_r0").alias("d_min"), F.max("_r1").alias("d_max"),
+        F.min(D).alias("d0"), F.max(D).alias("d1"),
+        F.sum(F.when(F.col(D).isNull(), F.col("_n")).otherwise(0)).alias("dates"), F.sum("_null").alias("counts"))
+
+
+def check_nulls(groups: DataFrame) -> None:
     """NULL dates and NULL counts are errors: they would silently vanish or
     turn into zeros in the dense grid."""
-    bad = (buckets.groupBy(G).agg(F.sum(F.when(F.col(D).isNull(), F.col("_n")).otherwise(0)).alias("dates"),
-                                  F.sum("_null").alias("counts"))
-           .where((F.col("dates") > 0) | (F.col("counts") > 0)).orderBy(G).limit(LISTED + 1).collect())
+    bad = groups.where((F.col("dates") > 0) | (F.col("counts") > 0)).orderBy(G).limit(LISTED + 1).collect()
     if bad:
         raise PanelError(_named([f"group {r[G]}: {r.dates} rows without a date, {r.counts} without a count"
                                  for r in bad]))
 
 
-def check_inputs(buckets: DataFrame, params, min_timeseries: int) -> None:
-    """Row-count and start-date range checks from the bucket table, one
-    aggregate per group; only failing groups come back."""
-    p = with_group_params(buckets, params)
-    agg = (p.groupBy(G).agg(
-        F.sum("_n").alias("n_rows"), F.min("_r0").alias("d_min"), F.max("_r1").alias("d_max"),
-        F.first("start_date").alias("start_date"),
-        F.first("min_pre_periods").alias("min_pre"), F.first("min_post_periods").alias("min_post")))
+def check_inputs(groups: DataFrame, params, min_timeseries: int) -> None:
+    """Row-count and start-date range checks from the table of groups; only
+    failing groups come back."""
+    agg = with_group_params(groups, params).withColumnsRenamed({"min_pre_periods": "min_pre", "min_post_periods": "min_post"})
     need = F.lit(int(min_timeseries)) * (F.col("min_pre") + F.col("min_post"))
     bad = agg.where((F.col("n_rows") < need)
                     | ~F.col("start_date").between(F.col("d_min"), F.col("d_max")))
@@ -224,27 +235,24 @@ def prepare_panel(panel: DataFrame, start_date, period: str = "month",
 
     Minimums left as None are derived per group from the raw months
     (``default_periods``). With ``validate`` the reference's checks run
-    (small aggregate jobs over the cached bucket table) and raise
-    ``PanelError``. The raw panel is scanned once: the bucket table (one
-    row per series and bucket) is persisted and feeds the checks, the
-    defaults, the active flags and the grid.
+    (on the small table of groups) and raise ``PanelError``. The raw panel is
+    scanned once: the bucket table (one row per series and bucket) is persisted
+    and feeds the checks, the defaults, the active flags and the grid.
     """
     check_period(period)
-    stats = bucket_stats(panel, period)
-    if validate or min_pre_periods is None or min_post_periods is None:
-        stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    stats = bucket_stats(panel, period).persist(StorageLevel.MEMORY_AND_DISK)
+    groups = group_stats(stats).persist(StorageLevel.MEMORY_AND_DISK)
     if validate:
-        check_nulls(stats)
+        check_nulls(groups)
         if isinstance(start_date, DataFrame):
-            check_starts(stats, start_param(start_date))
+            check_starts(groups, start_param(start_date))
     params = run_params(panel, start_date, min_pre_periods, min_post_periods, stats)
     if isinstance(params, DataFrame):
         params = sized_broadcast(params)
     if validate:
-        check_inputs(stats, params, min_timeseries)
-    buckets = stats.select(G, TS, D, C)
-    series = series_activity(buckets, params)
+        check_inputs(groups, params, min_timeseries)
+    series = series_activity(stats.select(G, TS, D, C), params, entries=True)
     if validate:
         series = series.persist(StorageLevel.MEMORY_AND_DISK)
         check_active(series, min_timeseries)
-    return densify(buckets, series, period)
+    return densify(series, groups, period)
