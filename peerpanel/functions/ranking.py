@@ -6,17 +6,12 @@ task: ranks of rows by range partitioning (``avg_ranks``, ``pct_ranks``,
 (1 + number of smaller keys in the partition), ``ties`` (rows with the
 same key) and ``n`` (non-NULL rows in the partition):
 
-1. per partition, approximate quantile boundaries of the key
-   (``percentile_approx``: a mergeable sketch, partial-aggregated) split
-   the key range into ``cells``; equal keys always share a cell;
-2. a value-frequency table ``(partition, cell, key) -> count`` collapses
-   ties, so a heavy tie value is one row;
-3. inside each cell a running sum over the frequency rows gives the rows
-   before each value; cell offsets are a running sum over the (small)
-   table of cell sizes;
-4. callers aggregate the table or join it to rows grouped by value.
-
-Approximate boundaries only decide the cell split; the ranks are exact.
+1. a value-frequency table ``(partition, key) -> count`` collapses ties, so a
+   heavy tie value is one row;
+2. its rows are dealt by range of (partition, key), so the ranges follow the
+   data: a task holds about total / ranges values whatever the size of a partition;
+3. inside a range a running sum gives the rows before each value; the offsets of
+   ranges are a running sum over the small table of ranges.
 """
 
 from __future__ import annotations
@@ -29,37 +24,28 @@ from pyspark.sql import functions as F
 from ..session import reuse, sized_broadcast
 
 
+def _offsets(x: DataFrame, part: list[str], rows) -> DataFrame:
+    """``(part..., _pid, _before, _total)`` of rows dealt by range: the rows in
+    earlier ranges of the partition and in all of them."""
+    early = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return x.groupBy(*part, "_pid").agg(rows.alias("_rows")) \
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(early), F.lit(0))) \
+        .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*part))).drop("_rows")
+
+
 def rank_table(df: DataFrame, part: Sequence[str], key: str, descending: bool = False,
-               cells: int = 64, prefix: str = "_") -> DataFrame:
+               prefix: str = "_") -> DataFrame:
     """One row per (partition, distinct non-NULL key): ``key``,
-    ``{prefix}min_rank``, ``{prefix}ties``, ``{prefix}n``. ``df`` should be
-    materialised (it is read twice)."""
-    part = list(part)
-    kname = f"{prefix}k"
-    valid = df.select(*part, (-F.col(key) if descending else F.col(key)).alias(kname)) \
-        .where(F.col(kname).isNotNull())
-    qs = [i / cells for i in range(1, cells)]
-    bounds = valid.groupBy(*part).agg(F.percentile_approx(kname, qs, 1000).alias(f"{prefix}b"))
-    freq = valid.groupBy(*part, kname).agg(F.count(F.lit(1)).alias(f"{prefix}ties"))
-    # one row per partition: broadcast after a size check, so a large
-    # partition's values are never shuffled onto one task for this join
-    freq = freq.join(sized_broadcast(bounds), part)
-    freq = freq.withColumn(f"{prefix}cell", F.size(F.filter(
-        f"{prefix}b", lambda b: b < F.col(kname)))).drop(f"{prefix}b")
-    wcell = (Window.partitionBy(*part, f"{prefix}cell").orderBy(kname)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    freq = freq.withColumn(f"{prefix}before",
-                           F.coalesce(F.sum(f"{prefix}ties").over(wcell), F.lit(0)))
-    sizes = freq.groupBy(*part, f"{prefix}cell").agg(F.sum(f"{prefix}ties").alias(f"{prefix}size"))
-    woff = (Window.partitionBy(*part).orderBy(f"{prefix}cell")
-            .rowsBetween(Window.unboundedPreceding, -1))
-    sizes = (sizes.withColumn(f"{prefix}off", F.coalesce(F.sum(f"{prefix}size").over(woff), F.lit(0)))
-             .withColumn(f"{prefix}n", F.sum(f"{prefix}size").over(Window.partitionBy(*part))))
-    out = freq.join(sizes, [*part, f"{prefix}cell"]).select(
-        *part, (-F.col(kname) if descending else F.col(kname)).alias(key),
-        f"{prefix}ties", f"{prefix}n",
-        (F.col(f"{prefix}off") + F.col(f"{prefix}before") + 1).alias(f"{prefix}min_rank"))
-    return out
+    ``{prefix}min_rank``, ``{prefix}ties``, ``{prefix}n``."""
+    part, ties = list(part), f"{prefix}ties"
+    freq = df.select(*part, (-F.col(key) if descending else F.col(key)).alias("_k")).where("_k IS NOT NULL") \
+        .groupBy(*part, "_k").agg(F.count(F.lit(1)).alias(ties))
+    x = reuse(freq.repartitionByRange(*part, "_k").withColumn("_pid", F.spark_partition_id()))
+    own = Window.partitionBy(*part, "_pid").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sized_broadcast(_offsets(x, part, F.sum(ties)))          # one row per partition and range
+    return x.withColumn("_place", F.coalesce(F.sum(ties).over(own), F.lit(0))).join(ranges, [*part, "_pid"]).select(
+        *part, (-F.col("_k") if descending else F.col("_k")).alias(key), ties, F.col("_total").alias(f"{prefix}n"),
+        (F.col("_before") + F.col("_place") + 1).alias(f"{prefix}min_rank"))
 
 
 def avg_rank_col(prefix: str = "_") -> Column:
@@ -135,9 +121,7 @@ def positions(df: DataFrame, part: Sequence[str], order: Sequence[str], out: str
     neither a large partition nor a tie value meets in one task."""
     part, order = list(part), list(order)
     x = reuse(df.repartitionByRange(*part, *order).withColumn("_pid", F.spark_partition_id()))
-    early = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    before = x.groupBy(*part, "_pid").agg(F.count(F.lit(1)).alias("_rows")) \
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(early), F.lit(0))).drop("_rows")
+    before = _offsets(x, part, F.count(F.lit(1))).drop("_total")
     place = F.row_number().over(Window.partitionBy(*part, "_pid").orderBy(*order))
     return x.join(before, [*part, "_pid"]).withColumn(out, F.col("_before") + place).drop("_pid", "_before")
 

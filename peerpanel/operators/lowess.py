@@ -5,8 +5,9 @@ A series is one array (bounded by the calendar), made with one shuffle on the se
 key. For rows of one length the windows and their tricube weights are the same, so
 the moments of all windows of all series of a batch are five matrix products per
 pass: the local lines, the residuals and the bisquare weights of the next pass
-follow elementwise. Higher-order functions on the JVM were tried and dropped: the
-four chained passes did not end within 100 seconds on 100 series (on a busy machine).
+follow elementwise. (A form in higher-order functions on the JVM was right but too
+slow: a run of the smoothing and ranking queries that takes about two minutes with
+this form had not ended after fifteen, on a busy machine.)
 
 Window of a fit point: the ``ns = max(2, floor(n * f))`` nearest rows, so its
 bandwidth is the distance to the farthest of them. Series of over 101 rows are fitted
