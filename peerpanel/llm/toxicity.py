@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .textbytes import BYTE, LOWER, mix, runs, slices, span_hashes
 
 SAMPLE = 12_000      # labelled documents that the classifier may learn from
@@ -352,9 +353,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()) \
         .groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .join(F.broadcast(known), "doc_id").groupBy("doc_id") \
-        .agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")      # at most `sample` rows
+    # at most `sample` ids, and one row of each: only texts of repeated ids are moved
+    rows_of = docs.select(F.col(id_col).alias("doc_id")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    known = stored(known.join(rows_of, "doc_id", "left"), "toxicity-known")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    base = texts.where("n = 1").select("text", "y").union(
+        texts.where("n > 1").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y"))
     bc = docs.sparkSession.sparkContext.broadcast(logp)
 
     def count(batches):
