@@ -5,7 +5,7 @@ A test window is ``window`` consecutive words of an item; an item of fewer
 words, but not none, is one window. A training word inside any occurrence of a
 window is hit.
 
-The training text is cut into shards (slices of a partition). Words become
+The training text is cut into shards (slices of a partition of about ``SHARD`` bytes). Words become
 numbers of the test vocabulary (0: not in it); positions at which a match could
 start form the shard's suffix array, ordered by their next ``window`` words.
 Every test suffix is searched in it by bisection, once from below and once from
@@ -35,6 +35,7 @@ from .textbytes import LOWER, prime_hashes, runs, slices
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+SHARD = 1 << 19            # bytes of training text in one suffix array
 U = np.uint64
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -53,7 +54,7 @@ def vocabulary(texts: pa.Array) -> tuple[np.ndarray, ...]:
     taken until that holds."""
     for seed in range(100):
         h, d, spelt = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}
-        for i, _, buf, off in slices(texts):
+        for i, _, buf, off in slices(texts, SHARD):
             x, y, s, e, b = words(buf, off, seed)
             h.append(x)
             d.append(y + i)
@@ -165,7 +166,7 @@ def longest(p, cls, pos, n, doc) -> tuple[np.ndarray, ...]:
 
 def scan_texts(col: pa.Array, block: dict, window: int):
     """Per text: words, merged hit runs and matches ``(item, start, words)``."""
-    for i, j, buf, off in slices(col):
+    for i, j, buf, off in slices(col, SHARD):
         h, doc, ws, we, low = words(buf, off, block["seed"])
         k = np.searchsorted(block["vocab"], h)
         k[k == len(block["vocab"])] = 0
