@@ -1,16 +1,20 @@
 """License scan: TF-IDF cosine to templates, then inheritance along paths.
 
 Terms are lower-case runs of a-z, 0-9 and non-ASCII characters. The weight of a
-term is ln((N + 1) / (df + 1)), df counted over all N files. A passage is a line of
-any file, or the whole text of a licence file (by name). Its sparse vector holds term count times weight; the best
-template by cosine at or above the threshold is the file's own licence, ties
-going to the template that sorts first.
-
-A bound without the terms of no template rules out nearly all passages inside the
-scan. The rest are stored with their terms; the df of those terms is counted in one
-more pass over the files and joined to them for the exact cosine. ``own_licences``
-alone can also give terms of no template the fixed weight ln(N + 1) and score inside
-the scan, which is the form the SQL states. A licence file in a directory
+term is ln((N + 1) / (df + 1)), df counted over all N files, for every term alike. A
+passage is a line with terms, each run of 2 or of 3 such lines without a line between
+that has none, a whole paragraph of such lines, or the whole text of a licence file (by
+name). Its sparse vector holds term count times weight. A passage's licence is that of
+the template with the highest cosine among those whose required terms it holds, ties
+(to 9 digits) going to the name that sorts first; none if that template denies a licence or the
+cosine is below the threshold. A file's own licence is that of its whole text, if that
+is a passage with one, else that of its best passage. Word order does not count, so a
+short line of a name's words and little else is taken for the name.
+
+Paragraphs without all required terms of any template are ruled out inside the scan, as
+are passages by a bound without the terms of no template. The rest are stored with
+their terms; the df of those terms is counted in one
+more pass over the files and joined to them for the exact cosine. A licence file in a directory
 covers the files below it: files without a licence of their own inherit from
 the nearest ancestor that has one, found by joining their ancestor directories
 with the directories' licences (a few rows per directory, summed before the
@@ -19,7 +23,8 @@ carry, then the name that sorts first.
 
 Defined results: null and empty texts have no passage and may inherit; a null
 path neither gives nor inherits; repeated rows get equal results; an empty
-table gives an empty result; other columns are never read.
+table gives an empty result; columns named in ``keep`` pass untouched, others are
+never read.
 """
 
 from __future__ import annotations
@@ -31,31 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .license_templates import TEMPLATES
 from .textbytes import LOWER, runs, slices, span_hashes
 
 THRESHOLD = 0.6
+WINDOWS = (2, 3)     # lines that a wrapped sentence may take
 SALTS = 32           # parts of a directory's files
 SLOTS = 20           # bits of a term's hash in the filter of the df pass
+PARAGRAPHS = 8192    # paragraphs tested for required terms at a time
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|copyright|unlicense|notice)([.\-_][^/]*)?$"
-
-# fixed values: public licence names with their usual notices
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
-                   "except in compliance with the License. You may obtain a copy of the License at "
-                   "http://www.apache.org/licenses/LICENSE-2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
-                     "permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                "General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
 U = np.uint64
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[97:123] = _TERM[128:] = True
@@ -68,11 +57,19 @@ def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return span_hashes(b, s, e), s, d
 
 
-def vocabulary(templates) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending term hashes and (templates, terms) counts."""
-    got = [terms(*list(slices(pa.array([t])))[0][2:])[0] for _, t in templates]
+def _hashes(text: str) -> np.ndarray:
+    return terms(*next(slices(pa.array([text])))[2:])[0]
+
+
+def vocabulary(templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending term hashes, (templates, terms) counts and required terms."""
+    got = [_hashes(t) for _, t, _ in templates]
     vocab = np.unique(np.concatenate(got))
-    return vocab, np.stack([np.bincount(np.searchsorted(vocab, g), minlength=len(vocab)) for g in got])
+    counts = np.stack([np.bincount(np.searchsorted(vocab, g), minlength=len(vocab)) for g in got])
+    need = np.zeros(counts.shape, bool)
+    for k, (_, _, keys) in enumerate(templates):
+        need[k, np.searchsorted(vocab, _hashes(" ".join(keys)))] = True
+    return vocab, counts, need
 
 
 def _lookup(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -81,54 +78,64 @@ def _lookup(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(vocab[i] == h, i, -1)
 
 
-def near_passages(h, passage, n_passages, vocab, counts, idf, threshold):
-    """Passages that may reach the threshold: ``(passage, dots, inside, (passage,
-    term hash, count) of their terms of no template)``; ``dots`` are by template and
-    divided by its norm, ``inside`` is the squared norm of the template terms."""
-    none = np.zeros(0, np.int64), np.zeros((0, len(counts))), np.zeros(0), (np.zeros(0, np.int64), np.zeros(0, np.uint64),
-                                                                         np.zeros(0, np.int64))
-    term = _lookup(vocab, h)
+def holding(term, group, n_groups, need):
+    """Groups of terms that hold all required terms of some template."""
+    sets = np.unique(need, axis=0)
+    cols = np.flatnonzero(sets.any(0))
+    at = np.full(need.shape[1] + 1, -1)
+    at[cols] = np.arange(len(cols))
+    col = at[term]                                        # a term of no template is -1, the last entry
+    hit = np.flatnonzero(col >= 0)
+    key = np.unique(group[hit] * len(cols) + col[hit])
+    g, c = key // len(cols), key % len(cols)
+    size = sets.sum(1)
+    some = np.flatnonzero(np.bincount(g, minlength=n_groups) >= size.min())
+    out = np.zeros(n_groups, bool)
+    weight = sets[:, cols].astype(np.float32).T
+    for i in range(0, len(some), PARAGRAPHS):
+        part = some[i:i + PARAGRAPHS]
+        lo, hi = np.searchsorted(g, [part[0], part[-1] + 1])
+        inside = np.isin(g[lo:hi], part)
+        held = np.zeros((len(part), len(cols)), np.float32)
+        held[np.searchsorted(part, g[lo:hi][inside]), c[lo:hi][inside]] = 1
+        out[part] = (held @ weight == size).any(1)
+    return out
+
+
+def near_passages(h, term, passage, n_passages, counts, need, idf, gives, threshold):
+    """Passages that may have a licence: ``(passage, template, dot, inside, (passage,
+    term hash, count) of their terms of no template)``; the dot product with their
+    template is divided by its norm, ``inside`` is the squared norm of the template terms."""
+    none = np.zeros(0, np.int64)
+    empty = none, none, np.zeros(0), np.zeros(0), (none, np.zeros(0, np.uint64), none)
+    ok = holding(term, passage, n_passages, need)[passage]
+    h, term, passage = h[ok], term[ok], passage[ok]
     hit = np.flatnonzero(term >= 0)
     if not len(hit):
-        return none
+        return empty
     w = counts * idf
     norm = np.sqrt((w * w).sum(1))
-    key, tf = np.unique(passage[hit] * len(vocab) + term[hit], return_counts=True)
-    p, t = key // len(vocab), key % len(vocab)
+    m = counts.shape[1]
+    key, tf = np.unique(passage[hit] * m + term[hit], return_counts=True)
+    p, t = key // m, key % m
     x = tf * idf[t]
-    inside = np.bincount(p, x * x, n_passages)
-    some = np.unique(p)
-    dots = np.zeros((len(some), len(counts)))
-    row = np.searchsorted(some, p)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for k in range(len(counts)):
-            dots[:, k] = np.nan_to_num(np.bincount(row, x * w[k][t], len(some)) / norm[k])
-        bound = np.nan_to_num(dots / np.sqrt(inside[some])[:, None])
-    near = bound.max(1) >= threshold
-    if not near.any():
-        return none
-    keep = np.zeros(n_passages, bool)
-    keep[some[near]] = True
-    out = np.flatnonzero((term < 0) & keep[passage])
-    pair = np.stack([passage[out].astype(np.uint64), h[out]])
-    pair, n = np.unique(pair, axis=1, return_counts=True) if len(out) else (pair, np.zeros(0, np.int64))
-    return some[near], dots[near], inside[some[near]], (pair[0].astype(np.int64), pair[1], n)
-
-
-def best_match(h, passage, n_passages, vocab, counts, idf, none_idf, threshold):
-    """Best ``(template, cosine)`` per passage with one weight for all terms of no
-    template; -1 below the threshold."""
-    best, score = np.full(n_passages, -1), np.zeros(n_passages)
-    who, dots, inside, (p, _, n) = near_passages(h, passage, n_passages, vocab, counts, idf, threshold)
-    if not len(who):
-        return best, score
-    full = inside + np.bincount(p, (n * none_idf) ** 2.0, n_passages)[who]
-    cos = np.nan_to_num(dots / np.sqrt(full)[:, None])
-    top = cos.argmax(1)
-    value = cos[np.arange(len(top)), top]
-    ok = value >= threshold
-    best[who[ok]], score[who[ok]] = top[ok], np.minimum(1.0, value[ok])
-    return best, score
+    some, row = np.unique(p, return_inverse=True)
+    inside = np.bincount(row, x * x, len(some))
+    size = need.sum(1)
+    top, best = np.full(len(some), -1), np.full(len(some), -1.0)
+    for k in np.flatnonzero(norm > 0):
+        full = np.bincount(row, need[k][t], len(some)) == size[k]
+        if full.any():
+            dot = np.where(full, np.round(np.bincount(row, x * w[k][t], len(some)) / norm[k], 9), -1.0)
+            up = dot > best
+            top[up], best[up] = k, dot[up]
+    near = np.flatnonzero((top >= 0) & gives[top] & (best >= (threshold - 1e-6) * np.sqrt(inside)))
+    if not len(near):
+        return empty
+    out = np.flatnonzero((term < 0) & np.isin(passage, some[near]))
+    u, v = np.unique(h[out], return_inverse=True)
+    key, n = np.unique(passage[out] * max(1, len(u)) + v, return_counts=True)
+    return some[near], top[near], best[near], inside[near], (key // max(1, len(u)), u[key % max(1, len(u))], n)
 
 
 def document_frequency(files: DataFrame, text_col: str, vocab: np.ndarray) -> tuple[np.ndarray, int]:
@@ -151,17 +158,34 @@ def document_frequency(files: DataFrame, text_col: str, vocab: np.ndarray) -> tu
     return df[:-1], int(df[-1])
 
 
-def passages(buf, off, h, s, d, named):
-    """Passages of a slice as ``(term hashes, passage of each, text of each passage)``:
-    all lines, then the whole texts of the licence files."""
-    line = np.cumsum(buf == 10)[s] + d if len(s) else np.zeros(0, np.int64)    # lines never span texts
-    u, line = np.unique(line, return_inverse=True)
+def passages(buf, off, h, s, d, term, named, need):
+    """Passages of a slice as ``(terms, passage of each, text of each passage, whole)``:
+    lines, windows and paragraphs that may match, then the whole texts of licence files."""
+    if not len(s):
+        return
+    at = np.cumsum(buf == 10)[s] + d                     # lines never span texts
+    u, line = np.unique(at, return_inverse=True)
     owner = np.zeros(len(u), np.int64)
     owner[line] = d
-    yield h, line, owner
+    new = np.ones(len(u), bool)
+    new[1:] = (np.diff(u) > 1) | (np.diff(owner) > 0)
+    para = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(u)) - 1
+    kept = np.flatnonzero(holding(term, para[line], len(first), need)[para[line]])
+    if len(kept):
+        at = line[kept]
+        yield kept, at, owner, False
+        for size in WINDOWS:
+            start = np.concatenate([at - o for o in range(size)])
+            of = np.tile(para[at], size)
+            ok = (start >= first[of]) & (start + size - 1 <= last[of])
+            yield np.tile(kept, size)[ok], start[ok], owner, False
+        long = (last > first)[para[at]]
+        yield kept[long], para[at][long], owner[first], False
     if named.any():
-        of = named[d]
-        yield h[of], d[of], np.arange(len(off) - 1)
+        of = np.flatnonzero(named[d])
+        yield of, d[of], np.arange(len(off) - 1), True
 
 
 def term_frequency(files: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
@@ -191,11 +215,20 @@ def term_frequency(files: DataFrame, text_col: str, needed: DataFrame) -> DataFr
         .join(needed, "term", "left_semi")
 
 
-NEAR = "array<struct<dots: array<double>, inside: double, terms: array<bigint>, counts: array<bigint>>>"
+NEAR = "array<struct<own: string, dot: double, inside: double, whole: boolean, terms: array<bigint>, counts: array<bigint>>>"
 
 
-def _weighted(files, path_col, text_col, whole, names, vocab, counts, idf, n, threshold) -> DataFrame:
-    """``(path, own, score)`` with the df of every term."""
+def own_licences(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=None,
+                 threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, own, score)`` and the columns ``keep`` per row of ``files``."""
+    templates = sorted(templates or TEMPLATES)
+    vocab, counts, need = vocabulary(templates)
+    df, n = document_frequency(files, text_col, vocab)
+    idf = np.log((n + 1) / (df + 1))
+    names = [t[0] for t in templates]
+    gives = np.array([bool(x) for x in names])
+    whole = F.coalesce(F.col(path_col).rlike(LICENCE_NAME), F.lit(False))
+
     def scan(batches):
         row = (TaskContext.get().partitionId() << 40)
         for b in batches:
@@ -203,80 +236,49 @@ def _weighted(files, path_col, text_col, whole, names, vocab, counts, idf, n, th
             named = b.column(2).to_numpy(zero_copy_only=False)
             for i, j, buf, off in slices(b.column(1)):
                 h, s, d = terms(buf, off)
-                for g, passage, owner in passages(buf, off, h, s, d, named[i:j]):
-                    who, dots, inside, (p, t, c) = near_passages(g, passage, len(owner), vocab, counts, idf, threshold)
-                    o = np.argsort(p, kind="stable")
-                    p, t, c = p[o], t[o].view(np.int64), c[o]
+                term = _lookup(vocab, h)
+                for at, passage, owner, full in passages(buf, off, h, s, d, term, named[i:j], need):
+                    who, top, dot, inside, (p, t, c) = near_passages(h[at], term[at], passage, len(owner), counts, need,
+                                                                     idf, gives, threshold)
+                    t = t.view(np.int64)
                     lo, hi = np.searchsorted(p, who), np.searchsorted(p, who, "right")
                     for k, x in enumerate(who.tolist()):
-                        near[i + int(owner[x])].append({"dots": dots[k].tolist(), "inside": float(inside[k]),
-                                                        "terms": t[lo[k]:hi[k]].tolist(), "counts": c[lo[k]:hi[k]].tolist()})
+                        near[i + int(owner[x])].append({
+                            "own": names[top[k]], "dot": float(dot[k]), "inside": float(inside[k]), "whole": full,
+                            "terms": t[lo[k]:hi[k]].tolist(), "counts": c[lo[k]:hi[k]].tolist()})
             ids = np.arange(row, row + b.num_rows, dtype=np.int64)
             row += b.num_rows
-            kind = pa.list_(pa.struct([("dots", pa.list_(pa.float64())), ("inside", pa.float64()),
-                                       ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(near, kind)], ["row", "path", "near"])
+            kind = pa.list_(pa.struct([("own", pa.string()), ("dot", pa.float64()), ("inside", pa.float64()),
+                                       ("whole", pa.bool_()), ("terms", pa.list_(pa.int64())),
+                                       ("counts", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(near, kind), b.column(3)],
+                                             ["row", "path", "near", "kept"])
 
     # row numbers are written once, so both readers see the same ones
-    rows = stored(files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), whole.alias("named"))
-                  .mapInArrow(scan, f"row long, path string, near {NEAR}"), "licence-passages")
-    each = rows.where(F.size("near") > 0).select("row", "path", F.posexplode("near").alias("k", "p")) \
-        .select("row", "path", "k", "p.*")
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    source = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), whole.alias("named"), kept.alias("kept"))
+    rows = stored(source.mapInArrow(scan, f"row long, path string, near {NEAR}, kept {source.schema['kept'].dataType.simpleString()}"),
+                  "licence-passages")
+    each = rows.where(F.size("near") > 0).select("row", F.posexplode("near").alias("k", "p")).select("row", "k", "p.*")
     tf = each.select("row", "k", F.explode(F.arrays_zip("terms", "counts")).alias("t")) \
         .select("row", "k", F.col("t.terms").alias("term"), F.col("t.counts").alias("tf"))
     df = stored(term_frequency(files, text_col, tf.select("term").distinct()), "licence-terms")
     x = F.col("tf") * F.log(F.lit(float(n + 1)) / (F.col("df") + 1))
     outside = tf.join(df, "term").groupBy("row", "k").agg(F.sum(x * x).alias("outside"))
-    full = F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))
-    label = F.array(*[F.lit(x) for x in names])
-    best = each.join(outside, ["row", "k"], "left") \
-        .withColumn("cos", F.transform("dots", lambda v: F.coalesce(F.try_divide(v, full), F.lit(0.0)))) \
-        .withColumn("top", F.array_max("cos")) \
-        .withColumn("own", F.when(F.col("top") >= threshold, F.element_at(label, F.array_position("cos", F.col("top")).cast("int")))) \
-        .withColumn("score", F.when(F.col("own").isNotNull(), F.least(F.lit(1.0), "top"))) \
-        .groupBy("row").agg(F.first("path").alias("path"), F.min_by(F.struct("own", "score"), F.when(
-            F.col("own").isNotNull(), F.struct(-F.col("score"), "own"))).alias("b"))
-    return best.select("path", "b.own", F.coalesce("b.score", F.lit(0.0)).alias("score")).union(
-        rows.where(F.size("near") == 0).select("path", F.lit(None).cast("string"), F.lit(0.0)))
-
-
-def own_licences(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=None,
-                 threshold: float = THRESHOLD, all_terms: bool = False) -> DataFrame:
-    """``(path, own, score)`` per row of ``files``; with ``all_terms`` every term has
-    the weight of its df, else terms of no template have ln(N + 1)."""
-    templates = sorted(templates or TEMPLATES)
-    vocab, counts = vocabulary(templates)
-    df, n = document_frequency(files, text_col, vocab)
-    idf, none = np.log((n + 1) / (df + 1)), float(np.log(n + 1))
-    names = [t[0] for t in templates]
-    whole = F.coalesce(F.col(path_col).rlike(LICENCE_NAME), F.lit(False))
-    if all_terms:
-        return _weighted(files, path_col, text_col, whole, names, vocab, counts, idf, n, threshold)
-
-    def scan(batches):
-        for b in batches:
-            own, score = [None] * b.num_rows, [0.0] * b.num_rows
-            named = b.column(2).to_numpy(zero_copy_only=False)
-            for i, j, buf, off in slices(b.column(1)):
-                h, s, d = terms(buf, off)
-                for g, passage, who in passages(buf, off, h, s, d, named[i:j]):
-                    best, cos = best_match(g, passage, len(who), vocab, counts, idf, none, threshold)
-                    for k in np.flatnonzero(best >= 0).tolist():
-                        x = i + int(who[k])
-                        if own[x] is None or (-cos[k], names[best[k]]) < (-score[x], own[x]):
-                            own[x], score[x] = names[best[k]], float(cos[k])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.string()), pa.array(score)],
-                                             ["path", "own", "score"])
-
-    return files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), whole.alias("named")) \
-        .mapInArrow(scan, "path string, own string, score double")
+    cos = F.round(F.try_divide("dot", F.sqrt(F.col("inside") + F.coalesce("outside", F.lit(0.0)))), 9)
+    best = each.join(outside, ["row", "k"], "left").withColumn("score", F.least(F.lit(1.0), cos)) \
+        .where(F.col("score") >= threshold).groupBy("row") \
+        .agg(F.min_by(F.struct("own", "score"), F.struct(~F.col("whole"), -F.col("score"), "own")).alias("b"))
+    return rows.select("row", "path", "kept").join(best, "row", "left").select(
+        "path", "b.own", F.coalesce("b.score", F.lit(0.0)).alias("score"),
+        *[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def _parent(path) -> Column:
     return F.regexp_replace(path, r"(^|/)[^/]*$", "")
 
 
-def inherit(found: DataFrame, gives: Column) -> DataFrame:
+def inherit(found: DataFrame, gives: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Add ``licence`` and ``from_dir`` to ``(path, own, score)``; rows for which
     ``gives`` holds are licence files of their directory."""
     dirs = found.where(gives & F.col("own").isNotNull() & F.col("path").isNotNull()) \
@@ -295,12 +297,15 @@ def inherit(found: DataFrame, gives: Column) -> DataFrame:
     near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = found.withColumn("home", F.when(F.col("own").isNull(), _parent("path"))).withColumn("salt", salt) \
         .join(near, ["home", "salt"], "left")
-    return out.select("path", "own", "score", F.coalesce("own", "up").alias("licence"), "from_dir")
+    return out.select("path", "own", "score", F.coalesce("own", "up").alias("licence"), "from_dir", *[f"`{c}`" for c in keep])
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=None,
-                 threshold: float = THRESHOLD, gives: Column | None = None) -> DataFrame:
-    """``(path, own, score, licence, from_dir)`` per row of ``files``. By default
-    licence files are told by name."""
-    found = stored(own_licences(files, path_col, text_col, templates, threshold, all_terms=True), "licences")
-    return inherit(found, F.col("path").rlike(LICENCE_NAME) if gives is None else gives)
+                 threshold: float = THRESHOLD, gives: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, own, score, licence, from_dir)`` and the columns ``keep`` (of other
+    names) per row of ``files``. By default licence files are told by name."""
+    clash = {"path", "own", "score", "licence", "from_dir", "home", "salt", "up"} & set(keep)
+    if clash:
+        raise ValueError(f"keep names columns of the result or its joins: {sorted(clash)}")
+    found = stored(own_licences(files, path_col, text_col, templates, threshold, keep), "licences")
+    return inherit(found, F.col("path").rlike(LICENCE_NAME) if gives is None else gives, keep)

@@ -66,19 +66,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_path() -> Column:
-    """Documents as files: by source, language and length class."""
-    kind = F.when(F.length("text") < 1000, F.lit("")).when(F.length("text") < 3000, F.concat("lang", F.lit("/"))) \
-        .otherwise(F.concat("lang", F.lit("/long/")))
-    return F.concat("source", F.lit("/"), kind, F.col("doc_id").cast("string"), F.lit(".txt"))
+    """Documents as files: by source, language and length class; every tenth id is
+    named as a licence file, as no table has any. A null part reads ``none``."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    long = F.coalesce(F.length("text"), F.lit(0))
+    kind = F.when(long < 1000, F.lit("")).when(long < 3000, F.concat(text("lang"), F.lit("/"))) \
+        .otherwise(F.concat(text("lang"), F.lit("/long/")))
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE-"), text("doc_id"))) \
+        .otherwise(F.concat(text("doc_id"), F.lit(".txt")))
+    return F.concat(text("source"), F.lit("/"), kind, name)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, taken as a file: own licence, its cosine, the licence
-    in force and the directory it comes from. A document that states a licence
-    word for word is a licence file of its directory."""
-    files = _read(spark, sf_dir, "documents").select(document_path().alias("path"), "text")
-    out = license_scan.license_scan(files, gives=F.col("score") >= 0.99)
-    return out.select("path", "own", F.round("score", 6).alias("score"), "licence", "from_dir")
+    """One row per document, taken as a file: its id, path, own licence, its cosine, the
+    licence in force and the directory it comes from."""
+    files = _read(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text")
+    out = license_scan.license_scan(files, keep=("doc_id",))
+    return out.select("doc_id", "path", "own", F.round("score", 6).alias("score"), "licence", "from_dir")
 
 
 def op8_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,49 +244,64 @@ SELECT page_id, u.host, path, rule, coalesce(decided, CASE WHEN purity >= {u.REJ
        template, round(purity, 6) AS purity FROM u JOIN t ON t.host = u.host AND t.segs = u.segs"""
 
 
-# weights as in license_scan; a passage is a line, as no path is a licence name
+# the passages, weights and choices of license_scan
 OP7_SQL = r"""
-WITH templates(name, text) AS (VALUES {templates}),
-lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line
-          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-words AS (SELECT doc_id, i, unnest(regexp_extract_all(
+WITH templates(k, name, text, need) AS (VALUES {templates}),
+files AS (SELECT row_number() OVER () AS f, doc_id, coalesce(text, '') AS text,
+                 coalesce(source, 'none') || CASE WHEN coalesce(length(text), 0) < 1000 THEN ''
+                     WHEN length(text) < 3000 THEN '/' || coalesce(lang, 'none') ELSE '/' || coalesce(lang, 'none') || '/long' END AS home,
+                 CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' || doc_id ELSE coalesce(CAST(doc_id AS VARCHAR), 'none') || '.txt' END AS name
+          FROM documents),
+lines AS (SELECT f, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line
+          FROM (SELECT f, string_split(text, chr(10)) AS ls FROM files)),
+words AS MATERIALIZED (SELECT f, i, unnest(regexp_extract_all(
               translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM lines),
-twords AS (SELECT name, text, unnest(regexp_extract_all(
-               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM templates),
+term_lines AS (SELECT DISTINCT f, i FROM words),
+breaks AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY f ORDER BY i) = 1 THEN 0 ELSE 1 END AS new FROM term_lines),
+paras AS (SELECT f, i, sum(new) OVER (PARTITION BY f ORDER BY i) AS para FROM breaks),
+spans AS (SELECT f, para, min(i) AS lo, max(i) AS hi FROM paras GROUP BY ALL),
+pass AS (SELECT f, 1 AS kind, i AS lo, i AS hi FROM paras
+         UNION ALL SELECT f, size, unnest(range(lo, hi - size + 2)), NULL FROM spans, (VALUES {windows}) v(size)
+         UNION ALL SELECT f, 0, lo, hi FROM spans WHERE hi > lo
+         UNION ALL SELECT f, -1, 0, 1000000000 FROM files WHERE doc_id % 10 = 0),
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS p, f, kind, lo, coalesce(hi, lo + kind - 1) AS hi FROM pass),
+pw AS MATERIALIZED (SELECT p, w, count(*) AS tf FROM numbered JOIN words ON words.f = numbered.f AND i BETWEEN lo AND hi
+                    GROUP BY p, w),
+needed AS (SELECT k, len(need) AS size, unnest(need) AS w FROM templates),
+fits AS (SELECT p, k FROM pw JOIN needed USING (w) GROUP BY p, k, size HAVING count(*) = size),
 n AS (SELECT count(*) AS n FROM documents),
-df AS (SELECT w, count(DISTINCT doc_id) AS df FROM words GROUP BY w),
-known AS (SELECT DISTINCT w FROM twords),
-idf AS (SELECT known.w, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM known LEFT JOIN df USING (w), n),
-tv AS (SELECT name, text, w, count(*) * any_value(idf) AS x FROM twords JOIN idf USING (w) GROUP BY name, text, w),
-tn AS (SELECT name, text, sqrt(sum(x * x)) AS norm FROM tv GROUP BY name, text),
-lv AS (SELECT doc_id, i, w, count(*) * any_value(coalesce(idf, ln(n + 1))) AS x
-       FROM words LEFT JOIN idf USING (w), n GROUP BY doc_id, i, w),
-ln_ AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM lv GROUP BY doc_id, i),
-dot AS (SELECT doc_id, i, name, text, sum(lv.x * tv.x) AS dot FROM lv JOIN tv USING (w) GROUP BY ALL),
-cos AS (SELECT doc_id, name, least(1.0, dot / tn.norm / ln_.norm) AS score
-        FROM dot JOIN tn USING (name, text) JOIN ln_ USING (doc_id, i)),
-best AS (SELECT doc_id, name AS own, score FROM (
-             SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, name) AS rn
-             FROM cos WHERE score >= 0.6) WHERE rn = 1),
-files AS (SELECT doc_id, own, coalesce(score, 0.0) AS score, source || CASE WHEN length(text) < 1000 THEN ''
-              WHEN length(text) < 3000 THEN '/' || lang ELSE '/' || lang || '/long' END AS home,
-          source, lang FROM documents LEFT JOIN best USING (doc_id)),
-votes AS (SELECT home AS dir, own, count(*) AS c FROM files WHERE score >= 0.99 GROUP BY ALL),
+df AS (SELECT w, count(DISTINCT f) AS df FROM words GROUP BY w),
+twords AS (SELECT k, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS w FROM templates),
+tv AS (SELECT k, w, count(*) * ln((any_value(n) + 1) / (coalesce(any_value(df), 0) + 1)) AS x
+       FROM twords LEFT JOIN df USING (w), n GROUP BY k, w),
+tn AS (SELECT k, sqrt(sum(x * x)) AS norm FROM tv GROUP BY k HAVING norm > 0),
+px AS (SELECT p, w, tf * ln((n + 1) / (df + 1)) AS x FROM pw JOIN df USING (w), n WHERE p IN (SELECT p FROM fits)),
+pn AS (SELECT p, sqrt(sum(x * x)) AS norm FROM px GROUP BY p),
+dot AS (SELECT p, k, round(sum(px.x * tv.x) / any_value(tn.norm), 9) AS dot
+        FROM fits JOIN tn USING (k) JOIN px USING (p) JOIN tv USING (k, w) GROUP BY p, k),
+top AS (SELECT p, name, dot FROM (SELECT p, name, dot, row_number() OVER (PARTITION BY p ORDER BY dot DESC, k) AS rn
+        FROM dot JOIN templates USING (k)) WHERE rn = 1 AND name <> ''),
+scored AS (SELECT f, kind, name AS own, least(1.0, round(dot / norm, 9)) AS score
+           FROM top JOIN pn USING (p) JOIN numbered USING (p) WHERE norm > 0),
+best AS (SELECT f, own, score FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY kind >= 0, score DESC, own) AS rn
+         FROM scored WHERE score >= 0.6) WHERE rn = 1),
+found AS (SELECT files.*, own, coalesce(score, 0.0) AS score FROM files LEFT JOIN best USING (f)),
+votes AS (SELECT home AS dir, own, count(*) AS c FROM found WHERE own IS NOT NULL AND starts_with(name, 'LICENSE-') GROUP BY ALL),
 dirs AS (SELECT dir, own AS licence FROM (
              SELECT *, row_number() OVER (PARTITION BY dir ORDER BY c DESC, own) AS rn FROM votes) WHERE rn = 1),
-up AS (SELECT doc_id, dir, licence, row_number() OVER (PARTITION BY doc_id ORDER BY length(dir) DESC) AS rn
-       FROM files JOIN dirs ON home = dir OR starts_with(home, dir || '/') WHERE own IS NULL)
-SELECT home || '/' || doc_id || '.txt' AS path, own, round(score, 6) AS score,
-       coalesce(own, licence) AS licence, dir AS from_dir
-FROM files LEFT JOIN (SELECT * FROM up WHERE rn = 1) USING (doc_id)
+up AS (SELECT f, dir, licence, row_number() OVER (PARTITION BY f ORDER BY length(dir) DESC) AS rn
+       FROM found JOIN dirs ON home = dir OR starts_with(home, dir || '/') WHERE own IS NULL)
+SELECT doc_id, home || '/' || name AS path, own, round(score, 6) AS score, coalesce(own, licence) AS licence, dir AS from_dir
+FROM found LEFT JOIN (SELECT * FROM up WHERE rn = 1) USING (f)
 """
 
 
 def _op7_sql() -> str:
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    return OP7_SQL.replace("{templates}", ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in license_scan.TEMPLATES))
+    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(t)}, [{', '.join(map(quoted, need))}])"
+                     for i, (n, t, need) in enumerate(license_scan.TEMPLATES))
+    return OP7_SQL.replace("{templates}", rows).replace("{windows}", ", ".join(f"({w})" for w in license_scan.WINDOWS))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
