@@ -91,7 +91,7 @@ def _summary(a, b, na, nb, ca, cb):
 
 def _links_of_dim(classes: DataFrame, dim: int, n: int, threshold: float, tile: int, cells: int) -> DataFrame:
     """``(node, links, other)`` of the distinct vectors of one length."""
-    spark = classes.sparkSession
+    spark, kind = classes.sparkSession, classes.schema["v"].dataType.simpleString()
     k = max(1, min(cells, math.ceil(n / tile)))
     picked = classes.orderBy(F.xxhash64("v"), "node").limit(k).select("v").collect()       # at most CELLS rows
     centre = unit(np.array([r["v"] for r in picked], np.float64))
@@ -105,7 +105,7 @@ def _links_of_dim(classes: DataFrame, dim: int, n: int, threshold: float, tile:
                 [*b.columns, pa.array(at.astype(np.int32)), pa.array(np.arccos(dot[np.arange(len(at)), at]))],
                 ["node", "n", "v", "cell", "angle"])
 
-    homed = stored(classes.mapInArrow(home, "node long, n long, v array<double>, cell int, angle double"), "embed-home")
+    homed = stored(classes.mapInArrow(home, f"node long, n long, v {kind}, cell int, angle double"), "embed-home")
     stat = {r["cell"]: (r["c"], r["r"]) for r in
             homed.groupBy("cell").agg(F.count("*").alias("c"), F.max("angle").alias("r")).collect()}
     radius = np.array([stat[c][1] if c in stat else -10.0 for c in range(k)])
@@ -162,7 +162,7 @@ def _links_of_dim(classes: DataFrame, dim: int, n: int, threshold: float, tile:
                     if (s := _summary(*tile_links(h, c, threshold, False), hn, cn, hc, cc)) is not None:
                         yield s
 
-    dealt = homed.mapInArrow(deal, "tile int, visits boolean, node long, n long, v array<double>") \
+    dealt = homed.mapInArrow(deal, f"tile int, visits boolean, node long, n long, v {kind}") \
         .repartition(max(partitions(spark), int(first[-1])), "tile").sortWithinPartitions("tile", "visits")
     return dealt.mapInArrow(multiply, "node long, links long, other long")
 
@@ -173,7 +173,9 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_co
     v = F.col("v")
     bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) \
         | ~F.exists(v, lambda x: x != 0)
-    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    # single-precision vectors travel as such; all arithmetic is in double precision
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    base = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
     h = F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("2"), F.reverse("v")).alias("h2")
     good = base.where(~F.coalesce(bad, F.lit(True)))
     classes = stored(good.groupBy(*h).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))

@@ -426,6 +426,44 @@ def test_shards_hold_every_sequence_in_order(spark, reference, tmp_path):
     assert empty.count() == 0
 
 
+def test_slots_follow_the_permutation(spark, reference, tmp_path):
+    """Slot of the i-th sequence against a plain walk of the keyed Feistel network."""
+    long = (1, prose(1, 20_000))
+    rows = [long, (2, None), (3, ""), (4, prose(4, 40)), (4, prose(4, 40)), (5, "a" * 30_000)] + \
+        [(10 + i, prose(i, 30)) for i in range(30)]
+    docs = make_docs(spark, rows).coalesce(1)
+    key, root = 123, f"file://{tmp_path}/shards"
+    out = token_output.write_shards(docs, tokenizer_path(), root, key=key, length=32, shard=128)
+    seqs = []
+    for _, t in rows:
+        ids = reference.encode(t or "", add_special_tokens=False).ids + [50256]
+        ids += [50256] * (-len(ids) % 32)
+        seqs += [ids[i:i + 32] for i in range(0, len(ids), 32)]
+    n, word = len(seqs), (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ h >> 32) * 0xD6E8FEB86659FD93) & word
+        h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & word
+        return h ^ h >> 32
+
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    keys = [mixed(((i + 1) * 0x9E3779B97F4A7C15 + key) & word) for i in range(token_output.ROUNDS)]
+
+    def slot(x):
+        while True:
+            left, right = x >> half, x & (1 << half) - 1
+            for k in keys:
+                left, right = right, left ^ mixed((right + k) & word) & (1 << half) - 1
+            x = left << half | right
+            if x < n:
+                return x
+
+    want = dict((slot(i), s) for i, s in enumerate(seqs))
+    assert len(want) == n == out.agg(F.sum("n_slots")).first()[0]
+    got = token_output.read_slots(spark, root, 0, n, length=32, shard=128).collect()
+    assert {r["slot"]: r["ids"] for r in got} == want
+
+
 def test_licence_query_keeps_every_document(spark, tmp_path):
     from peerpanel.llm.queries import op7_license_scan
     rows = awkward() + [(20, "Released under the MIT License."), (30, None), (None, "SPDX-License-Identifier: ISC")]
