@@ -10,14 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}     # temporary folder by local application
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary folder where it is unset (local sessions and tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is
+    unset, a local session gets a temporary folder, which leaves the session's settings
+    alone; on a cluster that is an error, as executors would not share the folder."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    sc = spark.sparkContext
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="llm-")
+    return _LOCAL[sc.applicationId]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -475,3 +475,20 @@ def test_licence_query_keeps_every_document(spark, tmp_path):
     by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
     assert by[20]["own"] == "MIT" and by[20]["path"] == "s/LICENSE-20" and by[30]["licence"] == "MIT"
     assert by[3]["path"] == "none/3.txt" and by[3]["licence"] is None and by[7]["from_dir"] == "s"
+
+
+def test_scratch_folder(spark):
+    from types import SimpleNamespace
+
+    from peerpanel.llm import common
+
+    def session(master, conf=None, checkpoint=None):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: conf), sparkContext=context)
+
+    assert common.scratch_dir(session("spark://host:7077", "hdfs:/x")) == "hdfs:/x"
+    assert common.scratch_dir(session("yarn", None, "hdfs:/y")) == "hdfs:/y"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.scratch_dir(session(master))
+    assert common.scratch_dir(session("local[4]")) == common.scratch_dir(session("local[4]"))
