@@ -26,9 +26,9 @@ HEADLINE = [
     "desc_quantile_timeseries",      # split ntile + frequency percent rank
     "detect_changepoint",            # binary segmentation rounds
     "model_summary_orders",          # leave-one-out counterfactual, all customers
-    "model_ts_rank",                 # LOWESS (grouped pandas) + rankings
+    "model_ts_rank",                 # LOWESS on arrays + rankings
     "select_peers_by_segment",       # pair-free peer windows
-    "causal_impact",                 # cohort regression per supplier
+    "causal_impact",                 # ridge on all other series, per supplier
 ]
 
 

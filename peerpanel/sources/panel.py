@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..errors import PanelError
 
-PANEL_COLUMNS = ("group_id", "ts_id", "date", "count")
-REQUIRED = ("date", "ts_id", "count")
 
 
 def panel(df: DataFrame, date: str = "date", ts_id: str = "ts_id",
