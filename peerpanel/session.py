@@ -9,10 +9,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tables with at most this many rows may be broadcast after their size
-# has been counted. Beyond it the join stays a shuffle join and AQE
+# Tables with at most this many rows and bytes may be broadcast after their
+# size has been measured. Beyond either the join stays a shuffle join and AQE
 # (skew join, runtime broadcast) takes over.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def build_session(master: str | None = None, app: str = "peerpanel",
@@ -80,8 +81,10 @@ def compute_partitions(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism * 4, sp)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it is proven small (row count checked).
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                    max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it is proven small: its rows are counted and their
+    bytes measured as JSON text plus 16 a column, in one pass.
 
     Used for group-level tables (one row per group or per group x bucket)
     whose size does not grow with the number of series or rows. Above the
@@ -89,5 +92,6 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     shuffle join with AQE skew handling.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = F.length(F.to_json(F.struct("*"))) + 16 * len(df.columns)
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df

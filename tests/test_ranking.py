@@ -64,3 +64,16 @@ def test_positions_equal_row_numbers(spark):
     slow = F.row_number().over(Window.partitionBy("g").orderBy("x", "id"))
     j = positions(df, ["g"], ["x", "id"], "p").withColumn("q", slow)
     assert j.count() == 900 and j.where("p <> q").count() == 0
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from peerpanel.session import sized_broadcast
+
+    small = spark.range(50).withColumn("t", F.repeat(F.lit("x"), 1000))
+    plan = lambda df: spark.range(50).hint("merge").join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(sized_broadcast(small))
+    assert "strategy=broadcast" not in plan(sized_broadcast(small, max_bytes=40_000))
+    assert "strategy=broadcast" not in plan(sized_broadcast(small, max_rows=49))
+    assert sized_broadcast(small.limit(0)).count() == 0
