@@ -60,3 +60,25 @@ def test_dated_peer_rows_pass_no_exchange(spark):
         # the plan is a tree from the result down: nothing above the explode of the dates
         above = _plan(df).split("explode(arrays_zip")[0]
         assert "Exchange" not in above and "Window" not in above
+
+
+def test_peer_design_moves_series_not_dates(spark, monkeypatch):
+    """Windows over blocks of positions give the plain windows; dates come after the last exchange."""
+    from peerpanel.operators import peers as PE
+
+    p, start = _panel(spark, 30)
+    monkeypatch.setattr(PE, "BLOCK", 3)
+    rows = PE.active_rows(p, start)
+    order = PE.series_order(rows)
+    pos = {r.ts_id: r.pos for r in order.collect()}
+    for k in (2, 5, 8):
+        got = {}
+        for r in PE.select_peers(rows, k, order).collect():
+            assert pos[r.peer_ts_id] == r.peer_pos
+            got.setdefault(pos[r.ts_id], []).append(r.peer_pos)
+        for at in range(1, 31):
+            first = max(1, min(at - k // 2, 30 - k))
+            assert sorted(got[at]) == [q for q in range(first, min(30, first + k) + 1) if q != at]
+    design = PE.peer_design(p, start, 4)
+    assert design.count() == 30 * 6 * 60
+    assert "Exchange" not in _plan(design).split("posexplode(arrays_zip")[0]
