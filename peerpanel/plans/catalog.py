@@ -48,6 +48,13 @@ def prepared(spark, sf_dir, cfg, validate=True) -> DataFrame:
                                   validate=validate))
 
 
+def prepared_series(spark, sf_dir, cfg) -> DataFrame:
+    """The prepared panel with one row per series, materialised once: its size is that of
+    the present buckets."""
+    return reuse(PR.prepare_series(raw_panel(spark, sf_dir, cfg), cfg["start"], cfg["period"],
+                                   cfg["min_pre"], cfg["min_post"], cfg["min_ts"]))
+
+
 def _bucket_sum(spark, sf_dir, cfg):
     return PR.bucket_sum(raw_panel(spark, sf_dir, cfg), cfg["period"])
 
@@ -80,7 +87,7 @@ def _summary_count_plot(spark, sf_dir, cfg):
 
 
 def _running_distinct(spark, sf_dir, cfg):
-    return DS.running_distinct(DS.trim_leading_zeros(prepared(spark, sf_dir, cfg)))
+    return DS.running_distinct_series(prepared_series(spark, sf_dir, cfg), cfg["period"])
 
 
 def _summary_stats(spark, sf_dir, cfg):
@@ -88,8 +95,8 @@ def _summary_stats(spark, sf_dir, cfg):
 
 
 def _quantile_ts(spark, sf_dir, cfg):
-    p = prepared(spark, sf_dir, cfg)
-    return DS.desc_quantile_timeseries(p, DS.last_pre_bucket(cfg["start"], cfg["period"]))
+    p = prepared_series(spark, sf_dir, cfg)
+    return DS.desc_quantile_timeseries(p, DS.last_pre_bucket(cfg["start"], cfg["period"]), bucket=cfg["period"])
 
 
 def _month_complete(spark, sf_dir, cfg):
@@ -162,7 +169,7 @@ def _standardize(spark, sf_dir, cfg):
 
 
 def _lowess(spark, sf_dir, cfg):
-    return LO.lowess_smooth(prepared(spark, sf_dir, cfg))
+    return LO.lowess_smooth(prepared_series(spark, sf_dir, cfg), period=cfg["period"])
 
 
 def _pre_post(spark, sf_dir, cfg):

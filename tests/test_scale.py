@@ -82,3 +82,28 @@ def test_peer_design_moves_series_not_dates(spark, monkeypatch):
     design = PE.peer_design(p, start, 4)
     assert design.count() == 30 * 6 * 60
     assert "Exchange" not in _plan(design).split("posexplode(arrays_zip")[0]
+
+
+def test_series_form_equals_rows(spark):
+    """Trimmed series, running distinct counts and quantiles from one row per series, with
+    negative counts whose running sum comes back to 0, as from the dense rows."""
+    from peerpanel.operators import describe as DS
+    from peerpanel.operators.prepare import prepare_series
+
+    rng = np.random.default_rng(7)
+    d0 = dt.date(2024, 1, 1)
+    rows = [(f"s{s}", (d0 + dt.timedelta(days=int(k))).isoformat(), float(c)) for s in range(40)
+            for k, c in zip(sorted(rng.choice(np.arange(3, 57), 6, replace=False)), (2, -2, 0, 1, -1, 3) if s % 3 else (0, 1, 0, 2, 5, 1))]
+    rows += [("z", d0.isoformat(), 0.0), ("z", (d0 + dt.timedelta(days=59)).isoformat(), 0.0)]
+    args = (make_panel(spark, rows), d0 + dt.timedelta(days=30), "day", 0, 0, 1, False)
+    p, s = prepare_panel(*args).cache(), prepare_series(*args).cache()
+    t = DS.trim_leading_zeros(p)
+    want = sorted(map(tuple, t.select("ts_id", "date", "count").collect()))
+    for got in (DS.trimmed_arrays(s, "day"), DS.trimmed_arrays(p)):
+        assert sorted((r.ts_id, d, y) for r in got.collect() for d, y in zip(r.d, r.y)) == want
+    got = DS.running_distinct_series(s, "day")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, DS.running_distinct(t).collect()))
+    start = d0 + dt.timedelta(days=30)
+    a, b = (sorted((*r[:3], round(r[3], 9)) for r in x.collect()) for x in (DS.desc_quantile_timeseries(p, start), DS.desc_quantile_timeseries(s, start, bucket="day")))
+    assert a == b and a
+    assert "Exchange" not in _plan(DS.trimmed_arrays(s, "day")) and "Window" not in _plan(DS.trimmed_arrays(s, "day"))
