@@ -205,7 +205,8 @@ def _peer_coef_stats(spark, sf_dir, cfg):
 
 
 def _ts_peers(spark, sf_dir, cfg):
-    return RP.peer_contributions(ridge(spark, sf_dir, cfg), all_peers=True)
+    # rounded there: its pairs repeat every count once per target
+    return RP.peer_contributions(ridge(spark, sf_dir, cfg), all_peers=True, digits=6)
 
 
 def _ts_peers_deviating(spark, sf_dir, cfg):
@@ -284,7 +285,8 @@ BUILDERS = {
 
 
 def _rounded(fn, cfg, spark, sf_dir):
-    return round_doubles(fn(spark, sf_dir, cfg))
+    out = fn(spark, sf_dir, cfg)
+    return out if fn is _ts_peers else round_doubles(out)
 
 
 def queries() -> dict:

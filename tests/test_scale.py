@@ -108,3 +108,33 @@ def test_series_form_equals_rows(spark):
     assert a == b and a
     above = _plan(DS.trimmed_arrays(s, "day")).split("InMemory")[0]         # the cached series
     assert "Generate" in above and "Exchange" not in above and "Window" not in above
+
+
+def test_undrawn_peers_by_date_not_by_target(spark, monkeypatch):
+    """Rows of all peers equal plain ones; those no draw holds come by peer and date for several
+    targets at once, and no strongest peers of the fit are made only to be listed again."""
+    monkeypatch.setattr(RP, "TOGETHER", 5)
+    p, start = _panel(spark, 20)
+    m = fit_models(p, start, "day", alpha=0.01)
+    peers, asked = m.peers, []
+    m.peers = lambda *a: asked.append(peers(*a)) or asked[-1]
+    got = [r.asDict() for r in RP.peer_contributions(m, deviating_only=False, all_peers=True, digits=6).collect()]
+    coefs, burn = {}, 2
+    for r in asked[0].collect():
+        assert r.draw > 0
+        if r.draw > burn:
+            coefs.setdefault(r.ts_id, {}).setdefault(r.peer_ts_id, []).append(r.coef)
+    y = {r.peer_ts_id: dict(zip(r.d, r.y)) for r in m.design.collect()}
+    assert len(got) == len({(r["target_ts_id"], r["ts_id"], r["date"]) for r in got}) == 20 * 20 * 60
+    for r in got:
+        mine, day = coefs[r["target_ts_id"]], (r["date"] - dt.date(1970, 1, 1)).days
+        chances = {round(len(c) / 18, 6) for c in mine.values()} | {1.0}
+        c = mine.get(r["ts_id"])
+        chance = 1.0 if r["ts_id"] == "target" else round(len(c) / 18, 6) if c else 0.0
+        assert r["inclusion_prob"] == chance and r["inclusion_rank"] == 1 + sum(v > chance for v in chances)
+        if r["ts_id"] != "target":
+            assert abs(r["scaled_count"] - y[r["ts_id"]][day] * (np.mean(c) if c else 1)) < 1e-6
+            assert (r["coef"] is None) == (c is None) and (r["sign"] is None) == (c is None)
+            assert c or r["positive_share"] == 0
+    plain = [(r["ts_id"], r["date"]) for r in got if r["inclusion_prob"] == 0]
+    assert sum(a != b for a, b in zip(plain, plain[1:])) < len(plain) * 2 / 3     # all of them, with dates innermost
