@@ -22,6 +22,10 @@ Anchors travel in packed groups to the blocks they ask for; a task keeps the bes
 rows of the anchors it has seen, raises their floors as it goes and passes them on
 when it holds ``HELD`` of them. Nothing is capped: ties beyond k are cut by id.
 
+The groups repeat the same anchors for every block, so as Parquet they take a hundredth
+of their size or less. Joins therefore never leave it to Spark's estimate, which goes by
+the files, whether a side passes the driver: only zone maps of a known size do.
+
 Defined results: rows with a null label, a null or empty vector, a null or
 non-finite component, or one beyond ``LIMIT`` after scaling (its products would not
 fit 64 bits) take no part; only rows of the anchor's vector length are its
@@ -51,6 +55,7 @@ GROUP = 128           # anchors that travel together
 BITS = 2              # Hilbert curve: bits of each dimension
 LIMIT = 1 << 26
 HELD = 1 << 18        # results a task holds before it passes them on
+SMALL = 4 << 20       # bytes of zone maps that may be broadcast
 NO_ID = (1 << 63) - 1
 FAR = 1 << 62            # beyond every score
 
@@ -233,6 +238,7 @@ class Blocks:
     def __init__(self, rows: DataFrame, dim: int, n: int, k: int, block: int = BLOCK):
         self.spark, self.dim = rows.sparkSession, dim
         self.parts = max(1, min(math.ceil(n / block), max(partitions(self.spark), math.ceil(n / (64 * block)))))
+        self.zone_bytes = (math.ceil(n / block) + self.parts) * (8 * dim + 24)      # of all blocks
         self.blocks = stored(self._ordered(rows).mapInArrow(
             self._packer(block), "block long, n int, label_lo long, label_hi long, row binary, id binary, label binary, "
             "anchor binary, q binary, lo array<int>, hi array<int>"), "negatives-blocks")
@@ -334,11 +340,12 @@ class Blocks:
         ends = self.pages.select("piece", "label_lo", "label_hi", F.posexplode(F.arrays_zip("lo", "hi")).alias("d", "e")) \
             .groupBy("piece", "d").agg(F.min("label_lo").alias("label_lo"), F.max("label_hi").alias("label_hi"),
                                        F.min("e.lo").alias("lo"), F.max("e.hi").alias("hi")) \
-            .orderBy("piece", "d").collect()                       # at most PIECES rows per dimension
-        col = lambda c: np.array([r[c] for r in ends], np.int64).reshape(-1, dim)
+            .groupBy("piece").agg(F.min("label_lo").alias("label_lo"), F.max("label_hi").alias("label_hi"),
+                                  F.array_sort(F.collect_list(F.struct("d", "lo", "hi"))).alias("e")) \
+            .select("piece", "label_lo", "label_hi", "e.lo", "e.hi").toArrow()      # at most PIECES rows, 4 bytes a bound
         self.zones = self.spark.sparkContext.broadcast(
-            {"piece": col("piece")[:, 0], "lo": col("lo"), "hi": col("hi"),
-             "label_lo": col("label_lo")[:, 0], "label_hi": col("label_hi")[:, 0]} if ends else None)
+            {c: ends.column(c).to_numpy() for c in ("piece", "label_lo", "label_hi")}
+            | {c: _ints(ends.column(c).combine_chunks(), dim) for c in ("lo", "hi")} if ends.num_rows else None)
 
     def _seeder(self, k: int):
         dim = self.dim
@@ -405,13 +412,15 @@ class Blocks:
                         yield kept.batch()
             yield kept.batch()
 
+        pages = self.pages.drop("label_lo", "label_hi", "lo", "hi")
+        pages = F.broadcast(pages) if self.zone_bytes <= SMALL else pages.hint("merge")
         with arrow_rows(self.spark, 64):
             asked = stored(
                 anchors.select("a", "id", "label", "q", "low", "high", "floor").mapInArrow(to_pieces, f"piece long, {PACKED}")
-                .join(self.pages.drop("label_lo", "label_hi", "lo", "hi"), "piece").mapInArrow(to_blocks, f"block long, {PACKED}"),
+                .join(pages, "piece").mapInArrow(to_blocks, f"block long, {PACKED}"),
                 "negatives-asked")
             cells = self.blocks.select("block", *[F.col(c).alias(f"b_{c}") for c in ("row", "id", "label", "q")])
-            found = stored(asked.join(cells, "block").mapInArrow(read, FOUND), "negatives-found")
+            found = stored(asked.join(cells.hint("merge"), "block").mapInArrow(read, FOUND), "negatives-found")
         rank = F.row_number().over(Window.partitionBy("a", "w").orderBy(F.desc("score"), "id", "row"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -453,19 +462,19 @@ def _of_length(rows: DataFrame, dim: int, n: int, positives: int, negatives: int
     share = lambda per: F.transform("p", lambda x: x["positive_score"] * per)
     down = lambda x: F.call_function("div", x - F.pmod(x, F.lit(100)), F.lit(100))
     fill = lambda c, far: F.slice(F.concat(c, F.array_repeat(F.lit(far), positives)), 1, positives)
-    asks = cells.anchors.drop("low", "high", "floor").join(ends, "a").select(
+    asks = cells.anchors.drop("low", "high", "floor").join(ends.hint("merge"), "a").select(
         "a", "id", "label", "q",
         fill(F.transform(share(low), lambda x: -down(-x)), FAR).alias("low"),
         fill(F.transform(share(high), down), -FAR).alias("high"))
     asks = stored(asks.withColumn("floor", F.col("low")), "negatives-windows")
     first = cells.search(asks, negatives, positives, False, best=True).where(F.col("rank") == negatives) \
         .groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("known"))
-    asks = asks.join(first, "a", "left").withColumn("floor", F.transform(
+    asks = asks.join(first.hint("merge"), "a", "left").withColumn("floor", F.transform(
         "low", lambda x, i: F.greatest(x, F.coalesce(F.try_element_at("known", i), F.lit(-FAR))))).drop("known")
     neg = cells.search(stored(asks, "negatives-floors"), negatives, positives, False) \
         .select("a", (F.col("w") + 1).alias("w"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     known = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return neg.join(pos, ["a", "w"]).join(cells.anchors.select("a", F.col("id").alias("anchor_id")), "a") \
+    return neg.join(pos.hint("merge"), ["a", "w"]).join(cells.anchors.select("a", F.col("id").alias("anchor_id")).hint("merge"), "a") \
         .where((F.col("positive_score") * low <= F.col("negative_score") * 100)
                & (F.col("negative_score") * 100 <= F.col("positive_score") * high)) \
         .select("anchor_id", known("positive_id"), F.col("rank").cast("int").alias("rank"), known("negative_id"),
