@@ -3,8 +3,8 @@
 Vectors become integers (``floor(scale * x)``), so scores are exact. Candidates are
 sorted by (label, Hilbert index of the vector) with a range partitioning and cut
 into Parquet blocks of ``BLOCK`` vectors, each with a zone map: minimum and maximum
-of every dimension and of the label. Zone maps are packed by pages of ``PAGE`` and
-pages belong to at most ``PIECES`` pieces, whose own zones are the only broadcast.
+of every dimension and of the label. Blocks of one partition, a part, are searched
+together; parts belong to at most ``PIECES`` pieces, whose own zones are the only broadcast.
 
 For an anchor a and a zone [lo, hi], interval arithmetic bounds every score inside:
 ``a+ . lo + a- . hi <= score <= a+ . hi + a- . lo`` (a+ and a- the positive and
@@ -16,15 +16,15 @@ and its lower bound does not pass the window, tested on pieces, then on blocks.
 1. Positives: one window without ends over blocks that may hold the label. The floor
    is the k-th best score in the anchor's own block.
 2. Negatives: one window per positive over blocks that hold another label. The floor
-   comes from a first search in the most promising block of every piece.
+   comes from a first search in the most promising block of every part.
 
-Anchors travel in packed groups to the blocks they ask for; a task keeps the best
+Anchors travel in packed groups to the parts of the pieces they ask for, not to every
+block: a task reads the blocks of a part, then the groups as they come. It keeps the best
 rows of the anchors it has seen, raises their floors as it goes and passes them on
 when it holds ``HELD`` of them. Nothing is capped: ties beyond k are cut by id.
 
-The groups repeat the same anchors for every block, so as Parquet they take a hundredth
-of their size or less. Joins therefore never leave it to Spark's estimate, which goes by
-the files, whether a side passes the driver: only zone maps of a known size do.
+As Parquet, groups of anchors take far less than in memory. Joins therefore never leave
+it to Spark's estimate, which goes by the files, whether a side passes the driver.
 
 Defined results: rows with a null label, a null or empty vector, a null or
 non-finite component, or one beyond ``LIMIT`` after scaling (its products would not
@@ -49,13 +49,11 @@ from pyspark.sql import functions as F
 from .common import partitions, stored
 
 BLOCK = 1024          # vectors of a block
-PAGE = 256            # zone maps packed in one row
 PIECES = 1024         # zones that are broadcast
 GROUP = 128           # anchors that travel together
 BITS = 2              # Hilbert curve: bits of each dimension
 LIMIT = 1 << 26
 HELD = 1 << 18        # results a task holds before it passes them on
-SMALL = 4 << 20       # bytes of zone maps that may be broadcast
 NO_ID = (1 << 63) - 1
 FAR = 1 << 62            # beyond every score
 
@@ -238,7 +236,7 @@ class Blocks:
     def __init__(self, rows: DataFrame, dim: int, n: int, k: int, block: int = BLOCK):
         self.spark, self.dim = rows.sparkSession, dim
         self.parts = max(1, min(math.ceil(n / block), max(partitions(self.spark), math.ceil(n / (64 * block)))))
-        self.zone_bytes = (math.ceil(n / block) + self.parts) * (8 * dim + 24)      # of all blocks
+        self.share = math.ceil(self.parts / PIECES)         # parts of a piece
         self.blocks = stored(self._ordered(rows).mapInArrow(
             self._packer(block), "block long, n int, label_lo long, label_hi long, row binary, id binary, label binary, "
             "anchor binary, q binary, lo array<int>, hi array<int>"), "negatives-blocks")
@@ -306,38 +304,9 @@ class Blocks:
         return pack
 
     def _zones(self) -> None:
-        """Pages of zone maps and the zones of the pieces."""
-        dim, share = self.dim, math.ceil(self.parts / PIECES)
-
-        def page(batches):
-            at, held = None, []
-
-            def cut():
-                lo, hi, block, first, last = (np.array(x) for x in zip(*held))
-                out = [[at], [block.astype("<i8").tobytes()], [first.astype("<i8").tobytes()], [last.astype("<i8").tobytes()],
-                       [lo.astype("<i4").tobytes()], [hi.astype("<i4").tobytes()], [first.min()], [last.max()],
-                       [lo.min(0).tolist()], [hi.max(0).tolist()]]
-                types = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 2]
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names)
-
-            names = ["piece", "blocks", "firsts", "lasts", "los", "his", "label_lo", "label_hi", "lo", "hi"]
-            for b in batches:
-                for r in b.to_pylist():
-                    if held and (r["piece"] != at or len(held) == PAGE):
-                        yield cut()
-                    at = r["piece"]
-                    held.append((r["lo"], r["hi"], r["block"], r["label_lo"], r["label_hi"]))
-            if held:
-                yield cut()
-
-        piece = F.floor(F.shiftright("block", 32) / share).cast("long").alias("piece")
-        self.pages = stored(
-            self.blocks.select(piece, "block", "label_lo", "label_hi", "lo", "hi")
-            .repartition(max(1, min(self.parts, partitions(self.spark))), "piece").sortWithinPartitions("piece", "block")
-            .mapInArrow(page, "piece long, blocks binary, firsts binary, lasts binary, los binary, his binary, "
-                              "label_lo long, label_hi long, lo array<int>, hi array<int>"), "negatives-zones")
-        ends = self.pages.select("piece", "label_lo", "label_hi", F.posexplode(F.arrays_zip("lo", "hi")).alias("d", "e")) \
+        """The zones of the pieces."""
+        dim, piece = self.dim, F.floor(F.shiftright("block", 32) / self.share).cast("long").alias("piece")
+        ends = self.blocks.select(piece, "label_lo", "label_hi", F.posexplode(F.arrays_zip("lo", "hi")).alias("d", "e")) \
             .groupBy("piece", "d").agg(F.min("label_lo").alias("label_lo"), F.max("label_hi").alias("label_hi"),
                                        F.min("e.lo").alias("lo"), F.max("e.hi").alias("hi")) \
             .groupBy("piece").agg(F.min("label_lo").alias("label_lo"), F.max("label_hi").alias("label_hi"),
@@ -373,8 +342,8 @@ class Blocks:
 
     def search(self, anchors: DataFrame, k: int, windows: int, same: bool, best: bool = False) -> DataFrame:
         """``FOUND``: the best ``k`` rows in each window of every anchor. With ``best``
-        only one block per piece is read (a bound for the full search)."""
-        dim, zones = self.dim, self.zones
+        only one block per part is read (a bound for the full search)."""
+        dim, zones, names = self.dim, self.zones, ["piece", "anchors", "labels", "q", "low", "high", "floors"]
 
         def to_pieces(batches):
             if (z := zones.value) is None:
@@ -384,43 +353,42 @@ class Blocks:
                 for p in np.flatnonzero(ok.any(0)).tolist():
                     cols = [[int(z["piece"][p])], *([x] for x in _pack(g, ok[:, p]))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(cols, [pa.int64(), *[pa.binary()] * 6])],
-                        ["piece", "anchors", "labels", "q", "low", "high", "floors"])
+                        [pa.array(x, t) for x, t in zip(cols, [pa.int64(), *[pa.binary()] * 6])], names)
 
-        def to_blocks(batches):
+        def read(batches):
+            kept, part, blocks, z = Best(k, windows), None, [], None
             for b in batches:
                 for r in b.to_pylist():
+                    if r["part"] != part:
+                        part, blocks, z = r["part"], [], None
+                    if not r["asks"]:
+                        blocks.append({"row": np.frombuffer(r["anchors"], "<i8"), "label": np.frombuffer(r["labels"], "<i8"),
+                                       "id": np.frombuffer(r["floors"], "<i8"), "q": _matrix(r["q"], dim)})
+                        continue
+                    if not blocks:
+                        continue
+                    if z is None:
+                        z = {c: np.stack([end(x[f]) for x in blocks]) for c, f, end in (
+                            ("lo", "q", lambda v: v.min(0)), ("hi", "q", lambda v: v.max(0)),
+                            ("label_lo", "label", np.min), ("label_hi", "label", np.max))}
                     g = _unpack(r, dim)
-                    z = {"lo": _matrix(r["los"], dim), "hi": _matrix(r["his"], dim),
-                         "label_lo": np.frombuffer(r["firsts"], "<i8"), "label_hi": np.frombuffer(r["lasts"], "<i8")}
-                    block = np.frombuffer(r["blocks"], "<i8")
-                    ok = wanted(g, z, same, best)
+                    ok = wanted(g | {"floor": kept.floors(g)[1]}, z, same, best)
                     for p in np.flatnonzero(ok.any(0)).tolist():
-                        cols = [[int(block[p])], *([x] for x in _pack(g, ok[:, p]))]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(x, t) for x, t in zip(cols, [pa.int64(), *[pa.binary()] * 6])],
-                            ["block", "anchors", "labels", "q", "low", "high", "floors"])
-
-        def read(batches):
-            kept = Best(k, windows)
-            for b in batches:
-                for r in b.to_pylist():
-                    block = {c: np.frombuffer(r[f"b_{c}"], "<i8") for c in ("row", "id", "label")} \
-                        | {"q": _matrix(r["b_q"], dim)}
-                    kept.add(_unpack(r, dim), block, same)
+                        kept.add({c: v[ok[:, p]] for c, v in g.items()}, blocks[p], same)
                     if len(kept.rows[0]) > HELD or len(kept.names) > HELD:
                         yield kept.batch()
             yield kept.batch()
 
-        pages = self.pages.drop("label_lo", "label_hi", "lo", "hi")
-        pages = F.broadcast(pages) if self.zone_bytes <= SMALL else pages.hint("merge")
-        with arrow_rows(self.spark, 64):
-            asked = stored(
-                anchors.select("a", "id", "label", "q", "low", "high", "floor").mapInArrow(to_pieces, f"piece long, {PACKED}")
-                .join(pages, "piece").mapInArrow(to_blocks, f"block long, {PACKED}"),
-                "negatives-asked")
-            cells = self.blocks.select("block", *[F.col(c).alias(f"b_{c}") for c in ("row", "id", "label", "q")])
-            found = stored(asked.join(cells.hint("merge"), "block").mapInArrow(read, FOUND), "negatives-found")
+        share, none = self.share, F.lit(None).cast("binary")
+        # a part's blocks come before the groups that ask for them
+        cells = self.blocks.select(F.shiftright("block", 32).alias("part"), F.lit(False).alias("asks"), F.col("row").alias("anchors"),
+                                   F.col("label").alias("labels"), "q", none.alias("low"), none.alias("high"), F.col("id").alias("floors"))
+        with arrow_rows(self.spark, GROUP):
+            asked = anchors.select("a", "id", "label", "q", "low", "high", "floor").mapInArrow(to_pieces, f"piece long, {PACKED}") \
+                .withColumn("part", F.explode(F.sequence(F.col("piece") * share, F.col("piece") * share + share - 1))) \
+                .select("part", F.lit(True).alias("asks"), *names[1:])
+            found = stored(cells.unionByName(asked).repartition(2 * self.parts, "part").sortWithinPartitions("part", "asks")
+                           .mapInArrow(read, FOUND), "negatives-found")
         rank = F.row_number().over(Window.partitionBy("a", "w").orderBy(F.desc("score"), "id", "row"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

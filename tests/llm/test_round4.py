@@ -36,11 +36,16 @@ def test_hard_negatives_leave_anchors_and_zones_off_the_driver(spark, monkeypatc
     assert out.groupBy("anchor_id").agg(F.countDistinct("positive_id").alias("n")).where("n <> 5").count() == 0
 
 
-def test_hard_negatives_join_zone_maps_too_large_to_broadcast(spark, monkeypatch):
+def test_hard_negatives_send_anchors_to_parts_not_blocks(spark, monkeypatch):
     r = random.Random(12)
-    rows = [(i, i % 3, [r.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    rows = [(i, i % 3, [r.gauss(0, 1) for _ in range(6)]) for i in range(600)]
     data = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
-    made = lambda: sorted(map(tuple, hard_negatives.hard_negatives(data, lambda i: i % 10 == 0, block=16).collect()))
-    by_broadcast = made()
-    monkeypatch.setattr(hard_negatives, "SMALL", 0)
-    assert len(by_broadcast) > 0 and made() == by_broadcast
+    made = lambda: sorted(map(tuple, hard_negatives.hard_negatives(data, lambda i: i % 10 == 0, block=4).collect()))
+    stored, names = hard_negatives.stored, []
+    monkeypatch.setattr(hard_negatives, "stored", lambda df, name: names.append(name) or stored(df, name))
+    got = made()
+    # no table has a row per group and block; one partition of blocks is searched at a time
+    assert got and "negatives-asked" not in names
+    monkeypatch.setattr(hard_negatives, "PIECES", 2)      # several parts to a piece
+    monkeypatch.setattr(hard_negatives, "HELD", 16)       # rows passed on in between
+    assert made() == got
