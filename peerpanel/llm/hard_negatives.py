@@ -171,12 +171,15 @@ class Best:
     def add(self, anchors: dict, block: dict, same: bool) -> None:
         at, floor = self.floors(anchors)
         score = products(anchors["q"], block["q"])
-        alike = anchors["label"][:, None] == block["label"][None, :]
-        ok = alike & (anchors["a"][:, None] != block["row"][None, :]) if same else ~alike
+        i, j = np.nonzero(score >= floor.min(1)[:, None])       # few reach a floor: the rest is tested on those
+        score = score[i, j]
+        alike = anchors["label"][i] == block["label"][j]
+        ok = alike & (anchors["a"][i] != block["row"][j]) if same else ~alike
+        i, j, score = i[ok], j[ok], score[ok]
         for w in range(self.windows):
-            i, j = np.nonzero(ok & (score >= floor[:, w, None]) & (score <= anchors["high"][:, w, None]))
-            if len(i):
-                part = [at[i] * self.windows + w, score[i, j], block["id"][j], block["row"][j]]
+            fit = (score >= floor[i, w]) & (score <= anchors["high"][i, w])
+            if fit.any():
+                part = [at[i[fit]] * self.windows + w, score[fit], block["id"][j[fit]], block["row"][j[fit]]]
                 keep = top_k(*part, self.k)
                 self.parts.append([x[keep] for x in part])
                 self.held += len(keep)
@@ -387,7 +390,9 @@ class Blocks:
             asked = anchors.select("a", "id", "label", "q", "low", "high", "floor").mapInArrow(to_pieces, f"piece long, {PACKED}") \
                 .withColumn("part", F.explode(F.sequence(F.col("piece") * share, F.col("piece") * share + share - 1))) \
                 .select("part", F.lit(True).alias("asks"), *names[1:])
-            found = stored(cells.unionByName(asked).repartition(2 * self.parts, "part").sortWithinPartitions("part", "asks")
+            # few parts: so many tasks that two parts seldom meet in one
+            tasks = self.parts * 4 if self.parts < 128 else self.parts
+            found = stored(cells.unionByName(asked).repartition(tasks, "part").sortWithinPartitions("part", "asks")
                            .mapInArrow(read, FOUND), "negatives-found")
         rank = F.row_number().over(Window.partitionBy("a", "w").orderBy(F.desc("score"), "id", "row"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
